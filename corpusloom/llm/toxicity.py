@@ -3,7 +3,7 @@
 A text is lower-cased (A-Z and the two-byte Latin letters) and split at white space and ASCII punctuation. The units of a
 word are the word and its byte prefixes of 4 to 8 bytes (word stems). Units get log-odds between toxic and clean labelled texts
 with an informative Dirichlet prior; a word scores by its unit with the surest log-odds, if that is significant, and
-``neutral`` (negative) otherwise. A linear-time scan finds every maximal scoring segment of a text. Under chance the
+by the (negative) log-odds of a word without significant unit otherwise. A linear-time scan finds every maximal scoring segment of a text. Under chance the
 best segment of n words follows an extreme-value law; its location and scale are fitted on clean labelled texts, and
 the negative log of the resulting p-value, summed over the significant segments' scores, is calibrated to a
 probability by a logistic fit on labelled rows that the log-odds have not seen.
@@ -59,17 +59,21 @@ def units(texts: pa.Array) -> tuple[Words, list[np.ndarray]]:
 
 
 def unit_counts(rows: DataFrame) -> DataFrame:
-    """For each unit: the toxic and the clean texts of (y, text) that hold it."""
+    """For each unit: its weight in the toxic and in the clean texts of (y, text).
+
+    A unit that a text holds c times weighs log2(1 + c) there, so that a word repeated without end in one text does
+    not pass for a common one.
+    """
 
     def run(batches):
         parts: list[np.ndarray] = []
 
         def flush():
             u, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            y = np.concatenate([p[1] for p in parts])
-            toxic, all_ = np.bincount(inverse, y, len(u)), np.bincount(inverse, minlength=len(u))
+            y, weight = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+            toxic, clean = np.bincount(inverse, y * weight, len(u)), np.bincount(inverse, (1 - y) * weight, len(u))
             parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(toxic.astype(np.int64)), pa.array((all_ - toxic).astype(np.int64))], ["unit", "toxic", "clean"])
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(toxic), pa.array(clean)], ["unit", "toxic", "clean"])
 
         held = 0
         for b in pieces(batches):
@@ -80,25 +84,25 @@ def unit_counts(rows: DataFrame) -> DataFrame:
                 key, d = h[has], doc[has]
                 order = np.argsort(key ^ mix(d.astype(U) + U(1)))
                 key, d = key[order], d[order]
-                first = np.concatenate(([True], (key[1:] != key[:-1]) | (d[1:] != d[:-1])))[: len(key)]
-                parts.append((key[first], y[d[first]]))
-                held += int(first.sum())
+                first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (d[1:] != d[:-1])))[: len(key)])
+                parts.append((key[first], y[d[first]], np.log2(1 + np.diff(np.append(first, len(key))))))
+                held += len(first)
             if held > 2_000_000:
                 held = 0
                 yield flush()
         if parts:
             yield flush()
 
-    return rows.select("y", "text").mapInArrow(run, "unit long, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return rows.select("y", "text").mapInArrow(run, "unit long, toxic double, clean double").groupBy("unit").agg(*(F.round(F.sum(x), 6).alias(x) for x in ("toxic", "clean")))
 
 
-def lexicon(counts: DataFrame, n_toxic: int, n_clean: int, prior: float = 20.0, least_z: float = 2.6, most: int = 100_000) -> list[tuple[int, float, float]]:
+def lexicon(counts: DataFrame, n_toxic: int, n_clean: int, prior: float = 20.0, least_z: float = 3.0, least_odds: float = 1.5, most: int = 100_000) -> list[tuple[int, float, float]]:
     """(unit, log-odds, z) of the surest units: log-odds with a Dirichlet prior in proportion to a unit's share of all texts."""
     share = (F.col("toxic") + F.col("clean")) / F.lit(float(n_toxic + n_clean))
     a = share * prior + 0.01
-    odds = lambda y, n: F.log((F.col(y) + a) / (F.lit(float(n + prior)) - F.col(y) - a + 1.0))
+    odds = lambda y, n: F.log((F.col(y) + a) / F.lit(float(n + prior)))  # noqa: E731  weights a text, which may exceed 1
     rows = counts.withColumn("delta", odds("toxic", n_toxic) - odds("clean", n_clean)).withColumn("z", F.col("delta") / F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a)))
-    return [tuple(r) for r in rows.where((F.col("z") >= least_z) & (F.col("toxic") >= 3)).orderBy(F.desc("z"), "unit").limit(most).select("unit", "delta", "z").collect()]
+    return [tuple(r) for r in rows.where((F.col("z") >= least_z) & (F.col("delta") >= least_odds) & (F.col("toxic") >= 3)).orderBy(F.desc("z"), "unit").limit(most).select("unit", "delta", "z").collect()]
 
 
 def segments(positions: list[int], scores: list[float], neutral: float) -> list[tuple[float, int, int]]:
@@ -132,7 +136,7 @@ class Model:
     neutral: float
     scale: float = 1.0  # of the extreme-value law
     place: float = 0.0
-    weight: tuple[float, ...] = (0.0, 0.0, 0.0)
+    weight: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
 
     def passages(self, texts: pa.Array) -> list[list[tuple[float, int, int]]]:
         """The maximal scoring segments of each text."""
@@ -149,6 +153,7 @@ class Model:
         owner = np.searchsorted(w.first, hits, "right") - 1
         at = np.searchsorted(owner, np.arange(len(w.first)))
         out = []
+        self.hits = np.diff(at)
         for d in range(len(w.first) - 1):
             some = hits[at[d] : at[d + 1]]
             out.append(segments((some - w.first[d]).tolist(), delta[some].tolist(), self.neutral) if len(some) else [])
@@ -167,7 +172,7 @@ class Model:
         return np.where(best > 0, -np.log10(np.maximum(p, 1e-300)), 0.0)
 
     def inputs(self, e: np.ndarray) -> np.ndarray:
-        return np.stack([np.minimum(self.surprise(e[:, 0], e[:, 1]), 30) / 3, np.log1p(e[:, 2])], axis=1)
+        return np.stack([np.minimum(self.surprise(e[:, 0], e[:, 1]), 30) / 3, np.log1p(e[:, 2]), np.sqrt(e[:, 2] / np.maximum(e[:, 1], 1))], axis=1)
 
     def score(self, e: np.ndarray) -> np.ndarray:
         x = self.inputs(e)
@@ -186,7 +191,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 60)
     return tuple(float(v) for v in w)
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, neutral: float = -0.25) -> Model:
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000) -> Model:
     """Fit on a bounded sample: log-odds on two thirds of it, the extreme-value law and the calibration on the rest."""
     spark = docs.sparkSession
     sample = docs.select("doc_id", "text").join(F.broadcast(fit_sample(labels, "toxic", fit_rows)), "doc_id")
@@ -196,14 +201,19 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, neutral: f
     sizes = {r["y"]: r["n"] for r in first.groupBy("y").agg(F.count("*").alias("n")).collect()}
     found = lexicon(unit_counts(first), sizes.get(1, 0), sizes.get(0, 0)) if sizes.get(1) and sizes.get(0) else []
     found.sort()
-    model = Model(np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found]), np.array([x[2] for x in found]), neutral)
+    model = Model(np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found]), np.array([x[2] for x in found]), -0.02)
 
     def run(batches):
         for b in pieces(batches):
             e = model.evidence(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), *(pa.array(np.ascontiguousarray(e[:, i])) for i in range(3))], ["y", "best", "n", "total"])
-
-    rows = kept.where("part = 2").select("y", "text").mapInArrow(run, "y int, best double, n double, total double").toPandas()
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), *(pa.array(np.ascontiguousarray(v, dtype=float)) for v in (*e.T, model.hits))], ["y", "best", "n", "total", "hits"])
+
+    schema = "y int, best double, n double, total double, hits double"
+    seen = {r["y"]: r for r in first.select("y", "text").mapInArrow(run, schema).groupBy("y").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).collect()}
+    if len(seen) == 2 and found:
+        rest = [max(1e-6, 1 - (seen[y]["hits"] + 0.5) / (seen[y]["n"] + 1)) for y in (1, 0)]
+        model.neutral = min(-0.002, float(np.log(rest[0] / rest[1])))
+    rows = kept.where("part = 2").select("y", "text").mapInArrow(run, schema).toPandas()
     y = rows["y"].to_numpy().astype(float)
     e = rows[["best", "n", "total"]].to_numpy()
     if len(y) and y.min() != y.max():
@@ -220,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, neutral: f
         model.weight = _logistic(model.inputs(e), y)
     else:
         share = float((y.sum() + 1) / (len(y) + 2))
-        model.weight = (float(np.log(share / (1 - share))), 0.0, 0.0)
+        model.weight = (float(np.log(share / (1 - share))), 0.0, 0.0, 0.0)
     scratch.drop(kept)
     return model
 
