@@ -62,7 +62,7 @@ class Scratch:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes that df scans."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, fingerprints, licenses, quality, secrets, toxicity
+from corpusloom.llm import bpe, fingerprints, licenses, quality, secrets, substrings, toxicity
 from corpusloom.llm._spark import documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -22,6 +22,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedupe(documents(spark, sf_dir)).drop("kept")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(documents(spark, sf_dir))
 
@@ -40,5 +44,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_quality, op6_fingerprints, op8_toxicity, op9_licenses, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_substrings, op3_quality, op6_fingerprints, op8_toxicity, op9_licenses, op10_bpe)}
 ORACLE: dict[str, str] = {}
