@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, fingerprints, licenses, neardup, quality, secrets, substrings, toxicity
+from corpusloom.llm import bpe, fingerprints, licenses, lines, neardup, quality, secrets, substrings, toxicity
 from corpusloom.llm._spark import documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -26,6 +26,10 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedupe(documents(spark, sf_dir)).drop("kept")
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedupe(documents(spark, sf_dir)).select("doc_id", "n_removed", "text")
+
+
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.dedupe(documents(spark, sf_dir))
 
@@ -48,5 +52,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_substrings, op3_quality, op5_neardup, op6_fingerprints, op8_toxicity, op9_licenses, op10_bpe)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_substrings, op3_quality, op4_lines, op5_neardup, op6_fingerprints, op8_toxicity, op9_licenses, op10_bpe)}
+ORACLE: dict[str, str] = {"op4_lines": lines.SQL.format(least_chars=12, least_sites=10)}
