@@ -55,6 +55,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def lower_latin(buf: np.ndarray) -> np.ndarray:
+    """A-Z, and the capital letters U+00C0 to U+00DE, in lower case."""
+    out = buf.copy()
+    out[(buf >= 65) & (buf <= 90)] += 32
+    if len(buf) > 1:
+        second = np.flatnonzero((buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)) + 1
+        out[second] += 32
+    return out
+
+
 def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and the offsets of each; null is empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")

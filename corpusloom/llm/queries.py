@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, fingerprints, licenses, lines, neardup, quality, secrets, substrings, toxicity
+from corpusloom.llm import bpe, decontaminate, fingerprints, licenses, lines, neardup, quality, secrets, substrings, toxicity
 from corpusloom.llm._spark import documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -38,6 +38,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(documents(spark, sf_dir))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -52,5 +56,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_substrings, op3_quality, op4_lines, op5_neardup, op6_fingerprints, op8_toxicity, op9_licenses, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_substrings, op3_quality, op4_lines, op5_neardup, op6_fingerprints, op7_decontaminate, op8_toxicity, op9_licenses, op10_bpe)}
 ORACLE: dict[str, str] = {"op4_lines": lines.SQL.format(least_chars=12, least_sites=10)}

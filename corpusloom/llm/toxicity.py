@@ -24,22 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm._spark import Scratch, held_out, ship
-from corpusloom.llm._text import _M, ALNUM, U, Words, buffer, mix, pieces, powers
+from corpusloom.llm._text import _M, ALNUM, U, Words, buffer, lower_latin, mix, pieces, powers
 from corpusloom.llm.quality import fit_sample
 
 PREFIXES = (4, 5, 6, 7, 8)
 
 
-def lower_latin(buf: np.ndarray) -> np.ndarray:
-    """A-Z, and the capital letters U+00C0 to U+00DE, in lower case."""
-    out = buf.copy()
-    out[(buf >= 65) & (buf <= 90)] += 32
-    if len(buf) > 1:
-        second = np.flatnonzero((buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)) + 1
-        out[second] += 32
-    return out
-
-
 def units(texts: pa.Array) -> tuple[Words, list[np.ndarray]]:
     """The words of each text, and for each word the hashes of its units (0: the word has no such prefix)."""
     buf, off = buffer(texts)
