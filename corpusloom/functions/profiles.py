@@ -166,7 +166,7 @@ _ATO_SECTIONS = (
 _TEXT, _NUMBER = {"type": "string"}, {"type": "number"}
 
 
-def _schema(name: str, required: tuple[str, ...], **properties) -> dict:
+def _schema(name: str, required: tuple[str, ...], /, **properties) -> dict:
     return {"$id": name, "type": "object", "required": ["$schema", "source_url", "content_hash", *required], "properties": {"$schema": {"const": name}, "source_url": _TEXT, "content_hash": _TEXT, "extractor_version": _TEXT, "notes": _TEXT, **properties}}
 
 
