@@ -1,13 +1,746 @@
-"""All registered queries of the engine's own operators."""
+"""All registered queries of the engine's own operators, each over whole tables, with the SQL that it must equal."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import facts as fx
+from corpusloom.functions import html as hx
+from corpusloom.functions import text as tx
+from corpusloom.functions import urls as ux
+from corpusloom.functions.profiles import ATO, STRIPE
+from corpusloom.operators import artifacts, changes, corpus, evals, gates, integrity
+from corpusloom.operators import manifest as m
+from corpusloom.plans import standins as s
+from corpusloom.plans.standins import standin
 from corpusloom.registry import register
+from corpusloom.sources import seeds
+from corpusloom.streaming import feeds
 
 
-@register("SELECT lang AS tier, count(*) AS n FROM documents GROUP BY lang")
-def tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy(F.col("lang").alias("tier")).agg(F.count("*").alias("n"))
+
+def now():
+    return F.lit(s.NOW.rstrip("Z")).cast("timestamp")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _with(**tables: str) -> str:
+    return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in tables.items())
+
+
+# ---- manifest --------------------------------------------------------------
+
+
+@register(_with(manifest=s.MANIFEST) + " SELECT 'state' AS dimension, state AS key, count(*) AS n FROM manifest GROUP BY state UNION ALL SELECT 'tier', tier, count(*) FROM manifest GROUP BY tier")
+def tier_counts(spark, sf_dir):
+    return m.counts(standin(spark, sf_dir, s.MANIFEST))
+
+
+_DECIDE = f"""
+, timed AS (
+  SELECT *, TIMESTAMP '2026-05-24 00:00:00' AS t,
+    try_cast(replace(sitemap_lastmod_seen, 'Z', '') AS TIMESTAMP) AS sm, try_cast(replace(last_fetched_at, 'Z', '') AS TIMESTAMP) AS lf,
+    coalesce(try_cast(replace(last_attempted_at, 'Z', '') AS TIMESTAMP), try_cast(replace(first_seen_at, 'Z', '') AS TIMESTAMP)) AS la,
+    CASE tier WHEN 'NEWS' THEN 1 WHEN 'LIVING' THEN 7 WHEN 'CURRENT_FORMS' THEN 14 ELSE 365 END AS lo,
+    CASE tier WHEN 'NEWS' THEN 7 WHEN 'LIVING' THEN 90 WHEN 'CURRENT_FORMS' THEN 180 ELSE 730 END AS hi,
+    CASE tier WHEN 'NEWS' THEN 30 WHEN 'LIVING' THEN 90 WHEN 'CURRENT_FORMS' THEN 180 ELSE 730 END AS ttl,
+    CASE tier WHEN 'NEWS' THEN 10 WHEN 'FROZEN' THEN 5 ELSE 20 END AS budget
+  FROM manifest
+), spaced AS (
+  SELECT *, greatest(lo, least(lo * CAST(pow(2, least(unchanged_streak, 16)) AS BIGINT), hi)) AS days FROM timed
+), decided AS (
+  SELECT url, tier, CASE
+    WHEN state = 'GONE' AND date_diff('second', la, t) < ttl * 86400 AND sm > la THEN 'FETCH|gone-but-resurrected-in-sitemap'
+    WHEN state = 'GONE' AND date_diff('second', la, t) < ttl * 86400 THEN 'SKIP|tombstoned'
+    WHEN state = 'GONE' THEN 'TOMBSTONE_PURGE|tombstone-ttl-expired'
+    WHEN tier = 'FROZEN' AND content_hash IS NOT NULL AND state <> 'FAILED' AND extractor_version = 'E' AND normalizer_version = 'v1' THEN 'SKIP|frozen-current-versions'
+    WHEN tier = 'FROZEN' AND content_hash IS NOT NULL AND state <> 'FAILED' THEN 'SKIP|frozen-extract-will-redrive'
+    WHEN state = 'FAILED' AND fail_count < budget THEN 'FETCH|retry-fail-count-' || fail_count
+    WHEN state = 'FAILED' THEN 'SKIP|failure-budget-exhausted'
+    WHEN lf IS NULL THEN 'FETCH|never-fetched'
+    WHEN sm > lf THEN 'FETCH_CONDITIONAL|sitemap-lastmod-after-last-fetch'
+    WHEN date_diff('second', lf, t) < days * 86400 THEN 'SKIP|within-interval-' || days || 'd'
+    ELSE 'FETCH_CONDITIONAL|interval-elapsed' END AS d
+  FROM spaced
+)"""
+
+
+@register(_with(manifest=s.MANIFEST) + _DECIDE + " SELECT url, split_part(d, '|', 1) AS decision, split_part(d, '|', 2) AS reason FROM decided")
+def decide(spark, sf_dir):
+    return m.plan(standin(spark, sf_dir, s.MANIFEST), now()).select("url", "decision", "reason")
+
+
+@register(_with(manifest=s.MANIFEST) + _DECIDE + " SELECT 'decision' AS dimension, split_part(d, '|', 1) AS key, count(*) AS n FROM decided GROUP BY 2 UNION ALL SELECT 'tier', tier, count(*) FROM decided GROUP BY tier")
+def plan_counters(spark, sf_dir):
+    return m.plan_counters(m.plan(standin(spark, sf_dir, s.MANIFEST), now()))
+
+
+@register(_with(manifest=s.MANIFEST) + _DECIDE + " SELECT url FROM decided WHERE split_part(d, '|', 1) IN ('FETCH', 'FETCH_CONDITIONAL') AND tier IN ('LIVING', 'NEWS')")
+def fetchable(spark, sf_dir):
+    return m.fetchable(m.plan(standin(spark, sf_dir, s.MANIFEST), now()), ["LIVING", "NEWS"]).select("url")
+
+
+@register(_with(manifest=s.MANIFEST) + _DECIDE + " SELECT m.url, m.state FROM manifest m LEFT JOIN decided d ON m.url = d.url AND d.d LIKE 'TOMBSTONE_PURGE%' WHERE d.url IS NULL")
+def purge(spark, sf_dir):
+    rows = standin(spark, sf_dir, s.MANIFEST)
+    return m.purge(rows, m.plan(rows, now())).select("url", "state")
+
+
+@register(_with(manifest=s.MANIFEST, fetch_log=s.FETCH_LOG) + _DECIDE + " SELECT d.url FROM decided d WHERE NOT EXISTS (SELECT 1 FROM fetch_log f WHERE f.url = d.url)")
+def resume(spark, sf_dir):
+    return m.remaining(m.plan(standin(spark, sf_dir, s.MANIFEST), now()), standin(spark, sf_dir, s.FETCH_LOG)).select("url")
+
+
+@register(
+    _with(manifest=s.MANIFEST, seeds=s.SEEDS)
+    + """
+, one AS (SELECT url, arg_max(tier, seq) AS tier, max(lastmod) AS mod FROM seeds GROUP BY url)
+SELECT coalesce(m.url, o.url) AS url,
+  CASE WHEN m.url IS NULL OR (o.url IS NOT NULL AND (m.classifier_version <> 'v1' OR m.tier <> o.tier)) THEN o.tier ELSE m.tier END AS tier,
+  CASE WHEN m.url IS NULL THEN o.mod WHEN o.url IS NULL THEN m.sitemap_lastmod_seen WHEN m.classifier_version <> 'v1' OR m.tier <> o.tier THEN coalesce(o.mod, m.sitemap_lastmod_seen)
+    ELSE greatest(m.sitemap_lastmod_seen, o.mod) END AS lastmod,
+  CASE WHEN m.url IS NULL THEN 'UNSEEN' ELSE m.state END AS state,
+  CASE WHEN m.url IS NULL THEN 'inserted' WHEN o.url IS NULL THEN NULL WHEN m.classifier_version <> 'v1' OR m.tier <> o.tier THEN 'reclassified' ELSE 'noop' END AS action
+FROM manifest m FULL JOIN one o ON m.url = o.url"""
+)
+def upsert_seeds(spark, sf_dir):
+    rows = m.upsert_seeds(standin(spark, sf_dir, s.MANIFEST), standin(spark, sf_dir, s.SEEDS), s.NOW)
+    return rows.select("url", "tier", F.col("sitemap_lastmod_seen").alias("lastmod"), "state", "action")
+
+
+_COMMIT = """
+, j AS (
+  SELECT m.*, f.url IS NOT NULL AS hit, f.status AS fs, f.etag AS fe, f.seq AS fseq, f.raw_hash AS fr, e.content_hash AS xh,
+    CASE WHEN f.error IS NULL AND f.status < 400 AND f.status <> 304 AND e.ok = false THEN e.reason ELSE f.error END AS err
+  FROM manifest m LEFT JOIN fetch_log f ON m.url = f.url LEFT JOIN extract_log e ON m.url = e.url
+), k AS (
+  SELECT *, CASE WHEN NOT hit THEN 'none' WHEN err IS NOT NULL THEN 'error' WHEN fs IN (404, 410) THEN 'gone' WHEN fs = 304 THEN 'same' ELSE 'new' END AS kind FROM j
+), h AS (SELECT *, CASE WHEN kind = 'new' THEN xh END AS nh FROM k),
+c AS (SELECT *, nh IS NOT NULL AND nh IS DISTINCT FROM content_hash AS moved FROM h)"""
+
+
+@register(
+    _with(manifest=s.MANIFEST, fetch_log=s.FETCH_LOG, extract_log=s.EXTRACT_LOG)
+    + _COMMIT
+    + """
+SELECT url, CASE kind WHEN 'error' THEN 'FAILED' WHEN 'gone' THEN 'GONE' WHEN 'none' THEN state ELSE 'FRESH' END AS state, coalesce(nh, content_hash) AS content_hash,
+  CASE WHEN kind = 'same' OR (kind = 'new' AND NOT moved) THEN unchanged_streak + 1 WHEN kind = 'new' THEN 0 ELSE unchanged_streak END AS unchanged_streak,
+  CASE WHEN kind = 'error' THEN fail_count + 1 WHEN kind IN ('same', 'new') THEN 0 ELSE fail_count END AS fail_count,
+  CASE WHEN kind = 'error' THEN err END AS last_error, CASE WHEN kind IN ('same', 'new') THEN coalesce(fe, http_etag) ELSE http_etag END AS http_etag,
+  CASE WHEN kind IN ('gone', 'same', 'new') THEN '2026-05-24T00:00:00Z' ELSE last_fetched_at END AS last_fetched_at
+FROM c"""
+)
+def commit_manifest(spark, sf_dir):
+    after, _ = m.commit(*(standin(spark, sf_dir, x) for x in (s.MANIFEST, s.FETCH_LOG, s.EXTRACT_LOG)), s.NOW, "r")
+    return after.select("url", "state", "content_hash", "unchanged_streak", "fail_count", "last_error", "http_etag", "last_fetched_at")
+
+
+@register(
+    _with(manifest=s.MANIFEST, fetch_log=s.FETCH_LOG, extract_log=s.EXTRACT_LOG)
+    + _COMMIT
+    + """
+SELECT fseq AS seq, url, CASE WHEN kind = 'gone' THEN 'gone' WHEN content_hash IS NULL THEN 'added' ELSE 'changed' END AS change_type, content_hash AS old_hash, CASE WHEN kind <> 'gone' THEN nh END AS new_hash, tier
+FROM c WHERE (kind = 'gone' AND state <> 'GONE') OR (kind = 'new' AND moved)"""
+)
+def commit_changes(spark, sf_dir):
+    _, log = m.commit(*(standin(spark, sf_dir, x) for x in (s.MANIFEST, s.FETCH_LOG, s.EXTRACT_LOG)), s.NOW, "r")
+    return log.select("seq", "url", "change_type", "old_hash", "new_hash", "tier")
+
+
+@register(
+    _with(manifest=s.MANIFEST, fetch_log=s.FETCH_LOG, extract_log=s.EXTRACT_LOG)
+    + _COMMIT
+    + " SELECT count(*) AS applied, count(*) FILTER (kind = 'error') AS errors, count(*) FILTER (kind = 'same') AS not_modified, count(*) FILTER (kind = 'gone') AS gone, count(*) FILTER (kind = 'new') AS fresh FROM c WHERE hit"
+)
+def commit_counters(spark, sf_dir):
+    return m.commit_counters(*(standin(spark, sf_dir, x) for x in (s.MANIFEST, s.FETCH_LOG, s.EXTRACT_LOG)))
+
+
+@register(
+    _with(manifest=s.MANIFEST)
+    + """ SELECT count(*) FILTER (state IN ('FRESH', 'FROZEN') AND content_hash IS NOT NULL) AS indexed, count(*) FILTER (state IN ('FRESH', 'GONE', 'FROZEN')) AS resolved, count(*) AS expected,
+  round_even(count(*) FILTER (state IN ('FRESH', 'FROZEN') AND content_hash IS NOT NULL) / count(*), 4) AS indexed_share, round_even(count(*) FILTER (state IN ('FRESH', 'GONE', 'FROZEN')) / count(*), 4) AS resolved_share FROM manifest"""
+)
+def coverage(spark, sf_dir):
+    return m.coverage(standin(spark, sf_dir, s.MANIFEST))
+
+
+@register(
+    """
+WITH a AS (SELECT user_id % 50 AS host, event_id AS seq, event_type = 'error' AS blocked FROM events),
+r AS (SELECT *, sum(CASE WHEN blocked THEN 0 ELSE 1 END) OVER (PARTITION BY host ORDER BY seq) AS run FROM a),
+c AS (SELECT host, run, count(*) FILTER (blocked) AS n FROM r GROUP BY host, run)
+SELECT host, max(n) >= 3 AS latched, max(n) AS longest FROM c GROUP BY host"""
+)
+def host_floor(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    return m.host_floor(e.select((F.col("user_id") % 50).alias("host"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("blocked")))
+
+
+@register(
+    """
+WITH a AS (SELECT user_id % 20 AS account, event_id AS seq, event_id % 7 AS cost, event_type = 'error' AS refunded FROM events),
+b AS (SELECT *, coalesce(sum(CASE WHEN refunded THEN 0 ELSE cost END) OVER (PARTITION BY account ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent FROM a)
+SELECT account, seq, spent, spent + cost <= 300 AS allowed FROM b"""
+)
+def credits(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    calls = e.select((F.col("user_id") % 20).alias("account"), F.col("event_id").alias("seq"), (F.col("event_id") % 7).alias("cost"), (F.col("event_type") == "error").alias("refunded"))
+    return m.credits(calls, 300).select("account", "seq", "spent", "allowed")
+
+
+@register(
+    """
+WITH a AS (SELECT 'u' || user_id AS url, event_id AS tier_rank, value < 20 AS thin, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status FROM events)
+SELECT url, min(tier_rank) AS tier_rank FROM a WHERE status < 400 AND NOT thin GROUP BY url"""
+)
+def best_attempt(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    a = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"), F.col("event_id").alias("tier_rank"), (F.col("value") < 20).alias("thin"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"))
+    return m.best_attempt(a).select("url", "tier_rank")
+
+
+# ---- urls and seeds --------------------------------------------------------
+
+_CANON = r"""regexp_replace(lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '//([^/?#]*)', 1)) ||
+  CASE WHEN length(regexp_extract(url, '//[^/?#]*([^?#]*)', 1)) > 1 THEN regexp_replace(regexp_extract(url, '//[^/?#]*([^?#]*)', 1), '/+$', '') ELSE '/' END ||
+  coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_|mc_|_hs)|^(gclid|fbclid|msclkid|yclid|wbraid|gbraid)(=|$)'))), '&'), ''), ''), '^$', '')"""
+
+
+@register(f"SELECT page_id, {_CANON} AS url FROM pages")
+def canonical_urls(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", ux.canonical_url(F.col("url")).alias("url"))
+
+
+@register(
+    r"""
+WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '//([^/?#]*)', 1)) AS host, regexp_extract(url, '//[^/?#]*([^?#]*)', 1) AS path FROM pages),
+q AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs FROM p)
+SELECT page_id, host, path, coalesce(lower(segs[1]), '') AS top,
+  CASE WHEN len(segs) = 0 THEN '_root.md' ELSE regexp_replace(array_to_string(list_transform(segs, lambda x: left(regexp_replace(x, '[^A-Za-z0-9._-]', '_', 'g'), 200)), '/'), '\.html$', '') || '.md' END AS md_path,
+  host LIKE '%.example.org' AND host LIKE 'www.%' AS allowed, regexp_extract(host, '^([^:]*)', 1) AS connect_host
+FROM q"""
+)
+def url_parts(spark, sf_dir):
+    u = F.col("url")
+    return _table(spark, sf_dir, "pages").select("page_id", ux.host_of(u).alias("host"), ux.path_of(u).alias("path"), ux.top_segment(u).alias("top"), ux.md_path(u).alias("md_path"), ux.host_of(u).rlike(r"^www\..*\.example\.org$").alias("allowed"), ux.connect_host(u).alias("connect_host"))
+
+
+@register(
+    rf"""
+WITH c AS (SELECT page_id, url AS raw, {_CANON} AS url FROM pages),
+r AS (SELECT CASE WHEN length(raw) > 2048 OR contains(raw, '%20http:') OR contains(raw, '%20https:') THEN 'malformed'
+  WHEN regexp_matches(regexp_extract(raw, '//[^/?#]*([^?#]*)', 1), '^/de/|\.html$') THEN 'exclude' ELSE 'kept' END AS reason FROM c)
+SELECT reason, count(*) AS n FROM r GROUP BY reason"""
+)
+def seed_counters(spark, sf_dir):
+    return seeds.seed_counters(seeds.screen(_table(spark, sf_dir, "pages").select("url"), [], (r"^/de/", r"\.html$")))
+
+
+@register("WITH t AS (SELECT conv_id, turn, text AS url FROM conversations) SELECT url, min(conv_id * 1000 + turn) AS seq FROM t GROUP BY url")
+def first_seen(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").select(F.col("text").alias("url"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"))
+    return seeds.first_seen(rows.select("url", "seq")).select("url", "seq")
+
+
+@register("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '2026-01-01' END AS lastmod, 'https://www.example.org/' || doc_id AS url FROM documents WHERE doc_id % 4 <> 1")
+def json_seeds(spark, sf_dir):
+    """JSON seed lists of one link each: objects, strings, blank urls."""
+    d = _table(spark, sf_dir, "documents").select("doc_id")
+    url = F.concat(F.lit("https://www.example.org/"), F.col("doc_id").cast("string"))
+    mod = F.when(F.col("doc_id") % 3 == 0, F.lit(', "last_modified": "2026-01-01"')).otherwise("")
+    text = F.when(F.col("doc_id") % 4 == 1, F.lit('{"links": [{"url": " "}]}')).otherwise(F.concat(F.lit('{"links": [{"url": "'), url, F.lit('"'), mod, F.lit("}]}")))
+    found = seeds.seeds_of_json(d.select(text.alias("value")))
+    return found.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("doc_id"), "lastmod", "url")
+
+
+@register(
+    """
+WITH u AS (SELECT url, regexp_extract(url, '//([^/?#]*)', 1) AS host, regexp_extract(url, '//[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r(pattern, allow) AS (VALUES ('/', true), ('/fr/', false), ('/fr/5', true), ('/*.html', false))
+, m AS (SELECT u.url, r.allow, length(r.pattern) AS n FROM u LEFT JOIN r ON regexp_matches(u.path, '^' || replace(replace(r.pattern, '.', '\\.'), '*', '.*')))
+SELECT url, coalesce(arg_max(allow, n * 2 + allow::INT), true) AS allowed FROM m GROUP BY url"""
+)
+def robots(spark, sf_dir):
+    u = F.col("url")
+    urls = _table(spark, sf_dir, "pages").select("url", ux.host_of(u).alias("host"), ux.path_of(u).alias("path"))
+    rules = spark.createDataFrame([("/", True), ("/fr/", False), ("/fr/5", True), ("/*.html", False)], "pattern string, allow boolean")
+    hosts = urls.select("host").distinct().join(F.broadcast(rules))
+    return seeds.robots_allowed(urls, hosts)
+
+
+@register()
+def sitemap_walk(spark, sf_dir):
+    """An index over one sitemap a language, each listing the pages of that language."""
+    pages = _table(spark, sf_dir, "pages").select(ux.canonical_url(F.col("url")).alias("url"), F.regexp_extract("url", r"//[^/]*/([a-z]+)", 1).alias("lang"))
+    ns = '<?xml version="1.0"?><{0} xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
+    esc = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    parts = pages.groupBy("lang").agg(F.concat(F.lit(ns.format("urlset")), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<url><loc>"), esc, F.lit("</loc></url>")))), ""), F.lit("</urlset>")).alias("body"))
+    maps = parts.select(F.concat(F.lit("https://x/"), "lang", F.lit(".xml")).alias("url"), "body")
+    top = maps.agg(F.concat(F.lit(ns.format("sitemapindex")), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<sitemap><loc>"), "url", F.lit("</loc></sitemap>")))), ""), F.lit("</sitemapindex>")).alias("body"))
+    sitemaps = maps.unionByName(top.select(F.lit("https://x/index.xml").alias("url"), "body"))
+    return seeds.walk_sitemaps(sitemaps, spark.createDataFrame([("https://x/index.xml",)], "url string"))
+
+
+@register()
+def page_links(spark, sf_dir):
+    """The links of every page that stay on its host."""
+    u = F.col("url")
+    return _table(spark, sf_dir, "pages").select("page_id", F.explode(hx.links(F.col("html"), u, ux.host_of(u))).alias("link"))
+
+
+# ---- text ------------------------------------------------------------------
+
+_VISIBLE = r"trim(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@register(f"SELECT page_id, length({_VISIBLE})::BIGINT AS n FROM pages")
+def visible_text(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", tx.visible_text_len(F.col("html")).cast("long").alias("n"))
+
+
+@register(f"SELECT page_id, length({_VISIBLE}) < 1000 AS thin FROM pages")
+def thin_pages(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", tx.looks_thin(F.col("html"), F.lit("text/html"), 1000).alias("thin"))
+
+
+def _count(pattern: str, column: str = "html") -> str:
+    return f"len(regexp_extract_all({column}, '{pattern}'))::BIGINT"
+
+
+@register("SELECT page_id, " + ", ".join(f"{_count(p)} AS {k}" for k, p in tx.HTML_ELEMENTS.items()) + " FROM pages")
+def html_elements(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", *(c.cast("long").alias(k) for k, c in tx.html_elements(F.col("html")).items()))
+
+
+@register(
+    r"""
+SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\r\n|\r', chr(10), 'g'), '[ \t\f\v]+(\n)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))) AS content_hash
+FROM documents"""
+)
+def content_hashes(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", tx.content_hash(F.col("text")).alias("content_hash"))
+
+
+@register(r"SELECT doc_id, left(trim(regexp_replace(regexp_replace(trim(lower(left(text, 200))), '[^a-z0-9\s-]', '', 'g'), '\s+', '-', 'g'), '-'), 80) AS slug FROM documents")
+def slugs(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", tx.slug(F.substring("text", 1, 200)).alias("slug"))
+
+
+@register(
+    r"""
+WITH t AS (SELECT a.item_id, list_distinct(regexp_extract_all(lower(a.text), '[\pL\pN_]+')) AS x, list_distinct(regexp_extract_all(lower(b.text), '[\pL\pN_]+')) AS y, regexp_replace(a.text, '[^ -~]', '', 'g') AS s, regexp_replace(b.text, '[^ -~]', '', 'g') AS t
+  FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)
+SELECT item_id, len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) AS jaccard, levenshtein(s, t)::BIGINT AS edits FROM t"""
+)
+def fidelity(spark, sf_dir):
+    b = _table(spark, sf_dir, "benchmark")
+    j = b.alias("a").join(b.alias("b"), F.col("b.item_id") == F.col("a.item_id") + 1)
+    return j.select(F.col("a.item_id").alias("item_id"), tx.jaccard(F.col("a.text"), F.col("b.text")).alias("jaccard"), F.levenshtein(*(F.regexp_replace(f"{x}.text", "[^ -~]", "") for x in "ab")).cast("long").alias("edits"))
+
+
+@register()
+def fidelity_scores(spark, sf_dir):
+    """Half edit similarity, three tenths tokens, two tenths trigrams, of neighbouring test items."""
+    b = _table(spark, sf_dir, "benchmark")
+    j = b.alias("a").join(b.alias("b"), F.col("b.item_id") == F.col("a.item_id") + 1)
+    return j.select(F.col("a.item_id").alias("item_id"), tx.fidelity(F.col("a.text"), F.col("b.text")).alias("score"))
+
+
+@register(r"SELECT conv_id, turn, len(regexp_extract_all(text, '[.!?]'))::BIGINT AS stops, contains(lower(text), 'cannot determine') AS refused FROM conversations")
+def answers(spark, sf_dir):
+    t = F.col("text")
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_count(t, F.lit(r"[.!?]")).cast("long").alias("stops"), tx.refusal(t).alias("refused"))
+
+
+@register()
+def extracted_pages(spark, sf_dir):
+    """Every page as anchored markdown with its content hash."""
+    run = hx.extractor(())
+    return _table(spark, sf_dir, "pages").select("page_id", run(F.col("html"), F.lit("html")).alias("x")).select("page_id", "x.ok", "x.title", "x.content_hash", F.size("x.anchors").alias("anchors"))
+
+
+@register(
+    """
+WITH f AS (SELECT doc_id, '$' || CAST(n_chars AS VARCHAR) || ',000' AS money, CAST(doc_id % 60 AS VARCHAR) || CASE WHEN doc_id % 2 = 0 THEN '%' ELSE 'c for each $1 over' END AS tax, 'Rates ' || (1990 + doc_id % 40) || '-' || lpad(CAST((1990 + doc_id % 40 + doc_id % 3) % 100 AS VARCHAR), 2, '0') AS caption FROM documents)
+SELECT doc_id, CAST(replace(regexp_extract(money, '([0-9,]+)', 1), ',', '') AS BIGINT) AS dollars, CAST(regexp_extract(tax, '([0-9.]+)', 1) AS DOUBLE) / 100 AS rate, CASE WHEN doc_id % 3 = 1 THEN regexp_extract(caption, '[0-9]{4}-[0-9]{2}') END AS fy FROM f"""
+)
+def fact_values(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    i, year = F.col("doc_id"), 1990 + F.col("doc_id") % 40
+    money = F.concat(F.lit("$"), F.col("n_chars").cast("string"), F.lit(",000"))
+    tax = F.concat((i % 60).cast("string"), F.when(i % 2 == 0, "%").otherwise("c for each $1 over"))
+    caption = F.concat(F.lit("Rates "), year.cast("string"), F.lit("-"), F.lpad(((year + i % 3) % 100).cast("string"), 2, "0"))
+    return d.select("doc_id", fx.dollars(money).alias("dollars"), fx.rate(tax).alias("rate"), fx.financial_year(caption).alias("fy"))
+
+
+@register(
+    r"""
+WITH u AS (SELECT doc_id, '/' || CASE doc_id % 4 WHEN 0 THEN 'forms-and-instructions' WHEN 1 THEN 'media-centre' WHEN 2 THEN 'law' ELSE 'x' END || '/' || source || CASE WHEN doc_id % 3 = 0 THEN '-' || (2000 + doc_id % 30) ELSE '' END AS path FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND 2000 + doc_id % 30 < 2025 THEN 'FROZEN' WHEN doc_id % 4 = 1 THEN 'NEWS' WHEN doc_id % 4 = 0 THEN 'CURRENT_FORMS' ELSE 'LIVING' END AS tier,
+  CASE doc_id % 4 WHEN 0 THEN 'forms' WHEN 1 THEN 'news' WHEN 2 THEN 'legal' ELSE 'general' END AS audience,
+  CASE WHEN doc_id % 4 = 0 THEN split_part(path, '/', 3) END AS guide, CASE WHEN doc_id % 3 = 0 THEN (2000 + doc_id % 30) || '-' || lpad(CAST((2001 + doc_id % 30) % 100 AS VARCHAR), 2, '0') ELSE '' END AS years
+FROM u"""
+)
+def classified_urls(spark, sf_dir):
+    i = F.col("doc_id")
+    top = F.when(i % 4 == 0, "forms-and-instructions").when(i % 4 == 1, "media-centre").when(i % 4 == 2, "law").otherwise("x")
+    url = F.concat(F.lit("https://www.ato.gov.au/"), top, F.lit("/"), F.col("source"), F.when(i % 3 == 0, F.concat(F.lit("-"), (2000 + i % 30).cast("string"))).otherwise(""))
+    return _table(spark, sf_dir, "documents").select("doc_id", ATO.tier(url, 2025).alias("tier"), ATO.audience(url).alias("audience"), ATO.parent_guide(url).alias("guide"), F.array_join(ATO.fy_years(url), ",").alias("years"))
+
+
+@register("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'billing' ELSE 'developers' END AS audience FROM documents")
+def audiences(spark, sf_dir):
+    url = F.concat(F.lit("https://docs.stripe.com/"), F.when(F.col("doc_id") % 2 == 0, "Billing/x").otherwise("other"))
+    return _table(spark, sf_dir, "documents").select("doc_id", STRIPE.audience(url).alias("audience"))
+
+
+# ---- changes ---------------------------------------------------------------
+
+_DELTA = """
+, done AS (SELECT run_id, completed_at FROM runs WHERE status = 'published'),
+w AS (SELECT c.* FROM changelog c JOIN done USING (run_id) WHERE completed_at > (SELECT completed_at FROM runs WHERE run_id = 'r02') AND completed_at <= (SELECT max(completed_at) FROM done)),
+d AS (SELECT url, min(seq) AS first_seq, min(struct_pack(s := seq, h := old_hash)).h AS old_hash, max(struct_pack(s := seq, h := new_hash)).h AS new_hash, arg_max(ts, seq) AS ts, arg_max(change_type, seq) AS change_type, arg_max(tier, seq) AS tier FROM w GROUP BY url),
+n AS (SELECT *, CASE WHEN change_type = 'gone' OR new_hash IS NULL THEN CASE WHEN old_hash IS NOT NULL THEN 'removed' END WHEN old_hash IS NULL THEN 'added' WHEN old_hash <> new_hash THEN 'modified' END AS net FROM d)"""
+
+
+@register(
+    _with(changelog=s.CHANGELOG, runs=s.RUNS)
+    + _DELTA
+    + """, p AS (SELECT *, row_number() OVER (PARTITION BY net ORDER BY ts DESC, first_seq) AS place, count(*) OVER (PARTITION BY net) AS total FROM n WHERE net IS NOT NULL)
+SELECT net, place, url, old_hash, new_hash, ts, tier, total FROM p WHERE place <= 500"""
+)
+def changed_since(spark, sf_dir):
+    return changes.changed_since(standin(spark, sf_dir, s.CHANGELOG), standin(spark, sf_dir, s.RUNS), "r02")
+
+
+@register(_with(changelog=s.CHANGELOG, runs=s.RUNS) + _DELTA + " SELECT count(*) FILTER (net = 'added') AS added, count(*) FILTER (net = 'removed') AS removed, count(*) FILTER (net = 'modified') AS modified FROM n")
+def delta_counts(spark, sf_dir):
+    return changes.delta_counts(standin(spark, sf_dir, s.CHANGELOG), standin(spark, sf_dir, s.RUNS), "r02")
+
+
+@register(
+    _with(runs=s.RUNS)
+    + """, p AS (SELECT DISTINCT strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS point FROM events)
+SELECT point, (SELECT max(struct_pack(t := completed_at, r := run_id)).r FROM runs WHERE status = 'published' AND completed_at <= point) AS run_id FROM p"""
+)
+def as_of(spark, sf_dir):
+    points = _table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("point")).distinct()
+    return changes.as_of(standin(spark, sf_dir, s.RUNS), points)
+
+
+@register(
+    """
+WITH a AS (SELECT CAST(doc_id AS VARCHAR) AS url, md5(text) AS h FROM documents WHERE doc_id % 5 <> 0), b AS (SELECT CAST(doc_id AS VARCHAR) AS url, CASE WHEN doc_id % 4 = 0 THEN 'x' ELSE md5(text) END AS h FROM documents WHERE doc_id % 7 <> 0)
+SELECT coalesce(a.url, b.url) AS url, CASE WHEN a.url IS NULL THEN 'added' WHEN b.url IS NULL THEN 'removed' WHEN a.h = b.h THEN 'unchanged' ELSE 'modified' END AS status FROM a FULL JOIN b ON a.url = b.url"""
+)
+def page_changes(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("url"), F.md5("text").alias("content_hash"))
+    b = d.where("doc_id % 7 <> 0").withColumn("content_hash", F.when(F.col("doc_id") % 4 == 0, "x").otherwise(F.col("content_hash")))
+    return changes.page_changes(d.where("doc_id % 5 <> 0"), b).select("url", "status")
+
+
+@register()
+def page_diffs(spark, sf_dir):
+    """Unified differences between each text and the same without its last line."""
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("url"), F.col("text").alias("body"))
+    a = d.withColumn("content_hash", F.md5("body"))
+    b = d.withColumn("body", F.regexp_replace("body", r"\n[^\n]*$", "")).withColumn("content_hash", F.md5("body"))
+    return changes.diffs(a, b)
+
+
+@register(
+    """
+WITH wanted AS (SELECT DISTINCT user_id FROM events), cur AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view'), old AS (SELECT user_id, max(event_id) AS r FROM events WHERE event_type = 'click' GROUP BY user_id)
+SELECT CAST(w.user_id AS VARCHAR) AS url, CAST(o.r AS VARCHAR) AS from_run, o.r IS NOT NULL AS linked FROM wanted w LEFT JOIN old o USING (user_id) WHERE w.user_id NOT IN (SELECT user_id FROM cur)"""
+)
+def forward_fill(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("url"), F.col("event_id").alias("run_id"), F.col("event_type"), F.col("props").alias("body"))
+    out = changes.forward_fill(e.select("url").distinct(), e.where("event_type = 'view'"), e.where("event_type = 'click'"))
+    return out.select("url", F.col("from_run").cast("string").alias("from_run"), "linked")
+
+
+@register(
+    """
+WITH o AS (SELECT user_id, event_id, event_type, event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS moved FROM events),
+r AS (SELECT *, sum(moved::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM o), c AS (SELECT user_id, run, count(*) AS n FROM r GROUP BY user_id, run)
+SELECT CAST(user_id AS VARCHAR) AS url, arg_max(n, run) - 1 AS unchanged_streak FROM c GROUP BY user_id"""
+)
+def streaks(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    return changes.streaks(e.select(F.col("user_id").cast("string").alias("url"), F.col("event_id").alias("seq"), F.col("event_type").alias("content_hash")))
+
+
+@register("WITH b AS (SELECT event_type AS root, CAST(event_id AS VARCHAR) AS name, ts AS mtime FROM events) SELECT root, name, row_number() OVER (PARTITION BY root ORDER BY mtime DESC, name DESC) <= 7 AS kept FROM b")
+def kept_backups(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select(F.col("event_type").alias("root"), F.col("event_id").cast("string").alias("name"), F.col("ts").alias("mtime"))
+    return changes.kept_backups(e, 7).select("root", "name", "kept")
+
+
+# ---- integrity -------------------------------------------------------------
+
+_LEAVES = "SELECT url, sha256(url || ':' || content_hash) AS leaf FROM pages_ WHERE content_hash <> ''"
+
+
+@register(_with(pages_=s.PAGES) + f" {_LEAVES}")
+def leaf_hashes(spark, sf_dir):
+    return integrity.leaves(standin(spark, sf_dir, s.PAGES))
+
+
+_ROOT = """
+tree(l) AS (SELECT list(leaf ORDER BY leaf) FROM leaves UNION ALL
+  SELECT list_transform(range(1, (len(l) + 1) // 2 + 1), lambda i: sha256(l[2 * i - 1] || coalesce(l[2 * i], l[2 * i - 1]))) FROM tree WHERE len(l) > 1)"""
+
+
+@register(f"WITH RECURSIVE pages_ AS ({s.PAGES}), leaves AS ({_LEAVES}), {_ROOT} SELECT l[1] AS root, (SELECT count(*) FROM leaves) AS leaf_count FROM tree WHERE len(l) = 1")
+def merkle_root(spark, sf_dir):
+    return integrity.merkle_root(integrity.leaves(standin(spark, sf_dir, s.PAGES)))
+
+
+@register(f"WITH RECURSIVE pages_ AS ({s.PAGES}), leaves AS ({_LEAVES}), {_ROOT} SELECT leaf, l[1] AS root, true AS proved FROM leaves, tree WHERE len(l) = 1")
+def proofs(spark, sf_dir):
+    """A proof for every leaf, folded again."""
+    rows = integrity.leaves(standin(spark, sf_dir, s.PAGES)).select("leaf")
+    p = integrity.proofs(rows, rows, lambda df: df.persist())
+    return p.select("leaf", "root", (integrity.fold(F.col("leaf"), F.col("proof")) == F.col("root")).alias("proved"))
+
+
+_CHAIN = """
+e AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS seq, conv_id, turn, role FROM conversations),
+chain(seq, entry_hash) AS (SELECT 0::BIGINT, repeat('0', 64) UNION ALL
+  SELECT e.seq, sha256(c.entry_hash || '{"conv_id":' || e.conv_id || ',"role":"' || e.role || '","turn":' || e.turn || '}') FROM chain c JOIN e ON e.seq = c.seq + 1)"""
+
+
+def _chained(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    rows = integrity.ranked(rows.withColumn("o", F.struct("conv_id", "turn")), "o").withColumn("seq", F.col("i") + 1)
+    return integrity.append(rows.select("seq", "conv_id", "turn", "role"), columns=("conv_id", "turn", "role"))
+
+
+@register(f"WITH RECURSIVE {_CHAIN} SELECT seq, 'sha256:' || entry_hash AS entry_hash FROM chain WHERE seq > 0")
+def chain(spark, sf_dir):
+    return _chained(spark, sf_dir).select(F.col("seq").cast("long").alias("seq"), "entry_hash")
+
+
+@register("SELECT true AS ok, CAST(NULL AS BIGINT) AS first_bad_seq, CAST(NULL AS VARCHAR) AS reason")
+def chain_check(spark, sf_dir):
+    out = integrity.verify(_chained(spark, sf_dir), ("conv_id", "turn", "role"))
+    return out.select("ok", F.col("first_bad_seq").cast("long").alias("first_bad_seq"), "reason")
+
+
+# ---- reading ---------------------------------------------------------------
+
+
+@register(_with(pages_=s.PAGES) + ", l AS (SELECT path, unnest(string_split(body, chr(10))) AS line FROM pages_) SELECT path, count(*)::BIGINT AS n FROM l WHERE regexp_matches(line, '(?i)licensed? under') GROUP BY path")
+def grep_files(spark, sf_dir):
+    return corpus.grep_files(standin(spark, sf_dir, s.PAGES), r"licensed? under", ignore_case=True).select("path", F.col("n").cast("long").alias("n"))
+
+
+@register(
+    _with(pages_=s.PAGES)
+    + """, l AS (SELECT path, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS line_no FROM pages_),
+h AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_no) AS k FROM l WHERE regexp_matches(line, '[Ll]icense'))
+SELECT path, line_no::BIGINT AS line_no, left(line, 240) AS line FROM h WHERE k <= 3 ORDER BY path, line_no LIMIT 200"""
+)
+def grep(spark, sf_dir):
+    """The search tool: three hits a file and 200 in all are its contract."""
+    return corpus.grep(standin(spark, sf_dir, s.PAGES), r"[Ll]icense", per_file=3).select("path", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+@register(_with(pages_=s.PAGES) + " SELECT path FROM pages_ WHERE path GLOB 'en/src1*7.md' ORDER BY path LIMIT 500")
+def glob(spark, sf_dir):
+    return corpus.glob(standin(spark, sf_dir, s.PAGES), "en/src1*7.md")
+
+
+@register(_with(pages_=s.PAGES) + " SELECT split_part(path, '/', 2) AS name, 'dir' AS kind, count(*) AS files FROM pages_ WHERE path LIKE 'en/%' GROUP BY 1")
+def list_dir(spark, sf_dir):
+    return corpus.list_dir(standin(spark, sf_dir, s.PAGES), "en").select("name", "kind", "files")
+
+
+_SQL = """
+WITH o AS (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey)
+SELECT n_name, c_mktsegment, count(*) AS customers, CAST(sum(n) AS BIGINT) AS orders, round(sum(total), 2) AS total, rank() OVER (PARTITION BY n_name ORDER BY sum(n) DESC, c_mktsegment) AS place
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN o ON o_custkey = c_custkey GROUP BY n_name, c_mktsegment"""
+
+
+@register(_SQL)
+def sql_query(spark, sf_dir):
+    """Any SELECT: joins, grouping, common table expressions, windows."""
+    return corpus.query(spark, _SQL, **{t: _table(spark, sf_dir, t) for t in ("orders", "customer", "nation")})[0]
+
+
+@register(_with(manifest=s.MANIFEST) + " SELECT count(*) AS total, count(*) FILTER (state = 'UNSEEN') AS unseen, count(browser_version) AS rendered, count(*) FILTER (browser_version IS NOT NULL AND (http_etag IS NOT NULL OR http_last_modified IS NOT NULL)) / count(browser_version) AS cache_share FROM manifest")
+def status(spark, sf_dir):
+    return corpus.status(standin(spark, sf_dir, s.MANIFEST), standin(spark, sf_dir, s.RUNS))[0]
+
+
+@register(_with(manifest=s.MANIFEST) + ", k AS (SELECT url, tier, row_number() OVER (PARTITION BY tier ORDER BY sha256('audit:' || url), url) AS k FROM manifest) SELECT url, tier FROM k WHERE k <= 20")
+def stratified_sample(spark, sf_dir):
+    """A sampling operator: its size is its contract."""
+    return corpus.stratified(standin(spark, sf_dir, s.MANIFEST), "tier", "url", "audit", 20).select("url", "tier")
+
+
+@register(_with(manifest=s.MANIFEST) + " SELECT url FROM manifest ORDER BY sha256('run1:hash:' || url), url LIMIT (SELECT least(count(*), 200, greatest(25, floor(count(*) * 0.05)::INT)) FROM manifest)")
+def gate_sample(spark, sf_dir):
+    """A sampling operator: its size is its contract."""
+    return corpus.sampled(standin(spark, sf_dir, s.MANIFEST), "url", "run1", "hash", 0.05, 200).select("url")
+
+
+# ---- artifacts and gates ---------------------------------------------------
+
+_INDEXED = ", ix AS (SELECT * FROM manifest WHERE state IN ('FRESH', 'FROZEN') AND content_hash IS NOT NULL)"
+
+
+@register(
+    _with(manifest=s.MANIFEST, pages_=s.PAGES)
+    + _INDEXED
+    + r" SELECT url, regexp_extract(url, '//[^/]*/(.*)$', 1) || '.md' AS md_path, regexp_replace(p.title, '[\t\r\n]+', ' ', 'g') AS title, ix.tier, p.audience, coalesce(parent_guide, '') AS parent_guide, ix.content_hash FROM ix JOIN pages_ p USING (url)"
+)
+def routes(spark, sf_dir):
+    return artifacts.routes(standin(spark, sf_dir, s.MANIFEST), standin(spark, sf_dir, s.PAGES))
+
+
+@register(
+    _with(manifest=s.MANIFEST) + _INDEXED + """, n AS (SELECT split_part(url, '/', 4) AS slug, count(*) AS n FROM ix GROUP BY 1)
+SELECT slug, CASE slug WHEN 'fr' THEN 'French' WHEN 'en' THEN 'English' WHEN 'de' THEN 'De' ELSE 'Es' END AS title, n, row_number() OVER (ORDER BY CASE slug WHEN 'fr' THEN 0 WHEN 'en' THEN 1 ELSE 9 END, slug)::BIGINT AS place FROM n"""
+)
+def sections(spark, sf_dir):
+    order = spark.createDataFrame([("fr", 0, "French"), ("en", 1, "English")], "slug string, place int, title string")
+    return artifacts.sections(standin(spark, sf_dir, s.MANIFEST), order).select("slug", "title", "n", F.col("place").cast("long").alias("place"))
+
+
+@register(_with(manifest=s.MANIFEST) + _INDEXED + " SELECT parent_guide, count(*) AS n, min(url) AS first_url FROM ix WHERE parent_guide IS NOT NULL GROUP BY parent_guide")
+def guides(spark, sf_dir):
+    return artifacts.guides(standin(spark, sf_dir, s.MANIFEST)).drop("years")
+
+
+@register(
+    _with(manifest=s.MANIFEST) + _INDEXED + """, k AS (SELECT tier, url, row_number() OVER (PARTITION BY tier ORDER BY url) AS k FROM ix WHERE parent_guide IS NULL)
+SELECT tier, parent_guide AS name, count(*) AS n, min(url) AS url FROM ix WHERE parent_guide IS NOT NULL GROUP BY tier, parent_guide UNION ALL SELECT tier, NULL, 1, url FROM k WHERE k <= 200"""
+)
+def listing(spark, sf_dir):
+    return artifacts.listing(standin(spark, sf_dir, s.MANIFEST))
+
+
+@register(_with(manifest=s.MANIFEST, pages_=s.PAGES) + _INDEXED + " SELECT parent_guide, md5(string_agg(body, chr(10) || chr(10) ORDER BY url)) AS body, count(*) AS n FROM ix JOIN pages_ p USING (url) WHERE parent_guide IS NOT NULL GROUP BY parent_guide")
+def by_guide(spark, sf_dir):
+    out = artifacts.by_guide(standin(spark, sf_dir, s.MANIFEST), standin(spark, sf_dir, s.PAGES))
+    return out.select("parent_guide", F.md5("body").alias("body"), "n")
+
+
+@register(
+    _with(manifest=s.MANIFEST, pages_=s.PAGES)
+    + _INDEXED
+    + """, miss AS (SELECT url FROM ix WHERE url NOT IN (SELECT url FROM pages_)), orph AS (SELECT url FROM pages_ WHERE url NOT IN (SELECT url FROM manifest)),
+c AS (SELECT count(*) FILTER (state IN ('FRESH', 'GONE', 'FROZEN')) AS done, count(*) AS n FROM manifest),
+z AS (SELECT count(*) AS n, count(*) FILTER (length(trim(body)) < 50 AND tier <> 'FROZEN') AS short FROM pages_)
+SELECT 'manifest_fs_integrity' AS gate, (SELECT count(*) FROM miss) = 0 AND (SELECT count(*) FROM orph) = 0 AS passed, (SELECT count(*) FROM orph) || ' orphans, ' || (SELECT count(*) FROM miss) || ' missing' AS detail
+UNION ALL SELECT 'coverage', done / n >= 0.99, done || ' of ' || n FROM c
+UNION ALL SELECT 'schema_sanity', short / n <= 0.05, '0 incomplete, ' || short || ' short of ' || n FROM z"""
+)
+def publish_gates(spark, sf_dir):
+    rows, pages = standin(spark, sf_dir, s.MANIFEST), standin(spark, sf_dir, s.PAGES)
+    return gates.all_gates(gates.consistency(rows, pages), gates.coverage(rows), gates.schema_sanity(pages)).drop("blocking")
+
+
+# ---- evaluation ------------------------------------------------------------
+
+
+@register(
+    _with(manifest=s.MANIFEST) + """, n AS (SELECT regexp_extract(url, '//([^/]*)', 1) AS host, count(*) FILTER (state = 'FRESH') AS fresh, count(*) FILTER (state = 'FAILED') AS failed FROM manifest GROUP BY 1)
+SELECT *, fresh / (fresh + failed) AS rate, fresh / (fresh + failed) >= 0.95 AS passed FROM n"""
+)
+def fetch_success(spark, sf_dir):
+    return evals.fetch_success(standin(spark, sf_dir, s.MANIFEST))
+
+
+@register(
+    _with(manifest=s.MANIFEST, fetch_log=s.FETCH_LOG) + _DECIDE + """
+SELECT count(*) AS total, count(*) FILTER (status = 304) AS not_modified, count(*) FILTER (status = 304) / count(*) AS rate, count(*) FILTER (status = 304) / count(*) >= 0.8 AS passed
+FROM fetch_log f JOIN decided d ON f.url = d.url AND d.d LIKE 'FETCH_CONDITIONAL%'"""
+)
+def conditional_gets(spark, sf_dir):
+    return evals.conditional_gets(m.plan(standin(spark, sf_dir, s.MANIFEST), now()), standin(spark, sf_dir, s.FETCH_LOG))
+
+
+@register(
+    "SELECT kind, in_html FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, sum({_count(p)})::BIGINT AS in_html FROM pages" for k, p in tx.HTML_ELEMENTS.items()) + ") AS x"
+)
+def element_totals(spark, sf_dir):
+    p = _table(spark, sf_dir, "pages").select("html", F.col("html").alias("md"))
+    return evals.element_totals(p).select("kind", "in_html")
+
+
+@register()
+def structure(spark, sf_dir):
+    """What extraction keeps of every page's structure."""
+    run = hx.extractor(())
+    p = _table(spark, sf_dir, "pages").select("html", run(F.col("html"), F.lit("html"))["md"].alias("md"))
+    return evals.structure(p)
+
+
+@register(
+    """
+WITH b AS (SELECT source AS slug, CASE WHEN count(*) % 3 = 0 THEN 'failed' ELSE 'published' END AS status, count(*) AS fetched FROM documents WHERE doc_id % 2 = 0 AND source <> 'src1' GROUP BY source),
+c AS (SELECT source AS slug, CASE WHEN count(*) % 5 = 0 THEN 'degraded' ELSE 'published' END AS status, count(*) AS fetched FROM documents WHERE doc_id % 3 = 0 AND source <> 'src2' GROUP BY source),
+j AS (SELECT coalesce(b.slug, c.slug) AS slug, b.slug AS bs, c.slug AS cs, b.status AS b, c.status AS c, b.fetched AS bf, c.fetched AS cf FROM b FULL JOIN c ON b.slug = c.slug),
+r AS (SELECT *, CASE b WHEN 'failed' THEN 1 WHEN 'degraded' THEN 2 ELSE 3 END AS br, CASE c WHEN 'failed' THEN 1 WHEN 'degraded' THEN 2 ELSE 3 END AS cr FROM j)
+SELECT slug, 'membership' AS kind, 'info' AS severity, CASE WHEN bs IS NULL THEN 'added' ELSE 'removed' END AS detail FROM r WHERE bs IS NULL OR cs IS NULL
+UNION ALL SELECT slug, 'status', CASE WHEN cr > br THEN 'improvement' ELSE 'regression' END, b || ' -> ' || c FROM r WHERE b <> c
+UNION ALL SELECT slug, 'count', CASE WHEN cf > bf THEN 'improvement' ELSE 'regression' END, bf || ' -> ' || cf FROM r WHERE abs(cf - bf) / greatest(bf, cf, 1) > 0.2"""
+)
+def drift(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    none = F.array().cast("array<struct<stage:string,eval:string,rate:double>>").alias("stages")
+    b = d.where("doc_id % 2 = 0 AND source <> 'src1'").groupBy(F.col("source").alias("slug")).agg(F.count("*").alias("fetched")).select("slug", F.when(F.col("fetched") % 3 == 0, "failed").otherwise("published").alias("status"), "fetched", none)
+    c = d.where("doc_id % 3 = 0 AND source <> 'src2'").groupBy(F.col("source").alias("slug")).agg(F.count("*").alias("fetched")).select("slug", F.when(F.col("fetched") % 5 == 0, "degraded").otherwise("published").alias("status"), "fetched", none)
+    return evals.drift(b, c)
+
+
+@register(_with(cells=s.CELLS) + " SELECT condition, avg(score) FILTER (score > 0) AS mean_score, avg(passed::INT) AS pass_rate, sum(tokens)::BIGINT AS tokens, count(*) AS cells FROM cells GROUP BY condition")
+def conditions(spark, sf_dir):
+    return evals.conditions(standin(spark, sf_dir, s.CELLS))
+
+
+@register(_with(cells=s.CELLS) + " SELECT use_case, " + ", ".join(f"avg(score) FILTER (score > 0 AND condition = '{c}') AS {c}" for c in ("click", "error", "view")) + " FROM cells GROUP BY use_case")
+def use_cases(spark, sf_dir):
+    return evals.use_cases(standin(spark, sf_dir, s.CELLS), ["click", "error", "view"])
+
+
+@register(
+    """
+WITH q AS (SELECT DISTINCT 'q' || user_id AS qid FROM events), c AS (SELECT DISTINCT event_type AS condition FROM events), d AS (SELECT DISTINCT 'q' || user_id AS qid, event_type AS condition FROM events WHERE value > 60)
+SELECT q.qid, c.condition FROM q, c WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.qid = q.qid AND d.condition = c.condition)"""
+)
+def evaluation_grid(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select(F.concat(F.lit("q"), F.col("user_id").cast("string")).alias("qid"), F.col("event_type").alias("condition"), "value")
+    return evals.grid(e.select("qid").distinct(), e.select("condition").distinct(), e.where("value > 60").select("qid", "condition").distinct())
+
+
+@register(
+    _with(manifest=s.MANIFEST) + """, b AS (SELECT md5(text) AS raw_hash, max(n_chars) AS bytes FROM documents GROUP BY 1), t AS (SELECT sum(bytes)::BIGINT AS bytes FROM b),
+p AS (SELECT count(*) AS pages, count(DISTINCT raw_hash) AS blobs FROM manifest WHERE state = 'FRESH' AND raw_hash IS NOT NULL)
+SELECT pages, blobs, round_even(blobs / pages, 4) AS dedup_ratio, bytes, bytes / pages AS bytes_per_page FROM p, t"""
+)
+def efficiency(spark, sf_dir):
+    blobs = _table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("raw_hash")).agg(F.max("n_chars").alias("bytes"))
+    return evals.efficiency(standin(spark, sf_dir, s.MANIFEST), blobs)
+
+
+@register("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def tumbling_windows(spark, sf_dir):
+    return feeds.tumbling(_table(spark, sf_dir, "events")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@register(
+    """
+WITH g AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE AS gap FROM events),
+k AS (SELECT *, sum(coalesce(gap, true)::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM k GROUP BY user_id, k"""
+)
+def session_windows(spark, sf_dir):
+    return feeds.sessions(_table(spark, sf_dir, "events")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
