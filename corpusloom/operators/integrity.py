@@ -85,10 +85,44 @@ def merkle_root(hashed: DataFrame, checkpoint=None, small: int = SMALL_TREE) ->
     return levels(hashed, checkpoint)[-1].select(F.col("h").alias("root"), F.lit(n).cast("long").alias("leaf_count")) if n else spark.createDataFrame([(None, 0)], "root string, leaf_count long")
 
 
-def proofs(hashed: DataFrame, targets: DataFrame, checkpoint=None) -> DataFrame:
+def _proofs_small(hashed: DataFrame, targets: DataFrame) -> DataFrame:
+    """proofs() from a tree of at most SMALL_TREE leaves that every task holds."""
+    level = sorted(r["leaf"] for r in hashed.collect())
+    tree = [level]
+    while len(level) > 1:
+        level = [hashlib.sha256((a + b).encode()).hexdigest() for a, b in zip(level[::2], level[1::2] + ([level[-1]] if len(level) % 2 else []), strict=True)]
+        tree.append(level)
+    held = hashed.sparkSession.sparkContext.broadcast(tree)
+
+    def run(batches):
+        import bisect
+
+        import pyarrow as pa
+
+        tree = held.value
+        kind = pa.list_(pa.struct([("sibling", pa.string()), ("position", pa.string())]))
+        for b in batches:
+            out = []
+            for leaf_ in b.column(0).to_pylist():
+                i = bisect.bisect_left(tree[0], leaf_) if leaf_ is not None else 0
+                if leaf_ is None or i == len(tree[0]) or tree[0][i] != leaf_:
+                    continue
+                steps = []
+                for level in tree[:-1]:
+                    steps.append({"sibling": level[min(i ^ 1, len(level) - 1)], "position": "left" if i % 2 else "right"})
+                    i //= 2
+                out.append((leaf_, steps))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([p for _, p in out], kind), pa.array([tree[-1][0]] * len(out), pa.string())], ["leaf", "proof", "root"])
+
+    return targets.select("leaf").distinct().mapInArrow(run, "leaf string, proof array<struct<sibling:string,position:string>>, root string")
+
+
+def proofs(hashed: DataFrame, targets: DataFrame, checkpoint=None, small: int = SMALL_TREE) -> DataFrame:
     """For each target (leaf) in the tree: leaf, proof array of (sibling, position) bottom up, and the root."""
-    tree = levels(hashed, checkpoint)
     size = hashed.count()
+    if size <= small:
+        return _proofs_small(hashed, targets)
+    tree = levels(hashed, checkpoint)
     at = tree[0].groupBy("h").agg(F.min("i").alias("i")).join(targets.select(F.col("leaf").alias("h")).distinct(), "h").select(F.col("h").alias("leaf"), "i")
     at = at.withColumn("proof", F.array().cast("array<struct<sibling:string,position:string>>"))
     for level in tree[:-1]:
