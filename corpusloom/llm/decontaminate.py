@@ -102,7 +102,7 @@ class Index:
                     out.append((pivot, score))
                 goal = pivot + 1
             for x in lists:
-                if self.item[x[0]] < goal:
+                if x[0] < x[1] and self.item[x[0]] < goal:
                     x[0] += int(np.searchsorted(self.item[x[0] : x[1]], goal))
 
     def hits(self, texts: pa.Array, threshold: float, overlap: float) -> list[tuple[int, int, int, float, float, float]]:

@@ -133,17 +133,27 @@ def _tree(g: np.ndarray, h: np.ndarray, depth: int = 2) -> np.ndarray:
     return np.concatenate([_tree(g[:k], h[:k], depth - 1), _tree(g[k:], h[k:], depth - 1)])
 
 
-def _quadrants(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
-    """A tree over two features: one cut of the first, then one of the second on each side."""
-    _, k = _split(g.sum(1), h.sum(1))
-    out, gain = np.zeros_like(g), 0.0
-    for rows in (slice(0, k), slice(k, None)):
-        gs, hs = g[rows].sum(0), h[rows].sum(0)
-        more, c = _split(gs, hs)
-        gain += more
-        for cols in (slice(0, c), slice(c, None)):
-            out[rows, cols] = _leaf(gs[cols].sum(), hs[cols].sum())
-    return gain, out
+def _quadrants(g: np.ndarray, h: np.ndarray, least: float = 2.0) -> tuple[float, np.ndarray]:
+    """A tree over two features: the cut of the first, with a cut of the second on each side, that gains most together."""
+    if min(g.shape) < 2:
+        return 0.0, np.full(g.shape, _leaf(g.sum(), h.sum()))
+    sides = []
+    for left in (True, False):
+        gs, hs = np.cumsum(g, 0)[:-1], np.cumsum(h, 0)[:-1]
+        if not left:
+            gs, hs = g.sum(0) - gs, h.sum(0) - hs
+        gl, hl = np.cumsum(gs, 1)[:, :-1], np.cumsum(hs, 1)[:, :-1]
+        gt, ht = gs.sum(1, keepdims=True), hs.sum(1, keepdims=True)
+        value = gl**2 / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1)
+        value[(hl < least) | (ht - hl < least)] = 0
+        sides.append((value.max(1), value.argmax(1) + 1))
+    gain = sides[0][0] + sides[1][0]
+    k = int(gain.argmax())
+    out = np.zeros_like(g)
+    for rows, (_, cuts) in zip((slice(0, k + 1), slice(k + 1, None)), sides, strict=True):
+        for cols in (slice(0, cuts[k]), slice(cuts[k], None)):
+            out[rows, cols] = _leaf(g[rows, cols].sum(), h[rows, cols].sum())
+    return float(gain[k] - g.sum() ** 2 / (h.sum() + 1)), out
 
 
 def fit(x: np.ndarray, y: np.ndarray, n_bins: int = 24, rounds: int = 120, n_pairs: int = 8, rate: float = 0.15) -> Gam:
