@@ -15,7 +15,8 @@ from .test_functions import RATES
 
 def responses(spark, pages, status=200):
     raw = {u: hashlib.sha256(b.encode()).hexdigest() for u, b in pages.items()}
-    log = [(u, "FETCH", status, "e", None, raw[u], len(b), "t", None, None, "text/html", i) for i, (u, b) in enumerate(sorted(pages.items()))]
+    error = None if status < 400 else f"http-{status}"
+    log = [(u, "FETCH", status, "e", None, raw[u], len(b), "t", error, None, "text/html", i) for i, (u, b) in enumerate(sorted(pages.items()))]
     return spark.createDataFrame(log, storage.FETCH), spark.createDataFrame([(raw[u], b) for u, b in pages.items()], "raw_hash string, body string")
 
 
