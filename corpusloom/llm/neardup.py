@@ -2,21 +2,22 @@
 
 A document's set is its distinct ``shingle``-word shingles (lower-cased A-Z, words between white space); with fewer
 words, the whole sequence is the one shingle; without words the set is empty and linked with nothing. Two documents
-are linked when 100 * intersection >= 100 * ``similarity`` * union, confirmed on their full sets.
+are linked when 100 * intersection >= ``percent`` * union, confirmed on their full sets.
 
-Documents of equal sets are one class, so a group of copies of any size is one row in what follows. Each class has
-a signature of minwise tokens. In each of ``trees`` independent trees a class starts at the root; at a node the path so far
+Documents of equal sets are one class, so a group of copies of any size is one row in what follows. Each class has a
+signature of minwise tokens. In each of ``trees`` independent trees a class starts at the root; at a node the path so far
 selects ``BRANCH`` tokens of the signature, and the class goes on to one child for each, named by the path, the token
-and its value. Two classes at similarity s share a child of a shared node with probability 1 - (1 - s)**2 and
-more than 0.93 of their paths' subtrees at s = 0.8 whatever the depth, so ``trees`` = 4 miss fewer than 1 in 50,000
-such pairs.
-
-A node of at most ``small`` classes is compared exhaustively. In a larger one every class is compared with the
-node's first class; the links found are joined into components, and a node whose classes are one component has no
-more to tell. The others branch on, two levels a round, and only pairs of different components count. After
-``rounds`` rounds what is still large and divided is compared pair by pair across components. No node is collected into a
-task: comparisons are joins, and a candidate pair must pass a bound on its sizes and on 64 one-bit tokens (with 1 in 10**6
-lost at the threshold) before its full sets meet.
+and its value. Two classes at similarity s share a child of a shared node with probability 1 - (1 - s)**2, and keep
+sharing nodes on more than 0.93 of the trees at s = 0.8 whatever the depth; ``trees`` = 4 miss fewer than 1 in 50,000 such
+pairs.
+
+A node of at most ``small`` classes is compared exhaustively, by sketches of one byte of each of ``SKETCH`` minwise tokens: classes
+whose estimate is no more than 4.5 standard errors below the threshold are tied together, transitively. A larger
+node branches on, two levels a round; if half of its classes resemble its first one, or after ``rounds`` rounds, it is tied
+together as a whole. Ties only ever say what must be compared: linked classes that share a node are tied.
+What is tied, directly or through others, is a block, and in a block all full sets are compared exactly: intersections of
+up to ``BLOCK_DOCS`` sets at once are a matrix product over their tokens; larger blocks are cut into parts and each pair of parts is
+one task. The links found, not the ties, make the components.
 
 Null texts have no words. Rows without an id are linked with nothing, have no component and are kept. Of rows that share an
 id, the one of the least set hash stands for the document: there is one result row. Other columns are ignored. An
@@ -25,18 +26,17 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm._spark import Scratch, ship
 from corpusloom.llm._text import U, Words, buffer, mix, pieces, rolling, starts_of
 
-TOKENS, BRANCH, DEPTH = 64, 2, 3
-_FACTORS = mix(np.arange(1, TOKENS + 1, dtype=U)) | U(1)
+TOKENS, SKETCH, BRANCH, DEPTH = 64, 192, 2, 3
+BLOCK_DOCS, BLOCK_TOKENS = 1024, 1_000_000
+_FACTORS = mix(np.arange(1, SKETCH + 1, dtype=U)) | U(1)
 
 
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +66,7 @@ def distinct(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """Per row: id, set size, two set hashes, minwise tokens, one-bit tokens."""
+    """Per row: id, set size, two set hashes, minwise tokens, one byte of each token of the sketch."""
 
     def run(batches):
         for b in pieces(batches):
@@ -79,18 +79,19 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 total = np.concatenate((np.zeros(1, U), np.cumsum(mix(value + U(salt * 0x9E3779B9)))))
                 sums.append(total[first[1:]] - total[first[:-1]])
             some = np.flatnonzero(size)
-            sig = np.zeros((n, TOKENS), "<u4")
+            sig, sketch = np.zeros((n, TOKENS), "<u4"), np.zeros((n, SKETCH), np.uint8)
             if len(some):
                 for j, f in enumerate(_FACTORS):
-                    sig[some, j] = np.minimum.reduceat(((value * f) >> U(32)).astype(np.uint32), first[some])
-            odd = (mix(sig.astype(U) + np.arange(TOKENS, dtype=U) * U(1 << 32)) & U(1)) << np.arange(TOKENS, dtype=U)
-            bits = np.bitwise_or.reduce(odd, axis=1)
+                    least = np.minimum.reduceat(((value * f) >> U(32)).astype(np.uint32), first[some])
+                    if j < TOKENS:
+                        sig[some, j] = least
+                    sketch[some, j] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array(bits.view(np.int64))],
-                ["doc_id", "n", "f1", "f2", "sig", "bits"],
+                [b.column(0), pa.array(size.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array([r.tobytes() for r in sketch], pa.binary())],
+                ["doc_id", "n", "f1", "f2", "sig", "sketch"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sig binary, bits long")
+    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sig binary, sketch binary")
 
 
 def sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -129,7 +130,7 @@ def _children(node: np.ndarray, sig: np.ndarray) -> np.ndarray:
 
 
 def branch(rows: DataFrame, levels: int, trees: int = 0) -> DataFrame:
-    """Go down so many levels from each row's node (or from the roots of so many trees): node, id, n, bits."""
+    """Go down so many levels from each row's node (or from the roots of so many trees): node, id."""
 
     def run(batches):
         for b in batches:
@@ -143,32 +144,150 @@ def branch(rows: DataFrame, levels: int, trees: int = 0) -> DataFrame:
                 for _ in range(levels):
                     node = _children(node, sig)
                 take = pa.array(np.repeat(np.arange(part.num_rows), node.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(node.ravel().view(np.int64)), *(part.column(c).take(take) for c in ("id", "n", "bits"))], ["node", "id", "n", "bits"])
-
-    return rows.mapInArrow(run, "node long, id long, n long, bits long")
+                yield pa.RecordBatch.from_arrays([pa.array(node.ravel().view(np.int64)), part.column("id").take(take)], ["node", "id"])
+
+    return rows.mapInArrow(run, "node long, id long")
+
+
+def _groups(batches, key: str):
+    """The rows of each key of a sorted partition, whole, as (key, table)."""
+    held, at = [], None
+    for b in batches:
+        k = b.column(key).to_numpy(zero_copy_only=False)
+        if not len(k):
+            continue
+        cut = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]))
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if held and k[i] != at:
+                yield at, pa.Table.from_batches(held)
+                held = []
+            at = k[i]
+            held.append(b.slice(i, j - i))
+    if held:
+        yield at, pa.Table.from_batches(held)
+
+
+def _pairs_of_two(b: pa.RecordBatch, least: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are alone with the next row in their node, tied to it; (left, right) rows."""
+    k = b.column("node").to_numpy(zero_copy_only=False)
+    c = b.column("c").to_numpy(zero_copy_only=False)
+    left = np.flatnonzero((c[:-1] == 2) & (k[1:] == k[:-1]))
+    sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+    n = b.column("n").to_numpy(zero_copy_only=False)
+    ok = ((sketch[left] == sketch[left + 1]).sum(1) >= least) & (np.minimum(n[left], n[left + 1]) * 100 >= np.maximum(n[left], n[left + 1]) * percent)
+    return left[ok], left[ok] + 1
+
+
+def ties(live: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """Ties (a, b) within nodes: of (node, id, n, c, sketch) rows, or, if whole, of every member with the node's first."""
+    share = percent / 100
+    least = int(SKETCH * (share - 4.5 * (share * (1 - share) / SKETCH) ** 0.5))
+
+    def out(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+        none = np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], ["a", "b"])
 
+    def run(batches):
+        for _, t in _groups(batches, "node"):
+            ids, n = t.column("id").to_numpy(), t.column("n").to_numpy()
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+            rest, a, b = np.arange(len(ids)), [], []
+            while len(rest):
+                seed, queue, rest = rest[0], [rest[0]], rest[1:]
+                while queue and len(rest):
+                    u = queue.pop()
+                    hit = (np.minimum(n[rest], n[u]) * 100 >= np.maximum(n[rest], n[u]) * percent) & ((sketch[rest] == sketch[u]).sum(1) >= least)
+                    if hit.any():
+                        new = rest[hit]
+                        rest = rest[~hit]
+                        queue += new.tolist()
+                        a.append(np.full(len(new), ids[seed]))
+                        b.append(ids[new])
+            if a:
+                yield out(a, b)
+
+    def split(batches):
+        """Nodes of two, which are most, many at a time; the others one by one."""
+
+        def others():
+            last = None
+            for x in batches:
+                x = x if last is None else pa.Table.from_batches([last, x]).combine_chunks().to_batches()[0]
+                k = x.column("node").to_numpy(zero_copy_only=False)
+                end = int(np.searchsorted(k, k[-1])) if len(k) else 0  # the last node may go on
+                last = x.slice(end)
+                if end:
+                    yield x.slice(0, end)
+            if last is not None and last.num_rows:
+                yield last
+
+        for x in others():
+            left, right = _pairs_of_two(x, least, percent)
+            ids = x.column("id").to_numpy(zero_copy_only=False)
+            yield out([ids[left]], [ids[right]])
+            more = x.filter(pa.array(x.column("c").to_numpy(zero_copy_only=False) > 2))
+            if more.num_rows:
+                yield from run(iter([more]))
+
+    if whole:
+        return live.select(F.col("first").alias("a"), F.col("id").alias("b")).where("a <> b")
+    return live.select("node", "id", "n", "c", "sketch").repartition("node").sortWithinPartitions("node", "id").mapInArrow(split, "a long, b long")
+
+
+def _links(sets_: list[np.ndarray], percent: int, half: int) -> list[tuple[int, int]]:
+    """Links that join what linked sets there are into components; half > 0: only between the first half sets and the rest count."""
+    n = np.array([len(x) for x in sets_])
+    value = np.concatenate(sets_) if len(sets_) else np.zeros(0, U)
+    owner = np.repeat(np.arange(len(sets_)), n)
+    token, column, count = np.unique(value, return_inverse=True, return_counts=True)
+    common = count[column] > 1
+    owner, column = owner[common], column[common]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    column = np.cumsum(np.concatenate(([0], (column[1:] != column[:-1]).astype(int)))) if len(column) else column
+    both = np.zeros((len(sets_), len(sets_)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        i, j = np.searchsorted(column, [lo, lo + 4096])
+        part = np.zeros((len(sets_), 4096), np.float32)
+        part[owner[i:j], column[i:j] - lo] = 1
+        both += part @ part.T
+    linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+    if half:
+        linked[:half, :half] = linked[half:, half:] = False
+    rest, out = np.arange(len(sets_)), []
+    while len(rest):
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            u = queue.pop()
+            hit = linked[u, rest]
+            out += [(int(u), int(v)) for v in rest[hit]]
+            queue += rest[hit].tolist()
+            rest = rest[~hit]
+    return out
+
+
+def confirm(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within blocks, by exact comparison of the full sets in (block, i, j, side, id, members) rows."""
 
-def _may(a: str, b: str, percent: int) -> Column:
-    """Whether two classes' sizes and one-bit tokens allow the similarity."""
-    least = int(TOKENS * (1 + percent / 100) / 2 - 5.2 * np.sqrt(TOKENS * (1 + percent / 100) / 2 * (1 - percent / 100) / 2))
-    n1, n2 = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= TOKENS - least)
-
+    def run(batches):
+        for _, t in _groups(batches, "task"):
+            t = t.sort_by([("side", "ascending"), ("id", "ascending")])
+            ids, raw = t.column("id").to_pylist(), t.column("members").to_pylist()
+            half = int((t.column("side").to_numpy() == 0).sum()) if t.column("cross")[0].as_py() else 0
+            found = _links([np.frombuffer(x, U) for x in raw], percent, half)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], ["a", "b"])
 
-def confirm(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    a, b = members.select(F.col("id").alias("a"), F.col("members").alias("am")), members.select(F.col("id").alias("b"), F.col("members").alias("bm"))
+    return members.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
-    def run(batches):
-        for x in batches:
-            ok = []
-            for p, q in zip(x.column("am"), x.column("bm"), strict=True):
-                s, t = (np.frombuffer(v.as_py(), U) for v in (p, q))
-                both = int((s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t).sum())
-                ok.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "am", "bm").mapInArrow(run, "a long, b long")
+def tasks(blocks: DataFrame) -> DataFrame:
+    """(id, block, members) rows dealt to tasks of bounded size: a block's parts, and every pair of its parts."""
+    size = blocks.groupBy("block").agg(F.count("*").alias("docs"), F.sum(F.length("members") / 8).alias("tokens"))
+    parts = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("tokens") / BLOCK_TOKENS)).cast("int")
+    rows = blocks.join(size.select("block", F.greatest(F.lit(1), parts).alias("parts")), "block").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("i"), F.greatest(k, F.col("part")).alias("j")))
+    rows = rows.withColumn("p", F.explode(pair))
+    return rows.select(F.xxhash64("block", "p.i", "p.j").alias("task"), (F.col("p.i") != F.col("p.j")).alias("cross"), (F.col("part") != F.col("p.i")).cast("int").alias("side"), "id", "members")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -191,66 +310,58 @@ def _docs_of(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids, "doc_id", "left_semi")
 
 
-def link(docs: DataFrame, shingle: int = 2, percent: int = 80, trees: int = 4, small: int = 32, rounds: int = 4, most_broadcast: int = 500_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def link(docs: DataFrame, shingle: int = 2, percent: int = 80, trees: int = 4, small: int = 4096, rounds: int = 4, most_broadcast: int = 500_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signatures with class, confirmed links between class representatives, components of those)."""
     spark = ship(docs.sparkSession)
     scratch = Scratch(spark)
     sig = scratch.keep(signatures(docs.select("doc_id", "text"), shingle), "signatures")
     repeats = sig.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     if repeats:
-        one = sig.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "n", "sig", "bits")).alias("r")).select("doc_id", "r.n", "r.f1", "r.f2", "r.sig", "r.bits")
+        one = sig.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "n", "sig", "sketch")).alias("r")).select("doc_id", "r.n", "r.f1", "r.f2", "r.sig", "r.sketch")
         sig = scratch.keep(one.unionByName(sig.where("doc_id IS NULL")), "signatures")
     real = sig.where("n > 0 AND doc_id IS NOT NULL")
     classes = scratch.keep(real.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id")), "classes")
-    reps = scratch.keep(real.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "sig", "bits"), "reps")
-    rows = branch(reps, DEPTH, trees)
-    comp, links, members, known = None, None, None, None
+    reps = scratch.keep(real.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "sig", "sketch"), "reps")
+    rows, found = branch(reps.select("id", "sig"), DEPTH, trees), []
     for turn in range(rounds + 1):
-        last = turn == rounds
-        rows = scratch.keep(rows, "nodes")
-        labelled = rows.withColumn("comp", F.col("id")) if comp is None else rows.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        nodes = labelled.groupBy("node").agg(F.count("*").alias("c"), F.min("id").alias("pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node", "c", "pivot")
-        live = scratch.keep(labelled.join(nodes, "node"), "live")
-        scratch.drop(rows)
-        few = live if last else live.where(F.col("c") <= small)
-        # Star: each class of a larger node against the node's first class. Exhaustive: pairs of the others.
-        x, y, pivot = few.alias("x"), few.alias("y"), live.where((F.col("c") > small) & (F.col("id") == F.col("pivot"))).alias("x")
-        pairs = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _may("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        if not last:
-            star = pivot.join(live.where(F.col("c") > small).alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _may("x", "y", percent))
-            pairs = pairs.union(star.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-        pairs = pairs.distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs, "pairs")
-        if not pairs.isEmpty():
-            known = pairs if known is None else known.union(pairs)
-            ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-            if members is not None:
-                ids = ids.join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
-            ids = scratch.keep(ids, "ids")
-            texts = _docs_of(docs.select("doc_id", "text"), ids, most_broadcast)
-            more = scratch.keep(sets(texts, shingle) if not repeats else standing(texts, sig, shingle), "sets")
-            members = more if members is None else members.union(more)
-            found = scratch.keep(confirm(pairs, members, percent), "links")
-            links = found if links is None else links.union(found)
-            comp = components(links, scratch)
-        if last:
-            break
-        large = live.where(F.col("c") > small).select("node", "id")
+        rows = scratch.keep(rows.distinct() if turn else rows, "nodes")
+        nodes = scratch.keep(rows.groupBy("node").agg(F.count("*").alias("c"), F.min("id").alias("first")).where("c > 1"), "shared")
+        few = rows.join(nodes.where(F.col("c") <= small), "node").join(reps.select("id", "n", "sketch"), "id")
+        found.append(scratch.keep(ties(few, percent, False).distinct(), "ties"))
+        large = nodes.where(F.col("c") > small)
         if large.isEmpty():
             break
-        now = large if comp is None else large.join(comp, "id", "left")
-        now = now.withColumn("comp", F.col("id")) if comp is None else now.withColumn("comp", F.coalesce("comp", "id"))
-        split = now.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node")
-        todo = scratch.keep(large.join(split, "node", "left_semi"), "split")
-        if todo.isEmpty():
+        many = scratch.keep(rows.join(large, "node"), "large")
+        if turn == rounds:
+            found.append(ties(many, percent, True))
             break
-        rows = branch(todo.join(reps, "id").select("node", "id", "n", "bits", "sig"), 2)
-    empty = spark.createDataFrame([], "a long, b long")
-    links = empty if links is None else links
-    comp = spark.createDataFrame([], "id long, comp long") if comp is None else comp
-    return sig.join(classes, ["f1", "f2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")).alias("id")), links, comp
+        alike = many.join(_near_first(many, reps, percent), "node")
+        found.append(scratch.keep(ties(alike.where("2 * near >= c"), percent, True), "ties"))
+        rows = branch(alike.where("2 * near < c").select("node", "id").join(reps.select("id", "sig"), "id"), 2)
+    tied = found[0]
+    for x in found[1:]:
+        tied = tied.union(x)
+    block = components(tied, scratch).withColumnRenamed("comp", "block")
+    texts = _docs_of(docs.select("doc_id", "text"), block.select(F.col("id").alias("doc_id")), most_broadcast)
+    members = standing(texts, sig, shingle) if repeats else sets(texts, shingle)
+    held = scratch.keep(members.join(block, "id"), "sets")
+    links = scratch.keep(confirm(tasks(held), percent), "links")
+    return sig.join(classes, ["f1", "f2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")).alias("id")), links, components(links, scratch)
+
+
+def _near_first(many: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """For each large node how many of its members resemble its first one: node, near."""
+    share = percent / 100
+    least = int(SKETCH * (share - 4.5 * (share * (1 - share) / SKETCH) ** 0.5))
+
+    def run(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sketch", "other"))
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(((x == y).sum(1) >= least).astype(np.int64))], ["node", "near"])
+
+    firsts = many.select("node", "first").distinct().join(reps.select(F.col("id").alias("first"), F.col("sketch").alias("other")), "first").select("node", "other")
+    both = many.select("node", "id").join(reps.select("id", "sketch"), "id").join(firsts, "node").select("node", "sketch", "other")
+    return both.mapInArrow(run, "node long, near long").groupBy("node").agg(F.sum("near").alias("near"))
 
 
 def dedupe(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **method) -> DataFrame:
