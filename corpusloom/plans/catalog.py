@@ -12,6 +12,7 @@ from corpusloom.functions import urls as ux
 from corpusloom.functions.profiles import ATO, STRIPE
 from corpusloom.operators import artifacts, changes, corpus, evals, gates, integrity
 from corpusloom.operators import manifest as m
+from corpusloom.plans import build
 from corpusloom.plans import standins as s
 from corpusloom.plans.standins import standin
 from corpusloom.registry import register
@@ -744,3 +745,144 @@ SELECT user_id, min(ts) AS start, count(*) AS n FROM k GROUP BY user_id, k"""
 )
 def session_windows(spark, sf_dir):
     return feeds.sessions(_table(spark, sf_dir, "events")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+# ---- more of the read, build and evaluation surface -------------------------
+
+
+def _page_blobs(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select(F.md5("html").alias("raw_hash"), F.col("html").alias("body"), ux.canonical_url(F.col("url")).alias("url"), "page_id")
+
+
+@register(f"SELECT {_CANON} AS url, md5(html) AS raw_hash, 'new-content-html' AS reason, true AS ok FROM pages")
+def extract_log(spark, sf_dir):
+    """The extract log of a first fetch of every page."""
+    p = _page_blobs(spark, sf_dir)
+    null = F.lit(None).cast("string")
+    log = p.select(
+        "url", F.lit("FETCH").alias("decision"), F.lit(200).alias("status"), null.alias("etag"), null.alias("last_modified"), "raw_hash", F.length("body").cast("long").alias("raw_bytes"),
+        F.lit(s.NOW).alias("fetched_at"), null.alias("error"), null.alias("browser_version"), F.lit("text/html").alias("content_type"), F.col("page_id").alias("seq"),
+    )
+    return build.extract(log, p.select("raw_hash", "body").dropDuplicates(["raw_hash"]), m.empty(spark)).select("url", "raw_hash", "reason", "ok")
+
+
+@register()
+def frontier(spark, sf_dir):
+    """The new urls that the pages of the first hosts link to; the bound of a pass is its contract."""
+    p = _page_blobs(spark, sf_dir)
+    hosts = ["ththre.example.com", "thther.example.org", "therha.example.com", "blog.tionsh.example.net"]
+    return seeds.frontier(p.select("url", "raw_hash"), p.select("raw_hash", "body").dropDuplicates(["raw_hash"]), p.select("url"), spark.createDataFrame([], "raw_hash string"), hosts)[0]
+
+
+@register()
+def proof_envelopes(spark, sf_dir):
+    """An inclusion proof for every page of one language."""
+    pages = standin(spark, sf_dir, s.PAGES)
+    return integrity.envelopes(pages, pages.where("path LIKE 'es/%'").select("url"), "r1").select("url", "leaf", "merkle_root", "included", F.size("proof").alias("steps"))
+
+
+@register()
+def snapshot(spark, sf_dir):
+    rows, pages = standin(spark, sf_dir, s.MANIFEST), standin(spark, sf_dir, s.PAGES)
+    held = gates.all_gates(gates.consistency(rows, pages), gates.coverage(rows), gates.schema_sanity(pages))
+    return artifacts.snapshot(rows, integrity.merkle_root(integrity.leaves(gates.indexed(rows).select("url", "content_hash"))), held, "r1", s.NOW).select("run_id", "status", "merkle_root", "leaf_count", F.size("gates").alias("gates"))
+
+
+@register(
+    _with(pages_=s.PAGES)
+    + """, l AS (SELECT path, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS line_no FROM pages_),
+c AS (SELECT *, lag(line) OVER (PARTITION BY path ORDER BY line_no) AS before, lead(line) OVER (PARTITION BY path ORDER BY line_no) AS after FROM l)
+SELECT path, line_no::BIGINT AS line_no, line, coalesce(before, '') AS before, coalesce(after, '') AS after FROM c WHERE regexp_matches(line, 'MIT License') ORDER BY path, line_no LIMIT 200"""
+)
+def grep_context(spark, sf_dir):
+    """The search tool with a line around each hit; 200 hits are its contract."""
+    out = corpus.grep_context(standin(spark, sf_dir, s.PAGES), "MIT License", 1)
+    return out.select("path", F.col("line_no").cast("long").alias("line_no"), "line", F.array_join("before", "").alias("before"), F.array_join("after", "").alias("after"))
+
+
+@register("WITH r AS (SELECT event_type AS \"index\", event_id AS pos, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events) SELECT \"index\", pos FROM r WHERE k <= 60")
+def fan_out(spark, sf_dir):
+    """Results of several indexes, 60 of each by contract."""
+    return corpus.fan_out(_table(spark, sf_dir, "events").select(F.col("event_type").alias("index"), F.col("event_id").alias("pos")))
+
+
+@register("SELECT event_type AS kind, count(*) AS n, sum(user_id)::BIGINT AS bytes FROM events GROUP BY event_type")
+def inventory(spark, sf_dir):
+    return corpus.inventory(_table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("user_id").alias("bytes")))
+
+
+@register()
+def low_scorers(spark, sf_dir):
+    """The fifteen lowest cells; the report's length is its contract."""
+    return evals.low_scorers(standin(spark, sf_dir, s.CELLS)).select("error", "score")
+
+
+@register(
+    """
+WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS run_id, role AS stage, sum(length(text))::DOUBLE AS seconds, count(*) AS turns FROM conversations GROUP BY conv_id, role),
+x AS (SELECT run_id, sum(seconds) AS total, sum(turns) AS pages FROM t GROUP BY run_id)
+SELECT t.run_id, stage, seconds, round_even(seconds / total, 4) AS share FROM t JOIN x USING (run_id)"""
+)
+def performance(spark, sf_dir):
+    """The share of each role in the characters of a conversation, read as the share of a stage in a run."""
+    t = _table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("run_id"), "role").agg(F.sum(F.char_length("text")).cast("double").alias("seconds"), F.count("*").alias("n"))
+    runs = t.groupBy("run_id").agg(F.sum("n").alias("pages"), F.map_from_entries(F.collect_list(F.struct("role", "seconds"))).alias("timings"))
+    return evals.performance(runs).select("run_id", "stage", "seconds", "share")
+
+
+@register(
+    """
+WITH c AS (SELECT doc_id, doc_id % 7 AS mh, 1 + doc_id % 5 AS hh, doc_id % 4 AS mr, 1 + doc_id % 3 AS ht, doc_id % 11 AS mc, 2 + doc_id % 6 AS hc FROM documents),
+r AS (SELECT doc_id, mh / hh AS h, mr / (3 * ht) AS t, mc / hc AS x FROM c)
+SELECT round_even(median(h), 3) AS heading_ratio, round_even(median(t), 3) AS table_ratio, round_even(median(x), 3) AS text_ratio, count(*) FILTER (h < 0.4 OR t < 0.7 OR x < 0.1 OR x > 3.0) AS flagged, count(*) AS pages FROM r"""
+)
+def structural_medians(spark, sf_dir):
+    i = F.col("doc_id")
+    c = _table(spark, sf_dir, "documents").select(
+        i.cast("string").alias("url"), (i % 7).alias("md_headings"), (1 + i % 5).alias("html_headings"), (i % 4).alias("md_table_rows"), (1 + i % 3).alias("html_tables"), (i % 11).alias("md_chars"), (2 + i % 6).alias("html_chars")
+    )
+    return evals.medians(evals.structural_flags(c))
+
+
+@register()
+def rate_facts(spark, sf_dir):
+    """Rate facts of a page a document, whose amounts come from the document, and whether they are valid."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    amount = F.col("n_chars").cast("string")
+    html = F.concat(
+        F.lit("<h1>Rates 2025-26</h1><table><tr><th>Taxable income</th><th>Tax on this income</th></tr><tr><td>0 - "), amount, F.lit("</td><td>Nil</td></tr><tr><td>over "), amount, F.lit("</td><td>$5 plus 30%</td></tr></table>")
+    )
+    found = d.select("doc_id", F.explode(fx.rate_facts(html)).alias("f"))
+    return found.select("doc_id", "f.fy", F.col("f.brackets")[0]["to"].alias("first_to"), F.size("f.brackets").alias("n"))
+
+
+@register(
+    """
+WITH f AS (SELECT event_id AS seq, CASE WHEN value < 5 THEN ['low ' || event_type, 'low'] WHEN value < 9 THEN ['low'] ELSE [] END AS errors, event_type <> 'error' AS known FROM events)
+SELECT count(*) AS total, count(*) FILTER (known AND len(errors) = 0) AS valid, count(*) FILTER (NOT (known AND len(errors) = 0)) AS invalid, count(*) FILTER (NOT known) AS no_schema FROM f"""
+)
+def facts_summary(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    errors = F.when(F.col("value") < 5, F.array(F.concat(F.lit("low "), "event_type"), F.lit("low"))).when(F.col("value") < 9, F.array(F.lit("low"))).otherwise(F.array().cast("array<string>"))
+    return evals.facts_summary(e.select(F.col("event_id").alias("seq"), errors.alias("errors"), (F.col("event_type") != "error").alias("known")))
+
+
+@register("WITH p AS (SELECT url, regexp_matches(html, '(?i)<table') AS shaped FROM pages) SELECT regexp_extract(lower(url), '//[^/?#]*/([^/?#]*)', 1) AS section, count(*) AS n FROM p WHERE shaped GROUP BY 1")
+def fact_gaps(spark, sf_dir):
+    """Pages with a table that gave no fact, by section."""
+    p = _table(spark, sf_dir, "pages").select("url", "html")
+    return evals.fact_gaps(p, p.where("false"), F.col("html").rlike("(?i)<table"))
+
+
+@register("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN true ELSE doc_id % 3 <> 0 END AS admitted FROM documents")
+def admission(spark, sf_dir):
+    i, marker = F.col("doc_id"), F.lit("<div class=cf-browser-verification>")
+    raw = F.when(i % 3 == 0, F.concat(marker, "text")).otherwise(F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", tx.admitted(raw, F.when(i % 5 == 0, raw).otherwise(F.lit("words")), F.lit("text/html")).alias("admitted"))
+
+
+@register("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'json' WHEN 2 THEN 'markdown' ELSE 'html' END AS kind FROM documents")
+def routes_of_bodies(spark, sf_dir):
+    i = F.col("doc_id")
+    body = F.when(i % 4 == 0, F.concat(F.lit("\n%PDF-1.4 "), "text")).when(i % 4 == 1, F.concat(F.lit(' {"a": "'), "lang", F.lit('"}'))).otherwise(F.concat(F.lit("<html>"), "text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", tx.body_kind(body, F.when(i % 4 == 2, "https://x/a.md").otherwise("https://x/a"), F.lit(None).cast("string")).alias("kind"))
