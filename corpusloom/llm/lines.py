@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm._spark import Scratch, ship
-from corpusloom.llm._text import U, Words, buffer, mix, pieces
+from corpusloom.llm._text import U, Words, buffer, pieces
 
 REGISTERS, RANKS, PLACES = 64, 8, 8
 _BLANK = np.zeros(256, bool)

@@ -13,7 +13,6 @@ other than the id and the text are ignored. An empty table gives an empty table.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 
@@ -163,6 +162,3 @@ def digests(scanned: DataFrame) -> DataFrame:
         F.array_max(F.transform("spans", lambda s: s["log10_guesses"])).alias("max_log10_guesses"),
     )
 
-
-def sha(spans: str) -> str:
-    return hashlib.sha256(spans.encode()).hexdigest()

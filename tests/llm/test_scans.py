@@ -15,8 +15,6 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 def brute_base(text):
     out = []
-    for kind, pattern, group, least in (("assign", "(?i:(p)assword)", 2, 6),):
-        del kind, pattern, group, least
     keys = "|".join("".join(f"[{c}{c.upper()}]" for c in k) for k in ("password", "passwd", "secret", "token"))
     p = re.compile(rf"""({keys}|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     out += [(m.start(), 0, m.end()) for m in p.finditer(text) if len(m[2]) >= 6]
@@ -74,9 +72,8 @@ def brute_cost(value):
 
 @pytest.mark.parametrize("value", ["password", "P4ssw0rd1999", "aaaaaa", "xK9$vQ2!", "monkey2024-01-02dragon", "1111zz99", "SuperStar7"])
 def test_guess_cost_is_the_least_over_segmentations(value):
-    walk_free = not any(secrets.WALK + 1 > 99 for _ in value)
     cost, parts = secrets.guess_cost(value)
-    assert walk_free and "".join(value[a:b] for _, a, b in parts) == value
+    assert "".join(value[a:b] for _, a, b in parts) == value
     if all(k != "walk" for k, _, _ in parts):
         assert cost == pytest.approx(brute_cost(value))
     else:
