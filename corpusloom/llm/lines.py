@@ -197,7 +197,7 @@ WITH lines AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS ls, ks FROM documents, names
 )
 SELECT doc_id,
-  len(list_filter(ls, lambda x: list_contains(ks, trim(x, ' ' || chr(9) || chr(13)))))::BIGINT AS n_removed,
+  coalesce(len(list_filter(ls, lambda x: list_contains(ks, trim(x, ' ' || chr(9) || chr(13))))), 0)::BIGINT AS n_removed,
   array_to_string(list_filter(ls, lambda x: NOT list_contains(ks, trim(x, ' ' || chr(9) || chr(13)))), chr(10)) AS text
 FROM parts
 """
