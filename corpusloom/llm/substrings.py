@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,22 +134,29 @@ def repeated(docs: DataFrame, size: int, most_bits: int, scratch: Scratch) -> Da
                 continue
             end = at + count + size - 1
             segment = mix(spans_hash(h, at, end) ^ mix((place - at).astype(U)))
+            # A segment that a text repeats (one word over and over) is one row with all its places.
+            order = np.lexsort((at, segment, anchor, owner))
+            o, a, s = owner[order], anchor[order], segment[order]
+            first = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (a[1:] != a[:-1]) | (s[1:] != s[:-1]))))
+            one = order[first]
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array((at - w.first[owner])[order].astype(np.int32)))
+            owner, at, count, anchor, segment = owner[one], at[one], count[one], anchor[one], segment[one]
             whole = rolling(h, size).view(np.int64)
             off = np.concatenate(([0], np.cumsum(count)))
             index = np.arange(off[-1]) + np.repeat(at - off[:-1], count)
             windows = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(whole[index]))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(owner)), b.column("th").take(pa.array(owner)), pa.array((at - w.first[owner]).astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(segment.view(np.int64)), windows],
+                [b.column("doc_id").take(pa.array(owner)), b.column("th").take(pa.array(owner)), places, pa.array(anchor.view(np.int64)), pa.array(segment.view(np.int64)), windows],
                 ["doc_id", "th", "at", "anchor", "segment", "windows"],
             )
 
-    found = docs.where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, th long, at int, anchor long, segment long, windows array<long>")
+    found = docs.where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, th long, at array<int>, anchor long, segment long, windows array<long>")
     found = scratch.keep(found, "segments")
     return found
 
 
 def cuts(found: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, th, at, and mask of the windows of each found segment that a smaller document holds."""
+    """doc_id, th, at (all places), and mask of the windows of each found segment that a smaller document holds."""
     segments = found.groupBy("anchor", "segment").agg(F.min("doc_id").alias("least"), F.max(F.size("windows")).alias("n"))
     segments = scratch.keep(segments, "distinct")
     several = segments.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
@@ -158,7 +166,8 @@ def cuts(found: DataFrame, scratch: Scratch) -> DataFrame:
     single = scratch.keep(single.select("anchor", "segment", "doc_id", F.posexplode("windows").alias("i", "window")), "windows")
     least = single.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"))
     masks = single.join(least, ["anchor", "window"]).where("first < doc_id").groupBy("anchor", "segment").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
-    known = segments.join(masks, ["anchor", "segment"], "left").select("anchor", "segment", "least", "n", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
+    # Kept, so that the join below reads two shuffles and nothing else, and a segment of very many copies can be split.
+    known = scratch.keep(segments.join(masks, ["anchor", "segment"], "left").select("anchor", "segment", "least", "n", F.coalesce("mask", F.lit(0).cast("long")).alias("mask")), "known")
     full = F.expr("shiftleft(1L, n) - 1L")
     hits = found.select("doc_id", "th", "at", "anchor", "segment").join(known, ["anchor", "segment"])
     return hits.select("doc_id", "th", "at", F.when(F.col("doc_id") > F.col("least"), full).otherwise(F.col("mask")).alias("mask")).where("mask <> 0")
@@ -179,7 +188,7 @@ def dedupe(docs: DataFrame, size: int = SIZE, most_bits: int = 27, id_col: str =
     spark = ship(docs.sparkSession)
     scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_key(F.col(text_col)).alias("th"))
-    lists = cuts(repeated(rows, size, most_bits, scratch), scratch).distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("cuts"))
+    lists = cuts(repeated(rows, size, most_bits, scratch), scratch).groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("cuts"))
     joined = rows.join(lists, ["doc_id", "th"], "left").select("doc_id", "text", F.col("cuts.at").alias("at"), F.col("cuts.mask").alias("mask"))
 
     def run(batches):
@@ -190,7 +199,8 @@ def dedupe(docs: DataFrame, size: int = SIZE, most_bits: int = 27, id_col: str =
                 lo, hi = w.first[i], w.first[i + 1]
                 s, e = w.start[lo:hi], w.end[lo:hi]
                 if at.is_valid:
-                    ok = keep_flags(hi - lo, at.values.to_numpy(zero_copy_only=False).astype(np.int64), mask.values.to_numpy(zero_copy_only=False), size)
+                    n_at = pc.list_value_length(at.values).to_numpy(zero_copy_only=False)
+                    ok = keep_flags(hi - lo, at.values.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(mask.values.to_numpy(zero_copy_only=False), n_at), size)
                     s, e = s[ok], e[ok]
                 gone.append(int(hi - lo - len(s)))
                 text = b" ".join([raw[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)])
