@@ -5,9 +5,9 @@ The test items are the indexed side; every passage of every training text is a q
 one passage whole. An item's BM25 score for a passage is divided by its score for its own text; all items at
 ``threshold`` or above are retrieved. Postings are sorted by item and cut into blocks; the largest contribution of each
 term overall and in each block bounds what an item can reach. Passages whose bound over all terms is below the
-threshold are left out together (no pivot exists), then blocks, and block-max WAND walks the rest: it moves
-to the first item whose terms' bounds can reach the threshold, skips a block whose block bounds cannot, and scores
-the others in full. All bounds are upper bounds: nothing at the threshold is lost.
+threshold are left out together (no pivot exists). For the rest block-max WAND moves all posting lists to the next
+pivot, a block whose terms' block bounds reach the threshold, over whatever lies between, and scores its items in
+full; it does so for many passages at once. All bounds are upper bounds: nothing at the threshold is lost.
 
 A retrieved pair is verified: of the item's question (its first two thirds) and of its answer (the rest), each, at
 least ``overlap`` of the runs of three words must occur in the passage.
@@ -69,41 +69,39 @@ class Index:
         self.most = np.zeros(len(self.terms))
         np.maximum.at(self.most, t, self.share)
         self.blocks = -(-self.n // BLOCK)
+        self.block_key = t * self.blocks + item // BLOCK  # ascending, as postings are sorted by term and item
         self.block_most = np.zeros((len(self.terms), self.blocks), np.float32)
         np.maximum.at(self.block_most, (t, item // BLOCK), self.share.astype(np.float32))
 
-    def wand(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """(item, share) of every item that reaches the threshold for a query of distinct terms."""
-        lists = [[int(self.at[t]), int(self.at[t + 1]), int(t)] for t in terms]  # next posting, end, term
-        out = []
-        while True:
-            lists = [x for x in lists if x[0] < x[1]]
-            lists.sort(key=lambda x: self.item[x[0]])
-            total, pivot = 0.0, None
-            for x in lists:
-                total += self.most[x[2]]
-                if total >= threshold:
-                    pivot = int(self.item[x[0]])
-                    break
-            if pivot is None:
-                return out
-            block = pivot // BLOCK
-            bound = sum(float(self.block_most[x[2], block]) for x in lists if self.item[x[0]] < (block + 1) * BLOCK)
-            if bound < threshold - 1e-6:
-                goal = (block + 1) * BLOCK  # nothing in this block, nor before it
-            else:
-                score = 0.0
-                for x in lists:
-                    if self.item[x[0]] < pivot:
-                        x[0] += int(np.searchsorted(self.item[x[0] : x[1]], pivot))
-                    if x[0] < x[1] and self.item[x[0]] == pivot:
-                        score += float(self.share[x[0]])
-                if score >= threshold:
-                    out.append((pivot, score))
-                goal = pivot + 1
-            for x in lists:
-                if x[0] < x[1] and self.item[x[0]] < goal:
-                    x[0] += int(np.searchsorted(self.item[x[0] : x[1]], goal))
+    def pivots(self, term: np.ndarray, start: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, block) where the block bounds of the query's terms reach the threshold; query i has the terms from start[i] on."""
+        queries, blocks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(start), 256):
+            some = start[lo : lo + 256]
+            end = start[lo + 256] if lo + 256 < len(start) else len(term)
+            q, b = np.nonzero(np.add.reduceat(self.block_most[term[some[0] : end]], some - some[0], axis=0) >= threshold - 1e-4)
+            queries.append(q + lo)
+            blocks.append(b)
+        return np.concatenate(queries), np.concatenate(blocks)
+
+    def wand(self, term: np.ndarray, start: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, item, share) of every item that reaches the threshold for its query; each query's terms are distinct.
+
+        The posting lists of all terms of a query move together from pivot block to pivot block, over whatever lies between; only
+        the postings of pivot blocks are read and summed.
+        """
+        query, block = self.pivots(term, start, threshold)
+        size = np.diff(np.append(start, len(term)))[query]
+        row = np.repeat(np.arange(len(query)), size)
+        t = term[np.arange(len(row)) + np.repeat(start[query] - np.concatenate(([0], np.cumsum(size)[:-1])), size)] if len(row) else np.zeros(0, np.int64)
+        key = t * self.blocks + block[row]
+        lo, hi = np.searchsorted(self.block_key, key), np.searchsorted(self.block_key, key, "right")
+        n = hi - lo
+        at = np.arange(int(n.sum())) + np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) if len(n) else np.zeros(0, np.int64)
+        cell = np.repeat(row, n) * BLOCK + self.item[at] % BLOCK
+        score = np.bincount(cell, self.share[at], len(query) * BLOCK)
+        good = np.flatnonzero(score >= threshold)
+        return query[good // BLOCK], block[good // BLOCK] * BLOCK + good % BLOCK, score[good]
 
     def hits(self, texts: pa.Array, threshold: float, overlap: float) -> list[tuple[int, int, int, float, float, float]]:
         """(text, item, first word of the passage, share, question overlap, answer overlap) of the verified pairs, best passage each."""
@@ -131,29 +129,18 @@ class Index:
             return []
         start = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
         best: dict[tuple[int, int], tuple] = {}
-        for group in range(0, len(start), 512):
-            some = start[group : group + 512]
-            end = start[group + 512] if group + 512 < len(start) else len(passage)
-            most = np.add.reduceat(self.block_most[term[some[0] : end]], some - some[0], axis=0).max(axis=1)
-            for i in np.flatnonzero(most >= threshold - 1e-4):
-                lo = some[i]
-                hi = some[i + 1] if i + 1 < len(some) else end
-                p = int(passage[lo])
-                found = self.wand(term[lo:hi], threshold)
-                if not found:
-                    continue
-                d = int(np.searchsorted(base, p, "right") - 1)
-                at = (p - int(base[d])) * self.stride
-                runs = {}
-                for item, share in found:
-                    shares = []
-                    for n, part in self.parts[item]:
-                        if n and n not in runs:
-                            runs[n] = _runs(h[w.first[d] + at : min(w.first[d] + at + 2 * self.stride, w.first[d + 1])], n)
-                        shares.append(float(np.isin(part, runs[n]).mean()) if len(part) else 1.0)
-                    row = (share, shares[0], shares[1])
-                    if min(shares) >= overlap and best.get((d, item), (-1, -1.0))[1] < share:
-                        best[d, item] = (at, *row)
+        runs: dict[tuple[int, int], np.ndarray] = {}
+        for q, item, share in zip(*(x.tolist() for x in self.wand(term, start, threshold)), strict=True):
+            p = int(passage[start[q]])
+            d = int(np.searchsorted(base, p, "right") - 1)
+            at = (p - int(base[d])) * self.stride
+            shares = []
+            for n, part in self.parts[item]:
+                if n and (p, n) not in runs:
+                    runs[p, n] = _runs(h[w.first[d] + at : min(w.first[d] + at + 2 * self.stride, w.first[d + 1])], n)
+                shares.append(float(np.isin(part, runs[p, n]).mean()) if len(part) else 1.0)
+            if min(shares) >= overlap and best.get((d, item), (-1, -1.0))[1] < share:
+                best[d, item] = (at, share, *shares)
         return sorted((d, item, *v) for (d, item), v in best.items())
 
 
@@ -168,7 +155,7 @@ def shards(items: DataFrame, shard_items: int, id_col: str, text_col: str) -> li
 _HITS = "doc_id long, item_id long, first_word long, score double, question_overlap double, answer_overlap double"
 
 
-def search(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.6, shard_items: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.6, shard_items: int = 2_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each text and item that it contains: the best passage's place, share and overlaps."""
     spark = ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -191,7 +178,7 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: f
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], _HITS)
 
 
-def drop(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.6, shard_items: int = 20_000) -> DataFrame:
+def drop(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.6, shard_items: int = 2_000) -> DataFrame:
     """The documents that contain no test item, all columns; each row is judged by its own text."""
     spark = ship(docs.sparkSession)
     for index in shards(items, shard_items, "item_id", "text"):
