@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -50,6 +51,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of finished steps: it does so once their plans are garbage, which nothing else may collect for long."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         jvm, hconf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()

@@ -36,7 +36,7 @@ def pieces(text: Column) -> Column:
 
 
 def vectors(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """One row for each row of rows, which keys tell apart: its keys, ``n`` pieces, and the lanes of both vectors.
+    """One row for each row of rows, which keys tell apart: its keys, ``n`` pieces, and both vectors (``exact``, ``like``).
 
     Every text of a row has its pieces in one task, so the sums shuffle one row a document.
     """
@@ -47,22 +47,24 @@ def vectors(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     two = F.lit((1 << 31) | 1)
     sums = [F.sum(lane).bitwiseAND(F.lit(_MASK)).alias(EXACT[2 * i + k]) for i in range(SEEDS) for k, lane in enumerate((low(i), high(i)))]
     sums += [F.sum(F.shiftrightunsigned(f"h{SEEDS}", i).bitwiseAND(two)).alias(LIKE[i]) for i in range(BITS)]
-    return hashed.groupBy(*keys).agg(F.sum("one").alias("n"), *sums)
+    summed = hashed.groupBy(*keys).agg(F.sum("one").alias("n"), *sums)
+    # Two exact lanes to a word, and every likeness lane by itself: small numbers, which store well.
+    exact = F.array(*(F.shiftleft(F.col(EXACT[2 * i + 1]), 32).bitwiseOR(F.col(EXACT[2 * i])) for i in range(SEEDS)))
+    lane = F.lit((1 << BITS) - 1)
+    like = F.array(*(x.cast("int") for c in LIKE for x in (F.col(c).bitwiseAND(lane), F.shiftrightunsigned(c, BITS).bitwiseAND(lane))))
+    return summed.select(*keys, "n", exact.alias("exact"), like.alias("like"))
 
 
-def text_form(n: Column, exact: list[Column], like: list[Column]) -> Column:
-    """The fingerprint as hex: the number of pieces, the exact lanes, the likeness lanes."""
-    return F.concat(F.lpad(F.hex(n), 8, "0"), *(F.lpad(F.hex(c), 8, "0") for c in exact), F.lit("-"), *(F.lpad(F.hex(c), 16, "0") for c in like))
+def text_form(n: Column, exact: Column, like: Column) -> Column:
+    """The fingerprint as hex, 8 digits a lane: the number of pieces, the exact lanes, the likeness lanes."""
+    lanes = lambda a: F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 8, "0")), "")
+    split = F.flatten(F.transform(exact, lambda x: F.array(x.bitwiseAND(F.lit(_MASK)), F.shiftrightunsigned(x, 32))))
+    return F.concat(F.lpad(F.hex(n), 8, "0"), lanes(split), F.lit("-"), lanes(like))
 
 
-def _form() -> Column:
-    return text_form(F.col("n"), [F.col(c) for c in EXACT], [F.col(c) for c in LIKE])
-
-
-def signed(n: str, like: str) -> Column:
-    """The signed likeness lanes of an array column: twice the ones less the pieces."""
-    one = lambda c: F.array(2.0 * c.bitwiseAND(F.lit((1 << 31) - 1)) - F.col(n), 2.0 * F.shiftrightunsigned(c, 31) - F.col(n))
-    return F.flatten(F.transform(F.col(like), one))
+def signed(n: Column, like: Column) -> Column:
+    """The signed likeness lanes: twice the ones less the pieces."""
+    return F.transform(like, lambda c: 2.0 * c - n)
 
 
 def likeness(a: str, b: str) -> Column:
@@ -86,17 +88,20 @@ KEYS = ["some", "k", "th"]
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n, fingerprint."""
     rows = _keyed(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    return vectors(rows, ["row", "some", "k"], "text").select(F.when(F.col("some") == 1, F.col("k")).alias("doc_id"), "n", _form().alias("fingerprint"))
+    return vectors(rows, ["row", "some", "k"], "text").select(F.when(F.col("some") == 1, F.col("k")).alias("doc_id"), "n", text_form(F.col("n"), F.col("exact"), F.col("like")).alias("fingerprint"))
 
 
 def shifted(fp: str, other: str, sign: int) -> Column:
     """The fingerprint of a multiset after the one of another is added (sign 1: insertion) or subtracted (-1: deletion)."""
-    part = lambda c, at, size: F.conv(F.substring(F.col(c), at, size), 16, 10).cast("long")
-    n = part(fp, 1, 8) + sign * part(other, 1, 8)
-    exact = [(part(fp, 9 + 8 * i, 8) + sign * part(other, 9 + 8 * i, 8)).bitwiseAND(F.lit(_MASK)) for i in range(len(EXACT))]
-    start = 9 + 8 * len(EXACT) + 1
-    like = [part(fp, start + 16 * i, 16) + sign * part(other, start + 16 * i, 16) for i in range(BITS)]
-    return text_form(n, exact, like)
+
+    def lanes(c: str, start: int, count: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.conv(F.substring(F.col(c), F.lit(start) + 8 * i, F.lit(8)), 16, 10).cast("long"))
+
+    def moved(start: int, count: int, mask: int) -> Column:
+        both = F.zip_with(lanes(fp, start, count), lanes(other, start, count), lambda x, y: (x + sign * y).bitwiseAND(F.lit(mask)))
+        return F.array_join(F.transform(both, lambda x: F.lpad(F.hex(x), 8, "0")), "")
+
+    return F.concat(moved(1, 1 + 2 * SEEDS, _MASK), F.lit("-"), moved(10 + 16 * SEEDS, 2 * BITS, (1 << BITS) - 1))
 
 
 def following(ids: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
@@ -117,6 +122,24 @@ def following(ids: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
 def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and the likeness of the text's to the edited and the next one's."""
     scratch = Scratch(docs.sparkSession)
+    table = _vector_table(docs, id_col, text_col, scratch)
+    scratch.release()  # the shuffled texts
+    nexts = [f"next_{k}" for k in KEYS]
+    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("n", "exact", "like")]
+    own = table.where("edited = 0")
+    edits = table.where("edited = 1").select("row", "sha", *side("e"))
+    others = own.select(*(F.col(k).alias(f"next_{k}") for k in KEYS), *side("x")).dropDuplicates(nexts)
+    out = own.select("row", "some", "k", *nexts, "n_chars", *side("d")).join(edits, "row").join(others, nexts)
+    shown = [x for p in "dex" for x in (text_form(*(F.col(f"{p}_{c}") for c in ("n", "exact", "like"))).alias(f"{p}_fp"), signed(F.col(f"{p}_n"), F.col(f"{p}_like")).alias(f"{p}_v"))]
+    out = out.select("some", "k", "n_chars", "sha", *(f"{p}_n" for p in "dex"), *shown)
+    return out.select(
+        F.when(F.col("some") == 1, F.col("k")).alias("doc_id"), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), F.col("d_fp").alias("fingerprint"), F.col("e_fp").alias("edited_fingerprint"),
+        likeness("d", "e").alias("near_edited"), likeness("d", "x").alias("near_next"),
+    )
+
+
+def _vector_table(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """The vectors of every text (edited = 0, with its and the next document's keys) and of its edited text (1, with its digest), by row."""
     rows = _keyed(docs, id_col, text_col)
     ids = rows.groupBy(*KEYS).agg(F.max(F.char_length("text")).cast("long").alias("n_chars"))
     order = following(ids, KEYS, scratch)
@@ -130,14 +153,7 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     both = both.withColumn("row", F.monotonically_increasing_id()).withColumn("edited_sha256", F.sha2("changed", 256))
     keys = ["row", *KEYS, *nexts, "n_chars", "edited_sha256"]
     two = both.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("edited"), F.col("text").alias("t")), F.struct(F.lit(1).alias("edited"), F.col("changed").alias("t")))).alias("v")).select(*keys, "v.edited", "v.t")
-    sums = vectors(two, [*keys, "edited"], "t")
-    table = scratch.keep(sums.select(*keys, "edited", "n", _form().alias("fp"), F.array(*LIKE).alias("like")), "vectors")
-    side = lambda df, p: (F.col("n").alias(f"{p}_n"), F.col("fp").alias(f"{p}_fp"), signed("n", "like").alias(f"{p}_v"))
-    own = table.where("edited = 0")
-    edits = table.where("edited = 1").select("row", *side(table, "e"))
-    others = own.select(*(F.col(k).alias(f"next_{k}") for k in KEYS), "n", "fp", "like").dropDuplicates(nexts)
-    out = own.select(*keys, *side(own, "d")).join(edits, "row").join(others.select(*nexts, *side(others, "x")), nexts)
-    return out.select(
-        F.when(F.col("some") == 1, F.col("k")).alias("doc_id"), "n_chars", "edited_sha256", F.col("d_fp").alias("fingerprint"), F.col("e_fp").alias("edited_fingerprint"),
-        likeness("d", "e").alias("near_edited"), likeness("d", "x").alias("near_next"),
-    )
+    # The vectors only, no rendered fingerprints: this table is shuffled again.
+    own_only = [F.when(F.col("edited") == 0, F.col(c)).alias(c) for c in (*KEYS, *nexts, "n_chars")]
+    sums = vectors(two, [*keys, "edited"], "t").select("row", "edited", *own_only, F.when(F.col("edited") == 1, F.unhex("edited_sha256")).alias("sha"), "n", "exact", "like")
+    return scratch.keep(sums, "vectors")
