@@ -325,14 +325,14 @@ def extractor(patterns: tuple = ()):
 
 @vectorized("array<string>")
 def links(html: pd.Series, base: pd.Series, hosts: pd.Series) -> pd.Series:
-    """The links of a page on its allowed hosts (comma-separated), canonical, each once, sorted; none of what is no HTML."""
+    """The links of a page on its allowed hosts (comma-separated; null: any), canonical, each once, sorted; none of what is no HTML."""
 
     def one(h, b, allowed):
         head = (h or "").lstrip("﻿ \t\r\n")
         if not head.startswith("<") and "<html" not in (h or "")[:4096].lower():
             return []
         found = [n.attrs.get("href", "") for n in parse(h).find("a")]
-        return join_links(b, found, set((allowed or "").split(",")))
+        return join_links(b, found, None if allowed is None else set(allowed.split(",")))
 
     return pd.Series([one(*x) for x in zip(html, base, hosts, strict=True)])
 

@@ -121,8 +121,8 @@ def api_url(url: Column) -> Column:
     return F.when(page & (F.size(ids) == 1) & one.rlike(r"(?i)^CVE-\d{4,}-\d+$"), F.concat(F.lit("https://cveawg.mitre.org/api/cve/"), F.upper(one)))
 
 
-def join_links(base: str, links: list[str], hosts: set[str]) -> list[str]:
-    """The links of a page that stay on the given hosts, made absolute and canonical, each once, sorted."""
+def join_links(base: str, links: list[str], hosts: set[str] | None) -> list[str]:
+    """The links of a page that stay on the given hosts (None: any), made absolute and canonical, each once, sorted."""
     out = set()
     for link in links:
         link = link.strip()
@@ -132,6 +132,6 @@ def join_links(base: str, links: list[str], hosts: set[str]) -> list[str]:
             p = urlsplit(full := urljoin(base, link))
         except ValueError:
             continue
-        if p.scheme in ("http", "https") and p.netloc.lower() in hosts:
+        if p.scheme in ("http", "https") and (p.netloc if hosts is None else p.netloc.lower() in hosts):
             out.add(_with_query(full))
     return sorted(out)

@@ -768,9 +768,9 @@ def extract_log(spark, sf_dir):
 
 @register()
 def frontier(spark, sf_dir):
-    """The new urls that the pages of the first hosts link to; the bound of a pass is its contract."""
+    """The new urls on the hosts of the pages that any page links to; the bound of a pass is its contract."""
     p = _page_blobs(spark, sf_dir)
-    hosts = ["ththre.example.com", "thther.example.org", "therha.example.com", "blog.tionsh.example.net"]
+    hosts = p.select(ux.host_of("url").alias("host")).distinct()
     return seeds.frontier(p.select("url", "raw_hash"), p.select("raw_hash", "body").dropDuplicates(["raw_hash"]), p.select("url"), spark.createDataFrame([], "raw_hash string"), hosts)[0]
 
 

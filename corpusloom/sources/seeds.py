@@ -12,7 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from corpusloom.functions._udf import vectorized
 from corpusloom.functions.html import links
-from corpusloom.functions.urls import allowed, canonical_url, excluded, malformed
+from corpusloom.functions.urls import allowed, canonical_url, excluded, host_of, malformed
 
 SEED = "url string, lastmod string"
 MAX_SITEMAPS, MAX_URLS = 2000, 500_000
@@ -141,14 +141,17 @@ def robots_status(status: Column) -> Column:
     return F.when(status == 200, "parse").when((status == 429) | (status >= 500), "disallow").otherwise("allow")
 
 
-def frontier(pages: DataFrame, blobs: DataFrame, manifest: DataFrame, drained: DataFrame, hosts: list[str], max_urls: int = 1000) -> tuple[DataFrame, DataFrame]:
+def frontier(pages: DataFrame, blobs: DataFrame, manifest: DataFrame, drained: DataFrame, hosts: list[str] | DataFrame, max_urls: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(new urls linked from pages, the blobs that are drained by this pass).
 
-    pages (url, raw_hash) are read in url order, the links of a page in order; the first max_urls new ones are taken. A
+    hosts are a list, or a table (host) of any size. pages (url, raw_hash) are read in url order, the links of a page in order; the first max_urls new ones are taken. A
     blob counts as drained only if none of its links was cut off.
     """
     todo = pages.join(drained.select("raw_hash"), "raw_hash", "left_anti").join(blobs, "raw_hash")
-    found = todo.select("raw_hash", F.col("url").alias("page"), F.posexplode(links(F.col("body"), F.col("url"), F.lit(",".join(h.lower() for h in hosts)))).alias("pos", "url"))
+    named = F.lit(None).cast("string") if isinstance(hosts, DataFrame) else F.lit(",".join(h.lower() for h in hosts))
+    found = todo.select("raw_hash", F.col("url").alias("page"), F.posexplode(links(F.col("body"), F.col("url"), named)).alias("pos", "url"))
+    if isinstance(hosts, DataFrame):
+        found = found.withColumn("host", host_of("url")).join(hosts.select(F.lower("host").alias("host")), "host", "left_semi").drop("host")
     new = found.join(manifest.select("url"), "url", "left_anti")
     first = new.groupBy("url").agg(F.min(F.struct("page", "pos")).alias("at"))
     taken = first.orderBy("at").limit(max_urls)
