@@ -329,7 +329,7 @@ def content_hashes(spark, sf_dir):
 
 @register(r"SELECT doc_id, left(trim(regexp_replace(regexp_replace(trim(lower(left(text, 200))), '[^a-z0-9\s-]', '', 'g'), '\s+', '-', 'g'), '-'), 80) AS slug FROM documents")
 def slugs(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", tx.slug(F.substring("text", 1, 200)).alias("slug"))
+    return _table(spark, sf_dir, "documents").select("doc_id", tx.slug(F.col("text")).alias("slug"))
 
 
 @register(

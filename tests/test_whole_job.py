@@ -43,3 +43,15 @@ def test_frontier_takes_a_table_of_hosts(spark):
     hosts = spark.createDataFrame([("h",), ("o",)], "host string")
     new, done = seeds.frontier(pages, blobs, pages.select("url"), spark.createDataFrame([], "raw_hash string"), hosts)
     assert sorted(r.url for r in new.collect()) == ["https://h/x", "https://o/y"] and done.count() == 1
+
+
+def test_slugs_read_the_whole_text(spark, tmp_path):
+    from corpusloom.functions import text as tx
+    from corpusloom.plans import catalog
+
+    texts = ["é" * 250 + " Late Words, here", " " * 210 + "after blanks", "Short one", "x" * 300, "!" * 400 + "\nEnd", "ab " * 500]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.slug for r in catalog.slugs(spark, str(tmp_path)).collect()}
+    assert got == {i: tx.slug_text(t) for i, t in rows}
+    assert got[0] == "late-words-here" and got[1] == "after-blanks" and len(got[5]) <= 80
