@@ -1,5 +1,6 @@
 """Queries that do the whole job: every row counts, against brute force."""
 
+import hashlib
 import html as html_text
 import os
 import re
@@ -55,3 +56,18 @@ def test_slugs_read_the_whole_text(spark, tmp_path):
     got = {r.doc_id: r.slug for r in catalog.slugs(spark, str(tmp_path)).collect()}
     assert got == {i: tx.slug_text(t) for i, t in rows}
     assert got[0] == "late-words-here" and got[1] == "after-blanks" and len(got[5]) <= 80
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_every_page_has_an_envelope(spark):
+    from corpusloom.operators import integrity
+    from corpusloom.plans import catalog, standins
+
+    sf = "/root/testdata/sf0.001"
+    pages = standins.standin(spark, sf, standins.PAGES).select("url", "content_hash").collect()
+    got = catalog.proof_envelopes(spark, sf).collect()
+    assert sorted(r.url for r in got) == sorted(r.url for r in pages) and all(r.included for r in got)
+    leaf = {r.url: hashlib.sha256(f"{r.url}:{r.content_hash}".encode()).hexdigest() for r in pages}
+    assert all(r.leaf == leaf[r.url] for r in got)
+    root = integrity.merkle_root(integrity.leaves(standins.standin(spark, sf, standins.PAGES))).first()[0]
+    assert {r.merkle_root for r in got} == {root}
