@@ -10,7 +10,8 @@ pivot, a block whose terms' block bounds reach the threshold, over whatever lies
 full; it does so for many passages at once. All bounds are upper bounds: nothing at the threshold is lost.
 
 A retrieved pair is verified: of the item's question (its first two thirds) and of its answer (the rest), each, at
-least ``overlap`` of the runs of three words must occur in the passage.
+least ``overlap`` of the runs of three words must occur in the passage. One changed word takes up to three runs, so a part
+of three words to nine (under eight runs) also passes if it stands in the passage with one word replaced, left out or put in.
 
 Words are runs of digits, letters (A-Z and the capitals U+00C0 to U+00DE in lower case) and characters beyond ASCII. The index is held in memory in
 shards of at most ``shard_items`` items, one pass over the texts each. Null texts and items have no words and no hits.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm._spark import ship
 from corpusloom.llm._text import ALNUM, U, Words, buffer, lower_latin, pieces, rolling
 
-K1, B, BLOCK, GRAM = 1.2, 0.75, 8, 3
+K1, B, BLOCK, GRAM, SHORT = 1.2, 0.75, 8, 3, 9
 
 
 def words(texts: pa.Array) -> Words:
@@ -43,6 +44,18 @@ def _runs(h: np.ndarray, n: int) -> np.ndarray:
     return np.unique(rolling(h, min(n, len(h)))) if len(h) else np.zeros(0, U)
 
 
+def _one_edit(part: np.ndarray, text: np.ndarray) -> bool:
+    """Whether part stands in text with at most one word replaced, left out or put in."""
+    n, m = len(part), len(text)
+    head, tail = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)  # words of part that match from a place on, and up to it
+    for k in range(n):
+        head[:-1] = np.where(text == part[n - 1 - k], 1 + head[1:], 0)
+        head[-1] = 0
+        tail[1:] = np.where(text == part[k], 1 + tail[:-1], 0)
+        tail[0] = 0
+    return any(bool((head[: m + 1 - size] + tail[size:] >= least).any()) for size, least in ((n, n - 1), (n - 1, n - 1), (n + 1, n)) if size <= m)
+
+
 class Index:
     """The inverted index of (id, text) items. Contributions are shares of an item's score for its own text."""
 
@@ -55,7 +68,7 @@ class Index:
         self.parts = []
         for x in self.words:
             cut = max(1, -(-2 * len(x) // 3)) if len(x) else 0
-            self.parts.append([(min(GRAM, len(y)), _runs(y, GRAM)) for y in (x[:cut], x[cut:])])
+            self.parts.append([(min(GRAM, len(y)), _runs(y, GRAM), y) for y in (x[:cut], x[cut:])])
         self.terms, term = np.unique(h, return_inverse=True)
         key, tf = np.unique(term.astype(np.int64) * max(self.n, 1) + w.doc(), return_counts=True)
         t, item = key // max(self.n, 1), key % max(self.n, 1)
@@ -134,12 +147,14 @@ class Index:
             p = int(passage[start[q]])
             d = int(np.searchsorted(base, p, "right") - 1)
             at = (p - int(base[d])) * self.stride
-            shares = []
-            for n, part in self.parts[item]:
+            shares, held = [], True
+            span = h[w.first[d] + at : min(w.first[d] + at + 2 * self.stride, w.first[d + 1])]
+            for n, part, whole in self.parts[item]:
                 if n and (p, n) not in runs:
-                    runs[p, n] = _runs(h[w.first[d] + at : min(w.first[d] + at + 2 * self.stride, w.first[d + 1])], n)
+                    runs[p, n] = _runs(span, n)
                 shares.append(float(np.isin(part, runs[p, n]).mean()) if len(part) else 1.0)
-            if min(shares) >= overlap and best.get((d, item), (-1, -1.0))[1] < share:
+                held = held and (shares[-1] >= overlap or (GRAM <= len(whole) <= SHORT and _one_edit(whole, span)))
+            if held and best.get((d, item), (-1, -1.0))[1] < share:
                 best[d, item] = (at, share, *shares)
         return sorted((d, item, *v) for (d, item), v in best.items())
 
