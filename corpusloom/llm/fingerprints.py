@@ -1,18 +1,24 @@
 """Operator 6 [native]: homomorphic multiset hashes of documents.
 
-A text's paragraphs (lines) are cut into pieces of at most ``PIECE`` words, each paragraph from its own start, and
-every piece is hashed to two wide vectors. The exact vector has 8 lanes of 32 bits; lanes add modulo 2**32. The
-likeness vector has 62 lanes of one random bit, added modulo 2**31 (two to a 64-bit sum). Sums do not depend on
-order, so fingerprints of parts add up to the fingerprint of the whole, and a paragraph is put in or taken out by
-adding or subtracting its own fingerprint. Equal texts have equal fingerprints.
+A text is the multiset of its paragraphs: what stands between line breaks, as written, empty ones too. Each paragraph is
+hashed (SHA-512) to an exact vector of 16 lanes of 32 bits; lanes add modulo 2**32. For likeness, each paragraph is also cut
+into pieces of at most ``PIECE`` words, from its own start, and each piece is hashed to 62 lanes of one random bit, added
+modulo 2**31 (two to a 64-bit sum). Sums do not depend on order, so the fingerprints of two texts add up to that of both,
+joined by a line break, and a paragraph is put in or taken out by adding or subtracting its own fingerprint. Texts of the
+same paragraphs, in any order, have equal fingerprints; others differ, but for collisions of the sums.
 
 The likeness of two fingerprints is the cosine of their likeness vectors, each lane read as +1 or -1 per piece and so
-of mean zero over unlike pieces, cut to [0, 1]; two texts without pieces are alike (1), one without is unlike (0).
+of mean zero over unlike pieces, cut to [0, 1]; texts with equal fingerprints and two texts without pieces are alike (1),
+a text with pieces and one without are unlike (0).
+
+The next document is found without a join: rows are dealt to spans of consecutive keys of about equal bytes, and the first
+row of each span also goes, as a guest, to the end of the span before it (that of the first span to the last one). So the texts are
+shuffled once; all the rest happens inside the spans. The spans' first keys (at most ``SPANS``) are all that the driver sees.
 
 Everything is DataFrame functions. Null texts are empty. The next document is the one that follows in ascending id;
 rows without an id come first, rows of one id follow by the hash of their text, and rows that agree in both are one
-document: each is returned with the same values. A single document is its own next one. Other columns are ignored. An
-empty table gives an empty table.
+document: each is returned with the same values. A single document is its own next one. A text of any length is one row of
+one span. Other columns are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,72 +29,70 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm._spark import Scratch, row_key
 
-PIECE, SEEDS, BITS = 4, 4, 31
+PIECE, LANES, BITS, SPANS = 4, 16, 31, 1 << 20
 _WORDS = rf"[^\x20\x09-\x0D]+(?:[\x20\x09\x0B\x0C]+[^\x20\x09-\x0D]+){{0,{PIECE - 1}}}"
 _MASK = (1 << 32) - 1
-EXACT = [f"e{i}" for i in range(2 * SEEDS)]
+EXACT = [f"e{i}" for i in range(LANES)]
 LIKE = [f"s{i}" for i in range(BITS)]
+VECTOR = ("paragraphs", "pieces", "exact", "like")
+KEYS = ["some", "k", "th"]
+
 
+def _lane(digest: Column, i: int) -> Column:
+    """32 bits of a digest in hex."""
+    return F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long")
 
-def pieces(text: Column) -> Column:
-    """The pieces of a text; paragraphs end at line breaks."""
-    return F.regexp_extract_all(text, F.lit(_WORDS), F.lit(0))
 
+def _units(text: Column, form: int) -> list[Column]:
+    """The paragraphs (kind 0) and the pieces (kind 1) of a text."""
+    return [F.struct(F.lit(form).alias("form"), F.lit(kind).alias("kind"), units.alias("units")) for kind, units in ((0, F.split(text, "\n", -1)), (1, F.regexp_extract_all(text, F.lit(_WORDS), F.lit(0))))]
 
-def vectors(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """One row for each row of rows, which keys tell apart: its keys, ``n`` pieces, and both vectors (``exact``, ``like``).
 
-    Every text of a row has its pieces in one task, so the sums shuffle one row a document.
-    """
-    piece = rows.select(*keys, F.explode_outer(pieces(F.col(text_col))).alias("piece"))
-    hashed = piece.select(*keys, F.col("piece").isNotNull().cast("long").alias("one"), *(F.when(F.col("piece").isNotNull(), F.xxhash64("piece", F.lit(i))).otherwise(F.lit(0).cast("long")).alias(f"h{i}") for i in range(SEEDS + 1)))
-    low = lambda i: F.col(f"h{i}").bitwiseAND(F.lit(_MASK))
-    high = lambda i: F.shiftrightunsigned(f"h{i}", 32)
-    two = F.lit((1 << 31) | 1)
-    sums = [F.sum(lane).bitwiseAND(F.lit(_MASK)).alias(EXACT[2 * i + k]) for i in range(SEEDS) for k, lane in enumerate((low(i), high(i)))]
-    sums += [F.sum(F.shiftrightunsigned(f"h{SEEDS}", i).bitwiseAND(two)).alias(LIKE[i]) for i in range(BITS)]
-    summed = hashed.groupBy(*keys).agg(F.sum("one").alias("n"), *sums)
-    # Two exact lanes to a word, and every likeness lane by itself: small numbers, which store well.
-    exact = F.array(*(F.shiftleft(F.col(EXACT[2 * i + 1]), 32).bitwiseOR(F.col(EXACT[2 * i])) for i in range(SEEDS)))
+def _summed(units: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """The vectors of (keys, kind, unit) rows, and more aggregates of them."""
+    whole, piece = F.col("kind") == 0, F.col("kind") == 1
+    rows = units.select("*", F.when(whole, F.sha2("unit", 512)).alias("digest"), F.when(piece, F.xxhash64("unit")).alias("h"))
+    two = F.lit((1 << BITS) | 1)
+    sums = [F.sum(F.when(whole, _lane(F.col("digest"), i)).otherwise(0)).bitwiseAND(F.lit(_MASK)).alias(EXACT[i]) for i in range(LANES)]
+    sums += [F.sum(F.when(piece, F.shiftrightunsigned("h", i).bitwiseAND(two)).otherwise(0)).alias(LIKE[i]) for i in range(BITS)]
+    summed = rows.groupBy(*keys).agg(F.sum(whole.cast("long")).alias("paragraphs"), F.sum(piece.cast("long")).alias("pieces"), *sums, *more)
     lane = F.lit((1 << BITS) - 1)
     like = F.array(*(x.cast("int") for c in LIKE for x in (F.col(c).bitwiseAND(lane), F.shiftrightunsigned(c, BITS).bitwiseAND(lane))))
-    return summed.select(*keys, "n", exact.alias("exact"), like.alias("like"))
+    kept = [c for c in summed.columns if c not in (*EXACT, *LIKE)]
+    return summed.select(*kept, F.array(*EXACT).alias("exact"), like.alias("like"))
 
 
-def text_form(n: Column, exact: Column, like: Column) -> Column:
-    """The fingerprint as hex, 8 digits a lane: the number of pieces, the exact lanes, the likeness lanes."""
-    lanes = lambda a: F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 8, "0")), "")
-    split = F.flatten(F.transform(exact, lambda x: F.array(x.bitwiseAND(F.lit(_MASK)), F.shiftrightunsigned(x, 32))))
-    return F.concat(F.lpad(F.hex(n), 8, "0"), lanes(split), F.lit("-"), lanes(like))
+def text_form(vector: Column) -> Column:
+    """The fingerprint as hex, 8 digits a lane: the number of paragraphs, the exact lanes; after a dash the number of pieces, the likeness lanes."""
+    lanes = lambda n, a: F.array_join(F.transform(F.concat(F.array(n), a.cast("array<bigint>")), lambda x: F.lpad(F.hex(x), 8, "0")), "")
+    return F.concat(lanes(vector["paragraphs"], vector["exact"]), F.lit("-"), lanes(vector["pieces"], vector["like"]))
 
 
-def signed(n: Column, like: Column) -> Column:
+def signed(vector: Column) -> Column:
     """The signed likeness lanes: twice the ones less the pieces."""
-    return F.transform(like, lambda c: 2.0 * c - n)
+    return F.transform(vector["like"], lambda c: 2.0 * c - vector["pieces"])
 
 
 def likeness(a: str, b: str) -> Column:
-    """The likeness of two documents given as column prefixes: <p>_fp, <p>_n, <p>_v (signed lanes)."""
+    """The likeness of two documents given as column prefixes: <p>_fp, <p>_n (pieces), <p>_v (signed lanes)."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     x, y = F.col(f"{a}_v"), F.col(f"{b}_v")
     norm = F.sqrt(dot(x, x) * dot(y, y))
-    apart = (F.col(f"{a}_n") == 0) | (F.col(f"{b}_n") == 0) | (norm == 0)
-    return F.when(F.col(f"{a}_fp") == F.col(f"{b}_fp"), 1.0).when(apart, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(x, y) / norm)))
+    none = (F.col(f"{a}_n") == 0).cast("int") + (F.col(f"{b}_n") == 0).cast("int")
+    return F.when((F.col(f"{a}_fp") == F.col(f"{b}_fp")) | (none == 2), 1.0).when((none == 1) | (norm == 0), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(x, y) / norm)))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text (never null) and the keys that order and tell apart the documents: some (0 without an id), k, th."""
+    """text (never null) and the keys that order and tell apart the documents: some (0 without an id), k, th."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.select(F.col("doc_id").isNotNull().cast("int").alias("some"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("k"), row_key(F.col("text")).alias("th"), "text")
 
 
-KEYS = ["some", "k", "th"]
-
-
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n, fingerprint."""
+    """One row for each row of docs: doc_id, paragraphs, fingerprint."""
     rows = _keyed(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    return vectors(rows, ["row", "some", "k"], "text").select(F.when(F.col("some") == 1, F.col("k")).alias("doc_id"), "n", text_form(F.col("n"), F.col("exact"), F.col("like")).alias("fingerprint"))
+    units = rows.select("row", "some", "k", F.explode(F.array(*_units(F.col("text"), 0))).alias("v")).select("row", "some", "k", "v.kind", F.explode("v.units").alias("unit"))
+    return _summed(units, ["row", "some", "k"]).select(F.when(F.col("some") == 1, F.col("k")).alias("doc_id"), "paragraphs", text_form(F.struct(*VECTOR)).alias("fingerprint"))
 
 
 def shifted(fp: str, other: str, sign: int) -> Column:
@@ -101,59 +105,68 @@ def shifted(fp: str, other: str, sign: int) -> Column:
         both = F.zip_with(lanes(fp, start, count), lanes(other, start, count), lambda x, y: (x + sign * y).bitwiseAND(F.lit(mask)))
         return F.array_join(F.transform(both, lambda x: F.lpad(F.hex(x), 8, "0")), "")
 
-    return F.concat(moved(1, 1 + 2 * SEEDS, _MASK), F.lit("-"), moved(10 + 16 * SEEDS, 2 * BITS, (1 << BITS) - 1))
+    return F.concat(moved(1, 1 + LANES, _MASK), F.lit("-"), moved(10 + 8 * LANES, 1 + 2 * BITS, (1 << BITS) - 1))
 
 
-def following(ids: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
-    """For each row the keys of the next row in ascending order, as next_<key>; after the last row, the first.
+def spans(keys: DataFrame, span_bytes: int) -> DataFrame:
+    """One row: heads, the sorted keys at which spans of about span_bytes start, from (KEYS, size, part) rows; parts are ranges of keys."""
+    inside = W.partitionBy("part").orderBy(*KEYS)
+    number = F.floor((F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")) / span_bytes)
+    starts = keys.select(*KEYS, "part", number.alias("no")).withColumn("last", F.lag("no").over(inside)).where("last IS NULL OR last <> no")
+    return starts.agg(F.sort_array(F.collect_list(F.struct(*KEYS))).alias("heads"))
 
-    Rows are dealt out by ranges of the keys; only the first row of every range is looked at by one task.
-    """
-    spans = scratch.keep(ids.repartitionByRange(*keys).withColumn("span", F.spark_partition_id()), "order")
-    row = F.struct(*keys)
-    led = spans.withColumn("next", F.lead(row).over(W.partitionBy("span").orderBy(*keys)))
-    heads = spans.groupBy("span").agg(F.min(row).alias("head"))
-    first = F.first("head").over(W.orderBy("span").rowsBetween(W.unboundedPreceding, 0))
-    heads = heads.select("span", F.coalesce(F.lead("head").over(W.orderBy("span")), first).alias("head"))
-    led = led.join(F.broadcast(heads), "span").withColumn("next", F.coalesce("next", "head"))
-    return led.select(*[c for c in ids.columns], *(F.col(f"next.{k}").alias(f"next_{k}") for k in keys))
 
+def _dealt(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """rows with span and guest: each row in its span (guest 0), and the first row of a span at the end of the one before (1)."""
+    found, key = F.col("heads"), F.struct(*KEYS)
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(SPANS.bit_length()))))
+    # How many heads are at or below the key, by bisection.
+    below = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= F.size(found)) & (F.get(found, at + s - 1) <= key), at + s).otherwise(at))
+    rows = rows.withColumn("heads", heads.scalar()).withColumn("span", below - 1)
+    rows = rows.select(*KEYS, "text", "span", (F.get("heads", "span") == key).alias("is_head"), F.size("heads").alias("n"))
+    own, before = F.struct(F.col("span").alias("span"), F.lit(0).alias("guest")), F.struct(F.pmod(F.col("span") - 1, F.col("n")).alias("span"), F.lit(1).alias("guest"))
+    return rows.select(*KEYS, "text", F.explode(F.when(F.col("is_head"), F.array(own, before)).otherwise(F.array(own))).alias("v")).select(*KEYS, "text", "v.span", "v.guest")
 
-def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span_bytes: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text, and the likeness of the text's to the edited and the next one's."""
-    scratch = Scratch(docs.sparkSession)
-    table = _vector_table(docs, id_col, text_col, scratch)
-    scratch.release()  # the shuffled texts
-    nexts = [f"next_{k}" for k in KEYS]
-    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("n", "exact", "like")]
-    own = table.where("edited = 0")
-    edits = table.where("edited = 1").select("row", "sha", *side("e"))
-    others = own.select(*(F.col(k).alias(f"next_{k}") for k in KEYS), *side("x")).dropDuplicates(nexts)
-    out = own.select("row", "some", "k", *nexts, "n_chars", *side("d")).join(edits, "row").join(others, nexts)
-    shown = [x for p in "dex" for x in (text_form(*(F.col(f"{p}_{c}") for c in ("n", "exact", "like"))).alias(f"{p}_fp"), signed(F.col(f"{p}_n"), F.col(f"{p}_like")).alias(f"{p}_v"))]
-    out = out.select("some", "k", "n_chars", "sha", *(f"{p}_n" for p in "dex"), *shown)
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    rows = _keyed(docs, id_col, text_col)
+    keys = scratch.keep(rows.select(*KEYS, F.octet_length("text").cast("long").alias("size")), "keys")
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    if span_bytes is None:
+        span_bytes = max(1 << 20, min(1 << 26, total // 256), 2 * total // SPANS)
+    # A number of its own: cutting and hashing cost far more than the bytes that adaptive execution would merge by.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(total >> 26, 100_000))
+    keys = scratch.keep(keys.repartitionByRange(*KEYS).groupBy(*KEYS).agg(F.count("*").alias("m"), F.max("size").alias("size")).withColumn("part", F.spark_partition_id()), "order")
+    heads = scratch.keep(spans(keys, span_bytes), "heads")
+    repeats = keys.where("m > 1")
+    several = not repeats.isEmpty()
+    if several:
+        rows = rows.groupBy(*KEYS).agg(F.max("text").alias("text"))
+    rows = _dealt(rows, heads).repartition(parts, "span")
+    after = F.lead("text").over(W.partitionBy("span").orderBy("guest", *KEYS))
+    rows = rows.withColumn("after", after).withColumn("n_chars", F.char_length("text"))
+    cut = F.expr("n_chars div 4").cast("int")
+    changed = F.concat(F.substring("text", F.lit(1), F.col("n_chars") - cut), F.substring("after", F.lit(1), cut))
+    place = ["span", "guest", *KEYS]
+    rows = rows.select(*place, F.col("n_chars").cast("long").alias("n_chars"), "text", F.when(F.col("guest") == 0, changed).alias("changed"))
+    # Form 0: the text, form 1: its edited text; kind 2: the digest of the edited text, which travels as numbers.
+    digest = F.struct(F.lit(1).alias("form"), F.lit(2).alias("kind"), F.array(F.sha2("changed", 256)).alias("units"))
+    forms = F.array(*_units(F.col("text"), 0), *_units(F.col("changed"), 1), digest)
+    units = rows.select(*place, "n_chars", F.explode(forms).alias("v")).where("guest = 0 OR v.form = 0").select(*place, "n_chars", "v.form", "v.kind", F.explode("v.units").alias("unit"))
+    sha = [F.sum(F.when(F.col("kind") == 2, _lane(F.col("unit"), i)).otherwise(0)).alias(f"d{i}") for i in range(8)]
+    table = _summed(units, [*place, "form"], F.max("n_chars").alias("n_chars"), *sha)
+    # In a span a text, its edited text and the next text follow each other.
+    order, vector = W.partitionBy("span").orderBy("guest", *KEYS, "form"), F.struct(*VECTOR)
+    hexed = F.lower(F.array_join(F.array(*(F.lpad(F.hex(f"d{i}"), 8, "0") for i in range(8))), ""))
+    out = table.select(*place, "form", "n_chars", vector.alias("d"), F.lead(vector, 1).over(order).alias("e"), F.lead(vector, 2).over(order).alias("x"), F.lead(hexed, 1).over(order).alias("edited_sha256")).where("guest = 0 AND form = 0")
+    shown = [c for p in "dex" for c in (F.col(f"{p}.pieces").alias(f"{p}_n"), text_form(F.col(p)).alias(f"{p}_fp"), signed(F.col(p)).alias(f"{p}_v"))]
+    out = out.select(*KEYS, "n_chars", "edited_sha256", *shown)
+    if several:
+        out = out.join(repeats.select(*KEYS, "m"), KEYS, "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("m", F.lit(1).cast("long")))))
     return out.select(
-        F.when(F.col("some") == 1, F.col("k")).alias("doc_id"), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), F.col("d_fp").alias("fingerprint"), F.col("e_fp").alias("edited_fingerprint"),
+        F.when(F.col("some") == 1, F.col("k")).alias("doc_id"), "n_chars", "edited_sha256", F.col("d_fp").alias("fingerprint"), F.col("e_fp").alias("edited_fingerprint"),
         likeness("d", "e").alias("near_edited"), likeness("d", "x").alias("near_next"),
     )
-
-
-def _vector_table(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
-    """The vectors of every text (edited = 0, with its and the next document's keys) and of its edited text (1, with its digest), by row."""
-    rows = _keyed(docs, id_col, text_col)
-    ids = rows.groupBy(*KEYS).agg(F.max(F.char_length("text")).cast("long").alias("n_chars"))
-    order = following(ids, KEYS, scratch)
-    # The head of the next document, as many characters as the edit takes.
-    cut = F.expr("cast(n_chars div 4 as int)")
-    after = rows.select(*(F.col(k).alias(f"next_{k}") for k in KEYS), F.col("text").alias("next_text"))
-    heads = order.join(after, [f"next_{k}" for k in KEYS]).select(*KEYS, *(f"next_{k}" for k in KEYS), "n_chars", F.substring("next_text", F.lit(1), cut).alias("head"))
-    nexts = [f"next_{k}" for k in KEYS]
-    heads = heads.groupBy(*KEYS, *nexts, "n_chars").agg(F.max("head").alias("head"))
-    both = rows.join(heads, KEYS).select(*KEYS, *nexts, "n_chars", "text", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), "head").alias("changed"))
-    both = both.withColumn("row", F.monotonically_increasing_id()).withColumn("edited_sha256", F.sha2("changed", 256))
-    keys = ["row", *KEYS, *nexts, "n_chars", "edited_sha256"]
-    two = both.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("edited"), F.col("text").alias("t")), F.struct(F.lit(1).alias("edited"), F.col("changed").alias("t")))).alias("v")).select(*keys, "v.edited", "v.t")
-    # The vectors only, no rendered fingerprints: this table is shuffled again.
-    own_only = [F.when(F.col("edited") == 0, F.col(c)).alias(c) for c in (*KEYS, *nexts, "n_chars")]
-    sums = vectors(two, [*keys, "edited"], "t").select("row", "edited", *own_only, F.when(F.col("edited") == 1, F.unhex("edited_sha256")).alias("sha"), "n", "exact", "like")
-    return scratch.keep(sums, "vectors")

@@ -1,10 +1,12 @@
 """Operators 2, 4, 5 and 6 against brute force."""
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 
 import pytest
+import xxhash
 
 from corpusloom.llm import fingerprints, lines, neardup, substrings
 
@@ -111,32 +113,72 @@ def test_line_sketches_estimate_sites(spark):
     assert abs(est[1] - 400) < 400 * 4 * lines.standard_error() and 2.5 < est[2] < 3.5
 
 
-def test_fingerprints(spark, corpus):
-    rows = [(i, t) for i, t in corpus if i != 73]
-    docs = table(spark, rows).selectExpr("*", "1 AS some", "2 AS th", "3 AS k")
-    got = {r.doc_id: r for r in fingerprints.compare(docs).collect()}
+def brute_vectors(text):
+    """The paragraphs and pieces of a text, hashed and summed one by one."""
+    text = text or ""
+    exact, like, paragraphs = [0] * 16, [0] * 62, text.split("\n")
+    pieces = []
+    for p in paragraphs:
+        digest = hashlib.sha512(p.encode()).digest()
+        exact = [(x + int.from_bytes(digest[4 * i : 4 * i + 4])) % 2**32 for i, x in enumerate(exact)]
+        words = WORD.findall(p)
+        spots = [m.start() for m in WORD.finditer(p)] + [len(p)]
+        pieces += [p[spots[i] : spots[min(i + 4, len(words))]].rstrip(" \t\x0b\x0c\r") for i in range(0, len(words), 4)]
+    for p in pieces:
+        h = xxhash.xxh64_intdigest(p.encode(), 42)
+        for i in range(31):
+            like[2 * i] += h >> i & 1
+            like[2 * i + 1] += h >> (i + 31) & 1
+    return len(paragraphs), exact, len(pieces), like
+
+
+def shown(v):
+    paragraphs, exact, pieces, like = v
+    return "".join(f"{x:08X}" for x in (paragraphs, *exact)) + "-" + "".join(f"{x:08X}" for x in (pieces, *like))
+
+
+def brute_likeness(a, b):
+    if shown(a) == shown(b) or (a[2] == 0 and b[2] == 0):
+        return 1.0
+    x, y = ([2 * c - v[2] for c in v[3]] for v in (a, b))
+    norm = math.sqrt(sum(c * c for c in x) * sum(c * c for c in y))
+    return min(1.0, max(0.0, sum(p * q for p, q in zip(x, y, strict=True)) / norm)) if norm and a[2] and b[2] else 0.0
+
+
+@pytest.mark.parametrize("span_bytes", [None, 1, 2000])
+def test_fingerprints(spark, corpus, span_bytes):
+    rows = [(i, (t or "").replace("\r", "") if t else t) for i, t in corpus]
+    docs = table(spark, rows).selectExpr("*", "1 AS some", "2 AS th", "3 AS k", "4 AS span", "5 AS guest", "6 AS form", "7 AS heads").repartition(5)
+    got = {r.doc_id: r for r in fingerprints.compare(docs, span_bytes=span_bytes).collect()}
     assert len(got) == len(rows)
     texts = [t or "" for _, t in rows]
     for n, (i, t) in enumerate(rows):
         t, after = t or "", texts[(n + 1) % len(texts)]
         cut = len(t) // 4
+        edited = t[: len(t) - cut] + after[:cut]
+        own, changed, other = map(brute_vectors, (t, edited, after))
         assert got[i].n_chars == len(t)
-        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
-    for i, t in rows:
-        for j, u in rows:
-            if (t or "") == (u or ""):
-                assert got[i].fingerprint == got[j].fingerprint
-    long = [got[i] for i, t in rows if len(t or "") > 400 and i < 50]
-    assert sum(r.near_edited for r in long) / len(long) > 0.6 > 0.4 > sum(r.near_next for r in long) / len(long)
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (shown(own), shown(changed))
+        assert got[i].near_edited == pytest.approx(brute_likeness(own, changed)) and got[i].near_next == pytest.approx(brute_likeness(own, other))
     assert fingerprints.compare(docs.limit(0)).collect() == []
 
 
+def test_fingerprints_are_those_of_paragraphs(spark):
+    """Where words, blanks, borders or blank lines differ, fingerprints do; the order of paragraphs alone does not count."""
+    texts = ["a b c d e f g h", "e f g h a b c d", "a b c d\ne f g h", "a b c d\n\ne f g h", "a  b c d\ne f g h", "e f g h\na b c d", "", "\n"]
+    fp = [r.fingerprint for r in sorted(fingerprints.fingerprint(table(spark, list(enumerate(texts)))).collect(), key=lambda r: r.doc_id)]
+    assert fp[2] == fp[5] and len(set(fp)) == len(texts) - 1
+    assert fp == [shown(brute_vectors(t)) for t in texts]
+
+
 def test_fingerprints_repeats_and_null_ids(spark):
-    rows = [(1, "a b"), (1, "a b"), (None, "c d e f"), (2, None), (2, "")]
-    out = fingerprints.compare(table(spark, rows)).collect()
-    assert sorted((r.doc_id or -1) for r in out) == [-1, 1, 1, 2, 2]
-    assert len({r.fingerprint for r in out if r.doc_id == 1}) == 1
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (None, "c d e f"), (None, "c d e f"), (None, "g"), (2, None), (2, "")]
+    for span_bytes in (None, 1):
+        out = fingerprints.compare(table(spark, rows), span_bytes=span_bytes).collect()
+        assert sorted((r.doc_id or -1) for r in out) == [-1, -1, -1, 1, 1, 1, 2, 2]
+        assert len({r.fingerprint for r in out if r.doc_id == 1}) == 2
+        assert {r.fingerprint for r in out} == {shown(brute_vectors(t)) for _, t in rows}
     one = fingerprints.compare(table(spark, [(7, "x y z")])).collect()
     assert one[0].near_next == 1.0
 
