@@ -1,11 +1,14 @@
 """Vectorised text primitives: words, their hashes and rolling hashes over whole Arrow batches.
 
 Texts of a batch are taken together as one byte buffer; UTF-8 keeps ASCII separators apart from every other
-byte, so splitting bytes splits characters. All arithmetic is on uint64 modulo 2**64.
+byte, so splitting bytes splits characters. Hashes have 64 bits. Every step of eight bytes, and every step that joins the hashes of
+two runs of words, ends in a mixing function that is not linear, so no family of unlike texts (such as Thue-Morse
+strings, for polynomials modulo 2**64) has equal hashes but by chance.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,26 +26,11 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_M, _G = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i < n, modulo 2**64; base is odd."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.empty(size, U)
-            p[0] = 1
-            k = 1
-            while k < size:
-                p[k : 2 * k] = p[: min(k, size - k)] * U(pow(b, k, 1 << 64))
-                k *= 2
-            out.append(p)
-        have = _powers[base] = (out[0], out[1])
-    return have
+_G, _C = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
+#: For 0 to 8 bytes, the bits of a little-endian word that they fill.
+_FILLED = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
+#: Words of more bytes are hashed by BLAKE2b, one by one.
+LONG_WORD = 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -123,35 +111,51 @@ class Words:
         """For each word, the index of its text."""
         return np.repeat(np.arange(len(self.off) - 1), self.counts)
 
+    def loads(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The first 8 bytes (or size, if less) from each place, as little-endian numbers."""
+        if not hasattr(self, "padded"):
+            self.padded = np.concatenate((self.buf, np.zeros(8, np.uint8)))
+        view = np.ndarray(len(self.buf) + 1, "<u8", self.padded, strides=(1,))
+        return view[at] & _FILLED[np.clip(size, 0, 8)]
+
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+        """A 64-bit hash of each word's bytes: eight at a time."""
         if not len(self):
             return np.zeros(0, U)
-        n = len(self.buf)
-        up, down = powers(_M, n + 1)
-        total = np.zeros(n + 1, U)
-        np.cumsum((self.buf.astype(U) + U(1)) * up[:n], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(U))
-
-
-def rolling(h: np.ndarray, k: int, base: int = _G) -> np.ndarray:
-    """A hash of each k consecutive values; len(h) - k + 1 of them (none if there are fewer values)."""
-    n = len(h)
-    if n < k:
+        size = self.end - self.start
+        h = mix(self.loads(self.start, size) + size.astype(U) * _G)
+        more, done = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+        while len(more):
+            h[more] = join(h[more], self.loads(self.start[more] + done, size[more] - done))
+            done += 8
+            more = more[size[more] > done]
+        raw = memoryview(self.buf)
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(raw[self.start[i] : self.end[i]], digest_size=8).digest(), "little")
+        return h
+
+
+def join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The hash of what two hashes stand for, one after the other."""
+    return mix(left * _C + right)
+
+
+def rolling(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k consecutive values; len(h) - k + 1 of them (none if there are fewer values).
+
+    Runs of 1, 2, 4 and so on values are joined to runs of k.
+    """
+    n = len(h) - k + 1
+    if n <= 0:
         return np.zeros(0, U)
-    up, down = powers(base, n + 1)
-    total = np.zeros(n + 1, U)
-    np.cumsum(h * up[:n], out=total[1:])
-    return mix((total[k:] - total[: n - k + 1]) * down[: n - k + 1])
-
-
-def spans_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = _G) -> np.ndarray:
-    """A hash of the values from each start up to its end."""
-    n = len(h)
-    up, down = powers(base, n + 1)
-    total = np.zeros(n + 1, U)
-    np.cumsum(h * up[:n], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
+    out, at, level, width = None, 0, h, 1
+    while True:
+        if k & width:
+            part = level[at : at + n]
+            out, at = (part if out is None else join(out, part)), at + width
+        if at == k:
+            return mix(out) if k == 1 else out
+        level, width = join(level[:-width], level[width:]), 2 * width
 
 
 def word_hash(word: str) -> int:

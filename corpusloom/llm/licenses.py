@@ -10,9 +10,10 @@ The templates are a fixed list of this module and so bounded; only they are broa
 matches; the method's labels come on top of the base labels. The score is the largest share of a template that a
 verified span covers, 1 where a base phrase stands.
 
-Null and empty texts have no words, no labels and score 0. Rows that share an id are reported one by one but count
-as one document in the method's votes; rows without an id count as one too. Other columns are ignored. An empty
-table gives an empty table.
+Null and empty texts have no words, no labels and score 0. Votes are kept by id and text hash, so each row, with an id of its
+own, a shared one or none, gets what its own text holds; equal rows vote together. A text of any length is scanned whole, and
+a template that stands in it many times gives a span each time its diagonals are apart. Other columns are ignored. An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.llm._spark import row_key, ship
 from corpusloom.llm._text import ALNUM, Words, buffer, pieces, rolling, starts_of, word_hash
 
 #: The phrases of the base and their labels.
@@ -62,17 +64,17 @@ def template_rows(templates=TEMPLATES, k: int = K) -> list[tuple[int, int, int]]
 
 
 def grams(docs: DataFrame, k: int = K) -> DataFrame:
-    """Every rolling k-word hash of every text: doc_id, pos, gram."""
+    """Every rolling k-word hash of every text: doc_id, th, pos, gram."""
 
     def run(batches):
         for b in pieces(batches):
-            w = Words(*buffer(b.column(1)), ALNUM, lower=True)
+            w = Words(*buffer(b.column("text")), ALNUM, lower=True)
             at = starts_of(w.first, k)
             if len(at):
                 owner = np.searchsorted(w.first, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array((at - w.first[owner]).astype(np.int32)), pa.array(rolling(w.hashes(), k)[at].view(np.int64))], ["doc_id", "pos", "gram"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), b.column(1).take(pa.array(owner)), pa.array((at - w.first[owner]).astype(np.int32)), pa.array(rolling(w.hashes(), k)[at].view(np.int64))], ["doc_id", "th", "pos", "gram"])
 
-    return docs.mapInArrow(run, "doc_id long, pos int, gram long")
+    return docs.mapInArrow(run, "doc_id long, th long, pos int, gram long")
 
 
 def base(docs: DataFrame) -> DataFrame:
@@ -81,7 +83,7 @@ def base(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in pieces(batches):
-            w = Words(*buffer(b.column(1)), ALNUM, lower=True)
+            w = Words(*buffer(b.column("text")), ALNUM, lower=True)
             h, n = w.hashes(), b.num_rows
             total, first, last = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max), np.full(n, -1, np.int64)
             found = []
@@ -100,35 +102,36 @@ def base(docs: DataFrame) -> DataFrame:
             labels = [sorted(label for label, has in found if has[i]) for i in range(n)]
             none = total == 0
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(w.counts.astype(np.int64)), pa.array(total), pa.array(first, mask=none), pa.array(last, mask=none), pa.array(labels, pa.list_(pa.string()))],
-                ["doc_id", "n_words", "n_base", "first_word", "last_word", "base"],
+                [b.column(0), b.column(1), pa.array(w.counts.astype(np.int64)), pa.array(total), pa.array(first, mask=none), pa.array(last, mask=none), pa.array(labels, pa.list_(pa.string()))],
+                ["doc_id", "th", "n_words", "n_base", "first_word", "last_word", "base"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base array<string>")
+    return docs.mapInArrow(run, "doc_id long, th long, n_words long, n_base long, first_word long, last_word long, base array<string>")
 
 
 def spans(docs: DataFrame, templates=TEMPLATES, k: int = K, max_gap: int = MAX_GAP, min_cover: float = MIN_COVER) -> DataFrame:
-    """Verified spans: doc_id, label, first_word, end_word, cover (the share of the template's words)."""
+    """Verified spans: doc_id, th, label, first_word, end_word, cover (the share of the template's words)."""
     spark = docs.sparkSession
     index = F.broadcast(spark.createDataFrame(template_rows(templates, k), "gram long, template int, tpos int"))
     sizes = spark.createDataFrame([(t, label, len(text.split())) for t, (label, text) in enumerate(templates)], "template int, label string, size int")
-    votes = grams(docs, k).join(index, "gram").groupBy("doc_id", "template", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("hits"))
-    order = W.partitionBy("doc_id", "template").orderBy("diagonal")
+    votes = grams(docs, k).join(index, "gram").groupBy("doc_id", "th", "template", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("hits"))
+    order = W.partitionBy("doc_id", "th", "template").orderBy("diagonal")
     islands = votes.withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(order) > max_gap).cast("int")).withColumn("island", F.sum(F.coalesce("new", F.lit(0))).over(order))
-    merged = islands.groupBy("doc_id", "template", "island").agg(
+    merged = islands.groupBy("doc_id", "th", "template", "island").agg(
         F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
         F.min(F.col("diagonal") + F.array_min("hits")).alias("first_word"),
         F.max(F.col("diagonal") + F.array_max("hits") + k).alias("end_word"),
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda t: F.sequence(t, t + k - 1)))))
-    return merged.join(F.broadcast(sizes), "template").withColumn("cover", covered / F.col("size")).where(F.col("cover") >= min_cover).select("doc_id", "label", "first_word", "end_word", "cover")
+    return merged.join(F.broadcast(sizes), "template").withColumn("cover", covered / F.col("size")).where(F.col("cover") >= min_cover).select("doc_id", "th", "label", "first_word", "end_word", "cover")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **method) -> DataFrame:
     """One row per document: words, base places and labels, all labels, score."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = spans(docs, **method).groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("cover").alias("cover")).withColumnRenamed("doc_id", "found_id")
-    rows = base(docs).join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
+    ship(docs.sparkSession)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    found = spans(docs, **method).groupBy("doc_id", "th").agg(F.collect_set("label").alias("more"), F.max("cover").alias("cover")).withColumnsRenamed({"doc_id": "found_id", "th": "found_th"})
+    rows = base(docs).join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("th") == F.col("found_th")), "left")
     more = F.coalesce("more", F.array().cast("array<string>"))
     return rows.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",

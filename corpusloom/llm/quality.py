@@ -5,10 +5,12 @@ bins of one feature fits the logistic loss and is added to that feature's lookup
 trees. Then the pairs of features with the largest gain on the residual get two-dimensional tables in the same way.
 A document's score is the logistic function of the sum of its bins' entries.
 
-The model is fitted on at most ``fit_rows`` labelled rows, those with the least hash of their id; everything else
-runs over all rows. Features come from the text alone. Null texts are empty; an empty text has features like any
+The model is fitted on at most ``fit_rows`` labelled ids, those with the least hash, and one row for each: of rows that
+share an id, the one of the least text hash. So the fit does not depend on how rows are dealt. Everything else
+runs over all rows. Features come from the text alone and are shares and logarithms over the whole of it, however long; ties
+between cuts go to the first. Null texts are empty; an empty text has features like any
 other. Rows are independent: repeated rows and ids repeat their results. A label table without rows, or of one
-class, gives every document the class's (smoothed) share as score. An empty table gives an empty table.
+class, gives every document the class's (smoothed) share as score. Other columns are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._spark import Scratch, held_out, ship
+from corpusloom.llm._spark import Scratch, held_out, row_key, ship
 from corpusloom.llm._text import NOT_SPACE, U, Words, buffer, mix, pieces
 
 FEATURES = (
@@ -192,14 +194,14 @@ def fit(x: np.ndarray, y: np.ndarray, n_bins: int = 24, rounds: int = 120, n_pai
 
 
 def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id and the features of every text."""
+    """The id, the hash and the features of every text."""
 
     def run(batches):
         for b in pieces(batches):
-            f = features(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(f.ravel()), f.shape[1]).cast(pa.list_(pa.float32()))], ["doc_id", "x"])
+            f = features(b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.FixedSizeListArray.from_arrays(pa.array(f.ravel()), f.shape[1]).cast(pa.list_(pa.float32()))], ["doc_id", "th", "x"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, x array<float>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(text_col)).alias("th"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, th long, x array<float>")
 
 
 def fit_sample(labels: DataFrame, label: str, fit_rows: int) -> DataFrame:
@@ -210,7 +212,7 @@ def fit_sample(labels: DataFrame, label: str, fit_rows: int) -> DataFrame:
 
 def train(table: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = 20_000) -> Gam:
     """Fit on the bounded sample; its rows and features are what the driver holds."""
-    rows = table.join(F.broadcast(fit_sample(labels, label, fit_rows)), "doc_id").limit(2 * fit_rows).toPandas()
+    rows = table.join(F.broadcast(fit_sample(labels, label, fit_rows)), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("th", "x")).alias("r")).select("doc_id", "y", "r.x").toPandas()
     if not len(rows):
         return Gam(0.0)
     rows = rows.sort_values("doc_id", kind="stable")

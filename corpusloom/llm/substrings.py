@@ -33,25 +33,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm._spark import Scratch, plan_bytes, row_key, ship
-from corpusloom.llm._text import U, Words, argmin_window, buffer, mix, pieces, rolling, spans_hash, starts_of
+from corpusloom.llm._text import U, Words, argmin_window, buffer, join, mix, pieces, rolling, starts_of
 
 SIZE, DEPTH, BLOCKS = 50, 2, 64
 
 
 def anchors(w: Words, size: int) -> tuple[np.ndarray, ...]:
-    """For each run of windows with one anchor: owner text, first window, windows, word of the anchor, anchor hash; and word hashes."""
+    """For each run of windows with one anchor: owner text, first window, windows, word of the anchor, anchor hash; and the hash of every window."""
     k = size // 2
     h = w.hashes()
     runs = rolling(h, k)
     at = starts_of(w.first, size)
     if not len(at):
         z = np.zeros(0, np.int64)
-        return z, z, z, z, np.zeros(0, U), h
+        return z, z, z, z, np.zeros(0, U), np.zeros(0, U)
+    whole = join(runs[:-k], runs[k:]) if size == 2 * k else rolling(h, size)
     place = argmin_window(runs, size - k + 1)[at].astype(np.int64)
     owner = np.searchsorted(w.first, at, "right") - 1
     new = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1]))))
     count = np.diff(np.append(new, len(at)))
-    return owner[new], at[new], count, place[new], runs[place[new]], h
+    return owner[new], at[new], count, place[new], runs[place[new]], whole
 
 
 def cells(anchor: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -125,15 +126,15 @@ def repeated(docs: DataFrame, size: int, most_bits: int, scratch: Scratch) -> Da
         have = table.value
         for b in pieces(batches):
             w = Words(*buffer(b.column("text")))
-            owner, at, count, place, anchor, h = anchors(w, size)
+            owner, at, count, place, anchor, whole = anchors(w, size)
             hit = np.ones(len(anchor), bool)
             for c, row in zip(cells(anchor, bits), have, strict=True):
                 hit &= (row[c >> 3] >> (c & 7).astype(np.uint8)) & 1 == 1
             owner, at, count, place, anchor = owner[hit], at[hit], count[hit], place[hit], anchor[hit]
             if not len(at):
                 continue
-            end = at + count + size - 1
-            segment = mix(spans_hash(h, at, end) ^ mix((place - at).astype(U)))
+            # Its first and its last window hold all words of a segment, as count <= size; and the anchor's place in it.
+            segment = join(join(whole[at], whole[at + count - 1]), mix((place - at).astype(U) << U(32) | count.astype(U)))
             # A segment that a text repeats (one word over and over) is one row with all its places.
             order = np.lexsort((at, segment, anchor, owner))
             o, a, s = owner[order], anchor[order], segment[order]
@@ -141,10 +142,9 @@ def repeated(docs: DataFrame, size: int, most_bits: int, scratch: Scratch) -> Da
             one = order[first]
             places = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array((at - w.first[owner])[order].astype(np.int32)))
             owner, at, count, anchor, segment = owner[one], at[one], count[one], anchor[one], segment[one]
-            whole = rolling(h, size).view(np.int64)
             off = np.concatenate(([0], np.cumsum(count)))
             index = np.arange(off[-1]) + np.repeat(at - off[:-1], count)
-            windows = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(whole[index]))
+            windows = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(whole[index].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").take(pa.array(owner)), b.column("th").take(pa.array(owner)), places, pa.array(anchor.view(np.int64)), pa.array(segment.view(np.int64)), windows],
                 ["doc_id", "th", "at", "anchor", "segment", "windows"],

@@ -4,14 +4,17 @@ A text is lower-cased (A-Z and the two-byte Latin letters) and split at white sp
 word are the word and its byte prefixes of 4 to 8 bytes (word stems). Units get log-odds between toxic and clean labelled texts
 with an informative Dirichlet prior; a word scores by its unit with the surest log-odds, if that is significant, and
 by the (negative) log-odds of a word without significant unit otherwise. A linear-time scan finds every maximal scoring segment of a text. Under chance the
-best segment of n words follows an extreme-value law; its location and scale are fitted on clean labelled texts, and
-the negative log of the resulting p-value, summed over the significant segments' scores, is calibrated to a
-probability by a logistic fit on labelled rows that the log-odds have not seen.
-
-Log-odds and calibration are fitted on at most ``fit_rows`` labelled rows, those with the least hash of their id;
-scoring runs over all rows and whole texts. Null texts are empty: no segment, the lowest score. Rows are independent:
-repeated rows and ids repeat their results. Without labels of both classes every text gets the same score. An empty
-table gives an empty table.
+best segment of n words follows an extreme-value law; its location and scale are fitted on clean labelled texts.
+The negative log of the p-value of a text's best segment, the log of the sum of all its segments and their share of its words are
+calibrated to a probability by a logistic fit on labelled rows that the log-odds have not seen. The passages returned are
+the segments whose own p-value is at most 0.01.
+
+Log-odds and calibration are fitted on at most ``fit_rows`` labelled ids, those with the least hash, and one row for
+each: of rows that share an id, the one of the least text hash. Every significant unit of that sample is used.
+Scoring runs over all rows and whole texts; a longer text is held to a higher best segment, as its chance grows with its
+words. Of units with equal significance the shortest prefix counts. Null texts are empty: no segment, the lowest score. Rows are
+independent: repeated rows and ids repeat their results. Without labels of both classes every text gets the same score. Other
+columns are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._spark import Scratch, held_out, ship
-from corpusloom.llm._text import _M, ALNUM, U, Words, buffer, lower_latin, mix, pieces, powers
+from corpusloom.llm._spark import Scratch, held_out, row_key, ship
+from corpusloom.llm._text import ALNUM, U, Words, buffer, lower_latin, mix, pieces
 from corpusloom.llm.quality import fit_sample
 
 PREFIXES = (4, 5, 6, 7, 8)
@@ -36,14 +39,9 @@ def units(texts: pa.Array) -> tuple[Words, list[np.ndarray]]:
     w = Words(lower_latin(buf), off, ALNUM)
     if not len(w):
         return w, [np.zeros(0, U)] * (1 + len(PREFIXES))
-    n = len(w.buf)
-    up, down = powers(_M, n + 1)
-    total = np.zeros(n + 1, U)
-    np.cumsum((w.buf.astype(U) + U(1)) * up[:n], out=total[1:])
     size, out = w.end - w.start, [w.hashes()]
     for k in PREFIXES:
-        end = np.minimum(w.start + k, n)
-        h = mix((total[end] - total[w.start]) * down[w.start] + U(1000 + k))
+        h = mix(w.loads(w.start, np.full(len(w), k)) + U(1000 + k))
         out.append(np.where(size >= k, h, U(0)))
     return w, out
 
@@ -86,13 +84,13 @@ def unit_counts(rows: DataFrame) -> DataFrame:
     return rows.select("y", "text").mapInArrow(run, "unit long, toxic double, clean double").groupBy("unit").agg(*(F.round(F.sum(x), 6).alias(x) for x in ("toxic", "clean")))
 
 
-def lexicon(counts: DataFrame, n_toxic: int, n_clean: int, prior: float = 20.0, least_z: float = 3.0, least_odds: float = 1.5, most: int = 100_000) -> list[tuple[int, float, float]]:
+def lexicon(counts: DataFrame, n_toxic: int, n_clean: int, prior: float = 20.0, least_z: float = 3.0, least_odds: float = 1.5) -> list[tuple[int, float, float]]:
     """(unit, log-odds, z) of the surest units: log-odds with a Dirichlet prior in proportion to a unit's share of all texts."""
     share = (F.col("toxic") + F.col("clean")) / F.lit(float(n_toxic + n_clean))
     a = share * prior + 0.01
     odds = lambda y, n: F.log((F.col(y) + a) / F.lit(float(n + prior)))  # noqa: E731  weights a text, which may exceed 1
     rows = counts.withColumn("delta", odds("toxic", n_toxic) - odds("clean", n_clean)).withColumn("z", F.col("delta") / F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a)))
-    return [tuple(r) for r in rows.where((F.col("z") >= least_z) & (F.col("delta") >= least_odds) & (F.col("toxic") >= 3)).orderBy(F.desc("z"), "unit").limit(most).select("unit", "delta", "z").collect()]
+    return [tuple(r) for r in rows.where((F.col("z") >= least_z) & (F.col("delta") >= least_odds) & (F.col("toxic") >= 3)).select("unit", "delta", "z").collect()]
 
 
 def segments(positions: list[int], scores: list[float], neutral: float) -> list[tuple[float, int, int]]:
@@ -185,6 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000) -> Model:
     """Fit on a bounded sample: log-odds on two thirds of it, the extreme-value law and the calibration on the rest."""
     spark = docs.sparkSession
     sample = docs.select("doc_id", "text").join(F.broadcast(fit_sample(labels, "toxic", fit_rows)), "doc_id")
+    sample = sample.groupBy("doc_id", "y").agg(F.min(F.struct(row_key(F.col("text")).alias("th"), "text")).alias("r")).select("doc_id", "y", "r.text")
     scratch = Scratch(spark)
     kept = scratch.keep(sample.withColumn("part", F.abs(F.xxhash64("doc_id", F.lit(7))) % 3), "sample")
     first = kept.where("part < 2")

@@ -14,6 +14,11 @@ def prose(seed: int, n: int, vocabulary: int = 400) -> str:
     return " ".join(out)
 
 
+def thue_morse(n: int, two: str) -> str:
+    """The first n letters of the Thue-Morse sequence over two letters."""
+    return "".join(two[i.bit_count() % 2] for i in range(n))
+
+
 def table(spark, rows):
     """documents from (doc_id, text) or (doc_id, text, source) rows."""
     return spark.createDataFrame([(r[0], r[1], "en", r[2] if len(r) > 2 else f"s{(r[0] or 0) % 5}", len(r[1] or "")) for r in rows], DOCS)

@@ -1,10 +1,15 @@
+import random
+
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpusloom.llm import _text as t
 
+from .conftest import thue_morse
+
 texts = st.lists(st.one_of(st.none(), st.text(alphabet=" \n\tabAZé漢\x0b\x1c", max_size=40)), max_size=6)
 
 
@@ -27,13 +32,26 @@ def test_equal_words_have_equal_hashes():
     assert t.word_hash("aa") == h[0]
 
 
-def test_rolling_and_spans_agree_with_content():
-    h = np.arange(10, dtype=np.uint64) % np.uint64(4)
-    r = t.rolling(h, 3)
-    assert len(r) == 8 and r[0] == r[4] and r[0] != r[1]
-    s = t.spans_hash(h, np.array([0, 4, 1]), np.array([3, 7, 5]))
-    assert s[0] == s[1] != s[2]
-    assert len(t.rolling(h, 11)) == 0
+def test_rolling_hashes_agree_with_content():
+    h = t.mix(np.random.default_rng(0).integers(0, 2, 300).astype(np.uint64))
+    for k in (1, 2, 3, 5, 8, 25, 50):
+        r = t.rolling(h, k)
+        assert len(r) == 301 - k
+        runs = [h[i : i + k].tobytes() for i in range(301 - k)]
+        assert len(set(zip(runs, r.tolist(), strict=True))) == len(set(runs)) == len(set(r.tolist()))
+    assert len(t.rolling(h[:4], 5)) == 0
+
+
+@pytest.mark.parametrize("n", [7, 8, 9, 64, 511, 512, 513, 1024, 2048, 4096])
+def test_unlike_words_have_unlike_hashes(n):
+    """Words that differ in one byte, in the order of bytes, in length, or by the Thue-Morse rule."""
+    r = random.Random(n)
+    word = "".join(r.choice("ab") for _ in range(n))
+    words = {word, word + "a", word + "\0", "\0" + word, word[::-1], word[1:] + word[0], "a" * n, "b" * n, thue_morse(n, "ab"), thue_morse(n, "ba")}
+    words |= {word[:i] + "c" + word[i + 1 :] for i in range(0, n, max(1, n // 40))}
+    assert len({t.word_hash(w) for w in words}) == len(words)
+    h = t.Words(*t.buffer(pa.array(["x " + w + " y" for w in sorted(words)]))).hashes()
+    assert h[1::3].tolist() == [t.word_hash(w) for w in sorted(words)]
 
 
 @settings(max_examples=60, deadline=None)
