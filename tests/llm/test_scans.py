@@ -1,7 +1,10 @@
 """Operators 1, 9 and 10."""
 
 import hashlib
+import math
+import random
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -48,36 +51,52 @@ def test_base_spans_and_added_spans(spark):
     assert secrets.digests(secrets.scan(docs.limit(0))).collect() == []
 
 
-def brute_cost(value):
-    """The same costs by trying every segmentation."""
-    n = len(value)
-    best = [0.0] + [float("inf")] * n
+def brute_cost(value, ranks=secrets.FIXED):
+    """The same costs by trying every span from every start to every end."""
+    n, log = len(value), math.log10
+    best = [0.0] + [math.inf] * n
     low = value.lower()
     leet = low.translate(secrets._LEET)
     for j in range(1, n + 1):
         for i in range(j):
-            part, opened = value[i:j], best[i] + secrets.SEGMENT * (i > 0)
+            part, size, opened = value[i:j], j - i, best[i] + secrets.SEGMENT * (i > 0)
             costs = [sum(map(secrets._space, part))]
-            if len(set(part)) == 1 and j - i >= 3:
-                costs.append(secrets._space(part[0]) + secrets.math.log10(j - i))
-            if secrets._DATE.fullmatch(low[i:j]) and j - i in (4, 8, 10):
-                costs.append(secrets.YEAR + (secrets.DAY if j - i > 4 else 0))
+            for m in range(1, secrets.UNIT + 1):
+                if size % m == 0 and size // m >= (3 if m == 1 else 2) and part == part[:m] * (size // m):
+                    costs.append(sum(map(secrets._space, part[:m])) + log(size // m))
+            if secrets._DATE.fullmatch(low[i:j]) and size in (4, 8, 10):
+                costs.append(secrets.YEAR + (secrets.DAY if size > 4 else 0))
+            steps = [secrets.STEP.get(x) for x in zip(low[i:j], low[i + 1 : j])]
+            if size >= 4 and None not in steps:
+                costs.append(secrets.WALK + log(size) + secrets.TURN * sum(a != b for a, b in zip(steps, steps[1:])))
             for shape in (low, leet):
-                if (rank := secrets.RANK.get(shape[i:j])) and j - i >= 2:
+                if (rank := ranks.rank.get(shape[i:j])) and size >= 2:
                     up = sum(c.isupper() for c in part)
-                    costs.append(secrets.math.log10(rank) + secrets.math.log10(2) * (up > 0) + secrets.math.log10(j - i) * (1 < up < j - i) + secrets.math.log10(2) * (shape is leet and leet[i:j] != low[i:j]))
+                    costs.append(log(rank) + log(2) * (up > 0) + log(size) * (1 < up < size) + log(2) * (shape is leet and leet[i:j] != low[i:j]))
             best[j] = min(best[j], opened + min(costs))
     return best[n]
 
 
-@pytest.mark.parametrize("value", ["password", "P4ssw0rd1999", "aaaaaa", "xK9$vQ2!", "monkey2024-01-02dragon", "1111zz99", "SuperStar7"])
+VALUES = ["password", "P4ssw0rd1999", "aaaaaa", "xK9$vQ2!", "monkey2024-01-02dragon", "1111zz99", "SuperStar7", "adminnnnnnn", "loveeeee", "passssss", "starstuvwxyz"]
+VALUES += ["passtuvw", "asdsasdfdsasdfdsasdfdsa", "1qaz2wsx3edc", "qazwsx", "abcabcabcabc", "xyzzyxyzzyxyzzy!", "a" * 300, "ab" * 120 + "c", "qwertyuiop" * 9, "poiuytrewq" + "0987654321"]
+
+
+@pytest.mark.parametrize("value", VALUES)
 def test_guess_cost_is_the_least_over_segmentations(value):
     cost, parts = secrets.guess_cost(value)
     assert "".join(value[a:b] for _, a, b in parts) == value
-    if all(k != "walk" for k, _, _ in parts):
-        assert cost == pytest.approx(brute_cost(value))
-    else:
-        assert cost <= brute_cost(value)
+    assert cost == pytest.approx(brute_cost(value))
+
+
+def test_guess_cost_is_the_least_on_random_values():
+    r = random.Random(7)
+    chunks = ["pass", "word", "love", "1999", "2024-01-02", "qwert", "asdf", "fdsa", "1qaz", "zzzz", "ab", "abab", "x", "Q", "9", "$", "star", "admin", "lkj", "mnbv", "5tgb", "nnnn"]
+    for _ in range(400):
+        value = "".join(r.choice(chunks) for _ in range(r.randint(1, 9)))
+        assert secrets.guess_cost(value)[0] == pytest.approx(brute_cost(value)), value
+    for _ in range(300):
+        value = "".join(r.choice("asdf" if _ % 2 else "ab1") for _ in range(r.randint(1, 40)))
+        assert secrets.guess_cost(value)[0] == pytest.approx(brute_cost(value)), value
 
 
 def test_guess_cost_order_and_walks():
@@ -85,6 +104,18 @@ def test_guess_cost_order_and_walks():
     assert secrets.guess_cost("qwertyuiop")[0] < secrets.guess_cost("qzwxecrvtb")[0]
     assert any(k == "walk" for k, _, _ in secrets.guess_cost("zxcvbnm,")[1])
     assert secrets.guess_cost("İı" * 3)[0] > 0
+    began = time.perf_counter()
+    assert secrets.guess_cost("a" * 20_000)[0] < 7
+    assert time.perf_counter() - began < 20
+
+
+def test_the_dictionary_is_counted_over_all_documents(spark):
+    docs = table(spark, [(i, f"Zebrafish zebrafish and okapi{'quagga' if i else ''} ok quagga7 zebra{i} " + "x" * 30) for i in range(5)] + [(9, None), (None, "Okapi")]).repartition(3)
+    assert secrets.vocabulary(docs, 9, 2) == ["zebrafish", "okapiquagga", "okapi"]
+    assert secrets.vocabulary(docs, 2, 1) == ["zebrafish", "okapiquagga"] and secrets.vocabulary(docs, 9) == ["zebrafish"] and secrets.vocabulary(docs.limit(0), 5) == []
+    ranks = secrets.Ranks(["zebrafish"])
+    assert secrets.guess_cost("zebrafish", ranks)[0] < 3 < secrets.guess_cost("zebrafish")[0]
+    assert secrets.guess_cost("Zebrafish1999", ranks)[0] == pytest.approx(brute_cost("Zebrafish1999", ranks))
 
 
 LICENSES = [
