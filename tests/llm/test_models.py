@@ -1,15 +1,18 @@
 """Operators 3, 7 and 8, and the pipeline."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from corpusloom.llm import bpe, decontaminate, quality, toxicity
 
-from .conftest import prose, table
+from .conftest import prose, table, thue_morse
 from .test_dedup import brute_components
 
 
@@ -45,18 +48,55 @@ def test_quality(spark):
 
 
 def test_segments_are_the_maximal_ones():
-    def brute(scores):
-        best = max((sum(scores[i:j]), -(j - i)) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1))
-        return best[0]
+    """All maximal segments: the best one, and those of what is left on either side of it."""
+
+    def brute(scores, lo, hi):
+        spans = [(sum(scores[i:j]), i, j - 1) for i in range(lo, hi) for j in range(i + 1, hi + 1)]
+        best = max(spans, default=(0.0, 0, 0))
+        return [*brute(scores, lo, best[1]), best, *brute(scores, best[2] + 1, hi)] if best[0] > 0 else []
 
     r = random.Random(1)
-    for _ in range(200):
-        dense = [r.choice([-0.5, -0.5, 1.0, 2.0]) for _ in range(r.randint(1, 14))]
+    for _ in range(400):
+        dense = [r.choice([-0.5, -0.5, -0.5, r.uniform(0.1, 3)]) for _ in range(r.randint(0, 30))]
         at = [i for i, s in enumerate(dense) if s > 0]
         got = toxicity.segments(at, [dense[i] for i in at], -0.5)
-        if at:
-            assert max(s for s, _, _ in got) == pytest.approx(brute(dense))
-            assert all(a <= b for _, a, b in got) and sorted(got, key=lambda x: x[1]) == got
+        assert [(pytest.approx(s), a, b) for s, a, b in got] == brute(dense, 0, len(dense))
+
+
+def test_a_tree_takes_the_best_cut_and_scores_are_sums_of_table_entries():
+    r = np.random.default_rng(3)
+    for _ in range(50):
+        g, h = r.normal(size=9), r.random(9) * 3
+        gain = lambda k: g[:k].sum() ** 2 / (h[:k].sum() + 1) + g[k:].sum() ** 2 / (h[k:].sum() + 1) - g.sum() ** 2 / (h.sum() + 1)
+        cuts = [k for k in range(1, 9) if h[:k].sum() >= 2 and h[k:].sum() >= 2]
+        assert quality._split(g, h)[0] == pytest.approx(max([0.0, *map(gain, cuts)]))
+    x = r.random((400, 4)).astype(np.float32)
+    model = quality.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.7).astype(float), rounds=20)
+    for row, score in zip(x[:60], model.score(x[:60]), strict=True):
+        b = [int((c <= v).sum()) for c, v in zip(model.cuts, row, strict=True)]
+        z = model.intercept + sum(t[k] for t, k in zip(model.main, b, strict=True)) + sum(t[b[i], b[j]] for i, j, t in model.pairs)
+        assert score == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_models_do_not_depend_on_how_repeated_rows_are_dealt(spark):
+    """Of rows that share an id the one of the least text hash is fitted on, whatever their number."""
+    rows = [(i, prose(i, 60) if i % 2 else "SPAM!! vile " * (9 + i % 5)) for i in range(120)]
+    more = [(i, f"again {prose(i, 30)}") for i in range(40)] * 3
+    labels = labelled(spark, [(i, i % 2, 1 - i % 2) for i in range(120)])
+    docs = table(spark, rows + more)
+    for classify in (quality.classify, toxicity.classify):
+        a, b = (sorted((r.doc_id, r.score) for r in classify(x, labels).collect()) for x in (docs.repartition(7), table(spark, more[::-1] + rows[::-1]).coalesce(1)))
+        assert a == b
+
+
+def test_a_very_long_text_is_scored_whole(spark):
+    rows = [(i, prose(i, 60) if i % 2 else prose(i, 50) + " vile scumbag idiot" * 3) for i in range(300)]
+    long = prose(5, 40_000, 3000)
+    rows += [(1001, long + " vile scumbag idiot" * 9), (1002, long), (1003, "!" * 300_000)]
+    labels = labelled(spark, [(i, i % 2, 1 - i % 2) for i in range(300)])
+    got = {r.doc_id: r for r in toxicity.classify(table(spark, rows), labels).collect()}
+    assert got[1001].passages[-1].first_word >= 40_000 and got[1002].passages == []
+    assert {1001, 1002, 1003} <= {r.doc_id for r in quality.classify(table(spark, rows), labels).collect()}
 
 
 def test_toxicity(spark):
@@ -87,7 +127,7 @@ def items(spark, rows):
 def brute_bm25(index, terms):
     out = {}
     for t in terms:
-        for p in range(index.at[t], index.at[t + 1]):
+        for p in range(index.start[t], index.end[t]):
             out[int(index.item[p])] = out.get(int(index.item[p]), 0.0) + float(index.share[p])
     return out
 
@@ -98,10 +138,58 @@ def test_wand_finds_all_items_above_the_threshold():
     r = random.Random(2)
     for threshold in (0.2, 0.5, 0.8):
         for _ in range(20):
-            terms = np.array(sorted(r.sample(range(len(index.terms)), 25)))
-            want = {i: s for i, s in brute_bm25(index, terms).items() if s >= threshold}
-            _, items_, shares = index.wand(terms, np.array([0]), threshold)
-            assert {int(i): pytest.approx(s) for i, s in zip(items_, shares, strict=True)} == want
+            queries = [np.array(sorted(r.sample(range(len(index.terms)), r.randint(1, 40)))) for _ in range(9)]
+            start = np.cumsum([0, *map(len, queries)])
+            want = [(q, i, pytest.approx(s)) for q, terms in enumerate(queries) for i, s in sorted(brute_bm25(index, terms).items()) if s >= threshold]
+            assert list(zip(*(x.tolist() for x in index.wand(np.concatenate(queries), start[:-1], threshold)), strict=True)) == want
+            reach = index.in_reach(np.repeat(np.arange(9), np.diff(start)), np.concatenate(queries), 9, threshold)
+            assert {q for q, _, _ in want} <= set(np.flatnonzero(reach).tolist())
+
+
+def brute_search(rows, bench, threshold=0.6, overlap=0.6):
+    """Every passage of every text against every item: BM25 over all items, then the overlaps."""
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    words = lambda t: word.findall(re.sub("[A-Z\u00c0-\u00d6\u00d8-\u00de]", lambda m: m[0].lower(), t or ""))
+    bench = [(i, words(t)) for i, t in sorted({(i, t or "") for i, t in bench}, key=repr)]
+    df = Counter(x for _, w in bench for x in set(w))
+    mean, longest = sum(len(w) for _, w in bench) / len(bench), max(len(w) for _, w in bench)
+    idf = {x: math.log(1 + (len(bench) - n + 0.5) / (n + 0.5)) for x, n in df.items()}
+
+    def parts(w):
+        cut = max(1, -(-2 * len(w) // 3)) if w else 0
+        return w[:cut], w[cut:]
+
+    runs = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    out, s = [], max(48, longest)
+    for doc, text in rows:
+        best, w = {}, words(text)
+        for at in range(0, max(1, len(w) - s), s) if w else ():
+            passage = w[at : at + 2 * s]
+            held = set(passage)
+            for i, item in enumerate(x for _, x in bench):
+                tf = Counter(item)
+                gain = {x: idf[x] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(item) / max(mean, 1))) for x, n in tf.items()}
+                score = sum(v for x, v in gain.items() if x in held) / sum(gain.values()) if gain else 0
+                if score >= threshold:
+                    shares = [len(runs(p, min(3, len(p))) & runs(passage, min(3, len(p)))) / len(runs(p, min(3, len(p)))) if p else 1.0 for p in parts(item)]
+                    if all(x >= overlap for x in shares) and score > best.get(i, (0, -1.0))[1] + 1e-12:
+                        best[i] = (at, score, *shares)
+        out += [(doc, bench[i][0], *v) for i, v in best.items()]
+    return out
+
+
+def test_search_equals_a_search_of_everything(spark):
+    bench = [(i, prose(5000 + i, 31 + i % 23, 90)) for i in range(120)] + [(40, None), (41, ""), (3, prose(7, 34)), (7, prose(5007, 38, 90)), (None, prose(9, 40)), (200, "a " + thue_morse(2048, "xy"))]
+    rows = [(i, prose(i, 230, 90)) for i in range(40)] + [(50, None), (51, ""), (52, bench[3][1]), (None, bench[5][1]), (52, "again " + bench[9][1])]
+    rows += [(60 + i, prose(600 + i, 20 * i, 90) + " " + bench[2 * i][1].upper() + " " + prose(i, 70, 90) + " " + bench[2 * i + 1][1]) for i in range(30)]
+    rows += [(100, " ".join(prose(800 + i, 300, 2000) + " " + bench[i][1] for i in range(60))), (101, "a " + thue_morse(2048, "yx"))]
+    want = sorted(((*r[:3], *(round(x, 9) for x in r[3:])) for r in brute_search(rows, bench)), key=repr)
+    docs = table(spark, rows).selectExpr("*", "1 AS item_id", "2 AS score", "3 AS shard").repartition(3)
+    for shard_items, pass_bytes in ((2000, 1 << 28), (60, 1 << 28), (60, 1), (9, 1 << 28)):
+        found = decontaminate.search(docs, items(spark, bench).selectExpr("*", "1 AS shard", "'x' AS i"), shard_items=shard_items, pass_bytes=pass_bytes)
+        assert str(found._jdf.queryExecution().optimizedPlan()).count("MapInArrow") == (1 if pass_bytes > 1 else 3)
+        assert sorted(((*r[:3], *(round(x, 9) for x in r[3:])) for r in map(tuple, found.collect())), key=repr) == want
+    assert len(want) > 100 and 101 not in {r[0] for r in want}
 
 
 def test_decontamination(spark):

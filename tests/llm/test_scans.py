@@ -11,7 +11,7 @@ import pytest
 
 from corpusloom.llm import bpe, licenses, secrets
 
-from .conftest import prose, table
+from .conftest import prose, table, thue_morse
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -146,6 +146,56 @@ def test_licenses(spark):
     assert licenses.scan(docs.limit(0)).collect() == []
 
 
+def brute_spans(words, templates, k=licenses.K, max_gap=licenses.MAX_GAP, least=licenses.MIN_COVER):
+    """Votes of all equal k-grams by diagonal, neighbouring diagonals merged, spans that cover enough of a template."""
+    out = set()
+    for label, text in templates:
+        want, votes = text.split(), {}
+        for p in range(len(words) - k + 1):
+            for t in range(len(want) - k + 1):
+                if words[p : p + k] == want[t : t + k]:
+                    votes.setdefault(p - t, set()).add(t)
+        islands = []
+        for d in sorted(votes):
+            if not islands or d - islands[-1][-1] > max_gap:
+                islands.append([])
+            islands[-1].append(d)
+        for island in islands:
+            covered = {t + i for d in island for t in votes[d] for i in range(k)}
+            if len(covered) / len(want) >= least:
+                out.add((label, min(d + min(votes[d]) for d in island), max(d + max(votes[d]) + k for d in island), round(len(covered) / len(want), 9)))
+    return out
+
+
+def test_license_spans_equal_brute_force_by_row(spark):
+    """Rows without an id or with a shared one get their own spans only; a long text is scanned whole."""
+    r = random.Random(4)
+    texts = []
+    for n in range(40):
+        words = prose(n, 20).split()
+        for _ in range(2):
+            t = r.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(r.randint(0, 3)):
+                i = r.randrange(len(t))
+                t[i : i + r.randint(0, 1)] = r.choice([[], ["extra"], ["two", "more"]])
+            words += t + prose(n + 50, r.randint(0, 9)).split()
+        texts.append(" ".join(words))
+    texts.append(prose(3, 30_000, 900) + " " + texts[5] + " " + thue_morse(2048, "ab"))
+    rows = [(None if n % 4 == 0 else n % 7, t) for n, t in enumerate(texts)] + [(None, "nothing at all here"), (None, None), (1, ""), (1, "nothing")]
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    want, labels = set(), []
+    for i, t in rows:
+        words = word.findall((t or "").lower())
+        found = brute_spans(words, licenses.TEMPLATES)
+        want |= {(i, *x) for x in found}
+        base = {label for phrase, label in licenses.BASE if f" {phrase} " in f" {' '.join(words)} "}
+        labels.append((i, len(words), ",".join(sorted(base | {x[0] for x in found}))))
+    docs = table(spark, rows).selectExpr("doc_id", "xxhash64(coalesce(text, '')) AS th", "text")
+    got = {(r.doc_id, r.label, r.first_word, r.end_word, round(r.cover, 9)) for r in licenses.spans(docs).collect()}
+    assert got == want and len(want) > 40
+    assert sorted(((r.doc_id, r.n_words, r.labels) for r in licenses.scan(table(spark, rows)).collect()), key=repr) == sorted(labels, key=repr)
+
+
 def test_bpe_round_trip(spark):
     texts = [(1, "Hello, world! It's 2024."), (2, None), (3, ""), (4, "漢字 é " * 30000), (5, "x" * 200_000), (6, " \n\n  " * 5000), (7, "don't " * 30000), (1, "again")]
     rows = bpe.digests(table(spark, texts).selectExpr("*", "1 AS n_tokens"), RANKS, public_tokenizers.PATTERN, piece_chars=1000).collect()
