@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import defaultdict
 
@@ -10,7 +11,7 @@ import xxhash
 
 from corpusloom.llm import fingerprints, lines, neardup, substrings
 
-from .conftest import prose, table
+from .conftest import prose, table, thue_morse
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -41,6 +42,18 @@ def test_substrings(spark, corpus, size):
     assert sorted((tuple(r) for r in got), key=repr) == brute_windows(rows, size)
 
 
+def test_unlike_texts_by_the_thue_morse_rule(spark):
+    """Texts whose words, word orders or lines are Thue-Morse strings of two kinds: nothing is removed, nothing is linked."""
+    rows = [(i, f"{' '.join(thue_morse(n, two))} {prose(i, 30)}") for i, (n, two) in enumerate((n, two) for n in (1024, 2048, 4096) for two in ("ab", "ba"))]
+    rows += [(10 + i, prose(50, 60, 30).replace("a0", thue_morse(n, two))) for i, (n, two) in enumerate((n, two) for n in (1024, 2048, 4096) for two in ("ab", "ba"))]
+    rows += [(20, thue_morse(1024, "ab")), (21, thue_morse(1024, "ba")), (22, "one two " + thue_morse(4096, "ab")), (23, "one two " + thue_morse(4096, "ba"))]
+    docs = table(spark, rows)
+    got = substrings.dedupe(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_windows(rows, 50)
+    for shingle in (2, 5):
+        assert sorted(tuple(r) for r in neardup.dedupe(docs, shingle=shingle).collect()) == brute_components(rows, shingle, 80)
+
+
 def test_substrings_with_a_full_sketch(spark, corpus):
     """A sketch without room estimates every window repeated; the result is the same."""
     docs = table(spark, corpus)
@@ -78,6 +91,26 @@ def test_near_duplicates(spark, corpus, shingle, small):
     assert sorted(tuple(r) for r in got) == brute_components(corpus, shingle, 80)
 
 
+def test_recall_of_links_at_the_threshold(spark):
+    """Pairs just above and just below the threshold, at production parameters: all but a few of the first, none of the second."""
+    r, rows, near = random.Random(11), [], 0
+    for i in range(0, 4000, 2):
+        words = [f"w{r.randrange(200_000)}" for _ in range(r.randint(60, 200))]
+        n, edited = len(words) - 1, list(words)
+        # One replaced word changes two shingles of each text: 100 * (n - 2m) >= 80 * (n + 2m), or just not.
+        m = n // 18 + (i % 8 == 0)
+        for k in r.sample(range(1, len(words) - 1, 2), m):
+            edited[k] = f"x{r.randrange(10**9)}"
+        near += i % 8 > 0
+        rows += [(i, " ".join(words)), (i + 1, " ".join(edited))]
+    got = {x.doc_id: x.component_id for x in neardup.dedupe(table(spark, rows).repartition(6)).collect()}
+    brute = {i: c for a in range(0, 4000, 2) for i, _, c, _ in brute_components(rows[a : a + 2], 2, 80)}
+    want = {i for i in range(1, 4000, 2) if brute[i] == i - 1}
+    assert len(want) == near == 1500
+    found = {i for i, c in got.items() if c != i}
+    assert found <= want and len(found) >= 0.998 * len(want) and all(got[i] == i - 1 for i in found)
+
+
 def test_near_duplicates_edges(spark, corpus):
     assert neardup.dedupe(table(spark, corpus).limit(0)).collect() == []
     rows = [(1, "a b c"), (1, "a b c"), (2, "A B C"), (None, "a b c"), (None, None), (5, None)]
@@ -89,7 +122,9 @@ def test_lines(spark):
     boiler, common = "Subscribe to our newsletter today", "Only on nine sites, this line"
     rows = [(i, f"{prose(i, 20)}\n  {boiler}\t\r\n\nshort\nlast {i}", f"site{i % 14}") for i in range(60)]
     rows += [(100 + i, f"{common}\n{prose(200 + i, 10)}\n{common}", f"site{i % 9}") for i in range(40)]
-    rows += [(200, None, None), (201, "", "x"), (202, boiler, "y"), (None, f"{boiler}\n{boiler}", None)]
+    rows += [(200, None, None), (201, "", "x"), (202, boiler, "y"), (None, f"{boiler}\n{boiler}", None), (203, "long line " * 50_000, "z")]
+    rows += [(300 + i, f"{thue_morse(n, 'ab')}\n{thue_morse(n, 'ba')}" if i == 4 else thue_morse(n, "ab"), f"site{i}") for n in (1024, 2048, 4096) for i in range(9)]
+    rows += [(400, thue_morse(1024, "ba"), "site10"), (401, thue_morse(4096, "ba"), "site11")]
     docs = table(spark, rows).selectExpr("*", "1 AS line", "2 AS site", "3 AS n_removed")
     sites = defaultdict(set)
     for _, t, s in rows:
@@ -107,6 +142,16 @@ def test_lines(spark):
     assert lines.dedupe(docs.limit(0)).collect() == []
 
 
+def test_lines_with_too_few_bits_cannot_reach_the_estimate():
+    def estimate(ranks):
+        raw, empty = 0.709 * 64 * 64 / sum(2.0**-r for r in ranks), ranks.count(0)
+        return 64 * math.log(64 / empty) if empty and raw <= 160 else raw
+
+    for sites in (1, 3, 5, 10, 50, 100, 159, 161, 300, 1000):
+        n = lines.least_bits(sites)
+        assert all(estimate([8] * k + [0] * (64 - k)) < sites and estimate([1] * k + [0] * (64 - k)) < sites for k in range(n)), (sites, n)
+
+
 def test_line_sketches_estimate_sites(spark):
     pairs = spark.range(400).selectExpr("1 AS line", "id AS site").union(spark.range(3).selectExpr("2 AS line", "id AS site"))
     est = {r.line: r.e for r in lines.sketches(pairs.union(pairs)).withColumn("e", lines.estimate()).collect()}
