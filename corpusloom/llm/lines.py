@@ -4,15 +4,16 @@ A line is what stands between line breaks; its key is the line without white spa
 either end. A line is boilerplate, and goes wherever it occurs, when its key has at least ``least_chars`` characters and
 occurs in documents of at least ``least_sites`` distinct sites (the source column).
 
-Every occurrence turns its site into a register and a rank; a sketch of a line hash is 64 registers of ranks up
+The pairs of line and site, each once a batch of texts, are written once and read for both steps. Every pair turns its site into a register and a rank; a sketch of a line hash is 64 registers of ranks up
 to 8, held as eight 64-bit words with one bit a rank, so sketches merge by bitwise or, map-side first, and the highest bit
-of a register is its HyperLogLog rank. Lines estimated above ``wide`` times the threshold are boilerplate, lines
+of a register is its HyperLogLog rank. Lines with too few bits to come near the threshold, which are most, are left out before the
+estimate. Lines estimated above ``wide`` times the threshold are boilerplate, lines
 below the threshold divided by ``wide`` are not; the lines between get exact counts of distinct sites. The decided
 hashes are broadcast if there are at most ``most_broadcast`` of them, otherwise they meet the lines in a shuffled join.
 
 Null texts have no lines and stay null. A null source is one site of its own. Rows are independent: repeated rows and
 ids repeat their results (an id may be null); blank lines always stay; a text that loses all its lines is empty. All
-columns are kept; n_chars, where there is one, is the length of the new text. An empty table gives an empty table.
+columns are kept, and a line of any length is hashed whole; n_chars, where there is one, is the length of the new text. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -90,11 +91,20 @@ def estimate() -> Column:
     return F.when((empty > 0) & (raw <= 2.5 * REGISTERS), REGISTERS * F.log(F.lit(float(REGISTERS)) / empty)).otherwise(raw)
 
 
+def least_bits(sites: float) -> int:
+    """The fewest bits (registers that are not empty, at least) with which the estimate can reach so many sites.
+
+    The estimate of full ranks passes 2.5 sites a register, up to which empty registers are counted, from 47 registers on.
+    """
+    return min(math.ceil(REGISTERS * (1 - math.exp(-sites / REGISTERS)) - 1e-9), 46)
+
+
 def boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", least_sites: int = 10, least_chars: int = 12, wide: float = 2.0, scratch: Scratch | None = None) -> DataFrame:
     """The line hashes to remove, with how each was decided: line, sites (exact, or estimated), exact."""
     scratch = scratch or Scratch(ship(docs.sparkSession))
-    pairs = occurrences(docs, site_col, text_col, least_chars)
-    found = sketches(pairs).withColumn("sites", estimate()).where(F.col("sites") >= least_sites / wide).select("line", "sites")
+    pairs = scratch.keep(occurrences(docs, site_col, text_col, least_chars), "pairs")
+    bits = sum((F.bit_count(f"w{i}") for i in range(PLACES)), F.lit(0))
+    found = sketches(pairs).where(bits >= least_bits(least_sites / wide)).withColumn("sites", estimate()).where(F.col("sites") >= least_sites / wide).select("line", "sites")
     found = scratch.keep(found, "spread")
     near = found.where(F.col("sites") < least_sites * wide).select("line")
     exact = pairs.join(near, "line", "left_semi").distinct().groupBy("line").agg(F.count("*").cast("double").alias("sites")).where(F.col("sites") >= least_sites)
