@@ -71,7 +71,7 @@ def pages(manifest: DataFrame, extracted: DataFrame, profile: Profile = GENERIC)
 def facts(manifest: DataFrame, blobs: DataFrame, profile: Profile = GENERIC) -> DataFrame:
     """Rate facts of the pages that have them: one row a schema and slug."""
     rows = gates.indexed(manifest).where(profile.fact_pages(F.col("url"))).join(blobs, "raw_hash").where(looks_like_rates(F.col("body")))
-    found = rows.select("url", "content_hash", F.explode(rate_facts(F.col("body"))).alias("f"))
+    found = rate_facts(rows, F.col("body"), F.get(profile.fy_years(F.col("url")), 0)).select("url", "content_hash", F.explode("facts").alias("f"))
     out = found.select(
         F.lit("ato-rate-table-v1").alias("schema"), F.concat(F.lit("individual-resident-"), F.col("f.fy")).alias("slug"), "url", F.concat(F.lit("sha256:"), "content_hash").alias("content_hash"),
         F.col("f.fy").alias("fy"), F.lit("individual_resident").alias("audience"), F.col("f.brackets").alias("brackets"), F.col("f.effective_from").alias("effective_from"), F.col("f.effective_to").alias("effective_to"), F.lit(FACTS_VERSION).alias("extractor_version"),

@@ -853,7 +853,7 @@ def rate_facts(spark, sf_dir):
     html = F.concat(
         F.lit("<h1>Rates 2025-26</h1><table><tr><th>Taxable income</th><th>Tax on this income</th></tr><tr><td>0 - "), amount, F.lit("</td><td>Nil</td></tr><tr><td>over "), amount, F.lit("</td><td>$5 plus 30%</td></tr></table>")
     )
-    found = d.select("doc_id", F.explode(fx.rate_facts(html)).alias("f"))
+    found = fx.rate_facts(d, html).select("doc_id", F.explode("facts").alias("f"))
     return found.select("doc_id", "f.fy", F.col("f.brackets")[0]["to"].alias("first_to"), F.size("f.brackets").alias("n"))
 
 

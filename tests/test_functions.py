@@ -145,16 +145,33 @@ RATES = "<h1>Rates 2025–26</h1><table><tr><th>Taxable income</th><th>Tax on th
 
 
 def test_rate_tables(spark):
-    (f,) = facts.rate_tables(RATES)
-    b = f["brackets"]
+    facts_of = lambda html: facts.rate_facts(spark.createDataFrame([(html,)], "html string"), F.col("html")).first()["facts"]
+    (f,) = facts_of(RATES)
+    b = [x.asDict() for x in f["brackets"]]
     assert len(b) == 5 and b[0] == {"from": 0, "to": 18200, "rate": 0.0, "base": 0} and b[1]["rate"] == 0.16 and (b[-1]["to"], b[-1]["rate"], b[-1]["base"]) == (None, 0.45, 51638)
     assert (f["fy"], f["effective_from"], f["effective_to"]) == ("2025-26", "2025-07-01", "2026-06-30")
-    assert one(spark, F.size(facts.rate_facts(F.lit(RATES)))) == 1 and one(spark, facts.looks_like_rates(F.lit(RATES)))
-    assert not one(spark, facts.looks_like_rates(F.lit("<ul><li>news</ul>"))) and facts.rate_tables("<table></table>") == []
+    assert one(spark, facts.looks_like_rates(F.lit(RATES)))
+    assert not one(spark, facts.looks_like_rates(F.lit("<ul><li>news</ul>"))) and facts_of("<table></table>") == facts_of(None) == []
     assert one(spark, facts.dollars(F.lit("$18,200"))) == 18200 and one(spark, facts.rate(F.lit("30%"))) == 0.3 and one(spark, facts.rate(F.lit("Nil"))) == 0.0 and one(spark, facts.rate(F.lit("x"))) is None
     assert one(spark, facts.financial_year(F.lit("2025-27"))) is None
 
 
+def test_rate_tables_by_caption_url_and_heading(spark):
+    """The caption names the year, else the url, else a heading; a table without a year, or with one band, gives no fact."""
+    table = "<table>{}<tr><th>Taxable income</th><th>Tax payable</th></tr><tr><td>$0 to 10,000.50</td><td>Nil</td></tr><tr><td>More than $10,000</td><td>$1,234.56 plus 30.5%</td></tr><tr><td>Total</td><td>9%</td></tr></table>"
+    plain, named = table.format(""), table.format("<caption>Rates 2021-22</caption>")
+
+    def facts_of(html, year=None):
+        rows = spark.createDataFrame([(html, year)], "html string, year string")
+        return [(f["fy"], [tuple(b) for b in f["brackets"]]) for f in facts.rate_facts(rows, F.col("html"), F.col("year")).first()["facts"]]
+
+    bands = [(0, 10000, 0.0, 0.0), (10000, None, 0.305, 1234.56)]
+    assert facts_of(plain) == [] and facts_of(plain, "2019-20") == [("2019-20", bands)]
+    assert facts_of("<h2>2018-19</h2><h1>In 2017-18</h1>" + plain) == [("2017-18", bands)]
+    assert facts_of("<h1>In 2017-18</h1>" + plain + named + plain, "2019-20") == [("2019-20", bands), ("2021-22", bands)]
+    assert facts_of(plain.replace("More than", "About"), "2019-20") == []
+
+
 def test_fact_schemas():
     schema = profiles.ATO.schemas["ato-rate-table-v1"]
     good = {"$schema": "ato-rate-table-v1", "source_url": "u", "content_hash": "sha256:" + "a" * 64, "fy": "2025-26", "audience": "company", "brackets": [{"from": 0, "to": None, "rate": 0.3}], "effective_from": "2025-07-01", "effective_to": "2026-06-30"}
