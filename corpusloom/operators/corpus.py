@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -84,17 +85,42 @@ def read_capped(pages: DataFrame, limit: int = 30_000) -> DataFrame:
     return pages.select("path", truncated(F.col("body"), limit).alias("text"))
 
 
+#: Table functions that read nothing but their arguments, and functions that call Java or name functions at run time.
+TABLE_FUNCTIONS = ("range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack")
+_REFLECTION = r"(?is)\b(java_method|reflect|try_reflect|identifier)`?(\s|/\*.*?\*/|--[^\n]*\n)*\("
+_COMMANDS = r"(?m)^\W*'?(Insert|Create|Drop|Alter|Delete|Update|Merge|SetCommand|Add|ScriptTransformation|PlanWithUnresolvedIdentifier)\w*"
+
+
+def read_only(spark: SparkSession, sql: str, tables: Iterable[str]) -> None:
+    """Refuse (ValueError) a text that is no query, or a query that reads anything but the tables, its own common table expressions and
+    TABLE_FUNCTIONS, or that calls Java or a script. A literal that spells such a call is refused too.
+    """
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()
+    if not re.match(r"\s*(select|with|\()", sql, re.I) or re.search(_COMMANDS, plan) or re.search(_REFLECTION, sql):
+        raise ValueError("only SELECT and WITH are allowed, without scripts and reflection")
+    own = {x.strip().lower() for names in re.findall(r"(?m)^\W*CTE \[(.*?)\]", plan) for x in names.split(",")}
+    names = [x.lower() for x in re.findall(r"UnresolvedRelation \[(.*?)\], \[", plan)]
+    calls = [x.lower() for x in re.findall(r"UnresolvedTableValuedFunction \[(.*?)\]", plan)]
+    bad = sorted({x for x in names if x not in own | {t.lower() for t in tables}} | {x for x in calls if x not in TABLE_FUNCTIONS})
+    if bad:
+        raise ValueError(f"no such table: {', '.join(bad)}")
+
+
 def query(spark: SparkSession, sql: str, limit: int = SQL_ROWS, **tables: DataFrame) -> tuple[DataFrame, bool]:
-    """A read-only SQL query over named tables, at most limit rows; whether there are more. Anything but a query is refused by its plan."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    kinds = plan.toString()
-    if not re.match(r"\s*(select|with|\()", sql, re.I) or re.search(r"(?m)^\W*'?(Insert|Create|Drop|Alter|Delete|Update|Merge|SetCommand|Add)\w*", kinds):
-        raise ValueError("only SELECT and WITH are allowed")
-    rows = spark.sql(sql)
-    head = rows.limit(limit + 1)
-    return rows.limit(limit), head.count() > limit
+    """A read-only SQL query over named tables, run once: at most limit rows, and whether there are more."""
+    read_only(spark, sql, tables)
+    shadowed = {n: spark.table(n) for n in tables if spark.catalog.tableExists(n) and spark.catalog.getTable(n).isTemporary}
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(name)
+        rows = spark.sql(sql)
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)
+        for name, df in shadowed.items():
+            df.createOrReplaceTempView(name)
+    head = rows.limit(limit + 1).collect()
+    return spark.createDataFrame(head[:limit], rows.schema), len(head) > limit
 
 
 def fan_out(results: DataFrame, per_index: int = FAN_LINES) -> DataFrame:
@@ -137,13 +163,22 @@ def stratified(rows: DataFrame, by: str, key: str, label: str, n: int) -> DataFr
 
 
 def proportional(rows: DataFrame, by: str, key: str, label: str, total: int) -> DataFrame:
-    """total rows shared out in proportion to the strata (half-even, one at least), those of least hash in each; cut at total by hash."""
-    n = F.count("*").over(W.partitionBy(by))
-    size = rows.count()
-    quota = F.greatest(F.lit(1), F.bround(F.lit(float(total)) * F.col("_n") / max(size, 1)).cast("int"))
+    """total rows shared out in proportion to the strata (half-even, one at least), those of least hash in each; cut at total by hash.
+
+    Sizes come from one aggregation. Hashes are uniform, so a threshold a little above a stratum's quota lets through few more
+    rows than it needs; only these are sorted. A stratum that falls short of its quota keeps all its rows in a second pass.
+    """
+    size = F.broadcast(rows.groupBy(by).agg(F.count("*").alias("_n")))
+    n = rows.count()
+    quota = F.greatest(F.lit(1), F.bround(F.lit(float(total)) * F.col("_n") / max(n, 1)).cast("int"))
     order = F.sha2(F.concat_ws(":", F.lit(label), F.col(key)), 256)
-    place = F.row_number().over(W.partitionBy(by).orderBy(order, key))
-    return rows.withColumn("_n", n).withColumn("_k", place).where(F.col("_k") <= quota).orderBy(order, key).limit(total).drop("_n", "_k")
+    marked = rows.join(size, by).withColumn("_quota", quota).withColumn("_h", order)
+    share = F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    near = share <= (F.col("_quota") + 8 * F.sqrt(F.col("_quota")) + 8) / F.col("_n")
+    enough = marked.where(near).groupBy(by).agg(F.count("*").alias("_near"))
+    marked = marked.join(F.broadcast(enough), by, "left").where(near | (F.coalesce("_near", F.lit(0)) < F.col("_quota")))
+    place = F.row_number().over(W.partitionBy(by).orderBy("_h", key))
+    return marked.withColumn("_k", place).where(F.col("_k") <= F.col("_quota")).orderBy("_h", key).limit(total).select(*rows.columns)
 
 
 def safe_path(root: str, path: str) -> bool:

@@ -205,7 +205,8 @@ def append(entries: DataFrame, last_hash: str | None = None, columns: tuple[str,
             yield pa.RecordBatch.from_arrays([*b.drop_columns(["_json"]).columns, pa.array(before, pa.string()), pa.array(after, pa.string())], [*[n for n in b.schema.names if n != "_json"], "prev_hash", "entry_hash"])
 
     shape = entries.withColumn("prev_hash", F.lit("")).withColumn("entry_hash", F.lit("")).schema
-    return rows.coalesce(1).sortWithinPartitions("seq").mapInArrow(run, shape)
+    # A shuffle, not coalesce: reading and rendering the entries stays parallel, only the fold is one task.
+    return rows.repartition(1).sortWithinPartitions("seq").mapInArrow(run, shape)
 
 
 def verify(chain: DataFrame, columns: tuple[str, ...] = CHAINED, by: str | None = None) -> DataFrame:

@@ -13,8 +13,10 @@ MANIFEST = (
     "http_status int, http_etag string, http_last_modified string, raw_hash string, content_hash string, last_changed_at string, unchanged_streak int, "
     "crawler_version string, extractor_version string, normalizer_version string, classifier_version string, browser_version string, fail_count int, last_error string"
 )
-COLUMNS = [x.split()[0] for x in MANIFEST.split(", ")]
+MANIFEST_TYPES = dict(x.split() for x in MANIFEST.split(", "))
+COLUMNS = list(MANIFEST_TYPES)
 TIERS = ("FROZEN", "CURRENT_FORMS", "LIVING", "NEWS")
+DECISIONS = ("FETCH", "FETCH_CONDITIONAL", "SKIP", "TOMBSTONE_PURGE", "SKIPPED_BROWSER_DISABLED")
 INDEXED, TERMINAL = ("FRESH", "FROZEN"), ("FRESH", "GONE", "FROZEN", "SKIPPED_BROWSER_DISABLED")
 
 
@@ -52,8 +54,10 @@ class Config:
 
 
 def at(text: Column) -> Column:
-    """An ISO time as a timestamp in UTC; null where it cannot be read."""
-    return F.try_to_timestamp(F.regexp_replace(text, "Z$", ""))
+    """An ISO time as a timestamp, read as UTC unless it names an offset, whatever the session's zone; null where it cannot be read."""
+    plain = F.regexp_replace(F.trim(text), "Z$", "")
+    day = plain.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$")
+    return F.try_to_timestamp(F.when(day, F.concat(plain, F.lit("T00:00:00Z"))).when(plain.rlike(r"[T ]\d.*[+-]\d"), plain).otherwise(F.concat(plain, F.lit("Z"))))
 
 
 def by_tier(tier: Column, config: Config, what: str) -> Column:
@@ -152,9 +156,11 @@ def plan(manifest: DataFrame, now: Column, lastmods: DataFrame | None = None, on
 
 
 def plan_counters(planned: DataFrame) -> DataFrame:
-    """Decisions by kind and by tier in one pass: dimension, key, n."""
+    """Decisions by kind and by tier in one pass: dimension, key, n. Every known kind and tier has a row."""
     kinds = planned.groupingSets([[F.col("decision")], [F.col("tier")]], "decision", "tier").agg(F.count("*").alias("n"), F.grouping("decision").alias("g"))
-    return kinds.select(F.when(F.col("g") == 0, "decision").otherwise("tier").alias("dimension"), F.when(F.col("g") == 0, F.col("decision")).otherwise(F.col("tier")).alias("key"), "n")
+    found = kinds.select(F.when(F.col("g") == 0, "decision").otherwise("tier").alias("dimension"), F.when(F.col("g") == 0, F.col("decision")).otherwise(F.col("tier")).alias("key"), "n")
+    every = planned.sparkSession.createDataFrame([("decision", x) for x in DECISIONS] + [("tier", x) for x in TIERS], "dimension string, key string")
+    return found.join(F.broadcast(every), ["dimension", "key"], "full").select("dimension", "key", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def fetchable(planned: DataFrame, tiers: list[str] | None = None, limit: int | None = None) -> DataFrame:
@@ -179,56 +185,77 @@ def last_per_url(log: DataFrame) -> DataFrame:
     return log.groupBy("url").agg(F.max_by(F.struct(*[c for c in log.columns if c != "url"]), "seq").alias("r")).select("url", "r.*")
 
 
-def commit(manifest: DataFrame, fetch_log: DataFrame, extract_log: DataFrame, now: str, run_id: str, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
-    """(the manifest after the log, the new change log rows in log order, unchained).
-
-    The log holds one result a url (its last, by seq). An extraction that failed on a fetch that worked is an error.
-    Results of unknown urls change nothing.
-    """
-    f, v = last_per_url(fetch_log), config.versions
-    e = last_per_url(extract_log).select("url", *(F.col(c).alias(f"x_{c}") for c in ("content_hash", "ok", "reason", "extractor_version", "normalizer_version")))
-    f = f.select("url", *(F.col(c).alias(f"f_{c}") for c in f.columns if c != "url")).join(e, "url", "left")
-    worked = F.col("f_error").isNull() & (F.col("f_status") < 400) & (F.col("f_status") != 304)
-    f = f.withColumn("f_error", F.when(worked & (F.col("x_ok") == F.lit(False)), F.col("x_reason")).otherwise(F.col("f_error")))
-    j = manifest.join(f, "url", "left")
-    hit = F.col("f_seq").isNotNull()
-    error, gone, same = F.col("f_error").isNotNull(), F.col("f_status").isin(404, 410), F.col("f_status") == 304
-    case = F.when(~hit, "none").when(error, "error").when(gone, "gone").when(same, "same").otherwise("new")
-    j = j.withColumn("_case", case).withColumn("_hash", F.when(F.col("_case") == "new", F.col("x_content_hash")))
-    is_ = lambda *names: F.col("_case").isin(*names)
-    c, stamp = F.col, F.lit(now)
-    changed = c("_hash").isNotNull() & ~c("_hash").eqNullSafe(c("content_hash"))
+def _applied(c, f, now: str, v: Versions) -> tuple[dict[str, Column], Column]:
+    """What one result f(...) makes of a manifest row c(...): its new columns, and the kind of change (null: none)."""
+    worked = f("error").isNull() & (f("status") < 400) & (f("status") != 304)
+    error = F.when(worked & (f("ok") == F.lit(False)), f("reason")).otherwise(f("error"))
+    bad, gone, same = error.isNotNull(), f("status").isin(404, 410), f("status") == 304
+    case = F.when(bad, "error").when(gone, "gone").when(same, "same").otherwise("new")
+    is_ = lambda *names: case.isin(*names)
+    hash_ = F.when(is_("new"), f("content_hash"))
+    changed = hash_.isNotNull() & ~hash_.eqNullSafe(c("content_hash"))
     new = {
-        "last_attempted_at": F.when(~is_("none"), stamp).otherwise(c("last_attempted_at")),
-        "last_fetched_at": F.when(is_("gone", "same", "new"), stamp).otherwise(c("last_fetched_at")),
-        "http_status": F.when(~is_("none"), c("f_status")).otherwise(c("http_status")),
-        "http_etag": F.when(is_("same"), F.coalesce("f_etag", "http_etag")).when(is_("new"), c("f_etag")).otherwise(c("http_etag")),
-        "http_last_modified": F.when(is_("same"), F.coalesce("f_last_modified", "http_last_modified")).when(is_("new"), c("f_last_modified")).otherwise(c("http_last_modified")),
-        "raw_hash": F.when(is_("new"), c("f_raw_hash")).otherwise(c("raw_hash")),
-        "content_hash": F.coalesce("_hash", "content_hash"),
-        "last_changed_at": F.when(is_("new") & (changed | c("content_hash").isNull()), stamp).otherwise(c("last_changed_at")),
+        "last_attempted_at": F.lit(now),
+        "last_fetched_at": F.when(is_("gone", "same", "new"), F.lit(now)).otherwise(c("last_fetched_at")),
+        "http_status": f("status"),
+        "http_etag": F.when(is_("same"), F.coalesce(f("etag"), c("http_etag"))).when(is_("new"), f("etag")).otherwise(c("http_etag")),
+        "http_last_modified": F.when(is_("same"), F.coalesce(f("last_modified"), c("http_last_modified"))).when(is_("new"), f("last_modified")).otherwise(c("http_last_modified")),
+        "raw_hash": F.when(is_("new"), f("raw_hash")).otherwise(c("raw_hash")),
+        "content_hash": F.coalesce(hash_, c("content_hash")),
+        "last_changed_at": F.when(is_("new") & (changed | c("content_hash").isNull()), F.lit(now)).otherwise(c("last_changed_at")),
         "unchanged_streak": F.when(is_("same") | (is_("new") & ~changed), c("unchanged_streak") + 1).when(is_("new"), 0).otherwise(c("unchanged_streak")),
         "fail_count": F.when(is_("error"), c("fail_count") + 1).when(is_("same", "new"), 0).otherwise(c("fail_count")),
-        "last_error": F.when(is_("error"), c("f_error")).when(~is_("none"), None).otherwise(c("last_error")),
-        "state": F.when(is_("error"), "FAILED").when(is_("gone"), "GONE").when(is_("same", "new"), "FRESH").otherwise(c("state")),
-        "crawler_version": F.when(~is_("none"), F.lit(v.crawler)).otherwise(c("crawler_version")),
-        "extractor_version": F.when(is_("new"), F.coalesce("x_extractor_version", "extractor_version")).otherwise(c("extractor_version")),
-        "normalizer_version": F.when(is_("new"), F.coalesce("x_normalizer_version", "normalizer_version")).otherwise(c("normalizer_version")),
-        "browser_version": F.when(~is_("none"), F.coalesce("f_browser_version", "browser_version")).otherwise(c("browser_version")),
+        "last_error": F.when(is_("error"), error),
+        "state": F.when(is_("error"), "FAILED").when(is_("gone"), "GONE").otherwise("FRESH"),
+        "crawler_version": F.lit(v.crawler),
+        "extractor_version": F.when(is_("new"), F.coalesce(f("extractor_version"), c("extractor_version"))).otherwise(c("extractor_version")),
+        "normalizer_version": F.when(is_("new"), F.coalesce(f("normalizer_version"), c("normalizer_version"))).otherwise(c("normalizer_version")),
+        "browser_version": F.coalesce(f("browser_version"), c("browser_version")),
     }
-    after = j.select(*(new.get(x, c(x)).alias(x) for x in COLUMNS))
     kind = F.when(is_("gone") & ~c("state").eqNullSafe(F.lit("GONE")), "gone").when(is_("new") & changed, F.when(c("content_hash").isNull(), "added").otherwise("changed"))
-    log = j.withColumn("change_type", kind).where("change_type IS NOT NULL")
-    log = log.select(F.col("f_seq").alias("seq"), F.lit(now).alias("ts"), "url", "change_type", F.col("content_hash").alias("old_hash"), F.when(F.col("change_type") != "gone", F.col("_hash")).alias("new_hash"), F.lit(run_id).alias("run_id"), "tier")
-    return after, log
+    return new, kind
+
+
+_RESULT = "seq long, status int, etag string, last_modified string, raw_hash string, error string, browser_version string, content_hash string, ok boolean, reason string, extractor_version string, normalizer_version string"
+_CHANGE = "seq long, change_type string, old_hash string, new_hash string"
+
+
+def results(fetch_log: DataFrame, extract_log: DataFrame) -> DataFrame:
+    """url and results: those of the log in its order (seq), each with the last extraction of the url."""
+    e = last_per_url(extract_log).select("url", F.struct("content_hash", "ok", "reason", "extractor_version", "normalizer_version").alias("x"))
+    columns = [x.split()[0] for x in _RESULT.split(", ")]
+    there = ("seq", "status", "etag", "last_modified", "raw_hash", "error", "browser_version")
+    rows = fetch_log.join(e, "url", "left").select("url", F.struct(*(F.col(c if c in there else f"x.{c}").alias(c) for c in columns)).cast(f"struct<{_RESULT.replace(' ', ':').replace(',:', ',')}>").alias("r"))
+    return rows.groupBy("url").agg(F.array_sort(F.collect_list("r")).alias("results"))
+
+
+def commit(manifest: DataFrame, fetch_log: DataFrame, extract_log: DataFrame, now: str, run_id: str, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
+    """(the manifest after the log, the new change log rows in log order, unchained).
+
+    Every result of a url is applied, in the order of seq, to what the one before left. An extraction that failed on a fetch that worked is
+    an error. Results of unknown urls change nothing. One row holds a url's results of one run, which are its retries.
+    """
+    j = manifest.join(results(fetch_log, extract_log), "url", "left")
+    none = F.array().cast(f"array<struct<{_CHANGE.replace(' ', ':').replace(',:', ',')}>>")
+    start = F.struct(*(F.col(c).alias(c) for c in COLUMNS), none.alias("log"))
+
+    def step(s: Column, r: Column) -> Column:
+        new, kind = _applied(lambda x: s[x], lambda x: r[x], now, config.versions)
+        entry = F.struct(r["seq"].alias("seq"), kind.alias("change_type"), s["content_hash"].alias("old_hash"), F.when(kind != "gone", r["content_hash"]).alias("new_hash"))
+        log = F.when(kind.isNull(), s["log"]).otherwise(F.concat(s["log"], F.array(entry)))
+        return F.struct(*(new.get(c, s[c]).cast(MANIFEST_TYPES[c]).alias(c) for c in COLUMNS), log.alias("log"))
+
+    done = j.select(F.when(F.col("results").isNull(), start).otherwise(F.aggregate("results", start, step)).alias("s"))
+    after = done.select(*(F.col(f"s.{c}") for c in COLUMNS))
+    log = done.select("s.url", "s.tier", F.explode("s.log").alias("e"))
+    return after, log.select("e.seq", F.lit(now).alias("ts"), "url", "e.change_type", "e.old_hash", "e.new_hash", F.lit(run_id).alias("run_id"), "tier")
 
 
 def commit_counters(manifest: DataFrame, fetch_log: DataFrame, extract_log: DataFrame) -> DataFrame:
-    """applied, errors, not_modified, gone, fresh of a log."""
-    x = last_per_url(extract_log).select("url", "ok")
-    j = last_per_url(fetch_log).join(x, "url", "left").join(manifest.select("url"), "url", "left_semi")
+    """applied, errors, not_modified, gone, fresh of all results of a log."""
+    r = results(fetch_log, extract_log).join(manifest.select("url"), "url", "left_semi").select(F.explode("results").alias("r")).select("r.*")
     bad = F.col("error").isNotNull() | ((F.col("status") < 400) & (F.col("status") != 304) & (F.col("ok") == F.lit(False)))
-    return j.agg(
+    return r.agg(
         F.count("*").alias("applied"), F.count_if(bad).alias("errors"), F.count_if(~bad & (F.col("status") == 304)).alias("not_modified"),
         F.count_if(~bad & F.col("status").isin(404, 410)).alias("gone"), F.count_if(~bad & ~F.col("status").isin(304, 404, 410)).alias("fresh"),
     )
@@ -257,12 +284,28 @@ def host_floor(attempts: DataFrame, blocks: int = 3) -> DataFrame:
 
 
 def credits(calls: DataFrame, cap: int) -> DataFrame:
-    """Paid calls (seq, cost, refunded) in order against a budget: spent before each call and whether it was let through.
+    """Paid calls (account, seq, cost, refunded) in order against a budget: spent before each call and whether it was let through.
 
-    A call is let through if the settled cost of all calls before it leaves room for its own.
+    A call is let through if what was spent leaves room for its cost; only such a call, and if it is not refunded, is charged. Each
+    call depends on the one before, so an account's calls stream through one task in their order, with one number kept.
     """
-    spent = F.coalesce(F.sum(F.when(F.col("refunded"), 0).otherwise(F.col("cost"))).over(W.partitionBy("account").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return calls.withColumn("spent", spent).withColumn("allowed", F.col("spent") + F.col("cost") <= cap)
+
+    def run(batches):
+        import pyarrow as pa
+
+        at, total = object(), 0
+        for b in batches:
+            spent, allowed = [], []
+            for account, cost, refunded in zip(*(b.column(c).to_pylist() for c in ("account", "cost", "refunded")), strict=True):
+                if account != at:
+                    at, total = account, 0
+                spent.append(total)
+                allowed.append(total + (cost or 0) <= cap)
+                total += (cost or 0) if allowed[-1] and not refunded else 0
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spent, pa.int64()), pa.array(allowed, pa.bool_())], [*b.schema.names, "spent", "allowed"])
+
+    shape = calls.withColumn("spent", F.lit(0).cast("long")).withColumn("allowed", F.lit(True)).schema
+    return calls.repartition("account").sortWithinPartitions("account", "seq").mapInArrow(run, shape)
 
 
 def best_attempt(attempts: DataFrame) -> DataFrame:

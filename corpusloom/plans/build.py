@@ -85,7 +85,7 @@ def run(spark: SparkSession, root: str, seeds: DataFrame, fetch_log: DataFrame,
     manifest = storage.table(spark, root, "manifest") if before else m.empty(spark)
     tagged = seeds.select("seq", "url", "lastmod", profile.tier(F.col("url"), year).alias("tier"), profile.parent_guide(F.col("url")).alias("parent_guide"))
     seeded = _keep(spark, m.upsert_seeds(manifest, tagged, now, config).drop("action"), root, run_id, "seeded")
-    planned = _keep(spark, m.plan(seeded, F.lit(now.rstrip("Z")).cast("timestamp"), needs_browser=profile.requires_browser(F.col("url")), config=config), root, run_id, "plan")
+    planned = _keep(spark, m.plan(seeded, m.at(F.lit(now)), needs_browser=profile.requires_browser(F.col("url")), config=config), root, run_id, "plan")
     log = fetch_log.join(m.fetchable(planned).select("url"), "url", "left_semi")
     extracted = _keep(spark, extract(log, blobs, seeded, profile), root, run_id, "extract_log")
     after, changes = m.commit(seeded, log, extracted.drop("md", "anchors"), now, run_id, config)

@@ -22,7 +22,7 @@ from corpusloom.streaming import feeds
 
 
 def now():
-    return F.lit(s.NOW.rstrip("Z")).cast("timestamp")
+    return m.at(F.lit(s.NOW))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

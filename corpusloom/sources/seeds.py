@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import gzip
+import warnings
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
@@ -79,19 +81,33 @@ def sitemap_entries(body: pd.Series) -> pd.Series:
 def walk_sitemaps(sitemaps: DataFrame, roots: DataFrame, max_sitemaps: int = MAX_SITEMAPS, max_urls: int = MAX_URLS) -> DataFrame:
     """The urls reached from root sitemaps (url) through a table of sitemap bodies (url, body), each sitemap once.
 
-    One join a level of nesting; both caps stop the walk.
+    One join a level of nesting, to any depth. Sitemaps are taken level by level, roots by url, the others in the order in which they are
+    named; the walk takes max_sitemaps of them and the first max_urls of their urls, and warns where either cuts it.
     """
-    parsed = sitemaps.select("url", F.explode(sitemap_entries(F.col("body"))).alias("e")).select("url", "e.*").persist()
-    seen = level = roots.select("url").distinct()
-    found = []
-    for _ in range(50):
-        here = parsed.join(level, "url")
-        found.append(here.where("kind = 'url'").select(F.col("loc").alias("url"), "lastmod"))
-        level = here.where("kind = 'sitemap'").select(F.col("loc").alias("url")).distinct().join(seen, "url", "left_anti").persist()
-        seen = seen.union(level)
-        if level.isEmpty() or seen.count() > max_sitemaps:
+    spark = sitemaps.sparkSession
+    parsed = sitemaps.select("url", F.posexplode(sitemap_entries(F.col("body"))).alias("pos", "e")).select("url", "pos", "e.*").persist()
+    order = F.row_number().over(W.orderBy("first"))  # at most max_sitemaps rows and those after them in one level
+    level = roots.select("url").distinct().withColumn("first", F.struct(F.lit(0).alias("place"), F.lit(0).alias("pos"), "url"))
+    seen, found, n = spark.createDataFrame([], "url string"), [], 0
+    while n < max_sitemaps:
+        taken = level.orderBy("first").limit(max_sitemaps - n).select("url", (order + n).alias("place")).persist()
+        size = taken.count()
+        if not size:
             break
-    return reduce(DataFrame.union, found).limit(max_urls)
+        rest = n + size == max_sitemaps and level.count() > size
+        n, seen = n + size, seen.union(taken.select("url"))
+        here = parsed.join(taken, "url")
+        found.append(here.where("kind = 'url'").select("place", "pos", F.col("loc").alias("url"), "lastmod"))
+        children = here.where("kind = 'sitemap'").groupBy(F.col("loc").alias("url")).agg(F.min(F.struct("place", "pos", F.col("loc").alias("url"))).alias("first"))
+        level = children.join(seen, "url", "left_anti").persist()
+        if rest or (n == max_sitemaps and not level.isEmpty()):
+            warnings.warn(f"the walk stopped at {max_sitemaps} sitemaps", stacklevel=2)
+    rows = reduce(DataFrame.union, found) if found else spark.createDataFrame([], "place int, pos int, url string, lastmod string")
+    rows = rows.persist()
+    if rows.count() > max_urls:
+        warnings.warn(f"the walk stopped at {max_urls} urls", stacklevel=2)
+        rows = rows.orderBy("place", "pos").limit(max_urls)
+    return rows.select("url", "lastmod")
 
 
 def discover_sitemaps(bases: DataFrame, robots: DataFrame) -> DataFrame:

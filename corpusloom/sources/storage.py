@@ -75,14 +75,18 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file whole: to a name beside it first, then by renaming."""
+    """Write a small file whole: to a name beside it first, which then replaces it in one step, so a reader always finds the old or the new one."""
     fs, p = _fs(spark, path)
     _, tmp = _fs(spark, f"{path}.tmp")
     out = fs.create(tmp, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(p, False)
-    fs.rename(tmp, p)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    rename = getattr(hadoop, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    whole = p.makeQualified(fs.getUri(), fs.getWorkingDirectory())
+    hadoop.FileContext.getFileContext(whole.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(tmp.makeQualified(fs.getUri(), fs.getWorkingDirectory()), whole, options)
 
 
 def get_text(spark: SparkSession, path: str) -> str | None:

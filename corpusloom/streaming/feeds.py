@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpusloom.operators.manifest import at
 from corpusloom.sources.storage import LOGS
 
 
@@ -20,7 +21,7 @@ def log_stream(spark: SparkSession, path: str, kind: str, files: int = 100) -> D
 
 def once_per_run(stream: DataFrame, hours: int = 48) -> DataFrame:
     """Each (url, fetched_at) once; state older than the watermark goes."""
-    return stream.withColumn("at", F.try_to_timestamp("fetched_at")).withWatermark("at", f"{hours} hours").dropDuplicatesWithinWatermark(["url", "fetched_at"])
+    return stream.withColumn("at", at(F.col("fetched_at"))).withWatermark("at", f"{hours} hours").dropDuplicatesWithinWatermark(["url", "fetched_at"])
 
 
 def fold(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -29,18 +30,18 @@ def fold(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint:
 
 
 def blocked_hosts(attempts: DataFrame, limit: int = 3) -> DataFrame:
-    """From a stream of attempts (host, blocked): the tally of each host and whether it is latched.
+    """From a stream of attempts (host, seq, blocked): the tally of each host and whether it is latched.
 
-    A success clears the tally of a host that is not latched; a latched one stays so.
+    A success clears the tally of a host that is not latched; a latched one stays so. The attempts of a trigger, which the
+    source bounds, are taken in the order of seq.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tally, latched = state.get if state.exists else (0, False)
-        for b in batches:
-            for blocked in b["blocked"]:
-                if not latched:
-                    tally = tally + 1 if blocked else 0
-                    latched = tally >= limit
+        for blocked in pd.concat(batches).sort_values("seq", kind="stable")["blocked"]:
+            if not latched:
+                tally = tally + 1 if blocked else 0
+                latched = tally >= limit
         state.update((tally, latched))
         yield pd.DataFrame({"host": [key[0]], "tally": [tally], "latched": [latched]})
 

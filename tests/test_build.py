@@ -82,7 +82,7 @@ def test_storage(spark, tmp_path):
     assert (r.url, r.content_hash, r.anchors, r.tier, r.body) == ("https://x/p", "abc", ["a"], "LIVING", "# Body\n")
     storage.put_text(spark, f"{path}/t", "one")
     storage.put_text(spark, f"{path}/t", "two")
-    assert storage.get_text(spark, f"{path}/t") == "two" and storage.current(spark, path) is None
+    assert storage.get_text(spark, f"{path}/t") == "two" and not storage.exists(spark, f"{path}/t.tmp") and storage.current(spark, path) is None
     with pytest.raises(ValueError):
         storage.table(spark, path, "pages")
     assert storage.verify_backup(spark, path)[0] is False
@@ -98,9 +98,9 @@ def test_streams(spark, tmp_path):
     feeds.fold(feeds.log_stream(spark, str(src), "fetch"), lambda b, n: out.append((n, b.count())), str(tmp_path / "ck")).awaitTermination(60)
     assert out == [(0, 5), (1, 1)]
     (tmp_path / "at").mkdir()
-    (tmp_path / "at/x.json").write_text("\n".join(json.dumps({"host": h, "blocked": b}) for h, b in [("a", True), ("a", True), ("a", True), ("a", False), ("b", True), ("b", False)]))
-    s = feeds.blocked_hosts(spark.readStream.schema("host string, blocked boolean").json(str(tmp_path / "at")))
+    (tmp_path / "at/x.json").write_text("\n".join(json.dumps({"host": h, "seq": i, "blocked": b}) for h, i, b in [("a", 4, True), ("a", 1, True), ("a", 2, True), ("a", 3, False), ("b", 3, False), ("b", 1, True), ("b", 2, True), ("b", 4, True), ("c", 3, True), ("c", 1, True), ("c", 2, True), ("c", 4, False)]))
+    s = feeds.blocked_hosts(spark.readStream.schema("host string, seq long, blocked boolean").json(str(tmp_path / "at")))
     q = s.writeStream.outputMode("update").format("memory").queryName("hosts").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck2")).start()
     q.awaitTermination(90)
     time.sleep(0.2)
-    assert {r.host: r.latched for r in spark.table("hosts").collect()} == {"a": True, "b": False}
+    assert {r.host: r.latched for r in spark.table("hosts").collect()} == {"a": False, "b": False, "c": True}

@@ -59,6 +59,73 @@ def test_plan_options(spark):
     assert [r.decision for r in off.collect()] == ["SKIPPED_BROWSER_DISABLED"]
 
 
+def test_times_are_utc_in_any_session(spark):
+    texts = ["2026-05-24T00:00:00Z", "2026-05-24T00:00:00", "2026-05-24T00:00:00+00:00", "2026-05-24T10:00:00+10:00", "2026-05-24 00:00:00", "2026-05-24", "2026-05-23T14:00:00.5-10:00", "bad", None]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "Australia/Sydney"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            got = [r.s for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.unix_millis(m.at(F.col("t"))).alias("s")).collect()]
+            assert got == [1779580800000] * 6 + [1779580800500, None, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+FETCH = "url string, decision string, status int, etag string, last_modified string, raw_hash string, raw_bytes long, fetched_at string, error string, browser_version string, content_type string, seq long"
+EXTRACT = "url string, raw_hash string, content_hash string, title string, n_chars int, extractor_version string, normalizer_version string, ok boolean, reason string, seq long"
+
+
+def test_commit_applies_every_result_of_a_url(spark):
+    log = [("u0", 500, "boom"), ("u1", 500, "boom"), ("u1", 200, None), ("u2", 304, None), ("u0", 503, "bang"), ("u2", 304, None), ("u3", 404, None), ("u3", 200, None), ("u3", 410, None)]
+    fetch = spark.createDataFrame([(u, "FETCH", s, None, None, "r", 5, "t", e, None, "text/html", i) for i, (u, s, e) in enumerate(log)], FETCH).repartition(3)
+    extract = spark.createDataFrame([(u, "r", h, "t", 1, "E", "v1", True, "ok", i) for i, (u, h) in enumerate((("u1", "new"), ("u3", "contenthash")))], EXTRACT)
+    table = rows(spark, *[{}] * 5)
+    after, change = m.commit(table, fetch, extract, "NOW", "run")
+    a = {r.url: r for r in after.collect()}
+    assert (a["u0"].state, a["u0"].fail_count, a["u0"].last_error, a["u0"].http_status) == ("FAILED", 2, "bang", 503)
+    assert (a["u1"].state, a["u1"].fail_count, a["u1"].content_hash) == ("FRESH", 0, "new") and a["u2"].unchanged_streak == 4 and a["u3"].state == "GONE"
+    assert [(r.seq, r.url, r.change_type) for r in change.orderBy("seq").collect()] == [(2, "u1", "changed"), (6, "u3", "gone"), (8, "u3", "gone")]
+    assert a["u4"].asDict() == table.where("url = 'u4'").first().asDict()
+    assert m.commit_counters(table, fetch, extract).first().asDict() == {"applied": 9, "errors": 3, "not_modified": 2, "gone": 2, "fresh": 2}
+
+
+def test_denied_calls_are_not_charged(spark):
+    calls = [("a", 1, 6, False), ("a", 2, 6, False), ("a", 3, 3, False), ("a", 4, 1, True), ("a", 5, 1, False), ("a", 6, 1, False), ("b", 1, 11, False), (None, 1, 10, False), (None, 2, 1, False)]
+    df = spark.createDataFrame(calls, "account string, seq long, cost long, refunded boolean").repartition(3)
+    got = {(r.account, r.seq): (r.spent, r.allowed) for r in m.credits(df, 10).collect()}
+    assert got == {("a", 1): (0, True), ("a", 2): (6, False), ("a", 3): (6, True), ("a", 4): (9, True), ("a", 5): (9, True), ("a", 6): (10, False), ("b", 1): (0, False), (None, 1): (0, True), (None, 2): (10, False)}
+
+
+def test_sitemaps_are_walked_up_to_the_caps_in_order(spark):
+    top = '<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">{}</sitemapindex>'
+    leaf = '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">{}</urlset>'
+    maps = [("i", top.format("".join(f"<sitemap><loc>m{k}</loc></sitemap>" for k in (3, 1, 2)) + "<sitemap><loc>i</loc></sitemap>"))]
+    maps += [(f"m{k}", leaf.format("".join(f"<url><loc>u{k}{j}</loc></url>" for j in range(3)))) for k in (1, 2, 3)]
+    deep = [(f"d{k}", top.format(f"<sitemap><loc>d{k + 1}</loc></sitemap>")) for k in range(60)] + [("d60", leaf.format("<url><loc>deep</loc></url>"))]
+    bodies, root = spark.createDataFrame(maps, "url string, body string"), spark.createDataFrame([("i",)], "url string")
+    walk = lambda **caps: [r.url for r in seeds.walk_sitemaps(bodies, root, **caps).collect()]
+    assert sorted(walk()) == [f"u{k}{j}" for k in (1, 2, 3) for j in range(3)]
+    with pytest.warns(UserWarning, match="3 sitemaps"):
+        assert sorted(walk(max_sitemaps=3)) == ["u10", "u11", "u12", "u30", "u31", "u32"]
+    with pytest.warns(UserWarning, match="4 urls"):
+        assert walk(max_urls=4) == ["u30", "u31", "u32", "u10"]
+    three = spark.createDataFrame(deep[-4:], "url string, body string")
+    assert [r.url for r in seeds.walk_sitemaps(three, spark.createDataFrame([("d57",)], "url string")).collect()] == ["deep"]
+    assert seeds.walk_sitemaps(bodies, root.limit(0)).collect() == []
+
+
+def test_proportional_samples_are_exact(spark):
+    rows_ = [("a", f"a{i}") for i in range(5000)] + [("b", f"b{i}") for i in range(300)] + [("c", "c0")]
+    df = spark.createDataFrame(rows_, "tier string, url string").repartition(5)
+    h = lambda u: hashlib.sha256(f"l:{u}".encode()).hexdigest()
+    for total in (1, 10, 100, 2000):
+        want = []
+        for t in "abc":
+            own = sorted((u for s, u in rows_ if s == t), key=h)
+            want += own[: max(1, round(total * len(own) / len(rows_)))]
+        assert sorted(r.url for r in corpus.proportional(df, "tier", "url", "l", total).collect()) == sorted(sorted(want, key=h)[:total])
+
+
 def test_commit_transitions(spark):
     table = rows(spark, {"state": "UNSEEN", "content_hash": None, "unchanged_streak": 0}, *[{}] * 6)
     log = [("u0", 200, None), ("u1", 200, None), ("u2", 200, None), ("u3", 304, None), ("u4", 404, None), ("u5", 500, "boom"), ("u6", 200, None), ("nope", 200, None)]
@@ -190,9 +257,16 @@ def test_reading(spark):
     assert (r.text, r.total, r.more, r.verified) == ("on", 4, True, False)
     rows_, more = corpus.query(spark, "SELECT path FROM p ORDER BY path", 2, p=pages)
     assert rows_.count() == 2 and more
-    for bad in ("DROP TABLE p", "INSERT INTO p VALUES (1)", "SET x=1"):
+    bad = ("DROP TABLE p", "INSERT INTO p VALUES (1)", "SET x=1", "WITH x AS (SELECT 1) INSERT INTO p SELECT * FROM x", "SELECT * FROM text.`/etc/hosts`", "SELECT (SELECT max(value) FROM text.`/etc/hosts`)", "SELECT * FROM q")
+    bad += ("SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT `reflect` /* x */ ('a', 'b')", "SELECT IDENTIFIER('java_' || 'method')('a', 'b')", "SELECT * FROM IDENTIFIER('p')", "SELECT TRANSFORM(path) USING 'cat' FROM p")
+    bad += ("SELECT 1" + ", 1" * 60 + ", reflect('a', 'b')", "SELECT sum(1) OVER w FROM p WINDOW w AS (ORDER BY java_method('a', 'b'))", "WITH x AS (SELECT * FROM parquet.`/x`) SELECT * FROM x")
+    for text in bad:
         with pytest.raises(ValueError):
-            corpus.query(spark, bad, p=pages)
+            corpus.query(spark, text, p=pages)
+    spark.range(3).createOrReplaceTempView("kept")
+    assert corpus.query(spark, "WITH x AS (SELECT path FROM p), y AS (SELECT 1) SELECT count(*) AS n FROM x, range(2)", p=pages, kept=pages)[0].first()["n"] == 6
+    assert not spark.catalog.tableExists("p") and spark.table("kept").count() == 3
+    spark.catalog.dropTempView("kept")
     assert corpus.safe_path("/r", "a/../b") and not corpus.safe_path("/r", "../x")
     d = spark.createDataFrame([("r1", "d1", "s", None, "h1", None, 3, 9), ("r2", "d2", "s", "dom", None, "D", 0, 90_000)], "root string, dirname string, slug string, domain string, first_host string, description string, fresh long, files long")
     assert [(x.slug, x.domain, x.page_count) for x in corpus.describe(d).collect()] == [("s@d1", "h1", 3), ("s@d2", "dom", 50_000)]
