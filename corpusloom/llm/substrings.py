@@ -160,8 +160,10 @@ def cuts(found: DataFrame, scratch: Scratch) -> DataFrame:
     segments = found.groupBy("anchor", "segment").agg(F.min("doc_id").alias("least"), F.max(F.size("windows")).alias("n"))
     segments = scratch.keep(segments, "distinct")
     several = segments.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
+    several = scratch.keep(several, "several")
     # The windows of the first occurrence of each segment whose anchor has other segments; equal rows only if one document repeats it.
-    open_ = segments.join(several, "anchor", "left_semi")
+    # Kept, so that the join stands alone and the segments of a frequent anchor can be split.
+    open_ = scratch.keep(segments.join(several, "anchor", "left_semi"), "open")
     single = found.join(open_.select("anchor", "segment", F.col("least").alias("doc_id")), ["anchor", "segment", "doc_id"], "left_semi").groupBy("anchor", "segment", "doc_id").agg(F.max("windows").alias("windows"))
     single = scratch.keep(single.select("anchor", "segment", "doc_id", F.posexplode("windows").alias("i", "window")), "windows")
     least = single.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"))
