@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -209,6 +210,10 @@ def markdown(node: Node) -> str:
     return "\n\n".join(b for b in blocks if b.strip())
 
 
+#: Elements of a streamed page state whose text is one, with that of their children.
+STATE_BLOCKS = ("p", "li", "td", "th", "dt", "dd", "blockquote", "figcaption")
+
+
 def next_state(html: str) -> list[tuple[str, str]]:
     """(kind, text) of what a streamed page state holds: headings, code and text of its elements, each once."""
     lines = []
@@ -219,14 +224,34 @@ def next_state(html: str) -> list[tuple[str, str]]:
             continue
     out, seen = [], set()
 
+    def say(kind: str, text: str) -> None:
+        text = text.strip()
+        if (kind != "text" or len(text) >= 24) and text and not text.startswith("$") and (kind, text[:60]) not in seen:
+            seen.add((kind, text[:60]))
+            out.append((kind, text))
+
+    def joined(x, depth: int) -> str:
+        """The text of an element with all its children."""
+        if depth > 30:
+            return ""
+        if isinstance(x, list) and len(x) >= 4 and x[0] == "$" and isinstance(x[1], str):
+            return joined(x[3].get("children") if isinstance(x[3], dict) else None, depth + 1)
+        if isinstance(x, list):
+            return "".join(joined(v, depth + 1) for v in x)
+        return x if isinstance(x, str) and not x.startswith("$") else ""
+
     def visit(x, kind: str, depth: int) -> None:
         if depth > 30:
             return
         if isinstance(x, list) and len(x) >= 4 and x[0] == "$" and isinstance(x[1], str):
             tag, props = x[1], x[3] if isinstance(x[3], dict) else {}
             sub = "heading" if re.fullmatch(r"h[1-6]", tag) else "code" if tag in ("pre", "code") else "text"
-            for v in (props.get("children"), props.get("code") if sub == "code" else None):
-                visit(v, sub, depth + 1)
+            if sub != "text" or tag in STATE_BLOCKS:
+                say(sub, joined(props.get("children"), depth + 1))
+            else:
+                visit(props.get("children"), sub, depth + 1)
+            if sub == "code":
+                visit(props.get("code"), sub, depth + 1)
         elif isinstance(x, list):
             for v in x:
                 visit(v, kind, depth + 1)
@@ -234,10 +259,7 @@ def next_state(html: str) -> list[tuple[str, str]]:
             for v in x.values():
                 visit(v, kind, depth + 1)
         elif isinstance(x, str):
-            text = x.strip()
-            if (kind != "text" or len(text) >= 24) and text and not text.startswith("$") and (kind, text[:60]) not in seen:
-                seen.add((kind, text[:60]))
-                out.append((kind, text))
+            say(kind, x)
 
     for line in lines:
         head, _, body = line.partition(":")
@@ -278,13 +300,30 @@ def json_markdown(text: str) -> tuple[str | None, str | None]:
     return ("\n\n".join(filter(None, found)) or "```json\n" + json.dumps(data, indent=2, ensure_ascii=False) + "\n```"), title
 
 
-def extract(body: str, kind: str, patterns: tuple = ()) -> dict:
-    """Body to anchored markdown and its content hash: ok, reason, title, md, anchors, version."""
+@dataclass(frozen=True)
+class Strategy:
+    """A way of its own to read some bodies: matches(body, kind), and read(body) to (markdown or None, title or None)."""
+
+    name: str
+    matches: Callable[[str, str], bool]
+    read: Callable[[str], tuple[str | None, str | None]]
+
+
+#: An enricher: (markdown, body) to (markdown, how many things it put in). Enrichers run one after the other, before anchors and the hash.
+Enricher = Callable[[str, str], tuple[str, int]]
+
+
+def extract(body: str, kind: str, patterns: tuple = (), strategies: tuple[Strategy, ...] = (), enrichers: tuple[Enricher, ...] = ()) -> dict:
+    """Body to anchored markdown and its content hash: ok, reason, title, md, anchors, version. The first strategy that matches reads it, or else the kind's own."""
     import hashlib
 
     out = {"ok": False, "reason": f"extract-failed-{kind}", "title": None, "md": None, "anchors": [], "content_hash": None, "version": f"{EXTRACTOR_VERSION}-{kind}"}
     try:
-        if kind == "markdown":
+        own = next((s for s in strategies if s.matches(body or "", kind)), None)
+        if own is not None:
+            out["version"] = f"{EXTRACTOR_VERSION}-{own.name}"
+            md, title = own.read(body or "")
+        elif kind == "markdown":
             md = (body or "").strip() or None
             found = re.search(r"(?m)^#\s+(.+?)\s*$", md or "")
             title = found[1] if found else None
@@ -301,6 +340,8 @@ def extract(body: str, kind: str, patterns: tuple = ()) -> dict:
             state = next_state(body or "") if "__next_f" in (body or "") else []
             more = [{"heading": f"## {t}", "code": f"```\n{t}\n```"}.get(k, t) for k, t in state if not md or t[:30] not in md]
             md = "\n\n".join(filter(None, [md, *more])) or None
+        for enrich in enrichers if md else ():
+            md, _ = enrich(md, body or "")
     except Exception as e:  # a row that cannot be read is a failed row
         return out | {"reason": f"extract-error:{type(e).__name__}"}
     if md is None:
@@ -313,12 +354,12 @@ def extract(body: str, kind: str, patterns: tuple = ()) -> dict:
 EXTRACTED = "ok boolean, reason string, title string, md string, anchors array<string>, content_hash string, version string"
 
 
-def extractor(patterns: tuple = ()):
-    """A pandas UDF (body, kind) -> EXTRACTED under a profile's boilerplate patterns."""
+def extractor(patterns: tuple = (), strategies: tuple[Strategy, ...] = (), enrichers: tuple[Enricher, ...] = ()):
+    """A pandas UDF (body, kind) -> EXTRACTED under a profile's boilerplate patterns, strategies and enrichers."""
 
     @F.pandas_udf(f"struct<{EXTRACTED.replace(' ', ':').replace(',:', ',')}>")
     def run(body: pd.Series, kind: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([extract(b, k, patterns) for b, k in zip(body, kind, strict=True)], columns=[x.split()[0] for x in EXTRACTED.split(", ")])
+        return pd.DataFrame([extract(b, k, patterns, strategies, enrichers) for b, k in zip(body, kind, strict=True)], columns=[x.split()[0] for x in EXTRACTED.split(", ")])
 
     return run
 

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import importlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.html import Enricher, Strategy
 from corpusloom.functions.text import body_kind
 from corpusloom.functions.urls import api_url, host_of, path_of, segments
 
-_YEAR = r"[/\-]((?:19|20)\d{2})(?=[/\-]|$)"
-
-
 @dataclass(frozen=True)
 class Profile:
     """A site without rules of its own: every page is LIVING and general."""
@@ -31,6 +31,18 @@ class Profile:
     #: (part of the path, audience), the first that occurs counts.
     by_part: tuple[tuple[str, str], ...] = ()
     browser: bool = False
+    #: A year in the path; the first segments of news and of forms; words in the path of pages with facts: the first, and any of the others.
+    year: str = ""
+    news: str = ""
+    forms: str = ""
+    fact_parts: tuple[str, tuple[str, ...]] = ("", ())
+    #: (part of the host, audience) and (part of the path, audience), before by_part.
+    by_host: tuple[tuple[str, str], ...] = ()
+    by_own_part: tuple[tuple[str, str], ...] = ()
+    #: Plug-ins: ways to read bodies, changes of their markdown, and fact extractors (name, pages(url), rows to facts).
+    strategies: tuple[Strategy, ...] = ()
+    enrichers: tuple[Enricher, ...] = ()
+    extractors: tuple[tuple[str, Callable[[Column], Column], Callable[[DataFrame], DataFrame]], ...] = ()
 
     def tier(self, url: Column, year: int) -> Column:
         return F.lit("LIVING")
@@ -71,28 +83,25 @@ def choose(key: Column, table: dict[str, str], default: Column) -> Column:
 
 class TaxOffice(Profile):
     def tier(self, url, year):
-        found = F.regexp_extract(path_of(url), _YEAR, 1)
         path = path_of(url)
-        return F.when((found != "") & (found.try_cast("int") < year), "FROZEN").when(path.startswith("/media-centre/"), "NEWS").when(path.startswith("/forms-and-instructions/"), "CURRENT_FORMS").otherwise("LIVING")
+        found = F.regexp_extract(path, self.year, 1)
+        return F.when((found != "") & (found.try_cast("int") < year), "FROZEN").when(path.startswith(f"/{self.news}/"), "NEWS").when(path.startswith(f"/{self.forms}/"), "CURRENT_FORMS").otherwise("LIVING")
 
     def fy_years(self, url):
         """Every year of the path as the start of a financial year, each once."""
-        starts = F.regexp_extract_all(path_of(url), F.lit(_YEAR), F.lit(1))
+        starts = F.regexp_extract_all(path_of(url), F.lit(self.year), F.lit(1))
         return F.array_distinct(F.transform(starts, lambda y: F.concat(y, F.lit("-"), F.lpad(((y.cast("int") + 1) % 100).cast("string"), 2, "0"))))
 
     def parent_guide(self, url):
-        return F.when(path_of(url).startswith("/forms-and-instructions/"), F.try_element_at(segments(url), F.lit(2)))
+        return F.when(path_of(url).startswith(f"/{self.forms}/"), F.try_element_at(segments(url), F.lit(2)))
 
     def requires_browser(self, url):
         return F.lower(path_of(url)).contains("/single-page-applications/")
 
     def fact_pages(self, url):
         path = F.lower(path_of(url))
-        kinds = ("tax-rates-australian-residents", "resident-tax-rates", "individual-income-tax-rates", "tax-tables-for-", "previous-years-tax-tables")
-        any_ = F.lit(False)
-        for k in kinds:
-            any_ = any_ | path.contains(k)
-        return path.contains("tax-rates-and-codes") & any_
+        section, kinds = self.fact_parts
+        return path.contains(section) & reduce(Column.__or__, (path.contains(k) for k in kinds))
 
 
 class PythonDocs(Profile):
@@ -110,17 +119,9 @@ class WebDocs(Profile):
 
 class StateSite(Profile):
     def audience(self, url):
-        host, path = host_of(url), F.lower(path_of(url))
-        return (
-            F.when(host.contains("revenuesa"), "tax")
-            .when(host.contains("plansa") | host.contains("plan.sa.gov.au"), "planning")
-            .when(host.contains("sahealth"), "health")
-            .when(host.contains("police.sa.gov.au") | host.contains("sapol"), "police")
-            .when(path.contains("/revenue"), "tax")
-            .when(path.contains("/code-amendment") | path.contains("/planning-and-design-code"), "planning")
-            .when(path.contains("/development-applications") | path.startswith("/das"), "planning")
-            .otherwise(super().audience(url))
-        )
+        rules = [(host_of(url).contains(part), label) for part, label in self.by_host]
+        rules += [(F.lower(path_of(url)).rlike(part), label) for part, label in self.by_own_part]
+        return F.coalesce(*(F.when(rule, label) for rule, label in rules), super().audience(url))
 
 
 class Vulnerabilities(Profile):
@@ -156,7 +157,11 @@ _GOV = {
     "by_part": _GOV_PARTS,
 }
 AU_GOV = Profile("au-gov", **_GOV)
-SA_GOV = StateSite("sa-gov", **_GOV)
+SA_GOV = StateSite(
+    "sa-gov", **_GOV,
+    by_host=(("revenuesa", "tax"), ("plansa", "planning"), ("plan.sa.gov.au", "planning"), ("sahealth", "health"), ("police.sa.gov.au", "police"), ("sapol", "police")),
+    by_own_part=(("/revenue", "tax"), ("/code-amendment", "planning"), ("/planning-and-design-code", "planning"), ("/development-applications", "planning"), ("^/das", "planning")),
+)
 _ATO_SECTIONS = (
     ("individuals-and-families", "individuals", "Individuals and families"), ("businesses-and-organisations", "businesses", "Businesses and organisations"),
     ("tax-and-super-professionals", "professionals", "Tax and super professionals"), ("forms-and-instructions", "forms", "Forms and instructions"),
@@ -193,6 +198,8 @@ ATO = TaxOffice(
         (r"\bQC\s*\d{3,7}\b", ""), (r"(?i)\bSession\s*ID\s*:?\s*[A-Z0-9\-]+\b", ""), (r"(?i)\bPage\s*ID\s*:?\s*\d+\b", ""),
         (r"(©\s*Commonwealth\s+of\s+Australia)\s+\d{4}", r"\1"),
     ),
+    year=r"[/\-]((?:19|20)\d{2})(?=[/\-]|$)", news="media-centre", forms="forms-and-instructions",
+    fact_parts=("tax-rates-and-codes", ("tax-rates-australian-residents", "resident-tax-rates", "individual-income-tax-rates", "tax-tables-for-", "previous-years-tax-tables")),
     sections=_ATO_SECTIONS, schemas=_ATO_SCHEMAS, by_first_segment={slug: label for slug, label, _ in _ATO_SECTIONS},
 )
 STRIPE = Profile(

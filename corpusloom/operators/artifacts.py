@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,19 +28,21 @@ def sections(manifest: DataFrame, order: DataFrame) -> DataFrame:
     return j.select("slug", F.coalesce("title", F.initcap(F.translate("slug", "-", " "))).alias("title"), "n", F.row_number().over(W.orderBy(F.coalesce("place", F.lit(2**30)), "slug")).alias("place"))
 
 
-def guides(manifest: DataFrame) -> DataFrame:
-    """Per guide: pages, first url and the distinct financial years in its urls."""
-    years = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.regexp_extract_all("url", F.lit(r"[/\-]((?:19|20)\d{2})(?=[/\-]|$)"), F.lit(1))))))
-    return indexed(manifest).where("parent_guide IS NOT NULL").groupBy("parent_guide").agg(F.count("*").alias("n"), F.min("url").alias("first_url"), years.alias("years"))
+def guides(manifest: DataFrame, years: Column | None = None) -> DataFrame:
+    """Per guide: pages, first url and the distinct financial years (array; by default none) of its urls."""
+    every = F.array_sort(F.array_distinct(F.flatten(F.collect_set("years"))))
+    rows = indexed(manifest).where("parent_guide IS NOT NULL").withColumn("years", F.array().cast("array<string>") if years is None else years)
+    return rows.groupBy("parent_guide").agg(F.count("*").alias("n"), F.min("url").alias("first_url"), every.alias("years"))
 
 
 def listing(manifest: DataFrame, most: int = LISTED) -> DataFrame:
-    """Per tier: its guides with count and first url, and the first ungrouped pages by url."""
+    """Per tier, with its pages in all: its guides with count and first url, and the first ungrouped pages by url."""
     rows = indexed(manifest)
     grouped = rows.where("parent_guide IS NOT NULL").groupBy("tier", F.col("parent_guide").alias("name")).agg(F.count("*").alias("n"), F.min("url").alias("url"))
     place = F.row_number().over(W.partitionBy("tier").orderBy("url"))
     single = rows.where("parent_guide IS NULL").withColumn("k", place).where(F.col("k") <= most).select("tier", F.lit(None).cast("string").alias("name"), F.lit(1).cast("long").alias("n"), "url")
-    return grouped.unionByName(single)
+    total = rows.groupBy("tier").agg(F.count("*").alias("total"))
+    return grouped.unionByName(single).join(F.broadcast(total), "tier")
 
 
 def by_guide(manifest: DataFrame, pages: DataFrame) -> DataFrame:
@@ -70,3 +72,31 @@ def snapshot(manifest: DataFrame, root: DataFrame, gates: DataFrame, run_id: str
 def render_index(rows: list, title: str) -> str:
     """The markdown of a few section rows (slug, title, n)."""
     return "\n".join([f"# {title}", "", *(f"- [{r['title']}](sections/{r['slug']}/INDEX.md) ({r['n']} pages)" for r in sorted(rows, key=lambda r: r["place"])), ""])
+
+
+def render_listing(rows: list, host: str, run_id: str) -> str:
+    """The text of the listing (tier, name, n, url) for language models: by tier its guides, then its first ungrouped pages."""
+    out = [f"# {host} LLM index", "", f"Run: {run_id}", ""]
+    for tier in sorted({r["tier"] for r in rows}):
+        own = [r for r in rows if r["tier"] == tier]
+        out += [f"## {tier} ({max(r['total'] for r in own)} pages)", ""]
+        out += [f"- [{r['name']}]({r['url']}) — {r['n']} pages" for r in sorted((r for r in own if r["name"] is not None), key=lambda r: r["name"])]
+        out += [*(f"- {r['url']}" for r in sorted((r for r in own if r["name"] is None), key=lambda r: r["url"])), ""]
+    return "\n".join(out)
+
+
+def section_lines(manifest: DataFrame, pages: DataFrame, audience: Column, years: Column, grouped: tuple[str, ...] = ("forms-and-instructions",)) -> DataFrame:
+    """The lines of every section's index (slug, kind, key, line): one a page by url; in grouped sections one a guide, with its pages and years.
+
+    A section's head (kind 0) has its audience and number of pages. Sections of any size are rows; their files are a view, ordered by kind and key.
+    """
+    rows = indexed(manifest).select("url", "parent_guide", top_segment(F.col("url")).alias("slug"), audience.alias("audience"), years.alias("years"))
+    rows = rows.join(pages.select("url", "title", "md_path"), "url", "left").where("slug <> ''")
+    head = rows.groupBy("slug").agg(F.count("*").alias("n"), F.min("audience").alias("audience"))
+    head = head.select("slug", F.lit(0).alias("kind"), F.lit("").alias("key"), F.concat(F.lit("Audience: `"), "audience", F.lit("` · Pages: "), F.col("n").cast("string")).alias("line"))
+    by_guide = F.col("slug").isin(*grouped) & F.col("parent_guide").isNotNull()
+    guide = rows.where(by_guide).groupBy("slug", "parent_guide").agg(F.count("*").alias("n"), F.min("url").alias("first"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("years")))).alias("years"))
+    named = F.when(F.size("years") > 0, F.concat(F.lit(" · "), F.array_join("years", ", "))).otherwise("")
+    guide = guide.select("slug", F.lit(1).alias("kind"), F.col("parent_guide").alias("key"), F.concat(F.lit("- ["), "parent_guide", F.lit("]("), "first", F.lit(") — "), F.col("n").cast("string"), F.lit(" pages"), named).alias("line"))
+    single = rows.where(~by_guide).select("slug", F.lit(2).alias("kind"), F.col("url").alias("key"), F.concat(F.lit("- ["), F.coalesce("title", "url"), F.lit("]("), F.coalesce("md_path", "url"), F.lit(")")).alias("line"))
+    return head.unionByName(guide).unionByName(single)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -103,11 +105,12 @@ def diffs(before: DataFrame, after: DataFrame, context: int = 3, cap: int = 16_0
     return d.select("url", F.substring("d.diff", 1, cap).alias("diff"), "d.added", "d.removed", (F.char_length("d.diff") > cap).alias("truncated"))
 
 
-def forward_fill(wanted: DataFrame, current: DataFrame, earlier: DataFrame) -> DataFrame:
-    """For wanted urls that the current run lacks: the body of the newest earlier run that has it (linked), or none (missing)."""
+def forward_fill(wanted: DataFrame, current: DataFrame, earlier: DataFrame, columns: Sequence[str] = ("body",)) -> DataFrame:
+    """For wanted urls that the current run lacks: the page (columns) of the newest earlier run that has it (linked), or none (missing)."""
+    more = [c for c in columns if c != "url"]
     lacking = wanted.select("url").join(current.select("url"), "url", "left_anti")
-    newest_ = earlier.groupBy("url").agg(F.max_by(F.struct("run_id", "body"), "run_id").alias("r"))
-    return lacking.join(newest_, "url", "left").select("url", F.col("r.run_id").alias("from_run"), F.col("r.body").alias("body"), F.col("r").isNotNull().alias("linked"))
+    newest_ = earlier.join(lacking, "url", "left_semi").groupBy("url").agg(F.max_by(F.struct("run_id", *more), "run_id").alias("r"))
+    return lacking.join(newest_, "url", "left").select("url", F.col("r.run_id").alias("from_run"), *(F.col(f"r.{c}").alias(c) for c in more), F.col("r").isNotNull().alias("linked"))
 
 
 def streaks(observations: DataFrame) -> DataFrame:

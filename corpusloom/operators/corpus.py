@@ -38,11 +38,13 @@ def grep_files(pages: DataFrame, pattern: str, ignore_case: bool = False) -> Dat
 
 
 def grep_context(pages: DataFrame, pattern: str, context: int, limit: int = GREP_HITS) -> DataFrame:
-    """Matching lines with so many lines around each: path, line_no, before, line, after."""
-    w = W.partitionBy("path").orderBy("line_no")
-    rows = lines(pages.where(F.col("body").rlike(f"(?m){pattern}")))
-    rows = rows.withColumn("before", F.collect_list("line").over(w.rowsBetween(-context, -1))).withColumn("after", F.collect_list("line").over(w.rowsBetween(1, context)))
-    return rows.where(F.col("line").rlike(pattern)).orderBy("path", "line_no").limit(limit)
+    """Matching lines with so many lines around each: path, line_no, before, line, after. The lines around are cut from the page's own row."""
+    rows = pages.where(F.col("body").rlike(f"(?m){pattern}")).select("path", F.split("body", "\n").alias("all"))
+    at = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: F.get("all", i).rlike(pattern))
+    before = lambda i: F.slice("all", F.greatest(F.lit(1), i + 1 - context), F.least(i, F.lit(context)))
+    hit = lambda i: F.struct(i.alias("i"), before(i).alias("before"), F.get("all", i).alias("line"), F.slice("all", i + 2, context).alias("after"))
+    found = rows.select("path", F.explode(F.transform(at, hit)).alias("h"))
+    return found.select("path", (F.col("h.i") + 1).alias("line_no"), "h.before", "h.line", "h.after").orderBy("path", "line_no").limit(limit)
 
 
 def glob_regex(pattern: str) -> str:
@@ -81,6 +83,18 @@ def read(pages: DataFrame, path: str, offset: int = 0, limit: int = READ_CHARS,
     return row.select(*cols, *([(content_hash(F.col("body"), patterns) == F.regexp_replace("content_hash", "^sha256:", "")).alias("verified")] if verify else []))
 
 
+def read_facts(facts: DataFrame, schema: str | None = None, slug: str | None = None, limit: int = READ_CHARS) -> DataFrame:
+    """Facts as a reader sees them: path, a head of schema, source and content hash, and the fact as JSON with sorted keys, cut at limit characters."""
+    rows = facts if schema is None else facts.where(F.col("schema") == schema)
+    rows = rows if slug is None else rows.where(F.col("slug") == slug)
+    path = F.concat(F.lit("facts/"), "schema", F.lit("/"), "slug", F.lit(".json"))
+    say = lambda c: F.coalesce(c, F.lit(f"<no {c}>"))
+    head = F.concat(F.lit("# "), path, F.lit("\nschema: "), say("schema"), F.lit("\nsource_url: "), say("url"), F.lit("\ncontent_hash: "), say("content_hash"), F.lit("\n---\n"))
+    names = {"schema": "$schema", "url": "source_url"}
+    body = F.struct(*(F.col(c).alias(n) for n, c in sorted((names.get(c, c), c) for c in facts.columns if c != "slug")))
+    return rows.select(path.alias("path"), F.concat(head, truncated(F.to_json(body, {"pretty": "true"}), limit)).alias("text"))
+
+
 def read_capped(pages: DataFrame, limit: int = 30_000) -> DataFrame:
     return pages.select("path", truncated(F.col("body"), limit).alias("text"))
 

@@ -168,6 +168,13 @@ def grid(questions: DataFrame, names: DataFrame, done: DataFrame) -> DataFrame:
     return questions.select("qid").join(F.broadcast(names.select("condition"))).join(done.select("qid", "condition"), ["qid", "condition"], "left_anti")
 
 
+def questions(rows: DataFrame, qid: str | None = None, use_case: str | None = None, fresh: bool = False) -> DataFrame:
+    """The questions (qid, use_case, fresh_sensitive) of an id, of a use case, or those that need fresh pages."""
+    rows = rows if qid is None else rows.where(F.col("qid") == qid)
+    rows = rows if use_case is None else rows.where(F.col("use_case") == use_case)
+    return rows.where("fresh_sensitive") if fresh else rows
+
+
 def citations(answers: DataFrame) -> DataFrame:
     """Whether an answer (cited array, expected array) cites an expected page, or at least its host."""
     host = lambda u: F.lower(F.regexp_extract(u, r"^[^/]*//([^/]*)", 1))

@@ -157,6 +157,24 @@ def verify_envelope(e: dict, root: str | None = None) -> tuple[bool, str]:
     return (False, "root is not the expected one") if root is not None and h != root else (True, "")
 
 
+def verified_leaves(sources: list[tuple[str, DataFrame]], stored_root: str | None, checkpoint=None) -> tuple[str, DataFrame]:
+    """The first of the sources (name, pages) whose leaves give the stored root, and its pages. Nothing is proved (ValueError) without
+    such a source, or if it has two content hashes for one url.
+    """
+    if not stored_root:
+        raise ValueError("the snapshot has no root to prove against")
+    tried = []
+    for name, pages in sources:
+        root = merkle_root(leaves(pages).select("leaf"), checkpoint).first()
+        tried.append(f"{name}: {root['leaf_count']} leaves, root {str(root['root'])[:12]}")
+        if root["root"] == stored_root:
+            two = pages.where("content_hash <> ''").groupBy("url").agg(F.count_distinct("content_hash").alias("n")).where("n > 1").select("url").first()
+            if two is not None:
+                raise ValueError(f"{two['url']} has two content hashes in {name}")
+            return name, pages
+    raise ValueError(f"no leaf set gives the stored root ({'; '.join(tried)})")
+
+
 def envelopes(pages: DataFrame, urls: DataFrame, run_id: str, checkpoint=None) -> DataFrame:
     """A proof for each asked url, by its canonical form or as it is; a url that is not there gets included = false."""
     from corpusloom.functions.urls import canonical_url

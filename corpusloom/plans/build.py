@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.facts import FACTS_VERSION, looks_like_rates, rate_facts
+from corpusloom.functions.facts import FACTS_VERSION, checked, looks_like_rates, payload, rate_facts
 from corpusloom.functions.html import extractor
 from corpusloom.functions.profiles import GENERIC, Profile
 from corpusloom.functions.text import admitted, front_matter, normalizer_version
 from corpusloom.functions.urls import md_path
-from corpusloom.operators import artifacts, gates, integrity
+from corpusloom.operators import artifacts, changes, corpus, gates, integrity
 from corpusloom.operators import manifest as m
 from corpusloom.sources import storage
 
@@ -35,7 +37,7 @@ def extract(log: DataFrame, blobs: DataFrame, manifest: DataFrame, profile: Prof
         F.col("old_extractor").alias("extractor_version"), F.lit(version).alias("normalizer_version"), F.col("skip").isin("304", "unchanged-raw").alias("ok"), F.col("skip").alias("reason"), "seq",
         F.lit(None).cast("string").alias("md"), F.lit(None).cast("array<string>").alias("anchors"),
     )
-    run = extractor(profile.dynamic)
+    run = extractor(profile.dynamic, profile.strategies, profile.enrichers)
     todo = j.where("skip IS NULL").withColumn("x", run(F.col("body"), F.col("kind")))
     fine = ~F.col("x.ok") | admitted(F.col("body"), F.col("x.md"), F.col("content_type"))
     keep = lambda c: F.when(fine, F.col(f"x.{c}"))
@@ -68,19 +70,43 @@ def pages(manifest: DataFrame, extracted: DataFrame, profile: Profile = GENERIC)
     return j.select("url", "md_path", F.col("md_path").alias("path"), "title", "content_hash", "tier", "audience", "fy_years", "anchors", "parent_guide", F.col("md").alias("body"), F.concat(front_matter(row), F.col("md")).alias("page"), "extractor_version")
 
 
+def rate_table_facts(profile: Profile):
+    """The fact extractor of rate tables: (name, pages, rows to facts)."""
+
+    def found(rows: DataFrame) -> DataFrame:
+        rows = rows.where(looks_like_rates(F.col("body")))
+        rates = rate_facts(rows, F.col("body"), F.get(profile.fy_years(F.col("url")), 0)).select("url", "content_hash", F.explode("facts").alias("f"))
+        return rates.select(
+            F.lit("ato-rate-table-v1").alias("schema"), F.concat(F.lit("individual-resident-"), F.col("f.fy")).alias("slug"), "url", F.concat(F.lit("sha256:"), "content_hash").alias("content_hash"),
+            F.col("f.fy").alias("fy"), F.lit("individual_resident").alias("audience"), F.col("f.brackets").alias("brackets"), F.col("f.effective_from").alias("effective_from"), F.col("f.effective_to").alias("effective_to"), F.lit(FACTS_VERSION).alias("extractor_version"),
+        )
+
+    return "rate-tables", profile.fact_pages, found
+
+
 def facts(manifest: DataFrame, blobs: DataFrame, profile: Profile = GENERIC) -> DataFrame:
-    """Rate facts of the pages that have them: one row a schema and slug."""
-    rows = gates.indexed(manifest).where(profile.fact_pages(F.col("url"))).join(blobs, "raw_hash").where(looks_like_rates(F.col("body")))
-    found = rate_facts(rows, F.col("body"), F.get(profile.fy_years(F.col("url")), 0)).select("url", "content_hash", F.explode("facts").alias("f"))
-    out = found.select(
-        F.lit("ato-rate-table-v1").alias("schema"), F.concat(F.lit("individual-resident-"), F.col("f.fy")).alias("slug"), "url", F.concat(F.lit("sha256:"), "content_hash").alias("content_hash"),
-        F.col("f.fy").alias("fy"), F.lit("individual_resident").alias("audience"), F.col("f.brackets").alias("brackets"), F.col("f.effective_from").alias("effective_from"), F.col("f.effective_to").alias("effective_to"), F.lit(FACTS_VERSION).alias("extractor_version"),
-    )
-    return artifacts.distinct_facts(out)
+    """The facts of the pages that have them, by the profile's extractors and that of rate tables: one row a schema and slug."""
+    pages = gates.indexed(manifest)
+    every = [make(pages.where(wanted(F.col("url"))).join(blobs, "raw_hash")) for _, wanted, make in (rate_table_facts(profile), *profile.extractors)]
+    return artifacts.distinct_facts(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), every))
+
+
+def extracted_again(pages: DataFrame, manifest: DataFrame, blobs: DataFrame, run_id: str, profile: Profile = GENERIC, rate: float = 0.01, most: int = 200) -> DataFrame:
+    """A sample of the pages (its size is what the gate asks for), extracted anew from their bodies: url, content_hash, version, ok."""
+    some = corpus.sampled(pages.select("url"), "url", run_id, "determinism", rate, most)
+    rows = some.join(manifest.select("url", "raw_hash"), "url").join(blobs.select("raw_hash", "body"), "raw_hash")
+    run = extractor(profile.dynamic, profile.strategies, profile.enrichers)
+    x = rows.select("url", run(F.col("body"), profile.body_kind(F.col("body"), F.col("url"), F.lit(None).cast("string"))).alias("x"))
+    return x.select("url", "x.content_hash", "x.version", "x.ok")
 
 
 def run(spark: SparkSession, root: str, seeds: DataFrame, fetch_log: DataFrame, blobs: DataFrame, now: str, run_id: str, profile: Profile = GENERIC, config: m.Config = m.Config(), coverage: float = gates.COVERAGE, year: int = 2025) -> bool:
-    """Seed, plan, extract, commit, publish over a fetch log that answers the plan; whether the run was published."""
+    """Seed, plan, extract, commit, publish over a fetch log that answers the plan; whether the run was published. A run that raises is marked failed."""
+    with storage.guarded(spark, root, run_id):
+        return _run(spark, root, seeds, fetch_log, blobs, now, run_id, profile, config, coverage, year)
+
+
+def _run(spark, root, seeds, fetch_log, blobs, now, run_id, profile, config, coverage, year) -> bool:
     before = storage.current(spark, root)
     manifest = storage.table(spark, root, "manifest") if before else m.empty(spark)
     tagged = seeds.select("seq", "url", "lastmod", profile.tier(F.col("url"), year).alias("tier"), profile.parent_guide(F.col("url")).alias("parent_guide"))
@@ -88,23 +114,35 @@ def run(spark: SparkSession, root: str, seeds: DataFrame, fetch_log: DataFrame,
     planned = _keep(spark, m.plan(seeded, m.at(F.lit(now)), needs_browser=profile.requires_browser(F.col("url")), config=config), root, run_id, "plan")
     log = fetch_log.join(m.fetchable(planned).select("url"), "url", "left_semi")
     extracted = _keep(spark, extract(log, blobs, seeded, profile), root, run_id, "extract_log")
-    after, changes = m.commit(seeded, log, extracted.drop("md", "anchors"), now, run_id, config)
+    after, changed = m.commit(seeded, log, extracted.drop("md", "anchors"), now, run_id, config)
     after = _keep(spark, m.purge(after, planned), root, run_id, "manifest")
-    old_log = storage.table(spark, root, "changelog") if before else spark.createDataFrame([], storage.CHANGELOG)
+    old_log = storage.changelog(spark, root) if before else spark.createDataFrame([], storage.CHANGELOG)
     last = old_log.agg(F.max_by("entry_hash", "seq").alias("h"), F.coalesce(F.max("seq") + 1, F.lit(0)).alias("n")).first()
-    new = integrity.ranked(changes, "seq").withColumn("seq", F.col("i") + last["n"]).drop("i")
-    chained = _keep(spark, old_log.unionByName(integrity.append(new, last["h"]).select(*old_log.columns)), root, run_id, "changelog")
+    new = integrity.ranked(changed, "seq").withColumn("seq", F.col("i") + last["n"]).drop("i")
+    # Only the run's own entries are written; the log is those of the run before and its predecessors, and these.
+    own = _keep(spark, integrity.append(new, last["h"]).select(*old_log.columns), root, run_id, "changelog")
+    storage.put_text(spark, f"{root}/runs/{run_id}/after", before or "")
+    chained = old_log.unionByName(own)
     fresh = pages(after, extracted, profile)
-    kept = (storage.table(spark, root, "pages") if before else spark.createDataFrame([], fresh.schema)).join(fresh.select("url"), "url", "left_anti")
-    held = _keep(spark, fresh.unionByName(kept.select(*fresh.columns)).join(gates.indexed(after).select("url"), "url", "left_semi"), root, run_id, "pages")
+    kept = storage.table(spark, root, "pages").withColumn("run_id", F.lit(before)) if before else spark.createDataFrame([], fresh.schema).withColumn("run_id", F.lit(""))
+    # Indexed pages that this run did not read again are filled in from the last published run.
+    fill = changes.forward_fill(gates.indexed(after), fresh, kept, fresh.columns)
+    held = fresh.unionByName(fill.where("linked").select(*fresh.columns)).join(gates.indexed(after).select("url"), "url", "left_semi")
+    held = _keep(spark, held, root, run_id, "pages")
+    found = _keep(spark, checked(facts(after, blobs, profile), profile.schemas, payload()), root, run_id, "facts")
     genesis = lambda df: df.agg(F.min_by("run_id", "seq").alias("genesis"), F.count("*").alias("total"))
     all_ = gates.all_gates(
         gates.consistency(after, held), gates.hashes(held, profile.dynamic), gates.coverage(after, floor=coverage), gates.schema_sanity(held), gates.changelog_continuity(genesis(old_log), genesis(chained)),
+        gates.filled(fill), gates.facts_validation(found), gates.determinism(held, extracted_again(held, after, blobs, run_id, profile)),
     )
     all_ = _keep(spark, all_, root, run_id, "gates")
     tree = integrity.merkle_root(integrity.leaves(gates.indexed(after).select("url", "content_hash")))
     snapshot = artifacts.snapshot(after, tree, all_, run_id, now)
-    return storage.publish(spark, root, run_id, {"snapshot": snapshot, "routes": artifacts.routes(after, held), "facts": facts(after, blobs, profile)}, all_)
+    url = F.col("url")
+    tables = {"snapshot": snapshot, "routes": artifacts.routes(after, held), "by_guide": artifacts.by_guide(after, held), "guides": artifacts.guides(after, profile.fy_years(url)), "sections": artifacts.section_lines(after, held, profile.audience(url), profile.fy_years(url), (profile.forms,))}
+    order = spark.createDataFrame([(slug, i, title) for i, (slug, _, title) in enumerate(profile.sections)], "slug string, place int, title string")
+    texts = {"INDEX.md": artifacts.render_index(artifacts.sections(after, order).collect(), profile.host or "Index"), "llms.txt": artifacts.render_listing(artifacts.listing(after).collect(), profile.host or "site", run_id)}
+    return storage.publish(spark, root, run_id, tables, all_, texts)
 
 
 def _keep(spark: SparkSession, df: DataFrame, root: str, run_id: str, name: str) -> DataFrame:

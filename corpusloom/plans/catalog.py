@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import facts as fx
 from corpusloom.functions import html as hx
 from corpusloom.functions import text as tx
 from corpusloom.functions import urls as ux
-from corpusloom.functions.profiles import ATO, STRIPE
-from corpusloom.operators import artifacts, changes, corpus, evals, gates, integrity
+from corpusloom.functions.profiles import ATO, AU_GOV, CVE, MDN, PYTHON_DOCS, SA_GOV, STRIPE
+from corpusloom.operators import artifacts, changes, corpus, evals, fetches, gates, integrity
 from corpusloom.operators import manifest as m
 from corpusloom.plans import build
 from corpusloom.plans import standins as s
@@ -75,7 +78,7 @@ def decide(spark, sf_dir):
     return m.plan(standin(spark, sf_dir, s.MANIFEST), now()).select("url", "decision", "reason")
 
 
-@register(_with(manifest=s.MANIFEST) + _DECIDE + " SELECT 'decision' AS dimension, split_part(d, '|', 1) AS key, count(*) AS n FROM decided GROUP BY 2 UNION ALL SELECT 'tier', tier, count(*) FROM decided GROUP BY tier")
+@register(_with(manifest=s.MANIFEST) + _DECIDE + " SELECT 'decision' AS dimension, k AS key, count(url) AS n FROM (VALUES ('FETCH'), ('FETCH_CONDITIONAL'), ('SKIP'), ('TOMBSTONE_PURGE'), ('SKIPPED_BROWSER_DISABLED')) AS v(k) LEFT JOIN decided ON split_part(d, '|', 1) = k GROUP BY k UNION ALL SELECT 'tier', tier, count(*) FROM decided GROUP BY tier")
 def plan_counters(spark, sf_dir):
     return m.plan_counters(m.plan(standin(spark, sf_dir, s.MANIFEST), now()))
 
@@ -85,6 +88,25 @@ def fetchable(spark, sf_dir):
     return m.fetchable(m.plan(standin(spark, sf_dir, s.MANIFEST), now()), ["LIVING", "NEWS"]).select("url")
 
 
+@register(
+    _with(known=s.MANIFEST, seeds=s.SEEDS)
+    + """, g AS (SELECT url, max(lastmod) AS mod FROM seeds GROUP BY url),
+manifest AS (SELECT k.* REPLACE (CASE WHEN g.url IS NULL THEN sitemap_lastmod_seen ELSE mod END AS sitemap_lastmod_seen) FROM known k LEFT JOIN g ON g.url = k.url WHERE k.url IN (SELECT url FROM seeds))"""
+    + _DECIDE
+    + " SELECT url, CASE WHEN url LIKE '%7' THEN 'SKIPPED_BROWSER_DISABLED' ELSE split_part(d, '|', 1) END AS decision, CASE WHEN url LIKE '%7' THEN 'requires-browser-but-disabled' ELSE split_part(d, '|', 2) END AS reason FROM decided"
+)
+def plan_scoped(spark, sf_dir):
+    """A plan over the urls of a list, with lastmods of its own, where pages that need a browser are left out."""
+    only = standin(spark, sf_dir, s.SEEDS)
+    return m.plan(standin(spark, sf_dir, s.MANIFEST), now(), only.select("url", "lastmod"), only, False, F.col("url").endswith("7")).select("url", "decision", "reason")
+
+
+@register(_with(manifest=s.MANIFEST) + _DECIDE + " SELECT url FROM decided WHERE split_part(d, '|', 1) IN ('FETCH', 'FETCH_CONDITIONAL') ORDER BY url LIMIT 40")
+def fetchable_limit(spark, sf_dir):
+    """The first forty urls to fetch; the limit is the user's."""
+    return m.fetchable(m.plan(standin(spark, sf_dir, s.MANIFEST), now()), limit=40).select("url")
+
+
 @register(_with(manifest=s.MANIFEST) + _DECIDE + " SELECT m.url, m.state FROM manifest m LEFT JOIN decided d ON m.url = d.url AND d.d LIKE 'TOMBSTONE_PURGE%' WHERE d.url IS NULL")
 def purge(spark, sf_dir):
     rows = standin(spark, sf_dir, s.MANIFEST)
@@ -184,14 +206,15 @@ def host_floor(spark, sf_dir):
 
 @register(
     """
-WITH a AS (SELECT user_id % 20 AS account, event_id AS seq, event_id % 7 AS cost, event_type = 'error' AS refunded FROM events),
-b AS (SELECT *, coalesce(sum(CASE WHEN refunded THEN 0 ELSE cost END) OVER (PARTITION BY account ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent FROM a)
-SELECT account, seq, spent, spent + cost <= 300 AS allowed FROM b"""
+WITH RECURSIVE a AS (SELECT user_id % 20 AS account, event_id AS seq, event_id % 7 AS cost, event_type = 'error' AS refunded, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS k FROM events),
+b AS (SELECT account, seq, k, cost, refunded, 0::BIGINT AS spent FROM a WHERE k = 1
+  UNION ALL SELECT a.account, a.seq, a.k, a.cost, a.refunded, b.spent + CASE WHEN b.spent + b.cost <= 100 AND NOT b.refunded THEN b.cost ELSE 0 END FROM b JOIN a ON a.account = b.account AND a.k = b.k + 1)
+SELECT account, seq, spent, spent + cost <= 100 AS allowed FROM b"""
 )
 def credits(spark, sf_dir):
     e = _table(spark, sf_dir, "events")
     calls = e.select((F.col("user_id") % 20).alias("account"), F.col("event_id").alias("seq"), (F.col("event_id") % 7).alias("cost"), (F.col("event_type") == "error").alias("refunded"))
-    return m.credits(calls, 300).select("account", "seq", "spent", "allowed")
+    return m.credits(calls, 100).select("account", "seq", "spent", "allowed")
 
 
 @register(
@@ -223,12 +246,12 @@ WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '//([^/?#]*)', 1)) AS
 q AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs FROM p)
 SELECT page_id, host, path, coalesce(lower(segs[1]), '') AS top,
   CASE WHEN len(segs) = 0 THEN '_root.md' ELSE regexp_replace(array_to_string(list_transform(segs, lambda x: left(regexp_replace(x, '[^A-Za-z0-9._-]', '_', 'g'), 200)), '/'), '\.html$', '') || '.md' END AS md_path,
-  host LIKE '%.example.org' AND host LIKE 'www.%' AS allowed, regexp_extract(host, '^([^:]*)', 1) AS connect_host
+  host IN ('therha.example.com', 'm.therou.example.com', 'example.org') AS allowed, regexp_extract(host, '^([^:]*)', 1) AS connect_host
 FROM q"""
 )
 def url_parts(spark, sf_dir):
     u = F.col("url")
-    return _table(spark, sf_dir, "pages").select("page_id", ux.host_of(u).alias("host"), ux.path_of(u).alias("path"), ux.top_segment(u).alias("top"), ux.md_path(u).alias("md_path"), ux.host_of(u).rlike(r"^www\..*\.example\.org$").alias("allowed"), ux.connect_host(u).alias("connect_host"))
+    return _table(spark, sf_dir, "pages").select("page_id", ux.host_of(u).alias("host"), ux.path_of(u).alias("path"), ux.top_segment(u).alias("top"), ux.md_path(u).alias("md_path"), ux.allowed(u, ["Therha.example.com", "m.therou.example.com", "example.org"]).alias("allowed"), ux.connect_host(u).alias("connect_host"))
 
 
 @register(
@@ -274,14 +297,14 @@ def robots(spark, sf_dir):
     return seeds.robots_allowed(urls, hosts)
 
 
-@register()
+@register(f"SELECT {_CANON} AS url, '2026-01-01' AS lastmod FROM pages")
 def sitemap_walk(spark, sf_dir):
-    """An index over one sitemap a language, each listing the pages of that language."""
-    pages = _table(spark, sf_dir, "pages").select(ux.canonical_url(F.col("url")).alias("url"), F.regexp_extract("url", r"//[^/]*/([a-z]+)", 1).alias("lang"))
+    """An index over sitemaps of a hundred pages each."""
+    pages = _table(spark, sf_dir, "pages").select(ux.canonical_url(F.col("url")).alias("url"), F.floor(F.col("page_id") / 100).cast("string").alias("part"))
     ns = '<?xml version="1.0"?><{0} xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
     esc = F.replace("url", F.lit("&"), F.lit("&amp;"))
-    parts = pages.groupBy("lang").agg(F.concat(F.lit(ns.format("urlset")), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<url><loc>"), esc, F.lit("</loc></url>")))), ""), F.lit("</urlset>")).alias("body"))
-    maps = parts.select(F.concat(F.lit("https://x/"), "lang", F.lit(".xml")).alias("url"), "body")
+    parts = pages.groupBy("part").agg(F.concat(F.lit(ns.format("urlset")), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<url><loc>"), esc, F.lit("</loc><lastmod>2026-01-01</lastmod></url>")))), ""), F.lit("</urlset>")).alias("body"))
+    maps = parts.select(F.concat(F.lit("https://x/"), "part", F.lit(".xml")).alias("url"), "body")
     top = maps.agg(F.concat(F.lit(ns.format("sitemapindex")), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<sitemap><loc>"), "url", F.lit("</loc></sitemap>")))), ""), F.lit("</sitemapindex>")).alias("body"))
     sitemaps = maps.unionByName(top.select(F.lit("https://x/index.xml").alias("url"), "body"))
     return seeds.walk_sitemaps(sitemaps, spark.createDataFrame([("https://x/index.xml",)], "url string"))
@@ -327,7 +350,7 @@ def content_hashes(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", tx.content_hash(F.col("text")).alias("content_hash"))
 
 
-@register(r"SELECT doc_id, left(trim(regexp_replace(regexp_replace(trim(lower(left(text, 200))), '[^a-z0-9\s-]', '', 'g'), '\s+', '-', 'g'), '-'), 80) AS slug FROM documents")
+@register(r"SELECT doc_id, left(trim(regexp_replace(regexp_replace(trim(lower(text)), '[^a-z0-9\s-]', '', 'g'), '\s+', '-', 'g'), '-'), 80) AS slug FROM documents")
 def slugs(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", tx.slug(F.col("text")).alias("slug"))
 
@@ -454,14 +477,20 @@ def page_diffs(spark, sf_dir):
     return changes.diffs(a, b)
 
 
+@register("SELECT CAST(doc_id AS VARCHAR) AS url, 0::BIGINT AS added, CASE WHEN text LIKE '%' || chr(10) THEN 0 ELSE 1 END::BIGINT AS removed FROM documents WHERE contains(text, chr(10))")
+def diff_counts(spark, sf_dir):
+    """The lines put in and left out between each text and the same without its last line."""
+    return page_diffs(spark, sf_dir).select("url", F.col("added").cast("long").alias("added"), F.col("removed").cast("long").alias("removed"))
+
+
 @register(
     """
-WITH wanted AS (SELECT DISTINCT user_id FROM events), cur AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view'), old AS (SELECT user_id, max(event_id) AS r FROM events WHERE event_type = 'click' GROUP BY user_id)
+WITH wanted AS (SELECT DISTINCT user_id FROM events), cur AS (SELECT DISTINCT user_id FROM events WHERE value > 200), old AS (SELECT user_id, max(event_id) AS r FROM events WHERE value BETWEEN 80 AND 200 GROUP BY user_id)
 SELECT CAST(w.user_id AS VARCHAR) AS url, CAST(o.r AS VARCHAR) AS from_run, o.r IS NOT NULL AS linked FROM wanted w LEFT JOIN old o USING (user_id) WHERE w.user_id NOT IN (SELECT user_id FROM cur)"""
 )
 def forward_fill(spark, sf_dir):
-    e = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("url"), F.col("event_id").alias("run_id"), F.col("event_type"), F.col("props").alias("body"))
-    out = changes.forward_fill(e.select("url").distinct(), e.where("event_type = 'view'"), e.where("event_type = 'click'"))
+    e = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("url"), F.col("event_id").alias("run_id"), "value", F.col("props").alias("body"))
+    out = changes.forward_fill(e.select("url").distinct(), e.where("value > 200"), e.where("value BETWEEN 80 AND 200"))
     return out.select("url", F.col("from_run").cast("string").alias("from_run"), "linked")
 
 
@@ -527,10 +556,31 @@ def chain(spark, sf_dir):
     return _chained(spark, sf_dir).select(F.col("seq").cast("long").alias("seq"), "entry_hash")
 
 
-@register("SELECT true AS ok, CAST(NULL AS BIGINT) AS first_bad_seq, CAST(NULL AS VARCHAR) AS reason")
+@register(
+    f"""
+WITH RECURSIVE {_CHAIN},
+whole AS (SELECT c.seq, e.conv_id, e.turn, e.role, c.entry_hash, lag(c.entry_hash) OVER (ORDER BY c.seq) AS prev FROM chain c LEFT JOIN e USING (seq)),
+copies AS (
+  SELECT 'whole' AS name, * FROM whole WHERE seq > 0 UNION ALL SELECT 'changed', seq, conv_id, turn, CASE WHEN seq % 20 = 7 THEN 'x' || role ELSE role END, entry_hash, prev FROM whole WHERE seq > 0
+  UNION ALL SELECT 'cut', * FROM whole WHERE seq > 0 AND seq % 20 <> 9 UNION ALL SELECT 'headless', * FROM whole WHERE seq > 1),
+checked AS (
+  SELECT *, CASE WHEN prev <> coalesce(lag(entry_hash) OVER (PARTITION BY name ORDER BY seq), repeat('0', 64)) THEN 'prev_hash mismatch'
+    WHEN entry_hash <> sha256(prev || '{{"conv_id":' || conv_id || ',"role":"' || role || '","turn":' || turn || '}}') THEN 'entry_hash mismatch' END AS reason FROM copies)
+SELECT name, count(reason) = 0 AS ok, min(seq) FILTER (reason IS NOT NULL) AS first_bad_seq, arg_min(reason, seq) FILTER (reason IS NOT NULL) AS reason FROM checked GROUP BY name"""
+)
 def chain_check(spark, sf_dir):
-    out = integrity.verify(_chained(spark, sf_dir), ("conv_id", "turn", "role"))
-    return out.select("ok", F.col("first_bad_seq").cast("long").alias("first_bad_seq"), "reason")
+    """A chain, the same with changed entries, with entries cut out, and without its first one."""
+    whole = _chained(spark, sf_dir)
+    changed = whole.withColumn("role", F.when(F.col("seq") % 20 == 7, F.concat(F.lit("x"), "role")).otherwise(F.col("role")))
+    copies = [df.withColumn("name", F.lit(n)) for n, df in (("whole", whole), ("changed", changed), ("cut", whole.where("seq % 20 <> 9")), ("headless", whole.where("seq > 1")))]
+    out = integrity.verify(reduce(DataFrame.unionByName, copies), ("conv_id", "turn", "role"), by="name")
+    return out.select("name", "ok", F.col("first_bad_seq").cast("long").alias("first_bad_seq"), "reason")
+
+
+@register(f"WITH RECURSIVE {_CHAIN} SELECT 'sha256:' || arg_max(entry_hash, seq) AS tip, (SELECT min(conv_id) FROM conversations) AS genesis_run, count(*) AS entries FROM chain WHERE seq > 0")
+def chain_tip(spark, sf_dir):
+    """The tip of a chain, the run of its first entry (here the first conversation), and its length."""
+    return changes.chain_tip(_chained(spark, sf_dir).withColumn("run_id", F.col("conv_id"))).select("tip", "genesis_run", "entries")
 
 
 # ---- reading ---------------------------------------------------------------
@@ -557,9 +607,15 @@ def glob(spark, sf_dir):
     return corpus.glob(standin(spark, sf_dir, s.PAGES), "en/src1*7.md")
 
 
-@register(_with(pages_=s.PAGES) + " SELECT split_part(path, '/', 2) AS name, 'dir' AS kind, count(*) AS files FROM pages_ WHERE path LIKE 'en/%' GROUP BY 1")
+@register(_with(pages_=s.PAGES) + " SELECT split_part(path, '/', 2) AS name, 'dir' AS kind, NULL::BIGINT AS size, count(*) AS files FROM pages_ WHERE path LIKE 'en/%' GROUP BY 1")
 def list_dir(spark, sf_dir):
-    return corpus.list_dir(standin(spark, sf_dir, s.PAGES), "en").select("name", "kind", "files")
+    return corpus.list_dir(standin(spark, sf_dir, s.PAGES), "en").select("name", "kind", F.col("size").cast("long").alias("size"), "files")
+
+
+@register(_with(pages_=s.PAGES) + " SELECT split_part(path, '/', 3) AS name, 'file' AS kind, strlen(body)::BIGINT AS size, 1::BIGINT AS files FROM pages_ WHERE path LIKE 'en/src1/%' ORDER BY name LIMIT 500")
+def list_files(spark, sf_dir):
+    """The read tool on a folder of files; 500 rows are its contract."""
+    return corpus.list_dir(standin(spark, sf_dir, s.PAGES), "en/src1").select("name", "kind", F.col("size").cast("long").alias("size"), "files")
 
 
 _SQL = """
@@ -574,6 +630,56 @@ def sql_query(spark, sf_dir):
     return corpus.query(spark, _SQL, **{t: _table(spark, sf_dir, t) for t in ("orders", "customer", "nation")})[0]
 
 
+@register("SELECT least(count(*), 100) AS n, count(*) > 100 AS more FROM orders UNION ALL SELECT least(count(*), 100), count(*) > 100 FROM nation")
+def sql_truncated(spark, sf_dir):
+    """The rows that a query capped at 100 returns, and whether there were more."""
+    capped = [corpus.query(spark, f"SELECT * FROM {t}", 100, **{t: _table(spark, sf_dir, t)}) for t in ("orders", "nation")]
+    return reduce(DataFrame.union, (rows.agg(F.count("*").alias("n")).withColumn("more", F.lit(more)) for rows, more in capped))
+
+
+_SETS = """
+SELECT c_nationkey AS k, 'both' AS side FROM customer INTERSECT SELECT s_nationkey, 'both' FROM supplier
+UNION ALL (SELECT c_nationkey, 'customer' FROM customer EXCEPT SELECT s_nationkey, 'customer' FROM supplier)
+UNION ALL (SELECT s_nationkey, 'supplier' FROM supplier EXCEPT SELECT c_nationkey, 'customer' FROM customer)"""
+
+
+@register(_SETS)
+def sql_sets(spark, sf_dir):
+    """Set operations in a user's query."""
+    return corpus.query(spark, _SETS, **{t: _table(spark, sf_dir, t) for t in ("customer", "supplier")})[0]
+
+
+@register(_with(runs=s.RUNS) + " SELECT run_id, started_at, status FROM runs ORDER BY started_at DESC, run_id DESC LIMIT 5")
+def last_runs(spark, sf_dir):
+    """The last five runs, as the status tool shows them."""
+    return corpus.status(standin(spark, sf_dir, s.MANIFEST), standin(spark, sf_dir, s.RUNS))[1].select("run_id", "started_at", "status")
+
+
+@register(
+    _with(manifest=s.MANIFEST)
+    + """, z AS (SELECT tier, greatest(1, round_even(60.0::DOUBLE * count(*) / (SELECT count(*) FROM manifest), 0)::INT) AS quota FROM manifest GROUP BY tier),
+k AS (SELECT url, tier, sha256('audit:' || url) AS h, row_number() OVER (PARTITION BY tier ORDER BY sha256('audit:' || url), url) AS k FROM manifest)
+SELECT url, tier FROM k JOIN z USING (tier) WHERE k <= quota ORDER BY h, url LIMIT 60"""
+)
+def proportional_sample(spark, sf_dir):
+    """A sampling operator: its size is its contract."""
+    return corpus.proportional(standin(spark, sf_dir, s.MANIFEST), "tier", "url", "audit", 60).select("url", "tier")
+
+
+@register(_with(pages_=s.PAGES) + " SELECT path, md5(CASE WHEN length(body) <= 2000 THEN body ELSE left(body, 2000) || chr(10) || '… [truncated, ' || (length(body) - 2000) || ' more chars]' END) AS shown FROM pages_")
+def read_capped(spark, sf_dir):
+    """Every page as a read tool with a cap of 2,000 characters shows it."""
+    return corpus.read_capped(standin(spark, sf_dir, s.PAGES), 2000).select("path", F.md5("text").alias("shown"))
+
+
+@register(_with(pages_=s.PAGES) + " SELECT path, substr(body, 11, 50) AS text, length(body)::BIGINT AS total, length(body) > 60 AS more, false AS verified FROM pages_ WHERE path = (SELECT max(path) FROM pages_)")
+def read_part(spark, sf_dir):
+    """Fifty characters of one page from the eleventh on, and whether its body has its hash (here it has not)."""
+    pages = standin(spark, sf_dir, s.PAGES)
+    path = pages.agg(F.max("path")).first()[0]
+    return corpus.read(pages, path, 10, 50, verify=True).withColumn("total", F.col("total").cast("long"))
+
+
 @register(_with(manifest=s.MANIFEST) + " SELECT count(*) AS total, count(*) FILTER (state = 'UNSEEN') AS unseen, count(browser_version) AS rendered, count(*) FILTER (browser_version IS NOT NULL AND (http_etag IS NOT NULL OR http_last_modified IS NOT NULL)) / count(browser_version) AS cache_share FROM manifest")
 def status(spark, sf_dir):
     return corpus.status(standin(spark, sf_dir, s.MANIFEST), standin(spark, sf_dir, s.RUNS))[0]
@@ -614,14 +720,17 @@ def sections(spark, sf_dir):
     return artifacts.sections(standin(spark, sf_dir, s.MANIFEST), order).select("slug", "title", "n", F.col("place").cast("long").alias("place"))
 
 
-@register(_with(manifest=s.MANIFEST) + _INDEXED + " SELECT parent_guide, count(*) AS n, min(url) AS first_url FROM ix WHERE parent_guide IS NOT NULL GROUP BY parent_guide")
+@register(_with(manifest=s.MANIFEST) + _INDEXED + " SELECT parent_guide, count(*) AS n, min(url) AS first_url, coalesce(string_agg(DISTINCT nullif(regexp_extract(url, '/([0-9]{2})$', 1), ''), ',' ORDER BY nullif(regexp_extract(url, '/([0-9]{2})$', 1), '')), '') AS years FROM ix WHERE parent_guide IS NOT NULL GROUP BY parent_guide")
 def guides(spark, sf_dir):
-    return artifacts.guides(standin(spark, sf_dir, s.MANIFEST)).drop("years")
+    years = F.regexp_extract_all("url", F.lit(r"/([0-9]{2})$"), F.lit(1))
+    out = artifacts.guides(standin(spark, sf_dir, s.MANIFEST), years)
+    return out.withColumn("years", F.array_join("years", ","))
 
 
 @register(
     _with(manifest=s.MANIFEST) + _INDEXED + """, k AS (SELECT tier, url, row_number() OVER (PARTITION BY tier ORDER BY url) AS k FROM ix WHERE parent_guide IS NULL)
-SELECT tier, parent_guide AS name, count(*) AS n, min(url) AS url FROM ix WHERE parent_guide IS NOT NULL GROUP BY tier, parent_guide UNION ALL SELECT tier, NULL, 1, url FROM k WHERE k <= 200"""
+SELECT l.*, (SELECT count(*) FROM ix WHERE ix.tier = l.tier) AS total FROM (
+  SELECT tier, parent_guide AS name, count(*) AS n, min(url) AS url FROM ix WHERE parent_guide IS NOT NULL GROUP BY tier, parent_guide UNION ALL SELECT tier, NULL, 1, url FROM k WHERE k <= 200) AS l"""
 )
 def listing(spark, sf_dir):
     return artifacts.listing(standin(spark, sf_dir, s.MANIFEST))
@@ -684,24 +793,44 @@ def structure(spark, sf_dir):
     return evals.structure(p)
 
 
-@register(
-    """
-WITH b AS (SELECT source AS slug, CASE WHEN count(*) % 3 = 0 THEN 'failed' ELSE 'published' END AS status, count(*) AS fetched FROM documents WHERE doc_id % 2 = 0 AND source <> 'src1' GROUP BY source),
-c AS (SELECT source AS slug, CASE WHEN count(*) % 5 = 0 THEN 'degraded' ELSE 'published' END AS status, count(*) AS fetched FROM documents WHERE doc_id % 3 = 0 AND source <> 'src2' GROUP BY source),
+_DRIFT = """
+WITH b AS (SELECT 'a-' || source AS slug, CASE WHEN count(*) % 3 = 0 THEN 'failed' ELSE 'published' END AS status, count(*) AS fetched FROM documents GROUP BY source),
+c AS (SELECT CASE source WHEN 'src1' THEN 'b-' ELSE 'a-' END || source AS slug, CASE WHEN count(*) % 5 = 0 THEN 'degraded' ELSE 'published' END AS status, count(*) FILTER (n_chars % 7 > length(source) % 4) AS fetched FROM documents GROUP BY source),
 j AS (SELECT coalesce(b.slug, c.slug) AS slug, b.slug AS bs, c.slug AS cs, b.status AS b, c.status AS c, b.fetched AS bf, c.fetched AS cf FROM b FULL JOIN c ON b.slug = c.slug),
 r AS (SELECT *, CASE b WHEN 'failed' THEN 1 WHEN 'degraded' THEN 2 ELSE 3 END AS br, CASE c WHEN 'failed' THEN 1 WHEN 'degraded' THEN 2 ELSE 3 END AS cr FROM j)
 SELECT slug, 'membership' AS kind, 'info' AS severity, CASE WHEN bs IS NULL THEN 'added' ELSE 'removed' END AS detail FROM r WHERE bs IS NULL OR cs IS NULL
 UNION ALL SELECT slug, 'status', CASE WHEN cr > br THEN 'improvement' ELSE 'regression' END, b || ' -> ' || c FROM r WHERE b <> c
 UNION ALL SELECT slug, 'count', CASE WHEN cf > bf THEN 'improvement' ELSE 'regression' END, bf || ' -> ' || cf FROM r WHERE abs(cf - bf) / greatest(bf, cf, 1) > 0.2"""
-)
-def drift(spark, sf_dir):
+
+
+def _drift(spark, sf_dir):
+    """Two suites over all documents, a site each source: the second counts other pages and names one site anew."""
     d = _table(spark, sf_dir, "documents")
     none = F.array().cast("array<struct<stage:string,eval:string,rate:double>>").alias("stages")
-    b = d.where("doc_id % 2 = 0 AND source <> 'src1'").groupBy(F.col("source").alias("slug")).agg(F.count("*").alias("fetched")).select("slug", F.when(F.col("fetched") % 3 == 0, "failed").otherwise("published").alias("status"), "fetched", none)
-    c = d.where("doc_id % 3 = 0 AND source <> 'src2'").groupBy(F.col("source").alias("slug")).agg(F.count("*").alias("fetched")).select("slug", F.when(F.col("fetched") % 5 == 0, "degraded").otherwise("published").alias("status"), "fetched", none)
+    kept = F.count_if(F.col("n_chars") % 7 > F.char_length("source") % 4)
+    n = d.groupBy("source").agg(F.count("*").alias("n"), kept.alias("kept"))
+    b = n.select(F.concat(F.lit("a-"), "source").alias("slug"), F.when(F.col("n") % 3 == 0, "failed").otherwise("published").alias("status"), F.col("n").alias("fetched"), none)
+    c = n.select(F.concat(F.when(F.col("source") == "src1", "b-").otherwise("a-"), "source").alias("slug"), F.when(F.col("n") % 5 == 0, "degraded").otherwise("published").alias("status"), F.col("kept").alias("fetched"), none)
     return evals.drift(b, c)
 
 
+@register(_DRIFT)
+def drift(spark, sf_dir):
+    return _drift(spark, sf_dir)
+
+
+@register(f"WITH d AS ({_DRIFT}) SELECT count(*) FILTER (severity = 'regression') AS regressions, count(*) FILTER (severity = 'improvement') AS improvements, count(*) FILTER (kind = 'membership') AS membership FROM d")
+def drift_tally(spark, sf_dir):
+    return evals.drift_tally(_drift(spark, sf_dir))
+
+
+@register(f"WITH d AS ({_DRIFT}) SELECT row_number() OVER (ORDER BY CASE severity WHEN 'regression' THEN 1 WHEN 'improvement' THEN 2 ELSE 3 END, slug, kind) AS place, slug, kind FROM d")
+def drift_order(spark, sf_dir):
+    """The findings in the order of the report; there are at most three a site."""
+    place = F.row_number().over(W.orderBy(*evals.drift_order())).cast("long")
+    return _drift(spark, sf_dir).select(place.alias("place"), "slug", "kind")
+
+
 @register(_with(cells=s.CELLS) + " SELECT condition, avg(score) FILTER (score > 0) AS mean_score, avg(passed::INT) AS pass_rate, sum(tokens)::BIGINT AS tokens, count(*) AS cells FROM cells GROUP BY condition")
 def conditions(spark, sf_dir):
     return evals.conditions(standin(spark, sf_dir, s.CELLS))
@@ -774,19 +903,25 @@ def frontier(spark, sf_dir):
     return seeds.frontier(p.select("url", "raw_hash"), p.select("raw_hash", "body").dropDuplicates(["raw_hash"]), p.select("url"), spark.createDataFrame([], "raw_hash string"), hosts)[0]
 
 
-@register()
+@register(f"WITH RECURSIVE pages_ AS ({s.PAGES}), leaves AS ({_LEAVES}), {_ROOT} SELECT url, leaf, l[1] AS merkle_root, true AS included, ceil(log2((SELECT count(*) FROM leaves)))::BIGINT AS steps FROM leaves, tree WHERE len(l) = 1")
 def proof_envelopes(spark, sf_dir):
     """An inclusion proof for every page."""
     pages = standin(spark, sf_dir, s.PAGES)
     keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
-    return integrity.envelopes(pages, pages.select("url"), "r1", keep).select("url", "leaf", "merkle_root", "included", F.size("proof").alias("steps"))
+    return integrity.envelopes(pages, pages.select("url"), "r1", keep).select("url", "leaf", "merkle_root", "included", F.size("proof").cast("long").alias("steps"))
 
 
-@register()
+@register(
+    f"""
+WITH RECURSIVE manifest AS ({s.MANIFEST}), pages_ AS ({s.PAGES}), ix AS (SELECT * FROM manifest WHERE state IN ('FRESH', 'FROZEN') AND content_hash IS NOT NULL), leaves AS (SELECT sha256(url || ':' || content_hash) AS leaf FROM ix), {_ROOT}
+SELECT 'r1' AS run_id, CASE WHEN (SELECT count(*) FROM ix WHERE url NOT IN (SELECT url FROM pages_)) = 0 AND (SELECT count(*) FROM pages_ WHERE url NOT IN (SELECT url FROM manifest)) = 0
+    AND (SELECT count(*) FILTER (state IN ('FRESH', 'GONE', 'FROZEN')) / count(*) FROM manifest) >= 0.99 AND (SELECT count(*) FILTER (length(trim(body)) < 50 AND tier <> 'FROZEN') / count(*) FROM pages_) <= 0.05 THEN 'published' ELSE 'degraded' END AS status,
+  l[1] AS merkle_root, (SELECT count(*) FROM leaves) AS leaf_count, 3::BIGINT AS gates FROM tree WHERE len(l) = 1"""
+)
 def snapshot(spark, sf_dir):
     rows, pages = standin(spark, sf_dir, s.MANIFEST), standin(spark, sf_dir, s.PAGES)
     held = gates.all_gates(gates.consistency(rows, pages), gates.coverage(rows), gates.schema_sanity(pages))
-    return artifacts.snapshot(rows, integrity.merkle_root(integrity.leaves(gates.indexed(rows).select("url", "content_hash"))), held, "r1", s.NOW).select("run_id", "status", "merkle_root", "leaf_count", F.size("gates").alias("gates"))
+    return artifacts.snapshot(rows, integrity.merkle_root(integrity.leaves(gates.indexed(rows).select("url", "content_hash"))), held, "r1", s.NOW).select("run_id", "status", "merkle_root", "leaf_count", F.size("gates").cast("long").alias("gates"))
 
 
 @register(
@@ -812,7 +947,7 @@ def inventory(spark, sf_dir):
     return corpus.inventory(_table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("user_id").alias("bytes")))
 
 
-@register()
+@register(_with(cells=s.CELLS) + " SELECT error, score FROM cells ORDER BY error IS NULL, score NULLS FIRST, qid LIMIT 15")
 def low_scorers(spark, sf_dir):
     """The fifteen lowest cells; the report's length is its contract."""
     return evals.low_scorers(standin(spark, sf_dir, s.CELLS)).select("error", "score")
@@ -845,7 +980,7 @@ def structural_medians(spark, sf_dir):
     return evals.medians(evals.structural_flags(c))
 
 
-@register()
+@register("SELECT doc_id, '2025-26' AS fy, n_chars AS first_to, 2::BIGINT AS n FROM documents")
 def rate_facts(spark, sf_dir):
     """Rate facts of a page a document, whose amounts come from the document, and whether they are valid."""
     d = _table(spark, sf_dir, "documents").select("doc_id", "n_chars")
@@ -854,7 +989,7 @@ def rate_facts(spark, sf_dir):
         F.lit("<h1>Rates 2025-26</h1><table><tr><th>Taxable income</th><th>Tax on this income</th></tr><tr><td>0 - "), amount, F.lit("</td><td>Nil</td></tr><tr><td>over "), amount, F.lit("</td><td>$5 plus 30%</td></tr></table>")
     )
     found = fx.rate_facts(d, html).select("doc_id", F.explode("facts").alias("f"))
-    return found.select("doc_id", "f.fy", F.col("f.brackets")[0]["to"].alias("first_to"), F.size("f.brackets").alias("n"))
+    return found.select("doc_id", "f.fy", F.col("f.brackets")[0]["to"].alias("first_to"), F.size("f.brackets").cast("long").alias("n"))
 
 
 @register(
@@ -868,11 +1003,11 @@ def facts_summary(spark, sf_dir):
     return evals.facts_summary(e.select(F.col("event_id").alias("seq"), errors.alias("errors"), (F.col("event_type") != "error").alias("known")))
 
 
-@register("WITH p AS (SELECT url, regexp_matches(html, '(?i)<table') AS shaped FROM pages) SELECT regexp_extract(lower(url), '//[^/?#]*/([^/?#]*)', 1) AS section, count(*) AS n FROM p WHERE shaped GROUP BY 1")
+@register("SELECT regexp_extract(lower(url), '//[^/?#]*/([^/?#]*)', 1) AS section, count(*) AS n FROM pages WHERE regexp_matches(html, '(?i)<ul') AND NOT contains(html, '<i>') GROUP BY 1")
 def fact_gaps(spark, sf_dir):
-    """Pages with a table that gave no fact, by section."""
+    """Pages with a list that gave no fact, by section; those with italics stand for pages that did."""
     p = _table(spark, sf_dir, "pages").select("url", "html")
-    return evals.fact_gaps(p, p.where("false"), F.col("html").rlike("(?i)<table"))
+    return evals.fact_gaps(p, p.where(F.contains("html", F.lit("<i>"))), F.col("html").rlike("(?i)<ul"))
 
 
 @register("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN true ELSE doc_id % 3 <> 0 END AS admitted FROM documents")
@@ -887,3 +1022,202 @@ def routes_of_bodies(spark, sf_dir):
     i = F.col("doc_id")
     body = F.when(i % 4 == 0, F.concat(F.lit("\n%PDF-1.4 "), "text")).when(i % 4 == 1, F.concat(F.lit(' {"a": "'), "lang", F.lit('"}'))).otherwise(F.concat(F.lit("<html>"), "text"))
     return _table(spark, sf_dir, "documents").select("doc_id", tx.body_kind(body, F.when(i % 4 == 2, "https://x/a.md").otherwise("https://x/a"), F.lit(None).cast("string")).alias("kind"))
+
+
+# ---- sites, heads of pages, anchors ------------------------------------------
+
+
+@register("SELECT doc_id, CASE WHEN doc_id % 3 <> 1 THEN 'https://cveawg.mitre.org/api/cve/CVE-2024-' || doc_id END AS api FROM documents")
+def api_urls(spark, sf_dir):
+    """The record API of vulnerability pages; a malformed id has none."""
+    url = F.concat(F.lit("https://www.cve.org/CVERecord?id=cve-"), F.when(F.col("doc_id") % 3 == 1, "24-").otherwise("2024-"), F.col("doc_id").cast("string"))
+    return _table(spark, sf_dir, "documents").select("doc_id", CVE.api_url(url).alias("api"))
+
+
+_SITES = """
+WITH u AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '2.7' WHEN 1 THEN '3' WHEN 2 THEN '3.12' ELSE '2' END AS v, CASE doc_id % 3 WHEN 0 THEN 'library' WHEN 1 THEN 'whatsnew' ELSE 'x' END AS part FROM documents)"""
+
+
+@register(_SITES + " SELECT doc_id, CASE WHEN v LIKE '2%' THEN 'FROZEN' ELSE 'LIVING' END AS tier, CASE part WHEN 'library' THEN 'stdlib' WHEN 'whatsnew' THEN 'release-notes' ELSE 'reference' END AS audience FROM u")
+def python_docs_urls(spark, sf_dir):
+    i = F.col("doc_id")
+    v = F.when(i % 4 == 0, "2.7").when(i % 4 == 1, "3").when(i % 4 == 2, "3.12").otherwise("2")
+    url = F.concat(F.lit("https://docs.python.org/"), v, F.lit("/"), F.when(i % 3 == 0, "library").when(i % 3 == 1, "whatsnew").otherwise("x"), F.lit("/a.html"))
+    return _table(spark, sf_dir, "documents").select("doc_id", PYTHON_DOCS.tier(url, 2025).alias("tier"), PYTHON_DOCS.audience(url).alias("audience"))
+
+
+@register(
+    "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'css' WHEN 1 THEN 'web-api' ELSE 'reference' END AS mdn, CASE doc_id % 4 WHEN 0 THEN 'individuals' WHEN 1 THEN 'news' WHEN 2 THEN 'legal' ELSE 'general' END AS gov, "
+    "CASE WHEN doc_id % 5 = 0 THEN 'planning' WHEN doc_id % 4 = 0 THEN 'individuals' WHEN doc_id % 4 = 1 THEN 'news' WHEN doc_id % 4 = 2 THEN 'legal' ELSE 'general' END AS state FROM documents"
+)
+def site_audiences(spark, sf_dir):
+    """The audiences of reference, government and state pages, by part of the path or by host."""
+    i = F.col("doc_id")
+    part = F.when(i % 3 == 0, "CSS").when(i % 3 == 1, "API").otherwise("Other")
+    path = F.when(i % 4 == 0, "/people/x").when(i % 4 == 1, "/media/x").when(i % 4 == 2, "/law/x").otherwise("/zzz")
+    host = F.when(i % 5 == 0, "https://plan.sa.gov.au").otherwise("https://www.sa.gov.au")
+    return _table(spark, sf_dir, "documents").select(
+        "doc_id", MDN.audience(F.concat(F.lit("https://developer.mozilla.org/en-US/docs/Web/"), part)).alias("mdn"), AU_GOV.audience(F.concat(F.lit("https://www.gov.au"), path)).alias("gov"), SA_GOV.audience(F.concat(host, path)).alias("state")
+    )
+
+
+@register(
+    _with(manifest=s.MANIFEST, pages_=s.PAGES)
+    + " SELECT m.url, m.tier, coalesce('sha256:' || m.content_hash, 'null') AS content_hash, coalesce(m.parent_guide, 'null') AS guide, '[\"a\", \"' || m.tier || '\"]' AS anchors, md5(p.body) AS body, true AS page_starts FROM manifest m JOIN pages_ p USING (url)"
+)
+def front_matter(spark, sf_dir):
+    """The head and body of each page, rendered and read again."""
+    rows = standin(spark, sf_dir, s.MANIFEST).join(standin(spark, sf_dir, s.PAGES).select("url", "title", "audience", "body"), "url")
+    row = {c: F.col(c) for c in rows.columns if c in tx.FRONT_KEYS} | {"fetched_at": F.col("last_fetched_at"), "sitemap_lastmod": F.col("sitemap_lastmod_seen")}
+    row |= {"fy_years": F.array().cast("array<string>"), "anchors": F.array(F.lit("a"), F.col("tier"))}
+    page = rows.select(F.concat(tx.front_matter(row), "body").alias("page"))
+    head, body = tx.split_front(F.col("page"))
+    got = page.select("page", head.alias("head"), body.alias("body"))
+    return got.select(*(F.col("head")[k].alias(v) for k, v in (("url", "url"), ("tier", "tier"), ("content_hash", "content_hash"), ("parent_guide", "guide"), ("anchors", "anchors"))), F.md5("body").alias("body"), F.col("page").startswith("---\nurl: ").alias("page_starts"))
+
+
+@register("SELECT doc_id, 'part,' || lang || ',part-2,section,kept' AS anchors FROM documents")
+def heading_anchors(spark, sf_dir):
+    """The anchors of headings that repeat, have no letters, or carry one already (which is kept)."""
+    md = F.concat(F.lit("# Part\n\ntext\n## "), "lang", F.lit("\n## Part\n### !!\n### Own {#own}\n## Kept\n"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.anchored(md)["anchors"], ",").alias("anchors"))
+
+
+@register(
+    """
+WITH b AS (SELECT DISTINCT 'https://' || source AS base, length(source) = 4 AS named FROM documents),
+k(pos, p) AS (VALUES (0, '/sitemap.xml'), (1, '/sitemap_index.xml'), (2, '/sitemap-index.xml'), (3, '/sitemap.xml.gz'), (4, '/sitemaps.xml'), (5, '/sitemap/sitemap.xml'), (6, '/sitemap1.xml'))
+SELECT base, pos::BIGINT AS pos, base || CASE pos WHEN 0 THEN '/a.xml' ELSE '/b.xml' END AS url FROM b, k WHERE named AND pos < 2 UNION ALL SELECT base, pos, base || p FROM b, k WHERE NOT named"""
+)
+def sitemap_candidates(spark, sf_dir):
+    """The sitemaps that a site's robots text names, or the usual places."""
+    bases = _table(spark, sf_dir, "documents").select(F.concat(F.lit("https://"), "source").alias("base"), (F.char_length("source") == 4).alias("named")).distinct()
+    robots = bases.where("named").select("base", F.concat(F.lit("User-agent: *\nSitemap: "), "base", F.lit("/a.xml\nDisallow: /x\nsitemap:  "), "base", F.lit("/b.xml\n")).alias("body"))
+    return seeds.discover_sitemaps(bases.select("base"), robots).withColumn("pos", F.col("pos").cast("long"))
+
+
+@register(_with(changelog=s.CHANGELOG, runs=s.RUNS) + _DELTA + """, p AS (SELECT *, row_number() OVER (PARTITION BY net ORDER BY ts DESC, first_seq) AS place, count(*) OVER (PARTITION BY net) AS total FROM n WHERE net IS NOT NULL AND tier = 'LIVING' AND url LIKE 'https://www.example.org/click/%')
+SELECT net, place, url, total FROM p WHERE place > 3 AND place <= 23""")
+def changed_page(spark, sf_dir):
+    """The second page of the changes of one tier under one prefix."""
+    return changes.changed_since(standin(spark, sf_dir, s.CHANGELOG), standin(spark, sf_dir, s.RUNS), "r02", "https://www.example.org/click/", "LIVING", 20, 3).select("net", "place", "url", "total")
+
+
+@register("SELECT CASE WHEN doc_id % 3 = 0 THEN 'https://h/' || doc_id END AS url, count(*) FILTER (doc_id % 3 = 0)::BIGINT AS n FROM documents WHERE doc_id % 3 = 0 GROUP BY 1")
+def urls_in_answers(spark, sf_dir):
+    """The urls that answers name."""
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("see (https://h/"), F.col("doc_id").cast("string"), F.lit("), and more"))).otherwise("nothing")
+    return _table(spark, sf_dir, "documents").select(F.explode(tx.urls_in(text)).alias("url")).groupBy("url").agg(F.count("*").alias("n"))
+
+
+@register("SELECT CAST(source AS VARCHAR) AS slug, count(*) AS n FROM documents GROUP BY source")
+def fact_counts(spark, sf_dir):
+    """Facts by schema."""
+    return artifacts.fact_counts(_table(spark, sf_dir, "documents").select(F.col("source").alias("schema"))).withColumnRenamed("schema", "slug")
+
+
+@register("SELECT count(*) FILTER (lang = 'en') AS published, count(*) FILTER (lang = 'fr') AS degraded, count(*) FILTER (lang = 'de') AS failed, sum(n_chars)::BIGINT AS pages, sum(doc_id)::BIGINT AS credits FROM documents")
+def suite_headline(spark, sf_dir):
+    status = F.when(F.col("lang") == "en", "published").when(F.col("lang") == "fr", "degraded").when(F.col("lang") == "de", "failed").otherwise("running")
+    return evals.headline(_table(spark, sf_dir, "documents").select(status.alias("status"), F.col("n_chars").alias("fetched"), F.col("doc_id").alias("credits")))
+
+
+# ---- fetch rules, robots texts, sections ---------------------------------------
+
+
+@register("SELECT event_type AS status, count(*) AS n FROM events GROUP BY event_type")
+def status_histogram(spark, sf_dir):
+    return fetches.histogram(_table(spark, sf_dir, "events").select(F.col("event_type").alias("status")))
+
+
+@register(
+    """
+WITH l AS (SELECT doc_id, source, strlen(text)::BIGINT AS size FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'http-500' WHEN doc_id % 4 = 2 THEN 'redirect-off-allowlist:evil.' || source END AS error, doc_id % 4 IN (0, 3) AS stored FROM l"""
+)
+def refused_fetches(spark, sf_dir):
+    """Results that failed, that ended on a host that is not allowed, and those that may be stored."""
+    d, i = _table(spark, sf_dir, "documents"), F.col("doc_id")
+    host = F.when(i % 4 == 2, F.concat(F.lit("evil."), "source")).when(i % 4 == 3, F.lit("api.example.org")).otherwise("www.example.org")
+    api = F.when(i % 4 == 3, F.lit("https://api.example.org/q"))
+    log = d.select("doc_id", F.concat(F.lit("https://"), host, F.lit("/x")).alias("final_url"), F.col("text").alias("body"), F.when(i % 4 == 1, "http-500").alias("error"), api.alias("api_url"))
+    return fetches.screened(log, ["www.example.org"]).select("doc_id", "error", F.col("body").isNotNull().alias("stored"))
+
+
+@register("SELECT event_id, least(30.0, 1.5 * pow(2, event_id % 7))::DOUBLE AS plain, greatest(least(30.0, 1.5 * pow(2, event_id % 7)), CASE WHEN event_id % 3 = 0 THEN event_id % 50 ELSE 0 END)::DOUBLE AS told, event_id % 11 IN (3, 4, 5) AS escalated FROM events")
+def retries(spark, sf_dir):
+    """The waits after attempts, with and without a Retry-After, and the statuses at which another transport takes over."""
+    i = F.col("event_id")
+    after = F.when(i % 3 == 0, (i % 50).cast("string")).when(i % 3 == 1, "soon")
+    tiers = F.array(F.lit(3), F.lit(4)), F.lit(None).cast("array<int>"), F.array(F.lit(4), F.lit(5))
+    return _table(spark, sf_dir, "events").select("event_id", fetches.wait(i % 7).alias("plain"), fetches.wait(i % 7, after).alias("told"), fetches.escalated((i % 11).cast("int"), *tiers).alias("escalated"))
+
+
+@register(
+    """
+WITH u AS (SELECT url, lower(regexp_extract(url, '//([^/?#]*)', 1)) AS host, regexp_extract(url, '//[^/?#]*([^?#]*)', 1) AS path FROM pages)
+SELECT url, bool_and(CASE WHEN length(host) % 4 = 1 THEN false WHEN length(host) % 4 = 0 THEN path LIKE '/fr/5%' OR NOT (path LIKE '/fr/%' OR regexp_matches(path, '^/en/.*1$')) ELSE true END) AS allowed FROM u GROUP BY url"""
+)
+def robots_texts(spark, sf_dir):
+    """Which pages the robots texts of their hosts allow: parsed, unavailable, or absent ones."""
+    u = F.col("url")
+    urls = _table(spark, sf_dir, "pages").select("url", ux.host_of(u).alias("host"), ux.path_of(u).alias("path"))
+    kind = F.char_length("host") % 4
+    text = F.lit("User-agent: loombot\nDisallow: /fr/\nAllow: /fr/5\nDisallow: /en/*1$\n\nUser-agent: *\nDisallow: /\n")
+    robots = urls.select("host").distinct().select("host", F.when(kind == 0, 200).when(kind == 1, 503).when(kind == 2, 404).alias("status"), text.alias("body"))
+    return seeds.robots_allowed(urls, seeds.robots_rules(robots, "loombot/1.0"))
+
+
+@register(
+    _with(manifest=s.MANIFEST, pages_=s.PAGES)
+    + _INDEXED
+    + """, r AS (SELECT ix.url, parent_guide, split_part(ix.url, '/', 4) AS slug, p.title, p.path FROM ix JOIN pages_ p USING (url))
+SELECT slug, 0 AS kind, '' AS key, 'Audience: `general` · Pages: ' || count(*) AS line FROM r GROUP BY slug
+UNION ALL SELECT slug, 1, parent_guide, '- [' || parent_guide || '](' || min(url) || ') — ' || count(*) || ' pages' FROM r WHERE slug IN ('en', 'de') AND parent_guide IS NOT NULL GROUP BY slug, parent_guide
+UNION ALL SELECT slug, 2, url, '- [' || title || '](' || path || ')' FROM r WHERE NOT (slug IN ('en', 'de') AND parent_guide IS NOT NULL)"""
+)
+def section_lines(spark, sf_dir):
+    """The index lines of every section; two of them list guides."""
+    pages = standin(spark, sf_dir, s.PAGES).withColumn("md_path", F.col("path"))
+    return artifacts.section_lines(standin(spark, sf_dir, s.MANIFEST), pages, F.lit("general"), F.array().cast("array<string>"), ("en", "de"))
+
+
+@register("SELECT 'manifest' AS source, count(*) AS leaves FROM documents")
+def verified_leaves(spark, sf_dir):
+    """The source whose leaves give the stored root: here not the pages, of which some lack, but the manifest."""
+    whole = standin(spark, sf_dir, s.PAGES).select("url", "content_hash")
+    part = whole.where(~F.col("url").endswith("7"))
+    root = integrity.merkle_root(integrity.leaves(whole).select("leaf")).first()["root"]
+    name, rows = integrity.verified_leaves([("pages", part), ("manifest", whole)], root)
+    return rows.agg(F.count("*").alias("leaves")).select(F.lit(name).alias("source"), "leaves")
+
+
+@register(
+    "SELECT 'facts/' || lang || '/' || doc_id || '.json' AS path, '# facts/' || lang || '/' || doc_id || '.json' || chr(10) || 'schema: ' || lang || chr(10) || 'source_url: u' || doc_id || chr(10) || 'content_hash: ' || CASE WHEN doc_id % 2 = 0 THEN 'h' ELSE '<no content_hash>' END || chr(10) || '---' AS head FROM documents"
+)
+def read_facts(spark, sf_dir):
+    """The heads of facts as a reader sees them."""
+    i = F.col("doc_id").cast("string")
+    rows = _table(spark, sf_dir, "documents").select(F.col("lang").alias("schema"), i.alias("slug"), F.concat(F.lit("u"), i).alias("url"), F.when(F.col("doc_id") % 2 == 0, "h").alias("content_hash"), F.col("n_chars"))
+    return corpus.read_facts(rows).select("path", F.regexp_extract("text", r"(?s)^(.*?\n---)\n\{", 1).alias("head"))
+
+
+@register(
+    _with(manifest=s.MANIFEST, pages_=s.PAGES)
+    + _INDEXED
+    + """, z AS (SELECT event_id % 2 = 0 AS known, value < 5 AS bad FROM events), f AS (SELECT count(*) FILTER (NOT known OR bad) AS bad, count(*) AS n FROM z),
+d AS (SELECT count(*) FILTER (ends_with(url, '3')) AS bad, count(*) AS n FROM pages_)
+SELECT 'consolidate_md_tree' AS gate, false AS passed, true AS blocking, (SELECT count(*) FROM ix WHERE NOT ends_with(url, '7') AND NOT ends_with(url, '1')) || ' linked, ' || (SELECT count(*) FROM ix WHERE ends_with(url, '7')) || ' missing' AS detail
+UNION ALL SELECT 'facts_validation', bad = 0, true, bad || ' of ' || n || ' invalid' FROM f
+UNION ALL SELECT 'determinism', bad = 0, false, bad || ' of ' || n || ' differ, 0 skipped' FROM d
+UNION ALL SELECT 'changelog_continuity', true, true, (SELECT count(*) FROM documents) || ' entries, ' || (SELECT count(*) FROM benchmark) || ' before'
+UNION ALL SELECT 'hash_sample', false, true, (SELECT count(*) FROM documents) || ' of ' || (SELECT count(*) FROM documents) || ' differ'"""
+)
+def more_gates(spark, sf_dir):
+    """The other five gates: filling forward (pages that end in 7 are nowhere), facts, extraction anew, the log, and hashes."""
+    pages, end = standin(spark, sf_dir, s.PAGES), lambda x: F.col("url").endswith(x)
+    fill = changes.forward_fill(gates.indexed(standin(spark, sf_dir, s.MANIFEST)), pages.where(end("1")), pages.where(~end("7")).withColumn("run_id", F.lit("r0")))
+    f = _table(spark, sf_dir, "events").select((F.col("event_id") % 2 == 0).alias("known"), F.when(F.col("value") < 5, F.array(F.lit("low"))).otherwise(F.array().cast("array<string>")).alias("errors"))
+    again = pages.select("url", F.when(end("3"), "other").otherwise(F.col("content_hash")).alias("content_hash"), F.lit("E").alias("version"), F.lit(True).alias("ok"))
+    log = lambda t: _table(spark, sf_dir, t).agg(F.lit("r0").alias("genesis"), F.count("*").alias("total"))
+    return gates.all_gates(gates.filled(fill), gates.facts_validation(f), gates.determinism(pages.withColumn("extractor_version", F.lit("E")), again), gates.changelog_continuity(log("benchmark"), log("documents")), gates.hashes(pages))

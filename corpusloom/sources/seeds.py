@@ -33,6 +33,22 @@ def seeds_of_json(texts: DataFrame, column: str = "value") -> DataFrame:
     return rows.select(F.trim(F.coalesce(text("$.url"), bare)).alias("url"), F.coalesce(text("$.lastmod"), text("$.last_modified")).alias("lastmod")).where("coalesce(url, '') <> ''")
 
 
+#: What marks probes of a map service among its links.
+PROBES = ("fc_probe", "dryrun=", "pool_concurrency", "fc_fetch")
+
+
+def mapped_seeds(texts: DataFrame, column: str = "value") -> DataFrame:
+    """Seeds of a map service's answers: its links without its own probes."""
+    probe = reduce(Column.__or__, (F.contains("url", F.lit(p)) for p in PROBES))
+    return seeds_of_json(texts, column).where(~probe)
+
+
+def union(*sources: DataFrame) -> DataFrame:
+    """All seeds of several sources, as often as they come, in their order: seq, url, lastmod."""
+    rows = [s.select(F.lit(i).alias("source"), "url", "lastmod").withColumn("row", F.monotonically_increasing_id()) for i, s in enumerate(sources)]
+    return reduce(DataFrame.unionByName, rows).select(F.struct("source", "row").alias("seq"), "url", "lastmod")
+
+
 def json_seeds(spark: SparkSession, path: str) -> DataFrame:
     return seeds_of_json(spark.read.text(path, wholetext=True))
 
@@ -141,12 +157,46 @@ def seed_counters(screened: DataFrame) -> DataFrame:
     return screened.groupBy(F.coalesce("skip", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+@vectorized("array<struct<pattern:string,allow:boolean>>")
+def _robots_rules(body: pd.Series, agent: pd.Series) -> pd.Series:
+    def one(text: str | None, agent: str) -> list[tuple[str, bool]]:
+        groups: dict[str, list[tuple[str, bool]]] = {}
+        named: list[str] = []
+        open_ = False  # user-agent lines that follow each other share their rules
+        for line in (text or "").lstrip("\ufeff").splitlines():
+            key, colon, value = line.split("#", 1)[0].partition(":")
+            key, value = key.strip().lower(), value.strip()
+            if key == "user-agent" and colon:
+                named = [*(named if open_ else []), value.lower()]
+                open_ = True
+                groups.setdefault(value.lower(), [])
+            elif key in ("allow", "disallow") and colon:
+                open_ = False
+                for name in named if value else ():
+                    groups[name].append((value, key == "allow"))
+        mine = max((g for g in groups if g != "*" and g and agent.lower().startswith(g)), key=len, default="*")
+        return groups.get(mine, [])
+
+    return pd.Series([one(*x) for x in zip(body, agent, strict=True)], dtype=object)
+
+
+def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
+    """The rules (host, pattern, allow) for a user agent, from fetched robots texts (host, status, body): those of the group with the
+    longest name that the agent starts with, or else of *. A host that answers 429 or 5xx allows nothing, any other without 200 everything.
+    """
+    meant = robots.withColumn("meant", robots_status(F.col("status")))
+    nothing = F.array(F.struct(F.lit("/").alias("pattern"), F.lit(False).alias("allow")))
+    rules = F.when(F.col("meant") == "disallow", nothing).when(F.col("meant") == "parse", _robots_rules(F.col("body"), F.lit(agent)))
+    return meant.select("host", F.explode(rules).alias("r")).select("host", "r.pattern", "r.allow")
+
+
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Whether robots rules (host, pattern, allow) let each url (url, host, path) be fetched: the longest match counts, allow wins ties; no match allows.
 
     Rules of one host are few; urls meet them by host.
     """
-    like = F.regexp_replace(F.regexp_replace("pattern", r"([.+?^{}()|\[\]\\])", r"\\$1"), r"\*", ".*")
+    like = F.regexp_replace(F.regexp_replace("pattern", r"([.+?^{}()|\[\]\\$])", r"\\$1"), r"\*", ".*")
+    like = F.regexp_replace(like, r"\\\$$", "\\$")  # at its end a dollar sign is the end of the path
     hit = F.expr("path rlike concat('^', like)")
     j = urls.join(rules.withColumn("like", like).withColumnRenamed("host", "rule_host"), (F.col("host") == F.col("rule_host")) & hit, "left")
     return j.groupBy("url").agg(F.coalesce(F.max_by("allow", F.struct(F.length("pattern"), "allow")), F.lit(True)).alias("allowed"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import platform
+import re
+import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,12 +99,26 @@ def get_text(spark: SparkSession, path: str) -> str | None:
     return "\n".join(r["value"] for r in spark.read.text(path).collect())
 
 
-def publish(spark: SparkSession, root: str, run_id: str, tables: dict[str, DataFrame], gates: DataFrame) -> bool:
-    """Write a run's tables and its snapshot, and turn the pointer to it if every blocking gate passed."""
+def changelog(spark: SparkSession, root: str, run_id: str | None = None) -> DataFrame:
+    """The change log up to a run, or to the published one: its own entries and those of the published runs before it."""
+    run, paths = run_id or current(spark, root), []
+    while run:
+        paths.append(f"{root}/runs/{run}/changelog")
+        run = (get_text(spark, f"{root}/runs/{run}/after") or "").strip()
+    if not paths:
+        raise ValueError("nothing is published")
+    return spark.read.schema(CHANGELOG).parquet(*paths)
+
+
+def publish(spark: SparkSession, root: str, run_id: str, tables: dict[str, DataFrame], gates: DataFrame, texts: dict[str, str] | None = None) -> bool:
+    """Write a run's tables, texts and its snapshot, and turn the pointer to it if every blocking gate passed."""
+    for name, text in (texts or {}).items():
+        put_text(spark, f"{root}/runs/{run_id}/{name}", text)
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/runs/{run_id}/{name}")
     failed = [r["gate"] for r in gates.where("blocking AND NOT passed").collect()]
-    put_text(spark, f"{root}/runs/{run_id}/snapshot.json", json.dumps({"run_id": run_id, "status": "degraded" if failed else "published", "failed_gates": sorted(failed)}, sort_keys=True, indent=2))
+    put_text(spark, f"{root}/runs/{run_id}/snapshot.json", json.dumps({"run_id": run_id, "status": "degraded" if failed else "published", "failed_gates": sorted(failed), "environment": environment()}, sort_keys=True, indent=2))
+    put_text(spark, f"{root}/runs/{run_id}/status.json", json.dumps({"status": "degraded" if failed else "published"}))
     if not failed:
         put_text(spark, f"{root}/current", run_id)
     return not failed
@@ -118,6 +136,66 @@ def table(spark: SparkSession, root: str, name: str, run_id: str | None = None)
     return spark.read.parquet(f"{root}/runs/{run}/{name}")
 
 
+def runs(spark: SparkSession, root: str) -> DataFrame:
+    """Every run that has a snapshot: run_id, completed_at, status."""
+    if not exists(spark, f"{root}/runs"):
+        return spark.createDataFrame([], "run_id string, completed_at string, status string")
+    fs, p = _fs(spark, f"{root}/runs")
+    paths = [f"{x.getPath().toString()}/snapshot" for x in fs.listStatus(p)]
+    some = [x for x in paths if exists(spark, x)]
+    return spark.read.parquet(*some).select("run_id", "completed_at", "status") if some else spark.createDataFrame([], "run_id string, completed_at string, status string")
+
+
+def table_as_of(spark: SparkSession, root: str, name: str, point: str) -> tuple[str, DataFrame]:
+    """(run, its table) that a published run's id or a time names: for a time, of the last run completed by then. Anything else is refused."""
+    point, done = point.strip(), runs(spark, root)
+    named = done.where(F.col("run_id") == point).first()
+    if named is not None:
+        if named["status"] != "published":
+            raise ValueError(f"run {point} was not published")
+        return point, table(spark, root, name, point)
+    if not re.match(r"\d{4}-\d\d-\d\d", point):
+        raise ValueError(f"{point} is no run and no time")
+    last = done.where((F.col("status") == "published") & (F.col("completed_at") <= point)).orderBy(F.desc("completed_at"), F.desc("run_id")).first()
+    if last is None:
+        raise ValueError(f"nothing was published by {point}")
+    return last["run_id"], table(spark, root, name, last["run_id"])
+
+
+def discover(spark: SparkSession, path: str) -> DataFrame:
+    """The indexes at a path: itself, or its immediate children, as rows for corpus.describe."""
+    fs, p = _fs(spark, path)
+    held = [path] if exists(spark, f"{path}/runs") else [x.getPath().toString() for x in fs.listStatus(p) if x.isDirectory() and exists(spark, f"{x.getPath().toString()}/runs")] if fs.exists(p) else []
+    rows = []
+    for root in held:
+        meta = json.loads(get_text(spark, f"{root}/index.json") or "{}")
+        run = current(spark, root)
+        manifest = table(spark, root, "manifest", run) if run else None
+        first = manifest.agg(F.min("url")).first()[0] if run else None
+        fresh = manifest.where("state IN ('FRESH', 'FROZEN')").count() if run else 0
+        name = root.rstrip("/").rpartition("/")[2]
+        rows.append((root, name, meta.get("slug") or name, meta.get("domain"), re.sub(r"^[^/]*//([^/?#]*).*$", r"\1", first or "") or None, meta.get("description"), fresh, table(spark, root, "pages", run).count() if run else 0))
+    return spark.createDataFrame(rows, "root string, dirname string, slug string, domain string, first_host string, description string, fresh long, files long")
+
+
+@contextlib.contextmanager
+def guarded(spark: SparkSession, root: str, run_id: str):
+    """Mark a run as running, and as failed, with the error, if what is done under it raises."""
+    put_text(spark, f"{root}/runs/{run_id}/status.json", json.dumps({"status": "running"}))
+    try:
+        yield
+    except Exception as e:
+        put_text(spark, f"{root}/runs/{run_id}/status.json", json.dumps({"status": "failed", "error": f"{type(e).__name__}: {e}"[:1000]}))
+        raise
+
+
+def environment() -> dict[str, str]:
+    """The versions on which content hashes depend."""
+    import pyspark
+
+    return {"python": platform.python_version(), "unicode": unicodedata.unidata_version, "pyspark": pyspark.__version__}
+
+
 def verify_backup(spark: SparkSession, path: str) -> tuple[bool, str]:
     """Whether a backup has a manifest with its columns and a table of runs."""
     from corpusloom.operators.manifest import COLUMNS

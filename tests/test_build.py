@@ -1,11 +1,13 @@
 import hashlib
 import json
 import time
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions import profiles
+from corpusloom.functions import html, profiles
+from corpusloom.operators import corpus, integrity
 from corpusloom.plans import build
 from corpusloom.sources import storage
 from corpusloom.streaming import feeds
@@ -32,7 +34,16 @@ def test_build_twice(spark, tmp_path):
     log, blobs = responses(spark, pages)
     assert build.run(spark, root, seeds, log, blobs, "2026-05-01T00:00:00Z", "r1", profiles.ATO)
     assert storage.current(spark, root) == "r1" and json.loads(storage.get_text(spark, f"{root}/runs/r1/snapshot.json"))["status"] == "published"
-    assert storage.table(spark, root, "changelog").count() == 7 and storage.table(spark, root, "facts").first()["fy"] == "2025-26"
+    assert storage.changelog(spark, root).count() == 7 and storage.table(spark, root, "facts").first()["fy"] == "2025-26"
+    held = {r.gate: r.passed for r in storage.table(spark, root, "gates").collect()}
+    assert held == dict.fromkeys(("manifest_fs_integrity", "hash_sample", "coverage", "schema_sanity", "changelog_continuity", "consolidate_md_tree", "facts_validation", "determinism"), True)
+    index, listed = storage.get_text(spark, f"{root}/runs/r1/INDEX.md"), storage.get_text(spark, f"{root}/runs/r1/llms.txt")
+    assert "[Tax rates and codes](sections/tax-rates-and-codes/INDEX.md) (1 pages)" in index and "## LIVING (7 pages)" in listed and f"- {base}/individuals/p0" in listed
+    lines = {(r.slug, r.kind): r.line for r in storage.table(spark, root, "sections").where("kind = 0").collect()}
+    assert lines["individuals", 0] == "Audience: `general` · Pages: 6" and storage.table(spark, root, "sections").count() == 9
+    fact = corpus.read_facts(storage.table(spark, root, "facts").drop("known", "errors", "k"), "ato-rate-table-v1").first()
+    assert fact["path"] == "facts/ato-rate-table-v1/individual-resident-2025-26.json" and fact["text"].startswith(f"# {fact['path']}\nschema: ato-rate-table-v1\nsource_url: {base}/tax-rates")
+    assert list(json.loads(fact["text"].split("---\n")[1])) == sorted(json.loads(fact["text"].split("---\n")[1]))
     first = storage.table(spark, root, "snapshot").first()
     assert first["leaf_count"] == 7 and first["counts_by_state"] == {"FRESH": 7}
     md = storage.table(spark, root, "pages").where("url LIKE '%/p1'").first()
@@ -42,7 +53,12 @@ def test_build_twice(spark, tmp_path):
     changed[f"{base}/individuals/p1"] = page("Page 1", "Quite another text that also goes on for long enough to be a page. " * 2)
     log, blobs = responses(spark, changed)
     assert build.run(spark, root, seeds, log, blobs, "2026-05-20T00:00:00Z", "r2", profiles.ATO)
-    entries = storage.table(spark, root, "changelog")
+    entries = storage.changelog(spark, root)
+    assert integrity.verify(entries).first()["ok"] and storage.table(spark, root, "changelog").count() == 1
+    assert storage.table_as_of(spark, root, "pages", "2026-05-10T00:00:00Z")[0] == "r1" and storage.table_as_of(spark, root, "pages", "2026-05-20T00:00:00Z")[0] == "r2"
+    assert storage.table_as_of(spark, root, "pages", "r1")[1].where("url LIKE '%/p1'").first()["body"] == md["body"]
+    assert [tuple(r)[1:7] for r in corpus.describe(storage.discover(spark, root)).collect()] == [("www.ato.gov.au", "Indexed pages of www.ato.gov.au", 7, root)]
+    assert storage.discover(spark, str(tmp_path.parent)).where(F.col("root").endswith(tmp_path.name)).count() == 1
     assert entries.count() == 8 and [r.url for r in entries.where("run_id = 'r2'").collect()] == [f"{base}/individuals/p1"]
     assert storage.table(spark, root, "pages").count() == 7 and storage.table(spark, root, "snapshot").first()["merkle_root"] != first["merkle_root"]
     again, _ = build.re_extract(storage.table(spark, root, "manifest"), blobs, "2026-05-21T00:00:00Z", profiles.ATO)
@@ -54,6 +70,30 @@ def test_build_twice(spark, tmp_path):
     log, blobs = responses(spark, changed, status=500)
     assert not build.run(spark, root, seeds, log, blobs, "2026-09-20T00:00:00Z", "r3", profiles.ATO)
     assert storage.current(spark, root) == "r2"
+    for bad in ("r3", "2020-01-01T00:00:00Z", "nonsense"):
+        with pytest.raises(ValueError):
+            storage.table_as_of(spark, root, "pages", bad)
+    assert json.loads(storage.get_text(spark, f"{root}/runs/r3/status.json"))["status"] == "degraded"
+    with pytest.raises(Exception):
+        build.run(spark, root, seeds.drop("url"), log, blobs, "2026-09-21T00:00:00Z", "r4", profiles.ATO)
+    assert json.loads(storage.get_text(spark, f"{root}/runs/r4/status.json"))["status"] == "failed" and storage.current(spark, root) == "r2"
+
+
+def test_an_invalid_fact_degrades_a_build_and_plug_ins_run(spark, tmp_path):
+    base, body = "https://www.ato.gov.au", "Some prose that is long enough to be a page of its own and no shorter than that. " * 2
+    made = lambda fy: lambda rows: rows.select(F.lit("ato-rate-table-v1").alias("schema"), F.lit("own").alias("slug"), "url", F.concat(F.lit("sha256:"), "content_hash").alias("content_hash"), F.lit(fy).alias("fy"), F.lit("company").alias("audience"), F.expr("array(named_struct('from', 0L, 'to', cast(null as bigint), 'rate', 0.3D, 'base', 0D))").alias("brackets"), F.lit("2025-07-01").alias("effective_from"), F.lit("2026-06-30").alias("effective_to"), F.lit("own-1").alias("extractor_version"))
+    shout = html.Strategy("shout", lambda body, kind: "shouted" in body, lambda body: (f"# Loud\n\n{body.upper()}", "Loud"))
+    pages = {f"{base}/a": page("A", body), f"{base}/b": f"shouted {body}"}
+    seeds = spark.createDataFrame([(i, u, None) for i, u in enumerate(sorted(pages))], "seq long, url string, lastmod string")
+    log, blobs = responses(spark, pages)
+    for fy, good in (("2025-26", True), ("soon", False)):
+        own = replace(profiles.ATO, strategies=(shout,), enrichers=(lambda md, raw: (md + "\n\nEnriched.", 1),), extractors=(("own", lambda url: url.endswith("/a"), made(fy)),))
+        root = f"{tmp_path}/{good}"
+        assert build.run(spark, root, seeds, log, blobs, "2026-05-01T00:00:00Z", "r1", own) is good
+        held = {r.gate: r.passed for r in spark.read.parquet(f"{root}/runs/r1/gates").collect()}
+        assert held["facts_validation"] is good and held["determinism"] and sum(not x for x in held.values()) == (not good)
+        got = {r.url[-1]: r for r in spark.read.parquet(f"{root}/runs/r1/pages").collect()}
+        assert got["a"].body.endswith("Enriched.") and got["b"].title == "Loud" and "SHOUTED" in got["b"].body and got["b"].extractor_version == "loom-html-1-shout"
 
 
 def test_extract_reasons(spark):

@@ -130,6 +130,8 @@ def test_extraction():
     assert j["title"] == "Rec" and j["md"] == "Hello **you**" and "```json" in html.extract('{"a": 1}', "json")["md"] and not html.extract("{}", "json")["ok"]
     state = 'self.__next_f.push([1,"1:[\\"$\\",\\"h2\\",null,{\\"children\\":\\"Setup\\"}]\\n2:[\\"$\\",\\"p\\",null,{\\"children\\":\\"A paragraph that is long enough to count.\\"}]"])'
     assert html.next_state(state) == [("heading", "Setup"), ("text", "A paragraph that is long enough to count.")]
+    state = 'self.__next_f.push([1,"1:[\\"$\\",\\"div\\",null,{\\"children\\":[[\\"$\\",\\"p\\",null,{\\"children\\":[\\"One sentence \\",[\\"$\\",\\"b\\",null,{\\"children\\":\\"with a bold part\\"}],\\" in it.\\"]}],\\"short\\"]}]"])'
+    assert html.next_state(state) == [("text", "One sentence with a bold part in it.")]
 
 
 def test_links(spark):

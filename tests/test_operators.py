@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import artifacts, changes, corpus, evals, gates, integrity
+from corpusloom.operators import artifacts, changes, corpus, evals, fetches, gates, integrity
 from corpusloom.operators import manifest as m
 from corpusloom.plans import config
 from corpusloom.sources import seeds
@@ -312,3 +312,51 @@ def test_drift(spark):
     got = [(r.slug, r.kind, r.severity) for r in evals.drift(b, c).orderBy(*evals.drift_order()).collect()]
     assert got == [("a", "count", "regression"), ("a", "rate:x.y", "regression"), ("a", "status", "regression"), ("b", "status", "improvement"), ("gone", "membership", "info"), ("new", "membership", "info")]
     assert tuple(evals.drift_tally(evals.drift(b, c)).first()) == (3, 1, 2)
+
+
+def test_robots_rules(spark):
+    text = "\ufeff# all\nUser-agent: *\nDisallow: /private # not this\nAllow: /private/open$\n\nUser-agent: other\nUser-agent: loombot\nDisallow: /x\nCrawl-delay: 5\nAllow:\nuser-agent: LOOM\ndisallow: /\n"
+    robots = spark.createDataFrame([("a", 200, text), ("b", 503, None), ("c", 404, "User-agent: *\nDisallow: /"), ("d", None, None), ("e", 200, ""), ("f", 429, text)], "host string, status int, body string")
+    got = lambda agent: sorted((r.host, r.pattern, r.allow) for r in seeds.robots_rules(robots, agent).collect())
+    rest = [("b", "/", False), ("f", "/", False)]
+    assert got("unknown/1.0") == [("a", "/private", False), ("a", "/private/open$", True), *rest]
+    assert got("LoomBot/2.0") == [("a", "/x", False), *rest] and got("loom") == [("a", "/", False), *rest]
+    urls = spark.createDataFrame([(f"{h}{p}", h, p) for h in "abcde" for p in ("/private/z", "/private/open", "/private/open2", "/")], "url string, host string, path string")
+    allowed = {r.url: r.allowed for r in seeds.robots_allowed(urls, seeds.robots_rules(robots, "unknown")).collect()}
+    assert [allowed[f"a{p}"] for p in ("/private/z", "/private/open", "/private/open2", "/")] == [False, True, False, True]
+    assert not any(v for k, v in allowed.items() if k[0] == "b") and all(v for k, v in allowed.items() if k[0] in "cde")
+
+
+def test_verified_leaves(spark):
+    pages = lambda *rows_: spark.createDataFrame(list(rows_), "url string, content_hash string")
+    a, b = pages(("u", "1"), ("v", "2")), pages(("u", "1"), ("v", "2"), ("w", "3"))
+    root = lambda df: integrity.merkle_root(integrity.leaves(df).select("leaf")).first()["root"]
+    assert integrity.verified_leaves([("pages", a), ("manifest", b)], root(a))[0] == "pages" and integrity.verified_leaves([("pages", a), ("manifest", b)], root(b))[0] == "manifest"
+    for sources, stored in (([("pages", a)], root(b)), ([("pages", a)], None), ([("pages", pages(("u", "1"), ("u", "2")))], root(pages(("u", "1"), ("u", "2"))))):
+        with pytest.raises(ValueError):
+            integrity.verified_leaves(sources, stored)
+
+
+def test_fetch_rules(spark):
+    log = [("https://h/a", "x", None, None), ("https://evil/a", "x", None, None), ("https://api/a", "x", None, "https://api/q"), ("https://api/a", "x", None, None), ("", "x", None, None), ("https://h/b", "y" * (fetches.MAX_BODY + 1), None, None), ("https://evil/b", "x", "boom", None)]
+    got = fetches.screened(spark.createDataFrame(log, "final_url string, body string, error string, api_url string"), ["H"]).collect()
+    assert [r.error for r in got] == [None, "redirect-off-allowlist:evil", None, "redirect-off-allowlist:api", None, f"body-too-large:{fetches.MAX_BODY + 1}>{fetches.MAX_BODY}", "boom"]
+    assert [r.body is None for r in got] == [False, True, False, True, False, True, True]
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert [one(fetches.wait(F.lit(k))) for k in (0, 1, 4, 9)] == [1.5, 3.0, 24.0, 30.0]
+    assert one(fetches.wait(F.lit(0), F.lit("7"))) == 7.0 and one(fetches.wait(F.lit(3), F.lit("soon"))) == 12.0
+    tiers = (F.array(F.lit(403), F.lit(429)), F.lit(None).cast("array<int>"), F.array(F.lit(503)))
+    assert [one(fetches.escalated(F.lit(s), *tiers)) for s in (200, 403, 503)] == [False, True, True] and not one(fetches.escalated(F.lit(403)))
+    events = spark.createDataFrame([([(301, {"ETag": "no"}), (200, {"ETag": "a", "X-Other": "b"}), (304, {"etag": "c", "Last-Modified": "d"}), (500, {"ETag": "e"})],), ([(500, {})],), ([],)], "e array<struct<status:int,headers:map<string,string>>>")
+    assert [r.h for r in events.select(fetches.navigation_headers(F.col("e")).alias("h")).collect()] == [{"etag": "c", "last-modified": "d"}, None, None]
+    assert {tuple(r) for r in fetches.histogram(spark.createDataFrame([(200,), (404,), (200,), (None,)], "status int")).collect()} == {(200, 2), (404, 1), (None, 1)}
+
+
+def test_seed_unions_and_questions(spark):
+    a, b = (spark.createDataFrame(x, "url string, lastmod string") for x in ([("u", None), ("v", "1")], [("u", "2")]))
+    both = seeds.union(a.coalesce(1), b)
+    assert [r.url for r in both.orderBy("seq").collect()] == ["u", "v", "u"] and {r.url: r.lastmod for r in seeds.first_seen(both).collect()} == {"u": None, "v": "1"}
+    mapped = seeds.mapped_seeds(spark.createDataFrame([('{"links": ["https://h/a", "https://h/?dryrun=1", {"url": "https://h/fc_probe/x"}]}',)], "value string"))
+    assert [r.url for r in mapped.collect()] == ["https://h/a"]
+    q = spark.createDataFrame([("q1", "a", True), ("q2", "a", False), ("q3", "b", True)], "qid string, use_case string, fresh_sensitive boolean")
+    assert [evals.questions(q, **x).count() for x in ({}, {"qid": "q2"}, {"use_case": "a"}, {"fresh": True}, {"use_case": "a", "fresh": True})] == [3, 1, 2, 2, 1]
