@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
 import os
 import tempfile
 import uuid
@@ -39,12 +39,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if the session still runs."""
+    if spark.sparkContext._jsc is not None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
-    """Tables written to the shared folder to cut lineage; a lost executor loses none of them."""
+    """Tables written to the shared folder to cut lineage; a lost executor loses none of them. Results read them, so they go when the program ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/corpusloom-{uuid.uuid4().hex}"
         self.n = 0
+        atexit.register(remove, spark, self.root)
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write df and read it back."""
@@ -53,19 +61,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def release(self) -> None:
-        """Let Spark remove the shuffle files of finished steps: it does so once their plans are garbage, which nothing else may collect for long."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
-        jvm, hconf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in frames:
             for top in {f.rpartition("/")[0] for f in df.inputFiles()}:
                 if self.root.rpartition("/")[2] in top:
-                    p = jvm.org.apache.hadoop.fs.Path(top)
-                    p.getFileSystem(hconf).delete(p, True)
+                    remove(self.spark, top)
 
 
 def plan_bytes(df: DataFrame) -> int:

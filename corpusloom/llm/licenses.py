@@ -139,3 +139,27 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **meth
         F.array_join(F.array_sort(F.array_union("base", more)), ",").alias("labels"),
         F.when(F.col("n_base") > 0, 1.0).otherwise(F.least(F.lit(1.0), F.coalesce("cover", F.lit(0.0)))).alias("score"),
     )
+
+
+_VALUES = ", ".join(f"({t}, '{label}', '{text}')" for t, (label, text) in enumerate(TEMPLATES))
+_PHRASES = ", ".join(f"('{label}', {text.split()!r})" for text, label in BASE)
+#: DuckDB SQL for scan's rows, over distinct ids that are not null.
+SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+t(template, label, text) AS (VALUES {_VALUES}), tw AS (SELECT template, label, string_split(text, ' ') AS ws FROM t),
+tg AS (SELECT template, tpos, array_to_string(ws[tpos + 1:tpos + {K}], ' ') AS gram FROM (SELECT *, unnest(range(0, len(ws) - {K - 1})) AS tpos FROM tw)),
+g AS (SELECT doc_id, pos, array_to_string(ws[pos + 1:pos + {K}], ' ') AS gram FROM (SELECT *, unnest(range(0, len(ws) - {K - 1})) AS pos FROM d)),
+votes AS (SELECT DISTINCT doc_id, template, pos - tpos AS diagonal, tpos FROM g JOIN tg USING (gram)),
+steps AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER w > {MAX_GAP}, false) AS new FROM (SELECT DISTINCT doc_id, template, diagonal FROM votes) WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+islands AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS island FROM steps),
+covered AS (SELECT v.doc_id, v.template, island, count(DISTINCT tpos + k) AS n FROM votes v JOIN islands USING (doc_id, template, diagonal), range({K}) AS r(k) GROUP BY ALL),
+spans AS (SELECT doc_id, label, n / len(ws) AS cover FROM covered JOIN tw USING (template) WHERE n / len(ws) >= {MIN_COVER}),
+p(label, phrase) AS (VALUES {_PHRASES}),
+places AS (SELECT doc_id, label, pos FROM (SELECT doc_id, label, ws, phrase, unnest(range(0, len(ws) - len(phrase) + 1)) AS pos FROM d, p) WHERE ws[pos + 1:pos + len(phrase)] = phrase),
+base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
+every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION ALL SELECT doc_id, label FROM spans) GROUP BY doc_id),
+best AS (SELECT doc_id, max(cover) AS cover FROM spans GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE least(1.0, coalesce(cover, 0.0)) END::DOUBLE AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN best USING (doc_id)
+"""

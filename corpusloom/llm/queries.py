@@ -57,4 +57,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_substrings, op3_quality, op4_lines, op5_neardup, op6_fingerprints, op7_decontaminate, op8_toxicity, op9_licenses, op10_bpe)}
-ORACLE: dict[str, str] = {"op4_lines": lines.SQL.format(least_chars=12, least_sites=10)}
+ORACLE: dict[str, str] = {"op2_substrings": substrings.SQL.format(size=50), "op4_lines": lines.SQL.format(least_chars=12, least_sites=10), "op5_neardup": neardup.SQL.format(percent=80), "op9_licenses": licenses.SQL}

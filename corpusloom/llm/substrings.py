@@ -211,3 +211,16 @@ def dedupe(docs: DataFrame, size: int = SIZE, most_bits: int = 27, id_col: str =
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(gone, pa.int64()), pa.array(kept, pa.large_string()).cast(pa.string()), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+
+
+#: DuckDB SQL for dedupe's rows without the kept text, over ids that are not null.
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {size} + 2)) AS i FROM d WHERE len(ws) >= {size}),
+windows AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i + {size} - 1], ' ')) AS k FROM starts),
+first AS (SELECT k, min(doc_id) AS doc_id FROM windows GROUP BY k),
+gone AS (SELECT DISTINCT w.doc_id, unnest(range(w.i, w.i + {size})) AS p FROM windows w JOIN first f ON f.k = w.k AND f.doc_id < w.doc_id),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d),
+kept AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.p) AS text, count(*) AS n FROM words w ANTI JOIN gone g ON g.doc_id = w.doc_id AND g.p = w.p GROUP BY w.doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 from collections import defaultdict
@@ -235,3 +236,23 @@ def test_fingerprints_are_homomorphic(spark):
     df = spark.createDataFrame([(fp[1], fp[2], fp[3])], "a string, b string, c string")
     r = df.select(fingerprints.shifted("a", "b", 1).alias("sum"), fingerprints.shifted("c", "b", -1).alias("rest")).first()
     assert r["sum"] == fp[3] and r["rest"] == fp[1]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_queries_equal_their_sql(spark):
+    """Every query of this subpackage that SQL can express, on the smallest tables."""
+    import duckdb
+
+    from corpusloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    assert set(queries.ORACLE) == {"op2_substrings", "op4_lines", "op5_neardup", "op9_licenses"}
+    for name, sql in queries.ORACLE.items():
+        df = queries.QUERIES[name](spark, sf)
+        got = sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=repr)
+        res = con.execute(sql)
+        names = [d[0] for d in res.description]
+        order = sorted(range(len(names)), key=names.__getitem__)
+        assert sorted(names) == sorted(df.columns) and got == sorted((tuple(r[i] for i in order) for r in res.fetchall()), key=repr), name
