@@ -19,19 +19,20 @@ def newest(runs: DataFrame) -> DataFrame:
 def as_of(runs: DataFrame, points: DataFrame) -> DataFrame:
     """For each point (a run id or a time) the published run it names: that run, or else the last one completed by then.
 
-    Points and runs are sorted together by time within months, and months pass their last run on; nothing is crossed.
+    Each distinct point has one row. Points and runs are sorted together by time within hours, and hours, which are few, pass their last
+    run on; nothing is crossed.
     """
+    points = points.select("point").distinct()
     done = runs.where("status = 'published'").select("run_id", "completed_at")
     exact = points.join(done.select(F.col("run_id").alias("point"), F.col("run_id").alias("exact")), "point", "left")
     marks = exact.select("point", "exact", F.col("point").alias("t"), F.lit(None).cast("string").alias("run"), F.lit(1).alias("kind"))
     marks = marks.unionByName(done.select(F.lit(None).cast("string").alias("point"), F.lit(None).cast("string").alias("exact"), F.col("completed_at").alias("t"), F.col("run_id").alias("run"), F.lit(0).alias("kind")))
-    # Marks meet by month; a month without a run of its own takes the last one of the months before.
-    month = F.substring("t", 1, 7)
-    marks = marks.withColumn("month", month)
-    own = F.last("run", ignorenulls=True).over(W.partitionBy("month").orderBy("t", "kind", "run"))
-    tails = marks.groupBy("month").agg(F.max_by("run", F.when(F.col("run").isNotNull(), F.struct("t", "run"))).alias("tail"))
-    carried = tails.withColumn("carried", F.last("tail", ignorenulls=True).over(W.orderBy("month").rowsBetween(W.unboundedPreceding, -1))).select("month", "carried")
-    found = marks.withColumn("own", own).where("kind = 1").join(F.broadcast(carried), "month")
+    # Marks meet by hour; an hour without a run of its own takes the last one of the hours before.
+    marks = marks.withColumn("hour", F.substring("t", 1, 13))
+    own = F.last("run", ignorenulls=True).over(W.partitionBy("hour").orderBy("t", "kind", "run"))
+    tails = marks.groupBy("hour").agg(F.max_by("run", F.when(F.col("run").isNotNull(), F.struct("t", "run"))).alias("tail"))
+    carried = tails.withColumn("carried", F.last("tail", ignorenulls=True).over(W.orderBy("hour").rowsBetween(W.unboundedPreceding, -1))).select("hour", "carried")
+    found = marks.withColumn("own", own).where("kind = 1").join(F.broadcast(carried), "hour")
     return found.select("point", F.coalesce("exact", "own", "carried").alias("run_id"))
 
 

@@ -32,8 +32,9 @@ def leaves(pages: DataFrame) -> DataFrame:
 def ranked(rows: DataFrame, column: str) -> DataFrame:
     """i: the place of each row in ascending order of column, from 0; no task sees more than its own range."""
     spans = rows.repartitionByRange(column).sortWithinPartitions(column)
-    # Held, so that both uses below see the same ranges.
-    spans = spans.withColumn("_p", F.spark_partition_id()).persist()
+    # Held, so that both uses below see the same ranges: in the checkpoint folder, which outlives lost executors, where there is one.
+    spans = spans.withColumn("_p", F.spark_partition_id())
+    spans = spans.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else spans.persist()
     sizes = spans.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
     local = F.row_number().over(W.partitionBy("_p").orderBy(column)) - 1
