@@ -11,6 +11,7 @@ import pytest
 import xxhash
 
 from corpusloom.llm import fingerprints, lines, neardup, substrings
+from corpusloom.llm._spark import Scratch
 
 from .conftest import prose, table, thue_morse
 
@@ -56,11 +57,26 @@ def test_unlike_texts_by_the_thue_morse_rule(spark):
 
 
 def test_substrings_with_a_full_sketch(spark, corpus):
-    """A sketch without room estimates every window repeated; the result is the same."""
-    docs = table(spark, corpus)
-    got = substrings.dedupe(docs, most_bits=9).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
-    assert sorted((tuple(r) for r in got), key=repr) == brute_windows(corpus, 50)
-    assert substrings.dedupe(docs.limit(0)).collect() == []
+    """A sketch without room estimates every window repeated; the result is the same, broadcast or dealt by blocks."""
+    rows = [*corpus, (3, prose(3, 90)), (None, corpus[3][1]), corpus[5]]
+    docs = table(spark, rows).repartition(5)
+    want = brute_windows(rows, 50)
+    for method in ({"bits": 9}, {"most_bits": 9}, {"most_bits": 9, "bits": 18}):
+        got = substrings.dedupe(docs, **method).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+        assert sorted((tuple(r) for r in got), key=repr) == want, method
+    for method in ({}, {"most_bits": 9}):
+        assert substrings.dedupe(docs.limit(0), **method).collect() == []
+
+
+def test_a_sketch_lets_through_little_more_than_what_is_repeated(spark):
+    """Of windows that one text holds, a sketch of the proper size, dealt or broadcast, leaves few to the second pass; one without room leaves them all."""
+    rows = [(i, prose(i, 120, 3000)) for i in range(200)] + [(300, prose(7, 120, 3000)), (301, prose(7, 120, 3000))]
+    docs = table(spark, rows).selectExpr("doc_id", "xxhash64(text) AS th", "text")
+    n = lambda **method: substrings.repeated(docs, 50, scratch=Scratch(spark), **method)[0].count()
+    every = n(most_bits=27, bits=6)
+    assert every > 800
+    for method in ({"most_bits": 27}, {"most_bits": 9}, {"most_bits": 27, "bits": 20}, {"most_bits": 9, "bits": 20}):
+        assert every / 80 < n(**method) < every / 20, method
 
 
 def brute_components(rows, shingle, percent):
