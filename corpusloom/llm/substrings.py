@@ -8,9 +8,9 @@ words (the last of equals), so equal windows have equal anchors, and neighbourin
 partition builds a count-min sketch of its anchors, a document counting once for each; partition sketches merge by
 addition, block by block. A window's count, the documents that hold it, is at most its anchor's, which is at most the
 smallest of the anchor's cells: the estimate never falls short. Only a bit a cell (two documents or more) leaves the
-merge. The sketch has about eight cells for each anchor of the input, at any size. Up to 2**``most_bits`` cells a row it is
-broadcast; a larger one stays a table of blocks, and the anchors meet their blocks in a join, row by row of the sketch, so
-nothing that grows with the input is broadcast and a frequent anchor is split like any skewed key.
+merge. The sketch has about eight cells for each anchor of the input, at any size. It stays a table of blocks, and the
+anchors meet their blocks in a join, row by row of the sketch, so nothing is broadcast or held by the driver, and a frequent
+anchor is split like any skewed key.
 
 Pass 2 looks only at windows estimated repeated, and loses none of them. The windows of one occurrence of an anchor
 form a segment. Equal segments meet first, so that copies of a passage shrink to one row; then, for anchors with
@@ -37,8 +37,8 @@ from corpusloom.llm._spark import Scratch, plan_bytes, row_key, ship
 from corpusloom.llm._text import U, Words, argmin_window, buffer, join, mix, pieces, rolling, starts_of
 
 SIZE, DEPTH = 50, 2
-#: Cells of a block of a sketch that is broadcast whole, and of one that is dealt, as powers of two.
-LARGE_BLOCK, SMALL_BLOCK = 21, 16
+#: Cells of a block of the sketch, as a power of two.
+BLOCK = 16
 
 
 def anchors(w: Words, size: int) -> tuple[np.ndarray, ...]:
@@ -63,8 +63,8 @@ def cells(anchor: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mix(anchor + U(0x9E3779B97F4A7C15 * (i + 1) % (1 << 64))) >> U(64 - bits)).astype(np.int64) for i in range(DEPTH)]
 
 
-def sketch(docs: DataFrame, size: int, bits: int, block_bits: int) -> DataFrame:
-    """The merged sketch: row, block, and a bit (in bytes) for each of its cells, set where the counts reach two; blocks without one are left out."""
+def sketch(docs: DataFrame, size: int, bits: int) -> DataFrame:
+    """The merged sketch: row, block, and a bit for each of its cells, as 64-bit words, set where the counts reach two; blocks without one are left out."""
 
     def run(batches):
         seen: list[np.ndarray] = []
@@ -75,8 +75,8 @@ def sketch(docs: DataFrame, size: int, bits: int, block_bits: int) -> DataFrame:
             rows, keys, data = [], [], []
             for i, c in enumerate(cells(all_, bits)):
                 cell, n = np.unique(c, return_counts=True)
-                block, at = np.unique(cell >> block_bits, return_index=True)
-                local, twice = (cell & ((1 << block_bits) - 1)).astype("<u4"), n > 1
+                block, at = np.unique(cell >> BLOCK, return_index=True)
+                local, twice = (cell & ((1 << BLOCK) - 1)).astype("<u4"), n > 1
                 for j, lo, hi in zip(block.tolist(), at.tolist(), [*at[1:].tolist(), len(cell)], strict=True):
                     rows.append(i)
                     keys.append(j)
@@ -100,43 +100,29 @@ def sketch(docs: DataFrame, size: int, bits: int, block_bits: int) -> DataFrame:
             yield flush()
 
     def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << block_bits, np.uint8)
+        n = np.zeros(1 << BLOCK, np.uint8)
         for b in batches:
             for once, twice in zip(b.column("once"), b.column("twice"), strict=True):
                 c = np.frombuffer(once.as_py(), "<u4")
                 n[c] = np.minimum(n[c] + 1, 2)
                 n[np.frombuffer(twice.as_py(), "<u4")] = 2
         if (n == 2).any():
-            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int64()), pa.array([np.packbits(n == 2, bitorder="little").tobytes()], pa.binary())], ["row", "block", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int64()), pa.array([np.packbits(n == 2, bitorder="little").view("<i8")], pa.list_(pa.int64()))], ["row", "block", "words"])
 
     parts = docs.select("text").mapInArrow(run, "row int, block long, once binary, twice binary")
-    return parts.groupBy("row", "block").applyInArrow(merge, "row int, block long, bits binary")
+    return parts.groupBy("row", "block").applyInArrow(merge, "row int, block long, words array<long>")
 
 
-def collected(table: DataFrame, bits: int, block_bits: int) -> list[np.ndarray]:
-    """The rows of a sketch of at most 2**most_bits cells each, as bits."""
-    out = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(DEPTH)]
-    for r in table.toLocalIterator():
-        at = r["block"] << (block_bits - 3)
-        out[r["row"]][at : at + (1 << (block_bits - 3))] = np.frombuffer(r["bits"], np.uint8)
-    return out
+def segments(docs: DataFrame, size: int, bits: int | None = None) -> DataFrame:
+    """doc_id, th, at (all places in the text), anchor, segment and n (windows) of every run of windows with one anchor.
 
-
-def segments(docs: DataFrame, size: int, bits: int, have=None, windows: bool = True) -> DataFrame:
-    """doc_id, th, at (all places in the text), anchor and segment of every run of windows with one anchor, whose bits the broadcast sketch (have) has.
-
-    With windows, also their hashes; without, the block and cell of the anchor in each row of the sketch.
+    With bits, also the block and cell of the anchor in each row of a sketch of so many; without, the hashes of the windows.
     """
 
     def run(batches):
         for b in pieces(batches):
             w = Words(*buffer(b.column("text")))
             owner, at, count, place, anchor, whole = anchors(w, size)
-            if have is not None:
-                hit = np.ones(len(anchor), bool)
-                for c, row in zip(cells(anchor, bits), have.value, strict=True):
-                    hit &= (row[c >> 3] >> (c & 7).astype(np.uint8)) & 1 == 1
-                owner, at, count, place, anchor = owner[hit], at[hit], count[hit], place[hit], anchor[hit]
             if not len(at):
                 continue
             # Its first and its last window hold all words of a segment, as count <= size; and the anchor's place in it.
@@ -149,31 +135,30 @@ def segments(docs: DataFrame, size: int, bits: int, have=None, windows: bool = T
             places = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array((at - w.first[owner])[order].astype(np.int32)))
             owner, at, count, anchor, segment = owner[one], at[one], count[one], anchor[one], segment[one]
             more = [pa.array(count.astype(np.int32))]
-            if windows:
+            if bits is None:
                 off = np.concatenate(([0], np.cumsum(count)))
                 index = np.arange(off[-1]) + np.repeat(at - off[:-1], count)
                 more.append(pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(whole[index].view(np.int64))))
             else:
-                more += [x for c in cells(anchor, bits) for x in (pa.array(c >> SMALL_BLOCK), pa.array((c & ((1 << SMALL_BLOCK) - 1)).astype(np.int32)))]
+                more += [x for c in cells(anchor, bits) for x in (pa.array(c >> BLOCK), pa.array((c & ((1 << BLOCK) - 1)).astype(np.int32)))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(owner)), b.column("th").take(pa.array(owner)), places, pa.array(anchor.view(np.int64)), pa.array(segment.view(np.int64)), *more], names)
 
-    more = ["windows array<long>"] if windows else [f"{x}{i} {t}" for i in range(DEPTH) for x, t in (("block", "long"), ("cell", "int"))]
+    more = ["windows array<long>"] if bits is None else [f"{x}{i} {t}" for i in range(DEPTH) for x, t in (("block", "long"), ("cell", "int"))]
     shape = ["doc_id long", "th long", "at array<int>", "anchor long", "segment long", "n int", *more]
     names = [x.split()[0] for x in shape]
     return docs.where("doc_id IS NOT NULL").mapInArrow(run, ", ".join(shape))
 
 
-def dealt(docs: DataFrame, size: int, bits: int, scratch: Scratch) -> DataFrame:
-    """The segments whose anchors have their bits in every row of a sketch that is dealt by blocks: a join a row, of those that passed the one before."""
-    table = scratch.keep(sketch(docs, size, bits, SMALL_BLOCK), "sketch")
-
-    def words(batches):
-        for b in batches:
-            held = pa.array([np.frombuffer(x, "<i8") for x in b.column("bits").to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("block"), held], ["row", "block", "words"])
-
-    table = scratch.keep(table.mapInArrow(words, "row int, block long, words array<long>"), "blocks")
-    rows = segments(docs, size, bits, windows=False)
+def repeated(docs: DataFrame, size: int, scratch: Scratch, bits: int | None = None) -> DataFrame:
+    """The segments estimated repeated: those whose anchors have their bits in every row of the sketch, a join a row, of those that passed the one before."""
+    if bits is None:
+        total = plan_bytes(docs)
+        if total >= 1 << 60:  # not known
+            total = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
+        bits = (total // 8).bit_length()
+    bits = max(bits, BLOCK)
+    table = scratch.keep(sketch(docs, size, bits), "sketch")
+    rows = segments(docs, size, bits)
     for i in range(DEPTH):
         own = table.where(F.col("row") == i).select(F.col("block").alias(f"block{i}"), "words")
         bit = F.expr(f"shiftrightunsigned(get(words, cell{i} div 64), cell{i} % 64) & 1L")
@@ -181,29 +166,15 @@ def dealt(docs: DataFrame, size: int, bits: int, scratch: Scratch) -> DataFrame:
     return rows
 
 
-def repeated(docs: DataFrame, size: int, most_bits: int, scratch: Scratch, bits: int | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """(the segments estimated repeated; docs to read their windows from again, where these are not kept with them)."""
-    if bits is None:
-        total = plan_bytes(docs)
-        if total >= 1 << 60:  # not known
-            total = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
-        bits = max((total // 8).bit_length(), SMALL_BLOCK)
-    if bits > most_bits:
-        return dealt(docs, size, max(bits, SMALL_BLOCK), scratch), docs
-    block_bits = min(bits, LARGE_BLOCK)
-    have = docs.sparkSession.sparkContext.broadcast(collected(sketch(docs, size, bits, block_bits), bits, block_bits))
-    return scratch.keep(segments(docs, size, bits, have), "segments"), None
-
-
 def windows_of(docs: DataFrame, open_: DataFrame, size: int) -> DataFrame:
     """The windows of some segments (anchor, segment, doc_id), read again from their texts."""
     ids = open_.select("doc_id").distinct()
-    rows = segments(docs.join(ids, "doc_id", "left_semi").select("doc_id", "th", "text"), size, SMALL_BLOCK)
+    rows = segments(docs.join(ids, "doc_id", "left_semi").select("doc_id", "th", "text"), size)
     return rows.join(open_, ["anchor", "segment", "doc_id"], "left_semi")
 
 
-def cuts(found: DataFrame, docs: DataFrame | None, size: int, scratch: Scratch) -> DataFrame:
-    """doc_id, th, at (all places), and mask of the windows of each found segment that a smaller document holds; docs have the windows, if found has not."""
+def cuts(found: DataFrame, docs: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+    """doc_id, th, at (all places), and mask of the windows of each found segment of docs that a smaller document holds."""
     kinds = found.groupBy("anchor", "segment").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
     kinds = scratch.keep(kinds, "distinct")
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
@@ -211,8 +182,7 @@ def cuts(found: DataFrame, docs: DataFrame | None, size: int, scratch: Scratch)
     # The windows of the first occurrence of each segment whose anchor has other segments; equal rows only if one document repeats it.
     # Kept, so that the join stands alone and the segments of a frequent anchor can be split.
     open_ = scratch.keep(kinds.join(several, "anchor", "left_semi"), "open").select("anchor", "segment", F.col("least").alias("doc_id"))
-    single = found.join(open_, ["anchor", "segment", "doc_id"], "left_semi") if docs is None else windows_of(docs, open_, size)
-    single = single.groupBy("anchor", "segment", "doc_id").agg(F.max("windows").alias("windows"))
+    single = windows_of(docs, open_, size).groupBy("anchor", "segment", "doc_id").agg(F.max("windows").alias("windows"))
     single = scratch.keep(single.select("anchor", "segment", "doc_id", F.posexplode("windows").alias("i", "window")), "windows")
     least = single.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"))
     masks = single.join(least, ["anchor", "window"]).where("first < doc_id").groupBy("anchor", "segment").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
@@ -233,7 +203,7 @@ def keep_flags(n: int, at: np.ndarray, mask: np.ndarray, size: int) -> np.ndarra
     return np.cumsum(delta[:n]) == 0
 
 
-def dedupe(docs: DataFrame, size: int = SIZE, most_bits: int = 27, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
+def dedupe(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (the words that stay, joined by spaces), kept_sha256.
 
     bits: the cells of a row of the sketch, as a power of two, instead of those that the input asks for.
@@ -241,7 +211,7 @@ def dedupe(docs: DataFrame, size: int = SIZE, most_bits: int = 27, id_col: str =
     spark = ship(docs.sparkSession)
     scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_key(F.col(text_col)).alias("th"))
-    lists = cuts(*repeated(rows, size, most_bits, scratch, bits), size, scratch).groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("cuts"))
+    lists = cuts(repeated(rows, size, scratch, bits), rows, size, scratch).groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("cuts"))
     joined = rows.join(lists, ["doc_id", "th"], "left").select("doc_id", "text", F.col("cuts.at").alias("at"), F.col("cuts.mask").alias("mask"))
 
     def run(batches):

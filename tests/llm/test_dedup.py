@@ -56,27 +56,27 @@ def test_unlike_texts_by_the_thue_morse_rule(spark):
         assert sorted(tuple(r) for r in neardup.dedupe(docs, shingle=shingle).collect()) == brute_components(rows, shingle, 80)
 
 
-def test_substrings_with_a_full_sketch(spark, corpus):
-    """A sketch without room estimates every window repeated; the result is the same, broadcast or dealt by blocks."""
+def test_substrings_with_a_full_sketch(spark, corpus, monkeypatch):
+    """A sketch without room estimates every window repeated; the result is the same, in one block or in many."""
     rows = [*corpus, (3, prose(3, 90)), (None, corpus[3][1]), corpus[5]]
     docs = table(spark, rows).repartition(5)
     want = brute_windows(rows, 50)
-    for method in ({"bits": 9}, {"most_bits": 9}, {"most_bits": 9, "bits": 18}):
-        got = substrings.dedupe(docs, **method).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
-        assert sorted((tuple(r) for r in got), key=repr) == want, method
-    for method in ({}, {"most_bits": 9}):
-        assert substrings.dedupe(docs.limit(0), **method).collect() == []
+    monkeypatch.setattr(substrings, "BLOCK", 6)
+    for bits in (6, 7, 12, 20):
+        got = substrings.dedupe(docs, bits=bits).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+        assert sorted((tuple(r) for r in got), key=repr) == want, bits
+    assert substrings.dedupe(docs.limit(0)).collect() == []
 
 
-def test_a_sketch_lets_through_little_more_than_what_is_repeated(spark):
-    """Of windows that one text holds, a sketch of the proper size, dealt or broadcast, leaves few to the second pass; one without room leaves them all."""
+def test_a_sketch_lets_through_little_more_than_what_is_repeated(spark, monkeypatch):
+    """Of windows that one text holds, a sketch of the proper size leaves few to the second pass; one without room leaves them all."""
     rows = [(i, prose(i, 120, 3000)) for i in range(200)] + [(300, prose(7, 120, 3000)), (301, prose(7, 120, 3000))]
     docs = table(spark, rows).selectExpr("doc_id", "xxhash64(text) AS th", "text")
-    n = lambda **method: substrings.repeated(docs, 50, scratch=Scratch(spark), **method)[0].count()
-    every = n(most_bits=27, bits=6)
-    assert every > 800
-    for method in ({"most_bits": 27}, {"most_bits": 9}, {"most_bits": 27, "bits": 20}, {"most_bits": 9, "bits": 20}):
-        assert every / 80 < n(**method) < every / 20, method
+    n = lambda **method: substrings.repeated(docs, 50, Scratch(spark), **method).count()
+    few = [n(), n(bits=20)]
+    monkeypatch.setattr(substrings, "BLOCK", 6)
+    every = n(bits=6)
+    assert every > 800 and all(every / 80 < x < every / 20 for x in few)
 
 
 def brute_components(rows, shingle, percent):
@@ -108,6 +108,29 @@ def test_near_duplicates(spark, corpus, shingle, small):
     assert sorted(tuple(r) for r in got) == brute_components(corpus, shingle, 80)
 
 
+def test_large_blocks_are_compared_by_leaders(spark, monkeypatch):
+    """Blocks far above the bound: a tight group, a chain whose ends are unlike, and sets tied but not linked."""
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", 8)
+    r, rows = random.Random(5), []
+    base = [f"w{i}" for i in range(150)]
+    for i in range(60):
+        words = list(base)
+        for k in r.sample(range(150), 2):
+            words[k] = f"x{r.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    chain = [f"c{i}" for i in range(150)]
+    for i in range(60):
+        chain = chain[4:] + [f"d{i}y{k}" for k in range(4)]
+        rows.append((100 + i, " ".join(chain)))
+    for i in range(60):
+        words = [f"t{k}" for k in range(150)]
+        for k in range(r.randrange(2), 150, r.choice([9, 17, 20, 33])):
+            words[k] = f"z{r.randrange(10**9)}"
+        rows.append((200 + i, " ".join(words)))
+    got = sorted(tuple(x) for x in neardup.dedupe(table(spark, rows).repartition(3)).collect())
+    assert got == brute_components(rows, 2, 80) and 3 < len({c for _, _, c, _ in got}) < 120
+
+
 def test_recall_of_links_at_the_threshold(spark):
     """Pairs just above and just below the threshold, at production parameters: all but a few of the first, none of the second."""
     r, rows, near = random.Random(11), [], 0
