@@ -15,9 +15,11 @@ A node of at most ``small`` classes is compared exhaustively, by sketches of one
 whose estimate is no more than 4.5 standard errors below the threshold are tied together, transitively. A larger
 node branches on, two levels a round; if half of its classes resemble its first one, or after ``rounds`` rounds, it is tied
 together as a whole. Ties only ever say what must be compared: linked classes that share a node are tied.
-What is tied, directly or through others, is a block, and in a block all full sets are compared exactly: intersections of
-up to ``BLOCK_DOCS`` sets at once are a matrix product over their tokens; larger blocks are cut into parts and each pair of parts is
-one task. The links found, not the ties, make the components.
+What is tied, directly or through others, is a block. In a block of up to ``BLOCK_DOCS`` sets all full sets are compared exactly, by a
+matrix product over their tokens. In a larger block every set is first compared, exactly, with ``LEADERS`` of its sets; those that
+links to leaders join are known to be one component, the block's core, whose pairs need no comparison. Only the rest is compared with the core
+and with itself, part by part, each pair of parts in one task; a tight group of near copies of any size so takes a time in proportion
+to it. The links found, not the ties, make the components.
 
 Null texts have no words. Rows without an id are linked with nothing, have no component and are kept. Of rows that share an
 id, the one of the least set hash stands for the document: there is one result row. Other columns are ignored. An
@@ -35,7 +37,7 @@ from corpusloom.llm._spark import Scratch, ship
 from corpusloom.llm._text import U, Words, buffer, mix, pieces, rolling, starts_of
 
 SKETCH, DEPTH = 192, 3
-BLOCK_DOCS, BLOCK_TOKENS = 1024, 1_000_000
+BLOCK_DOCS, BLOCK_TOKENS, LEADERS = 512, 1_000_000, 4
 _FACTORS = mix(np.arange(1, SKETCH + 1, dtype=U)) | U(1)
 
 
@@ -292,6 +294,60 @@ def tasks(blocks: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("block", "p.i", "p.j").alias("task"), (F.col("p.i") != F.col("p.j")).alias("cross"), (F.col("part") != F.col("p.i")).cast("int").alias("side"), "id", "members")
 
 
+def _parts() -> list:
+    """How many parts the rows of a block make, as an aggregate."""
+    return [F.greatest(F.lit(1), F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum(F.length("members") / 8) / BLOCK_TOKENS))).cast("int")]
+
+
+def core_tasks(rest: DataFrame, core: DataFrame) -> DataFrame:
+    """Tasks, as of tasks(), that compare every part of a block's rest with every part of its core."""
+    n = rest.groupBy("block").agg(*(x.alias("rests") for x in _parts())).join(core.groupBy("block").agg(*(x.alias("cores") for x in _parts())), "block")
+
+    def dealt(rows: DataFrame, own: str, other: str, side: int) -> DataFrame:
+        rows = rows.join(n, "block").withColumn("part", F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+        rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        i, j = ("part", "k") if side == 0 else ("k", "part")
+        return rows.select(F.xxhash64(F.lit("core"), "block", i, j).alias("task"), F.lit(True).alias("cross"), F.lit(side).alias("side"), "id", "members")
+
+    return dealt(rest, "rests", "cores", 0).unionByName(dealt(core, "cores", "rests", 1))
+
+
+def led(large: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(links of the sets of large blocks to their leaders, the sets with whether they are of their block's core)."""
+
+    def run(batches):
+        for b in batches:
+            held = []
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                held.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(held, pa.bool_()))
+
+    picks = F.array_distinct(F.array(*(F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(LEADERS))))
+    leaders = large.groupBy("block").agg(picks.alias("ids")).select("block", F.explode("ids").alias("id"))
+    leaders = scratch.keep(large.join(leaders, ["block", "id"]).select("block", F.col("id").alias("a"), F.col("members").alias("x")), "leaders")
+    pairs = large.select("block", F.col("id").alias("b"), F.col("members").alias("y")).join(leaders, "block").where("a <> b").select("a", "b", "x", "y")
+    links = scratch.keep(pairs.mapInArrow(run, "a long, b long"), "led")
+    named = large.join(components(links, scratch), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    named = scratch.keep(named, "named")
+    most = named.groupBy("block", "comp").agg(F.count("*").alias("n")).groupBy("block").agg(F.max_by("comp", F.struct("n", "comp")).alias("core"))
+    return links, named.join(most, "block").select("id", "block", "members", (F.col("comp") == F.col("core")).alias("core"))
+
+
+def confirmed(held: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join the linked sets of every block (id, members, block) into its components."""
+    large = held.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_DOCS).select("block")
+    large = scratch.keep(large, "large_blocks")
+    if large.isEmpty():
+        return confirm(tasks(held), percent)
+    links, named = led(held.join(large, "block", "left_semi"), percent, scratch)
+    named = scratch.keep(named, "cores")
+    rest, core = named.where("NOT core").drop("core"), named.where("core").drop("core")
+    whole = tasks(held.join(large, "block", "left_anti").select("id", "members", "block").unionByName(rest.select("id", "members", "block")))
+    return links.unionByName(confirm(whole.unionByName(core_tasks(rest, core)), percent))
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """For every id in links (a, b): the smallest id that it reaches. Labels spread to neighbours and jump ahead until none changes."""
     edges = scratch.keep(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a")).distinct(), "edges")
@@ -347,7 +403,7 @@ def link(docs: DataFrame, shingle: int = 2, percent: int = 80, trees: int = 4, s
     texts = _docs_of(docs.select("doc_id", "text"), block.select(F.col("id").alias("doc_id")), most_broadcast)
     members = standing(texts, sig, shingle) if repeats else sets(texts, shingle)
     held = scratch.keep(members.join(block, "id"), "sets")
-    links = scratch.keep(confirm(tasks(held), percent), "links")
+    links = scratch.keep(confirmed(held, percent, scratch), "links")
     return sig.join(classes, ["f1", "f2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")).alias("id")), links, components(links, scratch)
 
 
