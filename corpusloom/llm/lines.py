@@ -19,6 +19,7 @@ columns are kept, and a line of any length is hashed whole; n_chars, where there
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -125,33 +126,34 @@ def _cut(text: bytes, spans: list[tuple[int, int]], gone: np.ndarray) -> bytes:
     return whole
 
 
-def dedupe(docs: DataFrame, site_col: str = "source", text_col: str = "text", least_sites: int = 10, least_chars: int = 12, wide: float = 2.0, most_broadcast: int = 1_000_000) -> DataFrame:
-    """docs with boilerplate lines cut out of the text; all other columns as they are, and n_removed, the lines cut."""
+def dedupe(docs: DataFrame, site_col: str = "source", text_col: str = "text", least_sites: int = 10, least_chars: int = 12, wide: float = 2.0, most_broadcast: int = 1_000_000, counted: str = "n_removed") -> DataFrame:
+    """docs with boilerplate lines cut out of the text; all other columns as they are, and the lines cut as a column of the name counted (none, if empty)."""
     spark = ship(docs.sparkSession)
     scratch = Scratch(spark)
     bad = boilerplate(docs, site_col, text_col, least_sites, least_chars, wide, scratch).select("line")
-    kept = [c for c in docs.columns if c != "n_removed"]
+    kept = [c for c in docs.columns if c != counted]
     rows = docs.select(*kept)
+    count = counted or f"_cut_{uuid.uuid4().hex}"
     if bad.limit(most_broadcast + 1).count() <= most_broadcast:
         hashes = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in bad.collect()], np.int64)))
-        shape = rows.withColumn("n_removed", F.lit(0).cast("long")).schema
+        shape = rows.withColumn(count, F.lit(0).cast("long")).schema
 
         def run(batches):
             for b in pieces(batches, text_col):
                 lines, h, ok = line_keys(b.column(text_col), least_chars)
                 ok &= np.isin(h.view(np.int64), hashes.value)
-                yield _rewrite(b, text_col, lines, ok)
+                yield _rewrite(b, text_col, lines, ok, count)
 
         out = rows.mapInArrow(run, shape)
     else:
-        out = _by_join(rows, bad, text_col, least_chars)
+        out = _by_join(rows, bad, text_col, least_chars, count)
     if "n_chars" in kept:
         out = out.withColumn("n_chars", F.coalesce(F.char_length(text_col), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*kept, "n_removed")
+    return out.select(*kept, *([counted] if counted else []))
 
 
-def _rewrite(b: pa.RecordBatch, text_col: str, lines: Words, gone: np.ndarray) -> pa.RecordBatch:
-    """The batch with the lines cut out, and n_removed."""
+def _rewrite(b: pa.RecordBatch, text_col: str, lines: Words, gone: np.ndarray, counted: str) -> pa.RecordBatch:
+    """The batch with the lines cut out, and how many."""
     index = b.schema.get_field_index(text_col)
     texts, count = b.column(index), np.bincount(lines.doc()[gone], minlength=b.num_rows)
     if gone.any():
@@ -162,12 +164,12 @@ def _rewrite(b: pa.RecordBatch, text_col: str, lines: Words, gone: np.ndarray) -
             values[d] = _cut(values[d].encode(), spans, gone[lo:hi]).decode()
         texts = pa.array(values, texts.type)
     arrays = [texts if i == index else b.column(i) for i in range(b.num_columns)]
-    return pa.RecordBatch.from_arrays([*arrays, pa.array(count.astype(np.int64))], [*b.schema.names, "n_removed"])
+    return pa.RecordBatch.from_arrays([*arrays, pa.array(count.astype(np.int64))], [*b.schema.names, counted])
 
 
-def _by_join(rows: DataFrame, bad: DataFrame, text_col: str, least_chars: int) -> DataFrame:
+def _by_join(rows: DataFrame, bad: DataFrame, text_col: str, least_chars: int, counted: str) -> DataFrame:
     """The same by joins: the hashes of each distinct text that are boilerplate, then the texts with them."""
-    key = F.xxhash64(text_col)
+    key, th, cut = F.xxhash64(text_col), f"_th_{uuid.uuid4().hex}", f"_bad_{uuid.uuid4().hex}"
 
     def hashes(batches):
         for b in pieces(batches):
@@ -175,17 +177,17 @@ def _by_join(rows: DataFrame, bad: DataFrame, text_col: str, least_chars: int) -
             at = lines.doc()[ok]
             yield pa.RecordBatch.from_arrays([b.column("th").take(pa.array(at)), pa.array(h[ok].view(np.int64))], ["th", "line"])
 
-    hits = rows.select(key.alias("th"), F.col(text_col).alias("text")).mapInArrow(hashes, "th long, line long").join(bad, "line", "left_semi").distinct().groupBy("th").agg(F.collect_list("line").alias("_bad_lines"))
-    joined = rows.withColumn("_th", key).join(hits.withColumnRenamed("th", "_th"), "_th", "left").drop("_th")
-    shape = rows.withColumn("n_removed", F.lit(0).cast("long")).schema
+    hits = rows.select(key.alias("th"), F.col(text_col).alias("text")).mapInArrow(hashes, "th long, line long").join(bad, "line", "left_semi").distinct().groupBy("th").agg(F.collect_list("line").alias(cut))
+    joined = rows.withColumn(th, key).join(hits.withColumnRenamed("th", th), th, "left").drop(th)
+    shape = rows.withColumn(counted, F.lit(0).cast("long")).schema
 
     def run(batches):
         for b in pieces(batches, text_col):
             lines, h, ok = line_keys(b.column(text_col), least_chars)
-            for d, x in enumerate(b.column("_bad_lines")):
+            for d, x in enumerate(b.column(cut)):
                 part = slice(lines.first[d], lines.first[d + 1])
                 ok[part] &= np.isin(h[part].view(np.int64), x.values.to_numpy(zero_copy_only=False)) if x.is_valid else False
-            yield _rewrite(b.drop_columns(["_bad_lines"]), text_col, lines, ok)
+            yield _rewrite(b.drop_columns([cut]), text_col, lines, ok, counted)
 
     return joined.mapInArrow(run, shape)
 

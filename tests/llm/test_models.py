@@ -243,6 +243,36 @@ def test_pipeline(spark, tmp_path):
         assert stage.columns == docs_columns
 
 
+CLASHES = ("th", "id", "n", "x", "node", "item_id", "score", "n_removed", "site", "line", "block", "members", "y", "shard")
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null and repeated ids, repeated rows, null, empty and very long texts, columns that clash, and empty tables, in each stage and in all."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    bench, long = [(1, prose(8000, 40, 3000)), (None, None)], prose(5, 30_000, 3000)
+    near = prose(1, 200, 2000)
+    rows = [(None, near), (None, near), (1, near), (1, near), (2, near + " more"), (3, None), (4, ""), (5, long), (6, long + " end"), (7, prose(3, 80, 2000) + " " + bench[0][1]), (None, bench[0][1]), (8, " \n\t\n ")]
+    clash = [f"{i} AS {c}" for i, c in enumerate(CLASHES)]
+    docs = table(spark, rows).selectExpr("*", *clash).repartition(3)
+    for name, df in (("some", docs), ("none", docs.limit(0))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labelled(spark, [(1, 1, 0)]).limit(1 if name == "some" else 0).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        items(spark, bench).limit(2 if name == "some" else 0).write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        stage, kept = df, {}
+        for key, f in corpus_pipeline.STAGES:
+            stage = f(spark, stage, f"{tmp_path}/{name}")
+            kept[key] = stage.collect()
+            if key != "encoding":
+                assert stage.columns == docs.columns and all(tuple(r)[5:] == tuple(range(len(CLASHES))) for r in kept[key])
+        assert [tuple(r) for r in corpus_pipeline.run(spark, f"{tmp_path}/{name}").orderBy("doc_id", "n_tokens").collect()] == sorted((tuple(r) for r in kept["encoding"]), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        if name == "none":
+            assert not any(kept.values())
+        else:
+            assert sorted(str(r.doc_id) for r in kept["quality"]) == sorted(str(r.doc_id) for r in kept["line_dedup"]) == sorted(str(i) for i, _ in rows)
+            assert sorted(str(r.doc_id) for r in kept["near_dedup"]) == sorted(["None"] * 3 + ["1", "1", "3", "4", "5", "7", "8"])
+            assert sorted(str(r.doc_id) for r in kept["encoding"]) == sorted(["None"] * 2 + ["1", "1", "3", "4", "5", "8"])
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
