@@ -252,13 +252,16 @@ def commit(manifest: DataFrame, fetch_log: DataFrame, extract_log: DataFrame, no
 
 
 def commit_counters(manifest: DataFrame, fetch_log: DataFrame, extract_log: DataFrame) -> DataFrame:
-    """applied, errors, not_modified, gone, fresh of all results of a log."""
+    """applied, errors, not_modified, gone, fresh of all results of a log, and the changes by kind that they make."""
+    _, log = commit(manifest, fetch_log, extract_log, "", "")
+    made = log.agg(*(F.count_if(F.col("change_type") == k).alias(f"changelog_{k}") for k in ("added", "changed", "gone")))
     r = results(fetch_log, extract_log).join(manifest.select("url"), "url", "left_semi").select(F.explode("results").alias("r")).select("r.*")
     bad = F.col("error").isNotNull() | ((F.col("status") < 400) & (F.col("status") != 304) & (F.col("ok") == F.lit(False)))
-    return r.agg(
+    counted = r.agg(
         F.count("*").alias("applied"), F.count_if(bad).alias("errors"), F.count_if(~bad & (F.col("status") == 304)).alias("not_modified"),
         F.count_if(~bad & F.col("status").isin(404, 410)).alias("gone"), F.count_if(~bad & ~F.col("status").isin(304, 404, 410)).alias("fresh"),
     )
+    return counted.join(F.broadcast(made))
 
 
 def counts(manifest: DataFrame) -> DataFrame:

@@ -177,7 +177,7 @@ def commit_changes(spark, sf_dir):
 @register(
     _with(manifest=s.MANIFEST, fetch_log=s.FETCH_LOG, extract_log=s.EXTRACT_LOG)
     + _COMMIT
-    + " SELECT count(*) AS applied, count(*) FILTER (kind = 'error') AS errors, count(*) FILTER (kind = 'same') AS not_modified, count(*) FILTER (kind = 'gone') AS gone, count(*) FILTER (kind = 'new') AS fresh FROM c WHERE hit"
+    + " SELECT count(*) AS applied, count(*) FILTER (kind = 'error') AS errors, count(*) FILTER (kind = 'same') AS not_modified, count(*) FILTER (kind = 'gone') AS gone, count(*) FILTER (kind = 'new') AS fresh, count(*) FILTER (kind = 'new' AND moved AND content_hash IS NULL) AS changelog_added, count(*) FILTER (kind = 'new' AND moved AND content_hash IS NOT NULL) AS changelog_changed, count(*) FILTER (kind = 'gone' AND state <> 'GONE') AS changelog_gone FROM c WHERE hit"
 )
 def commit_counters(spark, sf_dir):
     return m.commit_counters(*(standin(spark, sf_dir, x) for x in (s.MANIFEST, s.FETCH_LOG, s.EXTRACT_LOG)))
@@ -359,12 +359,12 @@ def slugs(spark, sf_dir):
     r"""
 WITH t AS (SELECT a.item_id, list_distinct(regexp_extract_all(lower(a.text), '[\pL\pN_]+')) AS x, list_distinct(regexp_extract_all(lower(b.text), '[\pL\pN_]+')) AS y, regexp_replace(a.text, '[^ -~]', '', 'g') AS s, regexp_replace(b.text, '[^ -~]', '', 'g') AS t
   FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)
-SELECT item_id, len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) AS jaccard, levenshtein(s, t)::BIGINT AS edits FROM t"""
+SELECT item_id, len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) AS jaccard, 1 - levenshtein(s, t) / greatest(length(s), length(t)) AS similarity FROM t"""
 )
 def fidelity(spark, sf_dir):
     b = _table(spark, sf_dir, "benchmark")
     j = b.alias("a").join(b.alias("b"), F.col("b.item_id") == F.col("a.item_id") + 1)
-    return j.select(F.col("a.item_id").alias("item_id"), tx.jaccard(F.col("a.text"), F.col("b.text")).alias("jaccard"), F.levenshtein(*(F.regexp_replace(f"{x}.text", "[^ -~]", "") for x in "ab")).cast("long").alias("edits"))
+    return j.select(F.col("a.item_id").alias("item_id"), tx.jaccard(F.col("a.text"), F.col("b.text")).alias("jaccard"), tx.edit_similarity(*(F.regexp_replace(f"{x}.text", "[^ -~]", "") for x in "ab")).alias("similarity"))
 
 
 @register()
@@ -992,15 +992,43 @@ def rate_facts(spark, sf_dir):
     return found.select("doc_id", "f.fy", F.col("f.brackets")[0]["to"].alias("first_to"), F.size("f.brackets").cast("long").alias("n"))
 
 
-@register(
-    """
-WITH f AS (SELECT event_id AS seq, CASE WHEN value < 5 THEN ['low ' || event_type, 'low'] WHEN value < 9 THEN ['low'] ELSE [] END AS errors, event_type <> 'error' AS known FROM events)
+_CHECKED = """
+WITH f AS (SELECT event_id AS seq, CASE WHEN value < 5 THEN ['low ' || event_type, 'low'] WHEN value < 9 THEN ['low'] ELSE [] END AS errors, event_type <> 'error' AS known FROM events)"""
+
+
+def _checked(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    errors = F.when(F.col("value") < 5, F.array(F.concat(F.lit("low "), "event_type"), F.lit("low"))).when(F.col("value") < 9, F.array(F.lit("low"))).otherwise(F.array().cast("array<string>"))
+    return e.select(F.col("event_id").alias("seq"), errors.alias("errors"), (F.col("event_type") != "error").alias("known"))
+
+
+@register(_CHECKED + """
 SELECT count(*) AS total, count(*) FILTER (known AND len(errors) = 0) AS valid, count(*) FILTER (NOT (known AND len(errors) = 0)) AS invalid, count(*) FILTER (NOT known) AS no_schema FROM f"""
 )
 def facts_summary(spark, sf_dir):
-    e = _table(spark, sf_dir, "events")
-    errors = F.when(F.col("value") < 5, F.array(F.concat(F.lit("low "), "event_type"), F.lit("low"))).when(F.col("value") < 9, F.array(F.lit("low"))).otherwise(F.array().cast("array<string>"))
-    return evals.facts_summary(e.select(F.col("event_id").alias("seq"), errors.alias("errors"), (F.col("event_type") != "error").alias("known")))
+    return evals.facts_summary(_checked(spark, sf_dir))
+
+
+@register(_CHECKED + ", m AS (SELECT seq, unnest(errors) AS message, generate_subscripts(errors, 1) AS pos FROM f) SELECT message, count(*) AS n FROM m GROUP BY message ORDER BY n DESC, min(seq * 100 + pos) LIMIT 10")
+def facts_errors(spark, sf_dir):
+    """The ten most frequent messages, as the report lists them."""
+    return evals.facts_errors(_checked(spark, sf_dir))
+
+
+@register(
+    "SELECT doc_id, doc_id % 5 <> 0 AS known, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE (doc_id % 3 = 0)::INT + (doc_id % 4 = 0)::INT + (doc_id % 7 = 0)::INT END::BIGINT AS errors FROM documents"
+)
+def checked_facts(spark, sf_dir):
+    """Facts held against the schema that they declare: some name none, some lack a field, have a bad rate or a bad year."""
+    i = F.col("doc_id")
+    payload = F.to_json(
+        F.struct(
+            F.lit("ato-rate-table-v1").alias("$schema"), F.lit("u").alias("source_url"), F.concat(F.lit("sha256:"), F.sha2(i.cast("string"), 256)).alias("content_hash"), F.when(i % 3 != 0, "company").alias("audience"),
+            F.array(F.struct(F.lit(0).alias("from"), F.when(i % 4 == 0, 1.5).otherwise(0.3).alias("rate"))).alias("brackets"), F.when(i % 7 == 0, "2025").otherwise("2025-26").alias("fy"), F.lit("a").alias("effective_from"), F.lit("b").alias("effective_to"),
+        )
+    )
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.when(i % 5 == 0, "unknown").otherwise("ato-rate-table-v1").alias("schema"), payload.alias("payload"))
+    return fx.checked(rows, ATO.schemas, F.col("payload")).select("doc_id", "known", F.size("errors").cast("long").alias("errors"))
 
 
 @register("SELECT regexp_extract(lower(url), '//[^/?#]*/([^/?#]*)', 1) AS section, count(*) AS n FROM pages WHERE regexp_matches(html, '(?i)<ul') AND NOT contains(html, '<i>') GROUP BY 1")

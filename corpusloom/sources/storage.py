@@ -196,6 +196,27 @@ def environment() -> dict[str, str]:
     return {"python": platform.python_version(), "unicode": unicodedata.unidata_version, "pyspark": pyspark.__version__}
 
 
+def backup(spark: SparkSession, root: str, to: str, keep: int = 7) -> tuple[str, str]:
+    """(path, SHA-256) of a copy of the published run's manifest, snapshot and change log and of the table of runs, under the run's id; the
+    oldest copies beyond keep (one at least), by the time of their digests, are removed. The digest is over the names and digests of the files.
+    """
+    run = current(spark, root)
+    if run is None:
+        raise ValueError("nothing is published")
+    path = f"{to}/{run}"
+    for name, df in (("manifest", table(spark, root, "manifest")), ("snapshot", table(spark, root, "snapshot")), ("changelog", changelog(spark, root)), ("runs", runs(spark, root))):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    named = files.select(F.concat_ws(":", F.regexp_extract("path", r"([^/]+/[^/]+)$", 1), F.sha2("content", 256)).alias("line"))
+    digest = named.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256)).first()[0]
+    put_text(spark, f"{path}/sha256", digest)
+    fs, p = _fs(spark, to)
+    copies = [(fs.getFileStatus(_fs(spark, f"{x.getPath().toString()}/sha256")[1]).getModificationTime(), x.getPath()) for x in fs.listStatus(p) if exists(spark, f"{x.getPath().toString()}/sha256")]
+    for _, old in sorted(copies, key=lambda x: (x[0], x[1].getName()), reverse=True)[max(1, keep) :]:
+        fs.delete(old, True)
+    return path, digest
+
+
 def verify_backup(spark: SparkSession, path: str) -> tuple[bool, str]:
     """Whether a backup has a manifest with its columns and a table of runs."""
     from corpusloom.operators.manifest import COLUMNS

@@ -70,6 +70,13 @@ def test_build_twice(spark, tmp_path):
     log, blobs = responses(spark, changed, status=500)
     assert not build.run(spark, root, seeds, log, blobs, "2026-09-20T00:00:00Z", "r3", profiles.ATO)
     assert storage.current(spark, root) == "r2"
+    path, digest = storage.backup(spark, root, f"{root}/backups", 2)
+    assert storage.verify_backup(spark, path) == (True, "") and storage.get_text(spark, f"{path}/sha256") == digest and len(digest) == 64
+    assert spark.read.parquet(f"{path}/changelog").count() == 8
+    for old in ("a", "b"):
+        storage.put_text(spark, f"{root}/backups/{old}/sha256", "x")
+    storage.backup(spark, root, f"{root}/backups", 2)
+    assert storage.exists(spark, f"{path}/sha256") and not storage.exists(spark, f"{root}/backups/a") and storage.exists(spark, f"{root}/backups/b")
     for bad in ("r3", "2020-01-01T00:00:00Z", "nonsense"):
         with pytest.raises(ValueError):
             storage.table_as_of(spark, root, "pages", bad)

@@ -86,7 +86,7 @@ def test_commit_applies_every_result_of_a_url(spark):
     assert (a["u1"].state, a["u1"].fail_count, a["u1"].content_hash) == ("FRESH", 0, "new") and a["u2"].unchanged_streak == 4 and a["u3"].state == "GONE"
     assert [(r.seq, r.url, r.change_type) for r in change.orderBy("seq").collect()] == [(2, "u1", "changed"), (6, "u3", "gone"), (8, "u3", "gone")]
     assert a["u4"].asDict() == table.where("url = 'u4'").first().asDict()
-    assert m.commit_counters(table, fetch, extract).first().asDict() == {"applied": 9, "errors": 3, "not_modified": 2, "gone": 2, "fresh": 2}
+    assert m.commit_counters(table, fetch, extract).first().asDict() == {"applied": 9, "errors": 3, "not_modified": 2, "gone": 2, "fresh": 2, "changelog_added": 0, "changelog_changed": 1, "changelog_gone": 2}
 
 
 def test_denied_calls_are_not_charged(spark):
