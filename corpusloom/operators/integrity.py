@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,35 +32,57 @@ def leaves(pages: DataFrame) -> DataFrame:
 
 
 def ranked(rows: DataFrame, column: str) -> DataFrame:
-    """i: the place of each row in ascending order of column, from 0; no task sees more than its own range."""
+    """i: the place of each row in ascending order of column, from 0; first: whether no equal row comes before. No task sees more than its own range."""
     spans = rows.repartitionByRange(column).sortWithinPartitions(column)
     # Held, so that both uses below see the same ranges: in the checkpoint folder, which outlives lost executors, where there is one.
     spans = spans.withColumn("_p", F.spark_partition_id())
     spans = spans.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else spans.persist()
     sizes = spans.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
-    local = F.row_number().over(W.partitionBy("_p").orderBy(column)) - 1
-    return spans.withColumn("_i", local).join(F.broadcast(before), "_p").withColumn("i", F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")
+    order = W.partitionBy("_p").orderBy(column)  # equal rows are in one range
+    again = F.lag(column).over(order).eqNullSafe(F.col(column)) & (F.row_number().over(order) > 1)
+    return spans.withColumn("_i", F.row_number().over(order) - 1).withColumn("first", ~again).join(F.broadcast(before), "_p").withColumn("i", F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")
 
 
-def _up(level: DataFrame) -> DataFrame:
-    """The next level of (i, h): neighbours hashed together, an odd last one with itself."""
-    pairs = level.groupBy(F.floor(F.col("i") / 2).alias("i")).agg(F.min_by("h", "i").alias("a"), F.max_by("h", "i").alias("b"))
-    return pairs.select("i", sha(F.concat("a", "b")).alias("h"))
+#: A chunk of the leaves is 2**CHUNK that follow each other; one task folds it.
+CHUNK = 16
 
 
-def levels(hashed: DataFrame, checkpoint=None) -> list[DataFrame]:
-    """All levels (i, h) of the tree over hashed (leaf), leaves first. checkpoint(df) cuts the lineage of each."""
-    keep = checkpoint or (lambda df: df)
-    level = keep(ranked(hashed.select(F.col("leaf").alias("h")), "h").select(F.col("i").cast("long").alias("i"), "h"))
-    out, n = [level], level.count()
-    while n > 1:
-        level = keep(_up(level))
+def tree_levels(level: list[str], height: int | None = None) -> list[list[str]]:
+    """The levels over some hashes, bottom up: as many as height, or up to the root. The last of an odd level meets itself."""
+    out = [level]
+    while len(out) - 1 < height if height is not None else len(level) > 1:
+        level = [hashlib.sha256((a + b).encode()).hexdigest() for a, b in zip(level[::2], level[1::2] + ([level[-1]] if len(level) % 2 else []), strict=True)]
         out.append(level)
-        n = -(-n // 2)
     return out
 
 
+def path_up(levels: list[list[str]], i: int) -> list[dict[str, str]]:
+    """The siblings of place i from the lowest level to the one below the top."""
+    steps = []
+    for level in levels[:-1]:
+        steps.append({"sibling": level[min(i ^ 1, len(level) - 1)], "position": "left" if i % 2 else "right"})
+        i //= 2
+    return steps
+
+
+def chunks(hashed: DataFrame, height: int) -> DataFrame:
+    """The leaves in order: chunk, i, leaf, first (whether no equal leaf comes before)."""
+    rows = ranked(hashed.select("leaf"), "leaf")
+    return rows.select(F.shiftright(F.col("i").cast("long"), height).alias("chunk"), F.col("i").cast("long").alias("i"), "leaf", "first")
+
+
+def chunk_roots(rows: DataFrame, height: int) -> list[str]:
+    """The root of every chunk, in order: one hash for 2**height leaves is what the driver holds."""
+
+    def run(table: pa.Table) -> pa.Table:
+        top = tree_levels(table.sort_by("i").column("leaf").to_pylist(), height)[-1][0]
+        return pa.table({"chunk": table.column("chunk")[:1], "top": pa.array([top], pa.string())})
+
+    tops = rows.select("chunk", "i", "leaf").groupBy("chunk").applyInArrow(run, "chunk long, top string").collect()
+    return [r["top"] for r in sorted(tops, key=lambda r: r["chunk"])]
+
+
 #: Up to so many leaves one task folds the tree; more are folded level by level.
 SMALL_TREE = 200_000
 
@@ -77,64 +101,63 @@ def fold_sorted(hashes: pd.Series) -> pd.Series:
     return hashes.map(root)
 
 
-def merkle_root(hashed: DataFrame, checkpoint=None, small: int = SMALL_TREE) -> DataFrame:
-    """One row: root (null of nothing) and leaf_count."""
+def merkle_root(hashed: DataFrame, small: int = SMALL_TREE, height: int = CHUNK) -> DataFrame:
+    """One row: root (null of nothing) and leaf_count. Trees above small are folded chunk by chunk, and the chunks' roots by the driver."""
     spark = hashed.sparkSession
     n = hashed.count()
-    if n <= small:
+    if n <= small or n <= 1:
         return hashed.agg(fold_sorted(F.collect_list("leaf")).alias("root"), F.count("*").alias("leaf_count"))
-    return levels(hashed, checkpoint)[-1].select(F.col("h").alias("root"), F.lit(n).cast("long").alias("leaf_count")) if n else spark.createDataFrame([(None, 0)], "root string, leaf_count long")
+    root = tree_levels(chunk_roots(chunks(hashed, height), height if n > 1 << height else None))[-1][0]
+    return spark.createDataFrame([(root, n)], "root string, leaf_count long")
 
 
 def _proofs_small(hashed: DataFrame, targets: DataFrame) -> DataFrame:
     """proofs() from a tree of at most SMALL_TREE leaves that every task holds."""
-    level = sorted(r["leaf"] for r in hashed.collect())
-    tree = [level]
-    while len(level) > 1:
-        level = [hashlib.sha256((a + b).encode()).hexdigest() for a, b in zip(level[::2], level[1::2] + ([level[-1]] if len(level) % 2 else []), strict=True)]
-        tree.append(level)
-    held = hashed.sparkSession.sparkContext.broadcast(tree)
+    held = hashed.sparkSession.sparkContext.broadcast(tree_levels(sorted(r["leaf"] for r in hashed.collect())))
 
     def run(batches):
-        import bisect
-
-        import pyarrow as pa
-
         tree = held.value
-        kind = pa.list_(pa.struct([("sibling", pa.string()), ("position", pa.string())]))
         for b in batches:
             out = []
             for leaf_ in b.column(0).to_pylist():
                 i = bisect.bisect_left(tree[0], leaf_) if leaf_ is not None else 0
-                if leaf_ is None or i == len(tree[0]) or tree[0][i] != leaf_:
-                    continue
-                steps = []
-                for level in tree[:-1]:
-                    steps.append({"sibling": level[min(i ^ 1, len(level) - 1)], "position": "left" if i % 2 else "right"})
-                    i //= 2
-                out.append((leaf_, steps))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([p for _, p in out], kind), pa.array([tree[-1][0]] * len(out), pa.string())], ["leaf", "proof", "root"])
-
-    return targets.select("leaf").distinct().mapInArrow(run, "leaf string, proof array<struct<sibling:string,position:string>>, root string")
-
-
-def proofs(hashed: DataFrame, targets: DataFrame, checkpoint=None, small: int = SMALL_TREE) -> DataFrame:
-    """For each target (leaf) in the tree: leaf, proof array of (sibling, position) bottom up, and the root."""
-    size = hashed.count()
-    if size <= small:
+                if leaf_ is not None and i < len(tree[0]) and tree[0][i] == leaf_:
+                    out.append((leaf_, path_up(tree, i)))
+            yield _proved(out, tree[-1][0] if tree[0] else None)
+
+    return targets.select("leaf").distinct().mapInArrow(run, _PROOF)
+
+
+_PROOF = "leaf string, proof array<struct<sibling:string,position:string>>, root string"
+
+
+def _proved(rows: list[tuple[str, list]], root: str | None) -> pa.RecordBatch:
+    kind = pa.list_(pa.struct([("sibling", pa.string()), ("position", pa.string())]))
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([x for _, x in rows], kind), pa.array([root] * len(rows), pa.string())], ["leaf", "proof", "root"])
+
+
+def proofs(hashed: DataFrame, targets: DataFrame, small: int = SMALL_TREE, height: int = CHUNK) -> DataFrame:
+    """For each target (leaf) in the tree: leaf, proof array of (sibling, position) bottom up, and the root.
+
+    Trees above small are proved chunk by chunk: a chunk's task makes the lower steps, and the tree over the chunks' roots the upper ones.
+    """
+    n = hashed.count()
+    if n <= small or n <= 1:
         return _proofs_small(hashed, targets)
-    tree = levels(hashed, checkpoint)
-    at = tree[0].groupBy("h").agg(F.min("i").alias("i")).join(targets.select(F.col("leaf").alias("h")).distinct(), "h").select(F.col("h").alias("leaf"), "i")
-    at = at.withColumn("proof", F.array().cast("array<struct<sibling:string,position:string>>"))
-    for level in tree[:-1]:
-        # The sibling of an odd last node is itself, on the right.
-        other = F.when(F.col("i") % 2 == 1, F.col("i") - 1).otherwise(F.least(F.col("i") + 1, F.lit(size - 1)))
-        side = level.select(F.col("i").alias("_o"), F.col("h").alias("_s"))
-        at = at.withColumn("_o", other.cast("long")).join(side, "_o")
-        step = F.struct(F.col("_s").alias("sibling"), F.when(F.col("i") % 2 == 0, "right").otherwise("left").alias("position"))
-        at = at.select("leaf", F.floor(F.col("i") / 2).alias("i"), F.concat("proof", F.array(step)).alias("proof"))
-        size = -(-size // 2)
-    return at.join(F.broadcast(tree[-1].select(F.col("h").alias("root")))).select("leaf", "proof", "root")
+    levels = height if n > 1 << height else None
+    rows = chunks(hashed, height)
+    over = hashed.sparkSession.sparkContext.broadcast(tree_levels(chunk_roots(rows, levels)))
+    wanted = targets.select("leaf").distinct().withColumn("wanted", F.lit(True))
+    marked = rows.join(wanted, "leaf", "left").select("chunk", "i", "leaf", (F.col("first") & F.coalesce("wanted", F.lit(False))).alias("wanted"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        tree, chunk = tree_levels(table.column("leaf").to_pylist(), levels), table.column("chunk")[0].as_py()
+        upper = path_up(over.value, chunk)
+        some = [k for k, w in enumerate(table.column("wanted").to_pylist()) if w]
+        return pa.Table.from_batches([_proved([(tree[0][k], path_up(tree, k) + upper) for k in some], over.value[-1][0])])
+
+    return marked.groupBy("chunk").applyInArrow(run, _PROOF)
 
 
 def fold(start: Column, proof: Column) -> Column:
@@ -158,7 +181,7 @@ def verify_envelope(e: dict, root: str | None = None) -> tuple[bool, str]:
     return (False, "root is not the expected one") if root is not None and h != root else (True, "")
 
 
-def verified_leaves(sources: list[tuple[str, DataFrame]], stored_root: str | None, checkpoint=None) -> tuple[str, DataFrame]:
+def verified_leaves(sources: list[tuple[str, DataFrame]], stored_root: str | None) -> tuple[str, DataFrame]:
     """The first of the sources (name, pages) whose leaves give the stored root, and its pages. Nothing is proved (ValueError) without
     such a source, or if it has two content hashes for one url.
     """
@@ -166,7 +189,7 @@ def verified_leaves(sources: list[tuple[str, DataFrame]], stored_root: str | Non
         raise ValueError("the snapshot has no root to prove against")
     tried = []
     for name, pages in sources:
-        root = merkle_root(leaves(pages).select("leaf"), checkpoint).first()
+        root = merkle_root(leaves(pages).select("leaf")).first()
         tried.append(f"{name}: {root['leaf_count']} leaves, root {str(root['root'])[:12]}")
         if root["root"] == stored_root:
             two = pages.where("content_hash <> ''").groupBy("url").agg(F.count_distinct("content_hash").alias("n")).where("n > 1").select("url").first()
@@ -176,7 +199,7 @@ def verified_leaves(sources: list[tuple[str, DataFrame]], stored_root: str | Non
     raise ValueError(f"no leaf set gives the stored root ({'; '.join(tried)})")
 
 
-def envelopes(pages: DataFrame, urls: DataFrame, run_id: str, checkpoint=None) -> DataFrame:
+def envelopes(pages: DataFrame, urls: DataFrame, run_id: str) -> DataFrame:
     """A proof for each asked url, by its canonical form or as it is; a url that is not there gets included = false."""
     from corpusloom.functions.urls import canonical_url
 
@@ -185,7 +208,7 @@ def envelopes(pages: DataFrame, urls: DataFrame, run_id: str, checkpoint=None) -
     one = asked.join(have.select(F.col("url").alias("canonical"), F.col("content_hash").alias("h1"), F.col("leaf").alias("l1")), "canonical", "left")
     both = one.join(have.select("url", F.col("content_hash").alias("h2"), F.col("leaf").alias("l2")), "url", "left")
     found = both.select("url", F.when(F.col("l1").isNotNull(), F.col("canonical")).otherwise(F.col("url")).alias("proved_url"), F.coalesce("h1", "h2").alias("content_hash"), F.coalesce("l1", "l2").alias("leaf"))
-    proved = proofs(leaves(pages).select("leaf"), found.where("leaf IS NOT NULL"), checkpoint)
+    proved = proofs(leaves(pages).select("leaf"), found.where("leaf IS NOT NULL"))
     return found.join(proved, "leaf", "left").select(
         "url", "proved_url", "content_hash", "leaf", F.col("root").alias("merkle_root"), F.coalesce("proof", F.array()).alias("proof"), F.col("leaf").isNotNull().alias("included"),
         F.lit(run_id).alias("run_id"), F.lit(SCHEME).alias("scheme"), F.lit(PROOF_VERSION).alias("integrity_version"),
@@ -212,8 +235,6 @@ def append(entries: DataFrame, last_hash: str | None = None, columns: tuple[str,
     rows = entries.withColumn("_json", canonical(columns))
 
     def run(batches):
-        import pyarrow as pa
-
         prev = last_hash or GENESIS
         for b in batches:
             before, after = [], []

@@ -186,11 +186,15 @@ def test_merkle(spark, n):
     df = spark.createDataFrame([(x,) for x in h], "leaf string")
     assert tuple(integrity.merkle_root(df).first()) == (fold(h), n)
     if n in (5, 17):
-        keep = lambda d: d.persist()
-        assert integrity.merkle_root(df, keep, small=0).first()["root"] == fold(h)
+        for small, height in ((100, 16), (0, 16), (0, 1), (0, 2), (0, 3)):
+            assert tuple(integrity.merkle_root(df, small, height).first()) == (fold(h), n)
+            p = integrity.proofs(df, df, small, height).select("proof", "root", (integrity.fold(F.col("leaf"), F.col("proof")) == fold(h)).alias("ok")).collect()
+            assert len(p) == n and all(r.ok and r.root == fold(h) and len(r.proof) == (n - 1).bit_length() for r in p)
+        twice = df.unionByName(df.limit(3))
+        few = df.limit(4).unionByName(spark.createDataFrame([("absent",), (None,)], "leaf string"))
         for small in (0, 100):
-            p = integrity.proofs(df, df, keep, small=small).select((integrity.fold(F.col("leaf"), F.col("proof")) == fold(h)).alias("ok")).collect()
-            assert len(p) == n and all(r.ok for r in p)
+            p = integrity.proofs(twice, few, small, 2).collect()
+            assert len(p) == 4 and {r.root for r in p} == {fold([r.leaf for r in twice.collect()])}
 
 
 def test_envelopes(spark):
