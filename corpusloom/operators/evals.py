@@ -158,8 +158,9 @@ def conditions(cells: DataFrame) -> DataFrame:
     return cells.groupBy("condition").agg(F.avg(F.when(F.col("score") > 0, F.col("score"))).alias("mean_score"), F.avg(F.col("passed").cast("double")).alias("pass_rate"), F.sum("tokens").alias("tokens"), F.count("*").alias("cells"))
 
 
-def use_cases(cells: DataFrame, names: list[str]) -> DataFrame:
-    """Mean score by use case, a column for each condition."""
+def use_cases(cells: DataFrame, names: list[str], questions: DataFrame | None = None) -> DataFrame:
+    """Mean score by use case, that of the cells' questions (qid, use_case) if they are given, a column for each condition."""
+    cells = cells if questions is None else cells.drop("use_case").join(questions.select("qid", "use_case"), "qid")
     return cells.groupBy("use_case").pivot("condition", names).agg(F.avg(F.when(F.col("score") > 0, F.col("score"))))
 
 

@@ -327,9 +327,13 @@ def visible_text(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", tx.visible_text_len(F.col("html")).cast("long").alias("n"))
 
 
-@register(f"SELECT page_id, length({_VISIBLE}) < 1000 AS thin FROM pages")
+@register(f"SELECT page_id, CASE page_id % 5 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN false ELSE length({_VISIBLE}) < 1000 END AS thin FROM pages")
 def thin_pages(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", tx.looks_thin(F.col("html"), F.lit("text/html"), 1000).alias("thin"))
+    """Short pages; what is no HTML, what is a challenge, and what carries a large embedded state is known before."""
+    i, html = F.col("page_id") % 5, F.col("html")
+    state = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">'), F.repeat(F.lit("x"), F.lit(2100)), F.lit("</script>"))
+    body = F.when(i == 1, F.concat(F.lit(f"<p>{tx.CHALLENGE[0]}</p>"), html)).when(i == 2, F.concat(F.lit("<html>"), state)).otherwise(html)
+    return _table(spark, sf_dir, "pages").select("page_id", tx.looks_thin(body, F.when(i == 0, "application/json").otherwise("text/html"), 1000).alias("thin"))
 
 
 def _count(pattern: str, column: str = "html") -> str:
@@ -836,9 +840,11 @@ def conditions(spark, sf_dir):
     return evals.conditions(standin(spark, sf_dir, s.CELLS))
 
 
-@register(_with(cells=s.CELLS) + " SELECT use_case, " + ", ".join(f"avg(score) FILTER (score > 0 AND condition = '{c}') AS {c}" for c in ("click", "error", "view")) + " FROM cells GROUP BY use_case")
+@register(_with(cells=s.CELLS) + ", q AS (SELECT DISTINCT qid, 'case-' || length(qid) AS use_case FROM cells) SELECT q.use_case, " + ", ".join(f"avg(score) FILTER (score > 0 AND condition = '{c}') AS {c}" for c in ("click", "error", "view")) + " FROM cells JOIN q USING (qid) GROUP BY q.use_case")
 def use_cases(spark, sf_dir):
-    return evals.use_cases(standin(spark, sf_dir, s.CELLS), ["click", "error", "view"])
+    cells = standin(spark, sf_dir, s.CELLS)
+    questions = cells.select("qid").distinct().withColumn("use_case", F.concat(F.lit("case-"), F.char_length("qid").cast("string")))
+    return evals.use_cases(cells, ["click", "error", "view"], questions)
 
 
 @register(
@@ -883,16 +889,27 @@ def _page_blobs(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select(F.md5("html").alias("raw_hash"), F.col("html").alias("body"), ux.canonical_url(F.col("url")).alias("url"), "page_id")
 
 
-@register(f"SELECT {_CANON} AS url, md5(html) AS raw_hash, 'new-content-html' AS reason, true AS ok FROM pages")
+@register(
+    f"""
+SELECT {_CANON} AS url, CASE page_id % 8 WHEN 0 THEN NULL WHEN 3 THEN 'lost' WHEN 4 THEN md5('%PDF-1.7' || page_id) WHEN 5 THEN md5('%%' || html) ELSE md5(html) END AS raw_hash,
+  CASE page_id % 8 WHEN 0 THEN '304' WHEN 1 THEN 'http-404' WHEN 2 THEN 'http-503' WHEN 3 THEN 'no-raw-hash' WHEN 4 THEN 'extract-failed-pdf' WHEN 5 THEN 'admission-challenge-page' WHEN 6 THEN 'unchanged-raw' ELSE 'new-content-html' END AS reason,
+  page_id % 8 IN (0, 6, 7) AS ok FROM pages"""
+)
 def extract_log(spark, sf_dir):
-    """The extract log of a first fetch of every page."""
-    p = _page_blobs(spark, sf_dir)
-    null = F.lit(None).cast("string")
+    """The extract log of a fetch of every page: not modified, failed, lost, unreadable, challenged, unchanged and new ones."""
+    i, null = F.col("page_id") % 8, F.lit(None).cast("string")
+    challenge = F.lit('<html><body class="cf-browser-verification"><p>wait a moment</p></body></html>')
+    body = F.when(i == 4, F.concat(F.lit("%PDF-1.7"), F.col("page_id").cast("string"))).when(i == 5, challenge).otherwise(F.col("html"))
+    raw = F.when(i == 4, F.md5(body)).when(i == 5, F.md5(F.concat(F.lit("%%"), "html"))).otherwise(F.md5("html"))
+    p = _table(spark, sf_dir, "pages").select("page_id", i.alias("i"), ux.canonical_url(F.col("url")).alias("url"), raw.alias("raw_hash"), body.alias("body"))
     log = p.select(
-        "url", F.lit("FETCH").alias("decision"), F.lit(200).alias("status"), null.alias("etag"), null.alias("last_modified"), "raw_hash", F.length("body").cast("long").alias("raw_bytes"),
-        F.lit(s.NOW).alias("fetched_at"), null.alias("error"), null.alias("browser_version"), F.lit("text/html").alias("content_type"), F.col("page_id").alias("seq"),
+        "url", F.lit("FETCH").alias("decision"), F.when(F.col("i") == 0, 304).when(F.col("i") == 1, 404).when(F.col("i") == 2, 503).otherwise(200).alias("status"), null.alias("etag"), null.alias("last_modified"),
+        F.when(F.col("i") == 3, "lost").when(F.col("i") > 0, F.col("raw_hash")).alias("raw_hash"), F.length("body").cast("long").alias("raw_bytes"),
+        F.lit(s.NOW).alias("fetched_at"), F.when(F.col("i") == 2, "boom").alias("error"), null.alias("browser_version"), F.lit("text/html").alias("content_type"), F.col("page_id").alias("seq"),
     )
-    return build.extract(log, p.select("raw_hash", "body").dropDuplicates(["raw_hash"]), m.empty(spark)).select("url", "raw_hash", "reason", "ok")
+    old = {"url": F.col("url"), "raw_hash": F.col("raw_hash"), "content_hash": F.lit("c"), "extractor_version": F.lit("loom-html-1-html"), "normalizer_version": F.lit(tx.normalizer_version(()))}
+    known = p.where("i = 6").select(*(old.get(c, F.lit(None)).cast(m.MANIFEST_TYPES[c]).alias(c) for c in m.COLUMNS))
+    return build.extract(log, p.select("raw_hash", "body").dropDuplicates(["raw_hash"]), known).select("url", "raw_hash", "reason", "ok")
 
 
 @register()

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corpusloom.operators.manifest import at
+from corpusloom.operators.manifest import at, commit
+from corpusloom.sources import storage
 from corpusloom.sources.storage import LOGS
 
 
@@ -29,6 +30,29 @@ def fold(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint:
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def manifest_fold(spark: SparkSession, root: str, manifest: DataFrame, extract_log: DataFrame, now: str, run_id: str) -> Callable[[DataFrame, int], None]:
+    """For fold(): commits each batch of fetch results to the manifest kept below root, the first one to the manifest given.
+
+    A batch writes its state whole and then turns the pointer, in one step, so a batch that is repeated after a failure changes nothing.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        last = int(storage.get_text(spark, f"{root}/last") or -1)
+        if number > last:
+            before = manifest if last < 0 else spark.read.parquet(f"{root}/state-{last}")
+            after, log = commit(before, batch, extract_log, now, run_id)
+            after.write.mode("overwrite").parquet(f"{root}/state-{number}")
+            log.write.mode("overwrite").parquet(f"{root}/changes-{number}")
+            storage.put_text(spark, f"{root}/last", str(number))
+
+    return apply
+
+
+def manifest_state(spark: SparkSession, root: str) -> DataFrame:
+    """The manifest after the last batch."""
+    return spark.read.parquet(f"{root}/state-{storage.get_text(spark, f'{root}/last')}")
+
+
 def blocked_hosts(attempts: DataFrame, limit: int = 3) -> DataFrame:
     """From a stream of attempts (host, seq, blocked): the tally of each host and whether it is latched.
 
@@ -48,9 +72,9 @@ def blocked_hosts(attempts: DataFrame, limit: int = 3) -> DataFrame:
     return attempts.groupBy("host").applyInPandasWithState(step, "host string, tally int, latched boolean", "tally int, latched boolean", "update", GroupStateTimeout.NoTimeout)
 
 
-def change_feed(spark: SparkSession, path: str, published: list[str]) -> DataFrame:
-    """The change log as a stream; rows of runs that are not published are withheld."""
-    return log_stream(spark, path, "changelog").where(F.col("run_id").isin(published))
+def change_feed(spark: SparkSession, path: str, runs: DataFrame) -> DataFrame:
+    """The change log as a stream; rows of runs (run_id, status) that are not published are withheld."""
+    return log_stream(spark, path, "changelog").join(runs.where("status = 'published'").select("run_id"), "run_id", "left_semi")
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -144,6 +144,24 @@ def test_streams(spark, tmp_path):
     (src / "b.json").write_text(json.dumps({"url": "u9", "status": 404, "seq": 9, "fetched_at": "2026-01-01T00:00:00Z"}))
     feeds.fold(feeds.log_stream(spark, str(src), "fetch"), lambda b, n: out.append((n, b.count())), str(tmp_path / "ck")).awaitTermination(60)
     assert out == [(0, 5), (1, 1)]
+    from corpusloom.operators import manifest as m
+
+    rows = spark.createDataFrame([(f"u{i}",) for i in range(12)], "url string").select(*(F.col("url") if c == "url" else F.lit({"state": "UNSEEN", "fail_count": 0, "unchanged_streak": 0}.get(c)).cast(t).alias(c) for c, t in m.MANIFEST_TYPES.items()))
+    extract = spark.createDataFrame([(f"u{i}", "r", f"h{i}", "t", 1, "E", "v1", True, "ok", i) for i in range(12)], "url string, raw_hash string, content_hash string, title string, n_chars int, extractor_version string, normalizer_version string, ok boolean, reason string, seq long")
+    apply = feeds.manifest_fold(spark, f"{tmp_path}/state", rows, extract, "2026-01-02T00:00:00Z", "r1")
+    feeds.fold(feeds.log_stream(spark, str(src), "fetch"), apply, str(tmp_path / "ck3")).awaitTermination(60)
+    (src / "c.json").write_text(json.dumps({"url": "u1", "status": 304, "seq": 20, "fetched_at": "2026-01-01T00:00:00Z"}))
+    feeds.fold(feeds.log_stream(spark, str(src), "fetch"), apply, str(tmp_path / "ck3")).awaitTermination(60)
+    state = {r.url: (r.state, r.unchanged_streak, r.content_hash) for r in feeds.manifest_state(spark, f"{tmp_path}/state").collect()}
+    assert state["u0"] == ("FRESH", 0, "h0") and state["u1"] == ("FRESH", 1, "h1") and state["u9"][0] == "GONE" and state["u7"][0] == "UNSEEN"
+    apply(spark.createDataFrame([], storage.FETCH), 1)
+    assert storage.get_text(spark, f"{tmp_path}/state/last") == "1"
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log/a.json").write_text("\n".join(json.dumps({"seq": i, "url": f"u{i}", "run_id": f"r{i % 3}"}) for i in range(9)))
+    runs = spark.createDataFrame([("r0", "published"), ("r1", "degraded"), ("r2", "published")], "run_id string, status string")
+    feed = feeds.change_feed(spark, str(tmp_path / "log"), runs).writeStream.format("memory").queryName("feed").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck4")).start()
+    feed.awaitTermination(60)
+    assert sorted(r.seq for r in spark.table("feed").collect()) == [0, 2, 3, 5, 6, 8]
     (tmp_path / "at").mkdir()
     (tmp_path / "at/x.json").write_text("\n".join(json.dumps({"host": h, "seq": i, "blocked": b}) for h, i, b in [("a", 4, True), ("a", 1, True), ("a", 2, True), ("a", 3, False), ("b", 3, False), ("b", 1, True), ("b", 2, True), ("b", 4, True), ("c", 3, True), ("c", 1, True), ("c", 2, True), ("c", 4, False)]))
     s = feeds.blocked_hosts(spark.readStream.schema("host string, seq long, blocked boolean").json(str(tmp_path / "at")))
