@@ -134,16 +134,14 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spa
     scratch = Scratch(spark)
     rows = _keyed(docs, id_col, text_col)
     keys = scratch.keep(rows.select(*KEYS, F.octet_length("text").cast("long").alias("size")), "keys")
-    total = keys.agg(F.sum("size")).first()[0] or 0
+    keys = scratch.keep(keys.repartitionByRange(*KEYS).groupBy(*KEYS).agg(F.count("*").alias("m"), F.max("size").alias("size")).withColumn("part", F.spark_partition_id()), "order")
+    total, most = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("m"), F.lit(0))).first()
     if span_bytes is None:
         span_bytes = max(1 << 20, min(1 << 26, total // 256), 2 * total // SPANS)
     # A number of its own: cutting and hashing cost far more than the bytes that adaptive execution would merge by.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(total >> 26, 100_000))
-    keys = scratch.keep(keys.repartitionByRange(*KEYS).groupBy(*KEYS).agg(F.count("*").alias("m"), F.max("size").alias("size")).withColumn("part", F.spark_partition_id()), "order")
     heads = scratch.keep(spans(keys, span_bytes), "heads")
-    repeats = keys.where("m > 1")
-    several = not repeats.isEmpty()
-    if several:
+    if most > 1:
         rows = rows.groupBy(*KEYS).agg(F.max("text").alias("text"))
     rows = _dealt(rows, heads).repartition(parts, "span")
     after = F.lead("text").over(W.partitionBy("span").orderBy("guest", *KEYS))
@@ -164,8 +162,8 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spa
     out = table.select(*place, "form", "n_chars", vector.alias("d"), F.lead(vector, 1).over(order).alias("e"), F.lead(vector, 2).over(order).alias("x"), F.lead(hexed, 1).over(order).alias("edited_sha256")).where("guest = 0 AND form = 0")
     shown = [c for p in "dex" for c in (F.col(f"{p}.pieces").alias(f"{p}_n"), text_form(F.col(p)).alias(f"{p}_fp"), signed(F.col(p)).alias(f"{p}_v"))]
     out = out.select(*KEYS, "n_chars", "edited_sha256", *shown)
-    if several:
-        out = out.join(repeats.select(*KEYS, "m"), KEYS, "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("m", F.lit(1).cast("long")))))
+    if most > 1:
+        out = out.join(keys.where("m > 1").select(*KEYS, "m"), KEYS, "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("m", F.lit(1).cast("long")))))
     return out.select(
         F.when(F.col("some") == 1, F.col("k")).alias("doc_id"), "n_chars", "edited_sha256", F.col("d_fp").alias("fingerprint"), F.col("e_fp").alias("edited_fingerprint"),
         likeness("d", "e").alias("near_edited"), likeness("d", "x").alias("near_next"),
