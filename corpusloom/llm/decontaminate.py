@@ -232,7 +232,7 @@ class Index:
         return sorted((d, item, *v) for (d, item), v in best.items())
 
 
-def statistics(items: DataFrame, n_shards: int, scratch: Scratch) -> tuple[int, float, int, DataFrame]:
+def statistics(items: DataFrame, scratch: Scratch) -> tuple[int, float, int, DataFrame]:
     """The number, mean and greatest length of the items (shard, i, t), and a table of shard, term and df of every term of a shard."""
 
     def run(batches):
@@ -259,16 +259,20 @@ def passes(items: DataFrame, shard_items: int, pass_bytes: int, id_col: str = "i
     rows = scratch.keep(rows, "items")
     n_shards = max(1, -(-rows.count() // shard_items))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("i", "t"), F.lit(n_shards)).cast("int"))
-    n, mean, longest, frequencies = statistics(rows, n_shards, scratch)
+    if n_shards > 1:  # a single shard has all items, and so the statistics, itself
+        n, mean, longest, frequencies = statistics(rows, scratch)
     group, size = [], 0
     for k in range(n_shards):
         part = sorted(((r["i"], r["t"]) for r in rows.where(F.col("shard") == k).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         if not part:
             continue
-        known = frequencies.where(F.col("shard") == k).select("term", "df").toArrow()
-        term, df = known["term"].to_numpy().view(U), known["df"].to_numpy()
-        order = np.argsort(term)
-        index = Index([i for i, _ in part], [t for _, t in part], stats=Statistics(n, mean, longest, term[order], df[order]))
+        stats = None
+        if n_shards > 1:
+            known = frequencies.where(F.col("shard") == k).select("term", "df").toArrow()
+            term, df = known["term"].to_numpy().view(U), known["df"].to_numpy()
+            order = np.argsort(term)
+            stats = Statistics(n, mean, longest, term[order], df[order])
+        index = Index([i for i, _ in part], [t for _, t in part], stats=stats)
         if group and size + index.nbytes > pass_bytes:
             yield group
             group, size = [], 0
