@@ -14,6 +14,7 @@ from corpusloom.functions.text import admitted, front_matter, normalizer_version
 from corpusloom.functions.urls import md_path
 from corpusloom.operators import artifacts, changes, corpus, gates, integrity
 from corpusloom.operators import manifest as m
+from corpusloom.shipping import ship
 from corpusloom.sources import storage
 
 
@@ -102,7 +103,7 @@ def extracted_again(pages: DataFrame, manifest: DataFrame, blobs: DataFrame, run
 
 def run(spark: SparkSession, root: str, seeds: DataFrame, fetch_log: DataFrame, blobs: DataFrame, now: str, run_id: str, profile: Profile = GENERIC, config: m.Config = m.Config(), coverage: float = gates.COVERAGE, year: int = 2025) -> bool:
     """Seed, plan, extract, commit, publish over a fetch log that answers the plan; whether the run was published. A run that raises is marked failed."""
-    with storage.guarded(spark, root, run_id):
+    with storage.guarded(ship(spark), root, run_id):
         return _run(spark, root, seeds, fetch_log, blobs, now, run_id, profile, config, coverage, year)
 
 

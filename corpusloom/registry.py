@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.shipping import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
@@ -15,7 +18,7 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a function under its own name."""
 
     def add(f: Query) -> Query:
-        _queries[f.__name__] = f
+        _queries[f.__name__] = functools.wraps(f)(lambda spark, sf_dir: f(ship(spark), sf_dir))
         if sql is not None:
             _sql[f.__name__] = sql
         return f
