@@ -3,28 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable in the Python workers of every executor, once per Spark context."""
-    sc = spark.sparkContext
-    if not getattr(sc, "_corpusloom_shipped", False):
-        top = Path(__file__).resolve().parents[1]
-        path = os.path.join(tempfile.mkdtemp(prefix="corpusloom"), "corpusloom_pkg.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for p in sorted(top.rglob("*.py")):
-                z.write(p, p.relative_to(top.parent))
-        sc.addPyFile(path)
-        sc._corpusloom_shipped = True
-    return spark
+from corpusloom.shipping import ship  # noqa: F401  the operators take it from here
 
 
 def shared_dir(spark: SparkSession) -> str:
