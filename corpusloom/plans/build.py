@@ -19,22 +19,26 @@ from corpusloom.sources import storage
 
 
 def extract(log: DataFrame, blobs: DataFrame, manifest: DataFrame, profile: Profile = GENERIC) -> DataFrame:
-    """The extract log with the pages' markdown. The cheap rules come first; only what is left is parsed."""
+    """The extract log with the pages' markdown. The cheap rules come first; only what is left is parsed.
+
+    Each row of the log gives one row, also where the manifest repeats a url: what any of its rows knows is unchanged.
+    """
     version = normalizer_version(profile.dynamic)
-    known = manifest.select("url", F.col("raw_hash").alias("old_raw"), F.col("content_hash").alias("old_hash"), F.col("extractor_version").alias("old_extractor"), F.col("normalizer_version").alias("old_normalizer"))
+    known = manifest.groupBy("url").agg(F.sort_array(F.collect_set(F.struct("raw_hash", "content_hash", "extractor_version", "normalizer_version"))).alias("known"))
     j = log.join(blobs.select("raw_hash", "body"), "raw_hash", "left").join(known, "url", "left")
     kind = profile.body_kind(F.col("body"), F.col("url"), F.col("content_type"))
     j = j.withColumn("kind", kind).withColumn("version", F.concat(F.lit("loom-html-1-"), "kind"))
-    same = (F.col("raw_hash") == F.col("old_raw")) & (F.col("version") == F.col("old_extractor")) & (F.col("old_normalizer") == version) & (F.coalesce("old_hash", F.lit("")) != "")
+    alike = lambda k: (k["raw_hash"] == F.col("raw_hash")) & (k["extractor_version"] == F.col("version")) & (k["normalizer_version"] == version) & (F.coalesce(k["content_hash"], F.lit("")) != "")
+    j = j.withColumn("same", F.get(F.filter("known", alike), 0)).withColumn("old_extractor", F.coalesce("same.extractor_version", F.get("known", 0)["extractor_version"]))
     skip = (
         F.when(F.col("status") == 304, "304")
         .when(F.col("error").isNotNull() | (F.col("status") >= 400), F.concat(F.lit("http-"), F.coalesce(F.col("status").cast("string"), F.lit("error"))))
         .when(F.col("raw_hash").isNull() | F.col("body").isNull(), "no-raw-hash")
-        .when(same, "unchanged-raw")
+        .when(F.col("same").isNotNull(), "unchanged-raw")
     )
     j = j.withColumn("skip", skip)
     done = j.where("skip IS NOT NULL").select(
-        "url", "raw_hash", F.when(F.col("skip") == "unchanged-raw", F.col("old_hash")).alias("content_hash"), F.lit(None).cast("string").alias("title"), F.lit(0).alias("n_chars"),
+        "url", "raw_hash", F.when(F.col("skip") == "unchanged-raw", F.col("same.content_hash")).alias("content_hash"), F.lit(None).cast("string").alias("title"), F.lit(0).alias("n_chars"),
         F.col("old_extractor").alias("extractor_version"), F.lit(version).alias("normalizer_version"), F.col("skip").isin("304", "unchanged-raw").alias("ok"), F.col("skip").alias("reason"), "seq",
         F.lit(None).cast("string").alias("md"), F.lit(None).cast("array<string>").alias("anchors"),
     )

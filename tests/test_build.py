@@ -114,6 +114,20 @@ def test_extract_reasons(spark):
     assert got == {"a": (True, "new-content-html"), "b": (True, "304"), "c": (False, "http-404"), "d": (False, "no-raw-hash"), "e": (False, "admission-challenge-page"), "f": (False, "extract-failed-pdf")}
 
 
+def test_extract_gives_one_row_where_the_manifest_repeats_a_url(spark):
+    from corpusloom.operators import manifest as m
+
+    pages, row = {f"r{k}": page("T", f"{k} words " * 30) for k in range(3)}, {"normalizer_version": "v2", "extractor_version": "loom-html-1-html"}
+    known = [row | {"url": "a", "raw_hash": r, "content_hash": c} for r, c in (("r0", "c0"), ("r1", "c1"), ("r1", "c1"), ("r2", None))]
+    manifest = spark.createDataFrame([tuple(k.get(c) for c in m.COLUMNS) for k in known], ", ".join(f"{c} {m.MANIFEST_TYPES[c]}" for c in m.COLUMNS))
+    log = [("a", 200, "r0"), ("a", 200, "r1"), ("a", 200, "r2"), ("a", 304, None), ("b", 200, "r0")]
+    fetch = spark.createDataFrame([(u, "FETCH", s, None, None, r, 1, "t", None, None, "text/html", i) for i, (u, s, r) in enumerate(log)], storage.FETCH)
+    blobs = spark.createDataFrame(list(pages.items()), "raw_hash string, body string")
+    got = sorted((r.seq, r.reason, r.content_hash if r.reason == "unchanged-raw" else None, r.extractor_version) for r in build.extract(fetch, blobs, manifest).collect())
+    v = row["extractor_version"]
+    assert got == [(0, "unchanged-raw", "c0", v), (1, "unchanged-raw", "c1", v), (2, "new-content-html", None, v), (3, "304", None, v), (4, "new-content-html", None, v)]
+
+
 def test_storage(spark, tmp_path):
     path = str(tmp_path)
     (tmp_path / "log").mkdir()

@@ -71,3 +71,20 @@ def test_every_page_has_an_envelope(spark):
     assert all(r.leaf == leaf[r.url] for r in got)
     root = integrity.merkle_root(integrity.leaves(standins.standin(spark, sf, standins.PAGES))).first()[0]
     assert {r.merkle_root for r in got} == {root}
+
+
+def test_extract_log_equals_its_sql_where_pages_share_urls(spark, tmp_path):
+    import duckdb
+
+    from corpusloom import registry
+
+    page = "<html><head><title>T</title></head><body><article><p>" + "words " * 30 + "{}</p></article></body></html>"
+    # Fetched, changed and known pages of one url, copies of a known page, and urls that are only alike when they are canonical.
+    rows = [(i, "https://h.example.com/a" + ("", "/", "#top", "?utm_source=x")[i % 4], page.format(i)) for i in range(32)]
+    rows += [(i, "https://h.example.com/b", page.format("copy")) for i in range(32, 64)] + [(70, "https://h.example.com/c", page.format("c"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(f"SELECT url, raw_hash, reason, ok FROM ({registry.oracle_sql()['extract_log']})").fetchall()
+    got = [(r.url, r.raw_hash, r.reason, r.ok) for r in registry.queries()["extract_log"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(rows) and sorted(got, key=repr) == sorted(want, key=repr)
